@@ -82,8 +82,8 @@ def pair_divide(a: Column, s) -> Column:
                                              (p["n"] / s).alias("n")))
 
 
-def to_float(a: Column) -> Column:
-    return a.cast("array<float>")
+def to_float(a) -> Column:
+    return F.transform(a, lambda x: x.cast("float"))
 
 
 def clean_double(a: Column) -> Column:

@@ -194,6 +194,26 @@ def bin_kernel(name: str, keep: list[str], cuts: np.ndarray, out: str, top: int
     return run
 
 
+def row_bin_kernel(keep: list[str], levels: int):
+    """Equal-frequency bins inside each row; the last value is the label."""
+    def run(batches):
+        for batch in batches:
+            x = matrix(batch, "features")
+            if not len(x):
+                continue
+            step = x.shape[1] // levels
+            if step == 0:
+                raise ValueError(f"{levels} levels for {x.shape[1]} values")
+            cuts = np.sort(x, axis=1)[:, step - 1:levels * step:step]
+            b = np.zeros(x.shape, np.int32)
+            for k in range(levels):
+                b += cuts[:, k:k + 1] < x
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in keep] + [list_column(b[:, :-1]), pa.array(b[:, -1])],
+                names=keep + ["features", "label"])
+    return run
+
+
 def pair_count_kernel(name: str, rows: tuple[int, int], cols: tuple[int, int], states: int):
     """Contingency counts of every feature pair i <= j of two column tiles.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystat.functions import arrays as A
+from quarrystat.functions import kernels
 from quarrystat.operators.common import by_feature, log2, width
 from quarrystat.operators.reshape import to_long, with_label
 
@@ -73,16 +74,11 @@ def row_bins(df: DataFrame, levels: int) -> DataFrame:
 
     Returns the rows with binned features and binned label.
     """
-    both = F.concat("features", F.array(F.col("label").cast("double")))
-    staged = df.select("*", both.alias("_all")).withColumn("_sorted", F.array_sort("_all"))
-    step = F.floor(F.size("_all") / levels).cast("int")
-    cuts = F.transform(F.sequence(F.lit(1), F.lit(levels)),
-                       lambda k: F.element_at(F.col("_sorted"), k * step))
-    binned = F.transform("_all", lambda x: F.size(F.filter(F.col("_cuts"), lambda c: c < x)))
-    return (staged.withColumn("_cuts", cuts).withColumn("_bins", binned)
-            .withColumn("label", F.element_at("_bins", -1))
-            .withColumn("features", F.slice("_bins", F.lit(1), F.size("_bins") - 1))
-            .drop("_all", "_sorted", "_cuts", "_bins"))
+    rest = [c for c in df.columns if c not in ("features", "label")]
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(rest).schema]
+    schema = ", ".join(types + ["features array<int>", "label int"])
+    return with_label(df.select(*rest, "features", "label")).drop("label").mapInArrow(
+        kernels.row_bin_kernel(rest, levels), schema)
 
 
 def crosstab_counts(df: DataFrame, a: str, b: str) -> DataFrame:

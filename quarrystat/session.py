@@ -23,7 +23,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
          # Wide rows: bound an Arrow batch by bytes, not only by rows.
          .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)))
     if master:
-        b = b.master(master).config("spark.ui.enabled", "false")
+        b = b.master(master).config("spark.ui.enabled", "false").config(
+            "spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if memory:
