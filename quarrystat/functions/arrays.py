@@ -9,10 +9,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _paired(a: Column, b: Column, f) -> Column:
+def let(value, f) -> Column:
+    """``f`` of a value computed once.
+
+    Catalyst inlines a column into every place that names it; inside a lambda
+    that would compute it once per element.  A lambda variable is bound once.
+    """
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _paired(a, b, f) -> Column:
     """``zip_with`` that refuses operands of unequal length."""
-    return F.when(F.size(a) == F.size(b), F.zip_with(a, b, f)).otherwise(
-        F.raise_error(F.lit("arrays differ in length")))
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda s: F.when(
+        F.size(s["a"]) == F.size(s["b"]), F.zip_with(s["a"], s["b"], f)).otherwise(
+        F.raise_error(F.lit("arrays differ in length"))))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -96,9 +107,14 @@ def take_first(a: Column, k: int) -> Column:
     return F.slice(a, 1, k)
 
 
-def pick(a: Column, idx: list[int]) -> Column:
+def pick(a, idx) -> Column:
     """Elements at the given 0-based positions, in that order."""
-    return F.transform(literal_array(idx, "int"), lambda i: F.get(a, i))
+    idx = [int(i) for i in idx]
+    if idx and idx == sorted(set(idx)):
+        keep = set(idx)
+        mask = literal_array([i in keep for i in range(idx[-1] + 1)], "int")
+        return F.filter(a, lambda x, i: F.coalesce(F.get(mask, i), F.lit(0)) == 1)
+    return let(a, lambda v: F.transform(literal_array(idx, "int"), lambda i: F.get(v, i)))
 
 
 def append(a: Column, b: Column) -> Column:

@@ -96,6 +96,56 @@ def gram_times_kernel(name: str, right: np.ndarray):
     return run
 
 
+def _rows_with_few_gaps(x: np.ndarray, check, limit: int | None) -> np.ndarray:
+    """Rows of x with at most ``limit`` NaNs among the columns ``check``."""
+    if limit is None:
+        return x
+    return x[np.isnan(x[:, check]).sum(1) <= limit]
+
+
+def profile_kernel(name: str, check=None, limit: int | None = None):
+    """``(j, nans, n, total)`` per column over rows with few enough gaps.
+
+    ``total`` sums the values that are there.  Emitted once per task.
+    """
+    def run(batches):
+        nans = total = None
+        n = 0
+        for batch in batches:
+            x = matrix(batch, name)
+            if not len(x):
+                continue
+            x = _rows_with_few_gaps(x, check, limit)
+            gone = np.isnan(x)
+            k, t = gone.sum(0), np.where(gone, 0.0, x).sum(0)
+            nans, total = (k, t) if nans is None else (nans + k, total + t)
+            n += len(x)
+        if nans is not None:
+            d = len(nans)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(d, dtype=np.int32)), pa.array(nans.astype(np.int64)),
+                 pa.array(np.full(d, n, np.int64)), pa.array(total)],
+                names=["j", "nans", "n", "total"])
+    return run
+
+
+def fill_kernel(name: str, keep: list[str], cols, fill, check=None, limit: int | None = None):
+    """Rows with few enough gaps, cut down to ``cols``, NaNs set to ``fill``."""
+    def run(batches):
+        for batch in batches:
+            x = matrix(batch, name)
+            if not len(x):
+                continue
+            good = np.ones(len(x), bool)
+            if limit is not None:
+                good = np.isnan(x[:, check]).sum(1) <= limit
+            y = x[np.ix_(good, cols)]
+            y = np.where(np.isnan(y), fill, y)
+            rest = batch.select(keep).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays(rest.columns + [list_column(y)], names=keep + [name])
+    return run
+
+
 def sortable(values: np.ndarray) -> np.ndarray:
     """Unsigned keys in the order of the doubles; NaN above everything."""
     v = values.astype(np.float64) + 0.0

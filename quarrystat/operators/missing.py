@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystat.functions import arrays as A
-from quarrystat.operators.common import by_feature, width
-from quarrystat.operators.stats import _per_feature, mean_ignoring_nan
+from quarrystat.functions import kernels
+from quarrystat.operators.common import bounded_tasks, by_feature, width
+from quarrystat.operators.stats import _per_feature
 
 
 def nan_counts(df: DataFrame) -> DataFrame:
@@ -21,15 +22,32 @@ def nan_row_counts(df: DataFrame) -> DataFrame:
     return df.select("id", A.nan_count(F.col("features")).alias("nans"))
 
 
-def _profile(df: DataFrame, d: int):
-    """NaNs, rows and mean of every column in one pass."""
-    prof = _per_feature(df, F.sum(F.isnan("v").cast("bigint")).alias("nans"),
-                        F.count("*").alias("n"), mean_ignoring_nan(F.col("v")).alias("mean"))
-    return by_feature(prof, d, "nans", "n", "mean")
+def _profile(df: DataFrame, d: int, check=None, limit: int | None = None):
+    """NaNs, rows and mean of every column in one pass.
+
+    With ``check`` and ``limit`` only rows with at most ``limit`` NaNs among
+    those columns count.
+    """
+    parts = bounded_tasks(df.select("features"), d).mapInArrow(
+        kernels.profile_kernel("features", check, limit),
+        "j int, nans bigint, n bigint, total double")
+    found = parts.groupBy("j").agg(*[F.sum(c).alias(c) for c in ("nans", "n", "total")])
+    nans, n, total = by_feature(found, d, "nans", "n", "total")
+    with np.errstate(invalid="ignore"):
+        return nans, n, total / (n - nans)
+
+
+def _filled(df: DataFrame, cols, mean, check=None, limit: int | None = None) -> DataFrame:
+    """Rows that pass, cut down to ``cols``, gaps set to the means."""
+    keep = [c for c in df.columns if c != "features"]
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(keep).schema]
+    return df.select(*keep, "features").mapInArrow(
+        kernels.fill_kernel("features", keep, np.asarray(cols, int), np.asarray(mean), check, limit),
+        ", ".join(types + ["features array<double>"]))
 
 
 def _keep(df: DataFrame, keep) -> DataFrame:
-    return df.withColumn("features", A.pick(F.col("features"), keep))
+    return df.withColumn("features", A.pick("features", keep))
 
 
 def drop_columns(df: DataFrame, max_nan: int, inclusive: bool = True):
@@ -51,8 +69,9 @@ def drop_rows(df: DataFrame, max_nan: int, inclusive: bool = True):
 
 def impute_mean(df: DataFrame) -> DataFrame:
     """NaNs replaced by the mean of the other values of the column."""
-    _, _, mean = _profile(df, width(df))
-    return df.withColumn("features", A.fill_nan(F.col("features"), A.literal_array(mean)))
+    d = width(df)
+    _, _, mean = _profile(df, d)
+    return _filled(df, range(d), mean)
 
 
 def _half_full(df: DataFrame):
@@ -64,17 +83,14 @@ def _half_full(df: DataFrame):
 
 def column_check(df: DataFrame) -> DataFrame:
     """Columns filled in more than half of the rows, gaps set to the mean."""
-    keep, mean = _half_full(df)
-    picked = A.pick(F.col("features"), keep)
-    return df.withColumn("features", A.fill_nan(picked, A.literal_array(mean)))
+    return _filled(df, *_half_full(df))
 
 
 def column_row_check(df: DataFrame) -> DataFrame:
     """:func:`column_check`, then only rows with fewer NaNs than a quarter of
     the kept columns.  The means are those before rows are dropped."""
     keep, mean = _half_full(df)
-    picked = _keep(df, keep).filter(A.nan_count(F.col("features")) < len(keep) // 4)
-    return picked.withColumn("features", A.fill_nan(F.col("features"), A.literal_array(mean)))
+    return _filled(df, keep, mean, keep, len(keep) // 4 - 1)
 
 
 def filter_long(df: DataFrame, group_a: DataFrame, group_b: DataFrame) -> DataFrame:
@@ -113,8 +129,7 @@ def clean_table(df: DataFrame, col_share: float = 0.5, row_share: float = 0.25,
     nans, n, _ = _profile(df, d)
     rows = int(n[0])
     first = np.flatnonzero(nans <= int(rows * col_share))
-    kept_rows = df.filter(A.nan_count(A.pick(F.col("features"), first)) <= int(d * row_share))
-    nans, _, mean = _profile(kept_rows, d)
+    limit = int(d * row_share)
+    nans, _, mean = _profile(df, d, first, limit)
     last = np.array([j for j in first if nans[j] <= int(rows * col_share_after)], int)
-    out = A.fill_nan(A.pick(F.col("features"), last), A.literal_array(mean[last]))
-    return kept_rows.withColumn("features", out), [int(j) for j in last]
+    return _filled(df, last, mean[last], first, limit), [int(j) for j in last]

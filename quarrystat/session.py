@@ -20,8 +20,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         # Wide rows: bound an Arrow batch by bytes, not only by rows.
-         .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)))
+         # Wide rows: bound an Arrow batch by bytes; small ones stay in cache.
+         .config("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)))
     if master:
         b = b.master(master).config("spark.ui.enabled", "false").config(
             "spark.ui.showConsoleProgress", "false")
