@@ -37,33 +37,41 @@ def list_column(m: np.ndarray, kind=None) -> pa.Array:
 
 
 def gram_kernel(name: str, rows: tuple[int, int], cols: tuple[int, int], shift=None,
-                ones: bool = False):
+                carry: str | None = None):
     """Partial sums of x_i * x_j for i in ``rows``, j in ``cols``, i <= j.
 
-    ``shift`` is subtracted first.  With ``ones`` a constant column is put
-    behind the last feature, so its products are the column sums and the row
-    count.  Emits ``(i, j, value)`` once per task.
+    ``shift`` is subtracted first.  Emits ``(i, j, value)`` once per task.
+    With ``carry`` every entry also brings what turns it into a covariance or
+    a cosine: the sums ("sum") or square sums ("square") of both columns and
+    the row count, so no join is needed after the aggregate.
     """
     def run(batches):
-        acc = None
+        acc, left, right, n = 0.0, 0.0, 0.0, 0
         for batch in batches:
             x = matrix(batch, name).astype(np.float64, copy=False)
             if not len(x):
                 continue
             if shift is not None:
                 x = x - shift
-            if ones:
-                x = np.hstack([x, np.ones((len(x), 1))])
-            part = x[:, rows[0]:rows[1]].T @ x[:, cols[0]:cols[1]]
-            acc = part if acc is None else acc + part
-        if acc is None:
+            a, b = x[:, rows[0]:rows[1]], x[:, cols[0]:cols[1]]
+            acc = acc + a.T @ b
+            n += len(x)
+            if carry == "sum":
+                left, right = left + a.sum(0), right + b.sum(0)
+            elif carry == "square":
+                left, right = left + (a * a).sum(0), right + (b * b).sum(0)
+        if not n:
             return
-        i, j = np.indices(acc.shape)
-        i, j = i + rows[0], j + cols[0]
-        keep = i <= j
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(i[keep].astype(np.int32)), pa.array(j[keep].astype(np.int32)),
-             pa.array(acc[keep])], names=["i", "j", "value"])
+        r, c = np.indices(acc.shape)
+        keep = r + rows[0] <= c + cols[0]
+        r, c = r[keep], c[keep]
+        out = [pa.array((r + rows[0]).astype(np.int32)), pa.array((c + cols[0]).astype(np.int32)),
+               pa.array(acc[keep])]
+        names = ["i", "j", "value"]
+        if carry:
+            out += [pa.array(left[r]), pa.array(right[c]), pa.array(np.full(len(r), n, np.int64))]
+            names += ["a", "b", "n"]
+        yield pa.RecordBatch.from_arrays(out, names=names)
     return run
 
 

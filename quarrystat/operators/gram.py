@@ -10,7 +10,6 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrystat.functions import arrays as A
@@ -25,65 +24,45 @@ ENTRY = "i int, j int, value double"
 BROADCAST_ENTRIES = 2_000_000
 
 
-def gram(df: DataFrame, features: str = "features", shift=None, ones: bool = False,
+def gram(df: DataFrame, features: str = "features", shift=None, carry: str | None = None,
          tile: int = TILE) -> DataFrame:
-    """Upper triangle of X'X.
+    """Upper triangle of X'X: one pass over the table, one shuffle of partials.
 
-    ``shift`` is subtracted from every row; ``ones`` adds a constant column
-    behind the last feature.  Tables wider than ``tile`` are done tile by tile,
-    so a task never holds more than tile x tile sums.
+    ``shift`` is subtracted from every row.  With ``carry`` the entries also
+    hold ``a``, ``b`` (sums or square sums of columns i and j) and ``n``.
+    Tables wider than ``tile`` are done tile by tile, so a task never holds
+    more than tile x tile sums.
     """
-    d = width(df, features) + int(ones)
-    src = bounded_tasks(df.select(features), d * d // 2)
-    parts = [src.mapInArrow(kernels.gram_kernel(features, r, c, shift, ones), ENTRY)
+    d = width(df, features)
+    more = ["a", "b", "n"] if carry else []
+    src = bounded_tasks(df.select(features), d * d // 2 * (2 if carry else 1))
+    schema = ENTRY + (", a double, b double, n bigint" if carry else "")
+    parts = [src.mapInArrow(kernels.gram_kernel(features, r, c, shift, carry), schema)
              for r, c in tiles(d, tile)]
-    return (union_all(parts).groupBy("i", "j")
-            .agg(F.sum("value").alias("value"),
-                 F.max(F.col("i") == F.col("j")).alias("_diag"),
-                 F.max(F.col("j") == d - 1).alias("_last"))
-            .select("i", "j", "value", "_diag", "_last"))
-
-
-def _plain(entries: DataFrame) -> DataFrame:
-    return entries.select("i", "j", "value")
+    return union_all(parts).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ["value"] + more])
 
 
 def gramian(df: DataFrame, full: bool = False) -> DataFrame:
     """X'X as entries, upper triangle or full."""
-    g = _plain(gram(df))
+    g = gram(df)
     return mirror(g) if full else g
 
 
-def _with_sums(df: DataFrame, shift=None) -> DataFrame:
-    """Entries with the column sums and the row count beside them.
-
-    The last column of the extended product holds sums and count, so no second
-    pass is needed: both join sides read the same shuffled sums.
-    """
-    d = width(df)
-    g = gram(df, shift=shift, ones=True)
-    n = F.max(F.when(F.col("i") == d, F.col("value"))).over(W.partitionBy())
-    # d + 1 rows
-    last = g.filter("_last").select("i", F.col("value").alias("_s"), n.alias("_n"))
-    si = F.broadcast(last.select("i", F.col("_s").alias("si"), F.col("_n").alias("n")))
-    sj = F.broadcast(last.select(F.col("i").alias("j"), F.col("_s").alias("sj")))
-    return g.filter(F.col("j") < d).join(si, "i").join(sj, "j")
-
-
 def second_moment(df: DataFrame) -> DataFrame:
     """Sum of x_i * x_j over N - 1 without centring, full matrix."""
-    return mirror(_with_sums(df).select("i", "j", (F.col("value") / (F.col("n") - 1)).alias("value")))
+    g = gram(df, carry="sum")
+    return mirror(g.select("i", "j", (F.col("value") / (F.col("n") - 1)).alias("value")))
 
 
 def _provisional_centre(df: DataFrame) -> np.ndarray:
     """Mean of a few rows: a shift that keeps the one-pass sums accurate."""
-    return mean_vector(df.limit(1000))
+    return np.mean([r[0] for r in df.select("features").limit(200).collect()], axis=0)
 
 
 def covariance(df: DataFrame, ddof: int = 1, triangle: str = "full") -> DataFrame:
     """Covariance of the columns over N - ddof, in one pass over the table."""
-    g = _with_sums(df, _provisional_centre(df))
-    value = (F.col("value") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - ddof)
+    g = gram(df, shift=_provisional_centre(df), carry="sum")
+    value = (F.col("value") - F.col("a") * F.col("b") / F.col("n")) / (F.col("n") - ddof)
     out = g.select("i", "j", value.alias("value"))
     return mirror(out) if triangle == "full" else out
 
@@ -111,11 +90,11 @@ def covariance_sampled(df: DataFrame, seed: int = 0, gamma: float | None = None)
     centred = df.select("id", A.subtract(F.col("features"),
                                          A.literal_array(mean_vector(df))).alias("features"))
     if (p < 1).any():
-        probs, keep = A.literal_array(p), None
+        probs = A.literal_array(p)
         keep = _keep_cell(probs, seed)
         centred = centred.withColumn("features", F.transform(
             "features", lambda x, j: F.when(keep(x, j), x / F.get(probs, j)).otherwise(0.0)))
-    g = _with_sums(centred)
+    g = gram(centred, carry="sum")
     # a squared cell was drawn once but weighted twice
     once = F.when(F.col("i") == F.col("j"), F.get(A.literal_array(p), F.col("i"))).otherwise(1.0)
     return g.select("i", "j", (F.col("value") * once / F.col("n")).alias("value"))
@@ -130,13 +109,10 @@ def cosine(df: DataFrame, threshold: float = 0.0, seed: int = 0) -> DataFrame:
     if threshold < 0:
         raise ValueError("threshold must not be negative")
     if threshold < 1e-6:
-        g = gram(df)
-        size = F.when(F.col("value") == 0, 1.0).otherwise(F.sqrt("value"))
-        norm = g.filter("_diag").select("i", size.alias("_n"))   # d rows
-        ni = F.broadcast(norm.select("i", F.col("_n").alias("ni")))
-        nj = F.broadcast(norm.select(F.col("i").alias("j"), F.col("_n").alias("nj")))
-        return (g.filter("i < j").join(ni, "i").join(nj, "j")
-                .select("i", "j", (F.col("value") / (F.col("ni") * F.col("nj"))).alias("value")))
+        def norm(c):
+            return F.when(F.col(c) == 0, 1.0).otherwise(F.sqrt(c))
+        return (gram(df, carry="square").filter("i < j")
+                .select("i", "j", (F.col("value") / (norm("a") * norm("b"))).alias("value")))
     return cosine_sampled(df, 10 * math.log(width(df)) / threshold, seed)
 
 
@@ -160,7 +136,7 @@ def cosine_sampled(df: DataFrame, gamma: float, seed: int = 0, norms=None) -> Da
         keep = _keep_cell(probs, seed)
         cells = F.transform("features", lambda x, j: F.when(keep(x, j), x / F.get(scale, j))
                             .otherwise(0.0))
-    return _plain(gram(df.select(cells.alias("features"))).filter("i < j"))
+    return gram(df.select(cells.alias("features"))).filter("i < j")
 
 
 def gram_times(df: DataFrame, v) -> DataFrame:
@@ -235,8 +211,12 @@ def local_moments(df: DataFrame, features: str = "features", shift=None):
     """Row count, column sums and X'X (each after the shift), in one pass."""
     d = width(df, features)
     require_local(d)
-    g = local_matrix(gram(df, features, shift, ones=True), d + 1)
-    return g[d, d], g[:d, d].copy(), g[:d, :d].copy()
+    g = gram(df, features, shift, carry="sum").toPandas()
+    out = np.zeros((d, d))
+    out[g["i"], g["j"]] = g["value"]
+    out[g["j"], g["i"]] = g["value"]
+    diag = g[g["i"] == g["j"]].sort_values("i")
+    return int(g["n"].iloc[0]), diag["a"].to_numpy(), out
 
 
 def local_covariance(df: DataFrame, ddof: int = 1):

@@ -65,10 +65,12 @@ def transpose_chunks(df: DataFrame, chunk_rows: int = 65536) -> DataFrame:
 
 
 def mirror(entries: DataFrame) -> DataFrame:
-    """Full symmetric entry table from one triangle."""
-    swapped = entries.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"),
-                                              *[c for c in entries.columns if c not in ("i", "j")])
-    return entries.unionByName(swapped)
+    """Full symmetric entry table from one triangle, without reading it twice."""
+    rest = [F.col(c) for c in entries.columns if c not in ("i", "j")]
+    here = F.struct("i", "j", *rest)
+    there = F.struct(F.col("j").alias("i"), F.col("i").alias("j"), *rest)
+    both = F.when(F.col("i") == F.col("j"), F.array(here)).otherwise(F.array(here, there))
+    return entries.select(F.inline(both))
 
 
 def append_columns(a: DataFrame, b: DataFrame) -> DataFrame:
