@@ -12,8 +12,9 @@ import pyarrow as pa
 SIGN = np.int64(-(2 ** 63))
 
 
-def matrix(batch, name: str) -> np.ndarray:
-    """The array column ``name`` as an n x d matrix; refuses ragged rows."""
+def matrix(batch, name: str, d: int | None = None) -> np.ndarray:
+    """The array column ``name`` as an n x d matrix; refuses ragged rows and,
+    where ``d`` is given, rows of another width."""
     col = batch.column(name)
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
@@ -24,7 +25,7 @@ def matrix(batch, name: str) -> np.ndarray:
     if n == 0:
         return np.zeros((0, 0))
     sizes = np.diff(col.offsets.to_numpy())
-    if (sizes != sizes[0]).any():
+    if (sizes != (sizes[0] if d is None else d)).any():
         raise ValueError(f"{name}: rows differ in width")
     return flat.to_numpy(zero_copy_only=False).reshape(n, int(sizes[0]))
 
@@ -36,7 +37,7 @@ def list_column(m: np.ndarray, kind=None) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(m).reshape(-1), type=kind))
 
 
-def gram_kernel(name: str, rows: tuple[int, int], cols: tuple[int, int], shift=None,
+def gram_kernel(name: str, d: int, rows: tuple[int, int], cols: tuple[int, int], shift=None,
                 carry: str | None = None):
     """Partial sums of x_i * x_j for i in ``rows``, j in ``cols``, i <= j.
 
@@ -48,7 +49,7 @@ def gram_kernel(name: str, rows: tuple[int, int], cols: tuple[int, int], shift=N
     def run(batches):
         acc, left, right, n = 0.0, 0.0, 0.0, 0
         for batch in batches:
-            x = matrix(batch, name).astype(np.float64, copy=False)
+            x = matrix(batch, name, d).astype(np.float64, copy=False)
             if not len(x):
                 continue
             if shift is not None:
@@ -79,7 +80,7 @@ def product_kernel(name: str, keep: list[str], right: np.ndarray, out: str, shif
     """Rows times a small matrix: the columns of ``keep`` plus ``out``."""
     def run(batches):
         for batch in batches:
-            x = matrix(batch, name).astype(np.float64, copy=False)
+            x = matrix(batch, name, right.shape[0]).astype(np.float64, copy=False)
             if not len(x):
                 continue
             if shift is not None:
@@ -94,7 +95,7 @@ def gram_times_kernel(name: str, right: np.ndarray):
     def run(batches):
         acc = np.zeros(right.shape)
         for batch in batches:
-            x = matrix(batch, name).astype(np.float64, copy=False)
+            x = matrix(batch, name, right.shape[0]).astype(np.float64, copy=False)
             if len(x):
                 acc += x.T @ (x @ right)
         j, c = np.indices(acc.shape)
@@ -111,7 +112,7 @@ def _rows_with_few_gaps(x: np.ndarray, check, limit: int | None) -> np.ndarray:
     return x[np.isnan(x[:, check]).sum(1) <= limit]
 
 
-def profile_kernel(name: str, check=None, limit: int | None = None):
+def profile_kernel(name: str, d: int, check=None, limit: int | None = None):
     """``(j, nans, n, total)`` per column over rows with few enough gaps.
 
     ``total`` sums the values that are there.  Emitted once per task.
@@ -120,7 +121,7 @@ def profile_kernel(name: str, check=None, limit: int | None = None):
         nans = total = None
         n = 0
         for batch in batches:
-            x = matrix(batch, name)
+            x = matrix(batch, name, d)
             if not len(x):
                 continue
             x = _rows_with_few_gaps(x, check, limit)
@@ -129,7 +130,6 @@ def profile_kernel(name: str, check=None, limit: int | None = None):
             nans, total = (k, t) if nans is None else (nans + k, total + t)
             n += len(x)
         if nans is not None:
-            d = len(nans)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(d, dtype=np.int32)), pa.array(nans.astype(np.int64)),
                  pa.array(np.full(d, n, np.int64)), pa.array(total)],
@@ -168,7 +168,7 @@ def unsortable(keys: np.ndarray) -> np.ndarray:
     return np.where(k < 0, k & ~SIGN, ~k).view(np.float64)
 
 
-def digit_kernel(name: str, cols: tuple[int, int], prefixes: list[np.ndarray] | None,
+def digit_kernel(name: str, d: int, cols: tuple[int, int], prefixes: list[np.ndarray] | None,
                  done: int, width: int):
     """Histogram of the next ``width`` key bits per feature of ``cols`` and prefix.
 
@@ -181,7 +181,7 @@ def digit_kernel(name: str, cols: tuple[int, int], prefixes: list[np.ndarray] |
         shift = np.uint64(64 - done - width)
         mask = np.uint64((1 << width) - 1)
         for batch in batches:
-            x = matrix(batch, name)
+            x = matrix(batch, name, d)
             for j in range(*cols) if len(x) else ():
                 key = sortable(x[:, j])
                 if prefixes is None:
@@ -219,7 +219,7 @@ def gather_kernel(name: str, prefixes: list[np.ndarray], done: list[np.ndarray])
     """
     def run(batches):
         for batch in batches:
-            x = matrix(batch, name)
+            x = matrix(batch, name, len(prefixes))
             for j in range(x.shape[1] if len(x) else 0):
                 key = sortable(x[:, j])
                 for slot, (lead, bits) in enumerate(zip(prefixes[j], done[j])):
@@ -239,7 +239,7 @@ def bin_kernel(name: str, keep: list[str], cuts: np.ndarray, out: str, top: int
     """Number of cuts strictly below each value, as ``array<smallint>``."""
     def run(batches):
         for batch in batches:
-            x = matrix(batch, name)
+            x = matrix(batch, name, len(cuts))
             if not len(x):
                 continue
             b = np.empty(x.shape, np.int16)
@@ -272,7 +272,7 @@ def row_bin_kernel(keep: list[str], levels: int):
     return run
 
 
-def pair_count_kernel(name: str, rows: tuple[int, int], cols: tuple[int, int], states: int):
+def pair_count_kernel(name: str, d: int, rows: tuple[int, int], cols: tuple[int, int], states: int):
     """Contingency counts of every feature pair i <= j of two column tiles.
 
     The bins are spread into 0/1 columns, so one matrix product counts all
@@ -287,7 +287,7 @@ def pair_count_kernel(name: str, rows: tuple[int, int], cols: tuple[int, int], s
     def run(batches):
         acc = None
         for batch in batches:
-            b = matrix(batch, name).astype(np.int64, copy=False)
+            b = matrix(batch, name, d).astype(np.int64, copy=False)
             # counts of a slice stay far below 2**24, where float32 is exact
             for at in range(0, len(b), 4096):
                 left = spread(b[at:at + 4096, rows[0]:rows[1]])

@@ -74,7 +74,7 @@ def _by_digits(df, ranks, features, d, gather_limit):
         parts = bounded_tasks(src, d * slots << bits)
         hist = union_all([
             parts.mapInArrow(
-                kernels.digit_kernel(features, (a, min(a + step, d)), prefixes, done, bits),
+                kernels.digit_kernel(features, d, (a, min(a + step, d)), prefixes, done, bits),
                 "j int, prefix bigint, digit int, cnt bigint")
             for a in range(0, d, step)])
         hist = hist.groupBy("j", "prefix", "digit").agg(F.sum("cnt").alias("cnt"))

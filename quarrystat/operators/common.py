@@ -13,6 +13,8 @@ MAX_LOCAL_WIDTH = 4096
 MAX_MATRIX_CELLS = MAX_LOCAL_WIDTH ** 2
 # Partial results shuffled by one job, over all tasks together.
 PARTIAL_BUDGET = 2_000_000_000
+# No job is cut into more tasks than this.
+MAX_TASKS = 100_000
 
 
 def width(df: DataFrame, features: str = "features") -> int:
@@ -50,7 +52,8 @@ def bounded_tasks(df: DataFrame, cells: int) -> DataFrame:
     Narrow (no shuffle), and a no-op unless splits x cells passes the budget.
     """
     default = df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(max(PARTIAL_BUDGET // max(cells, 1), 4 * default))
+    most = max(PARTIAL_BUDGET // max(cells, 1), 4 * default)
+    return df if most >= MAX_TASKS else df.coalesce(most)
 
 
 def tiles(d: int, size: int) -> list[tuple[tuple[int, int], tuple[int, int]]]:

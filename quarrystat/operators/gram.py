@@ -37,7 +37,7 @@ def gram(df: DataFrame, features: str = "features", shift=None, carry: str | Non
     more = ["a", "b", "n"] if carry else []
     src = bounded_tasks(df.select(features), d * d // 2 * (2 if carry else 1))
     schema = ENTRY + (", a double, b double, n bigint" if carry else "")
-    parts = [src.mapInArrow(kernels.gram_kernel(features, r, c, shift, carry), schema)
+    parts = [src.mapInArrow(kernels.gram_kernel(features, d, r, c, shift, carry), schema)
              for r, c in tiles(d, tile)]
     return union_all(parts).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ["value"] + more])
 

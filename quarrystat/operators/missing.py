@@ -29,7 +29,7 @@ def _profile(df: DataFrame, d: int, check=None, limit: int | None = None):
     those columns count.
     """
     parts = bounded_tasks(df.select("features"), d).mapInArrow(
-        kernels.profile_kernel("features", check, limit),
+        kernels.profile_kernel("features", d, check, limit),
         "j int, nans bigint, n bigint, total double")
     found = parts.groupBy("j").agg(*[F.sum(c).alias(c) for c in ("nans", "n", "total")])
     nans, n, total = by_feature(found, d, "nans", "n", "total")
@@ -107,14 +107,16 @@ def filter_long(df: DataFrame, group_a: DataFrame, group_b: DataFrame) -> DataFr
     spark = df.sparkSession
     # one row per kept feature
     means = spark.createDataFrame([(int(j), float(mean[j])) for j in keep], "j int, mean double")
-    cells = (rows.select("id", F.posexplode("features").alias("j", "v"))
-             .join(F.broadcast(means), "j")
-             .select("id", "j", F.when(F.isnan("v"), F.col("mean")).otherwise(F.col("v")).alias("v")))
     member = (group_a.select("id").distinct().withColumn("label", F.lit(1))
               .unionByName(group_b.select("id").distinct().withColumn("label", F.lit(2)))
               .groupBy("id").agg(F.min("label").alias("label")))
-    return (cells.join(member, "id", "left")
-            .select("id", F.coalesce("label", F.lit(-1)).alias("label"), "j", "v"))
+    # whole rows meet their group; cells are made afterwards
+    marked = rows.select("id", "features").join(member, "id", "left").select(
+        "id", F.coalesce("label", F.lit(-1)).alias("label"), "features")
+    return (marked.select("id", "label", F.posexplode("features").alias("j", "v"))
+            .join(F.broadcast(means), "j")
+            .select("id", "label", "j",
+                    F.when(F.isnan("v"), F.col("mean")).otherwise(F.col("v")).alias("v")))
 
 
 def clean_table(df: DataFrame, col_share: float = 0.5, row_share: float = 0.25,

@@ -63,7 +63,7 @@ def pair_counts(df: DataFrame, states: int, bins: str = "bins") -> DataFrame:
     d = width(df, bins)
     tile = max(1, SPREAD_COLUMNS // states)
     src = bounded_tasks(df.select(bins), (d * states) ** 2 // 2)
-    parts = [src.mapInArrow(kernels.pair_count_kernel(bins, r, c, states),
+    parts = [src.mapInArrow(kernels.pair_count_kernel(bins, d, r, c, states),
                             "i int, j int, bi int, bj int, cnt bigint")
              for r, c in tiles(d, tile)]
     return union_all(parts).groupBy("i", "j", "bi", "bj").agg(F.sum("cnt").alias("cnt"))

@@ -134,9 +134,10 @@ def test_blocks_pairs_and_partitions(df):
 
 
 def test_ragged_rows_are_refused(spark):
-    bad = from_rows(spark, [[1.0, 2.0], [1.0]], label=False).coalesce(1)
-    with pytest.raises(Exception, match="differ in width"):
-        gram.gram(bad).collect()
+    bad = from_rows(spark, [[1.0, 2.0], [1.0]], label=False)
+    for table in (bad, bad.coalesce(1)):
+        with pytest.raises(Exception, match="differ in width"):
+            gram.gram(table).collect()
     from quarrystat.operators.common import check_width
     with pytest.raises(ValueError):
         check_width(bad)
