@@ -174,10 +174,11 @@ def digit_kernel(name: str, d: int, cols: tuple[int, int], prefixes: list[np.nda
 
     ``prefixes[j]`` holds the sorted distinct leading ``done`` bits still of
     interest for feature ``j`` (None in the first round).  Emits
-    ``(j, prefix, digit, cnt)`` for the cells that occur, once per task.
+    ``(j, prefix, digit, cnt, lo, hi)`` for the cells that occur, once per
+    task; ``lo`` and ``hi`` differ when a cell holds more than one value.
     """
     def run(batches):
-        acc: dict[int, np.ndarray] = {}
+        acc: dict[int, list] = {}
         shift = np.uint64(64 - done - width)
         mask = np.uint64((1 << width) - 1)
         for batch in batches:
@@ -186,52 +187,68 @@ def digit_kernel(name: str, d: int, cols: tuple[int, int], prefixes: list[np.nda
                 key = sortable(x[:, j])
                 if prefixes is None:
                     slot, n_slots = np.zeros(len(key), np.int64), 1
-                    digit = key >> shift
                 else:
                     want = prefixes[j]
+                    n_slots = len(want)
+                    if not n_slots:
+                        continue
                     lead = key >> np.uint64(64 - done)
-                    slot = np.searchsorted(want, lead)
-                    hit = slot < len(want)
-                    hit[hit] = want[slot[hit]] == lead[hit]
-                    slot, key, n_slots = slot[hit], key[hit], len(want)
-                    digit = (key >> shift) & mask
-                cell = (slot << width) + digit.astype(np.int64)
+                    slot = np.minimum(np.searchsorted(want, lead), n_slots - 1)
+                    hit = want[slot] == lead
+                    slot, key = slot[hit], key[hit]
+                cell = (slot << width) + ((key >> shift) & mask).astype(np.int64)
                 size = n_slots << width
-                found = np.bincount(cell, minlength=size)
-                acc[j] = found if j not in acc else acc[j] + found
-        for j, cnt in acc.items():
+                if j not in acc:
+                    acc[j] = [np.zeros(size, np.int64), np.zeros(size, np.uint64),
+                              np.zeros(size, bool)]
+                cnt, seen, mixed = acc[j]
+                new = cnt[cell] == 0
+                seen[cell[new]] = key[new]
+                mixed[cell[seen[cell] != key]] = True
+                cnt += np.bincount(cell, minlength=size)
+        for j, (cnt, seen, mixed) in acc.items():
             at = np.flatnonzero(cnt)
             if not len(at):
                 continue
             lead = (np.zeros(len(at), np.uint64) if prefixes is None
                     else prefixes[j][at >> width])
+            # keys as signed numbers; a mixed cell is marked by two unequal ends
+            lo = seen[at].view(np.int64)
+            hi = np.where(mixed[at], lo ^ 1, lo)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(at), j, np.int32)), pa.array(lead.view(np.int64)),
                  pa.array((at & ((1 << width) - 1)).astype(np.int32)),
-                 pa.array(cnt[at].astype(np.int64))], names=["j", "prefix", "digit", "cnt"])
+                 pa.array(cnt[at].astype(np.int64)), pa.array(np.minimum(lo, hi)),
+                 pa.array(np.maximum(lo, hi))],
+                names=["j", "prefix", "digit", "cnt", "lo", "hi"])
     return run
 
 
-def gather_kernel(name: str, prefixes: list[np.ndarray], done: list[np.ndarray]):
-    """Values whose leading bits match a wanted prefix: ``(j, slot, v, cnt)``.
+def gather_kernel(name: str, d: int, prefixes: list[np.ndarray], done: int):
+    """Values whose leading ``done`` bits are wanted: ``(j, prefix, v, cnt)``.
 
     Ties are folded inside each batch.
     """
     def run(batches):
         for batch in batches:
-            x = matrix(batch, name, len(prefixes))
-            for j in range(x.shape[1] if len(x) else 0):
+            x = matrix(batch, name, d)
+            for j in range(d) if len(x) else ():
+                want = prefixes[j]
+                if not len(want):
+                    continue
                 key = sortable(x[:, j])
-                for slot, (lead, bits) in enumerate(zip(prefixes[j], done[j])):
-                    got = key[(key >> np.uint64(64 - int(bits))) == lead]
-                    if not len(got):
-                        continue
-                    vals, cnt = np.unique(got, return_counts=True)
-                    k = len(vals)
+                if done:
+                    lead = key >> np.uint64(64 - done)
+                    slot = np.minimum(np.searchsorted(want, lead), len(want) - 1)
+                    key = key[want[slot] == lead]
+                vals, cnt = np.unique(key, return_counts=True)
+                k = len(vals)
+                if k:
+                    lead = vals >> np.uint64(64 - done) if done else np.zeros(k, np.uint64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(k, j, np.int32)), pa.array(np.full(k, slot, np.int32)),
+                        [pa.array(np.full(k, j, np.int32)), pa.array(lead.view(np.int64)),
                          pa.array(unsortable(vals)), pa.array(cnt.astype(np.int64))],
-                        names=["j", "slot", "v", "cnt"])
+                        names=["j", "prefix", "v", "cnt"])
     return run
 
 
@@ -272,6 +289,46 @@ def row_bin_kernel(keep: list[str], levels: int):
     return run
 
 
+def count_kernel(name: str, d: int, sel: int | None, refs: list[str]):
+    """Joint counts ``(j, s, y, b, cnt)`` of every feature with one reference.
+
+    ``s`` is the bin of feature ``sel`` or the first column of ``refs``; ``y``
+    is the next column of ``refs`` or 0.  References are integers.  A task
+    keeps features x states counts and emits the non-zero ones once.
+    """
+    def run(batches):
+        codes: dict[int, int] = {}
+        acc = np.zeros((d, 0, 0), np.int64)
+        for batch in batches:
+            b = matrix(batch, name, d).astype(np.int64, copy=False)
+            if not len(b):
+                continue
+            ref = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in refs]
+            if sel is not None:
+                ref.insert(0, b[:, sel])
+            y = ref[1] if len(ref) > 1 else 0
+            joint, place = np.unique((ref[0] << 32) + y, return_inverse=True)
+            for c in joint.tolist():
+                codes.setdefault(c, len(codes))
+            place = np.array([codes[c] for c in joint.tolist()])[place]
+            grow = [(0, 0), (0, len(codes) - acc.shape[1]),
+                    (0, max(0, int(b.max()) + 1 - acc.shape[2]))]
+            acc = np.pad(acc, grow)
+            _, r, k = acc.shape
+            cell = (np.arange(d) * r + place[:, None]) * k + b
+            acc += np.bincount(cell.reshape(-1), minlength=acc.size).reshape(acc.shape)
+        j, r, b = np.nonzero(acc)
+        if not len(j):
+            return
+        code = np.array(list(codes), np.int64)[r]
+        y = ((code + (1 << 31)) & 0xFFFFFFFF) - (1 << 31)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(j.astype(np.int32)), pa.array((code - y) >> 32), pa.array(y),
+             pa.array(b.astype(np.int32)), pa.array(acc[j, r, b])],
+            names=["j", "s", "y", "b", "cnt"])
+    return run
+
+
 def pair_count_kernel(name: str, d: int, rows: tuple[int, int], cols: tuple[int, int], states: int):
     """Contingency counts of every feature pair i <= j of two column tiles.
 

@@ -21,101 +21,93 @@ def order_statistics(df: DataFrame, ranks: list[int], features: str = "features"
                      sort_limit: int = SORT_LIMIT, n: int | None = None) -> np.ndarray:
     """The values of the given 1-based ranks of every feature, a d x L matrix.
 
-    Up to ``sort_limit`` rows each feature is sorted.  Beyond it the ranks are
-    narrowed digit by digit of the sort key: every pass counts the next key
+    Radix selection on the 64-bit sort keys: every pass counts the next key
     bits inside the ranges still open, so nothing but histograms is shuffled
-    and no task holds a whole feature.  The result is exact in both ways.
+    and no task holds a whole feature.  A range of at most ``sort_limit`` rows
+    is sorted; a short table is one such range from the start.  A rank is
+    settled as soon as its range holds a single value, so heavy ties cost no
+    further pass.
     """
     n = df.count() if n is None else n
     if not ranks or min(ranks) < 1 or max(ranks) > n:
         raise ValueError(f"ranks must lie in 1..{n}")
     d = width(df, features)
-    if n <= sort_limit:
-        found = _by_sorting(df, ranks, features)
-    else:
-        found = _by_digits(df, ranks, features, d, sort_limit)
+    found = _select(df, ranks, features, d, n, sort_limit)
     out = np.full((d, len(ranks)), np.nan)
     for j, k, v in found:
         out[j, k] = v
     return out
 
 
-def _at_ranks(cells: DataFrame, keys: list[str], ranks) -> DataFrame:
-    """Rows of a sorted, counted table in which a wanted rank falls."""
-    up_to = F.sum("cnt").over(W.partitionBy(*keys).orderBy("v")
-                              .rowsBetween(W.unboundedPreceding, W.currentRow))
-    return (cells.withColumn("_hi", up_to).withColumn("_lo", F.col("_hi") - F.col("cnt"))
-            .select("*", F.posexplode(ranks).alias("k", "rank"))
-            .filter("_lo < rank and rank <= _hi"))
+def _locate(cells: DataFrame, by: str, want: list[tuple], *more: str):
+    """Cells of each range ``(j, prefix)`` in which the wanted ranks fall.
 
-
-def _by_sorting(df: DataFrame, ranks, features):
-    cells = (df.select(F.posexplode(features).alias("j", "v"))
-             .groupBy("j", "v").agg(F.count("*").alias("cnt")))
-    hit = _at_ranks(cells, ["j"], F.array(*[F.lit(int(r)) for r in ranks]))
-    return [(r["j"], r["k"], r["v"]) for r in hit.select("j", "k", "v").collect()]
+    ``want`` rows are (j, prefix, k, rank): features x levels of them.
+    """
+    run = (W.partitionBy("j", "prefix").orderBy(by)
+           .rowsBetween(W.unboundedPreceding, W.currentRow))
+    targets = cells.sparkSession.createDataFrame(want, "j int, prefix bigint, k int, rank bigint")
+    return (cells.withColumn("upto", F.sum("cnt").over(run))
+            .join(F.broadcast(targets), ["j", "prefix"])
+            .filter("upto - cnt < rank and rank <= upto")
+            .select("j", "k", by, "cnt", "upto", *more).collect())
 
 
-def _by_digits(df, ranks, features, d, gather_limit):
-    """Radix selection on the 64-bit sort keys."""
-    spark = df.sparkSession
+def _select(df, ranks, features, d, n, sort_limit):
+    """``(feature, position in ranks, value)`` of every wanted rank."""
     src = df.select(features)
-    L = len(ranks)
-    lead = np.zeros((d, L), np.uint64)               # key bits known so far
-    left = np.tile(np.array(ranks, np.int64), (d, 1))  # rank inside the open range
-    inside = np.full((d, L), np.iinfo(np.int64).max)   # rows in the open range
-    done = 0
+    lead = {(j, k): 0 for j in range(d) for k in range(len(ranks))}     # key bits known
+    left = {(j, k): int(r) for j in range(d) for k, r in enumerate(ranks)}  # rank in range
+    size = dict.fromkeys(lead, n)                                        # rows in range
+    found, done = [], 0
+
+    def wanted():
+        prefixes = [set() for _ in range(d)]
+        for (j, _), p in lead.items():
+            prefixes[j].add(p)
+        return ([np.array(sorted(p), np.uint64) for p in prefixes],
+                [(j, _signed(p), k, left[j, k]) for (j, k), p in lead.items()])
+
     for bits in DIGITS:
-        if done and inside.max() <= gather_limit:
+        if not lead or max(size[t] for t in lead) <= sort_limit:
             break
-        prefixes = None if done == 0 else [np.unique(lead[j]) for j in range(d)]
-        slots = 1 if prefixes is None else max(len(p) for p in prefixes)
+        prefixes, want = wanted()
+        slots = max(len(p) for p in prefixes)
         step = max(1, HISTOGRAM_CELLS // (slots << bits))
         parts = bounded_tasks(src, d * slots << bits)
-        hist = union_all([
+        cells = union_all([
             parts.mapInArrow(
-                kernels.digit_kernel(features, d, (a, min(a + step, d)), prefixes, done, bits),
-                "j int, prefix bigint, digit int, cnt bigint")
+                kernels.digit_kernel(features, d, (a, min(a + step, d)), prefixes if done else None,
+                                     done, bits),
+                "j int, prefix bigint, digit int, cnt bigint, lo bigint, hi bigint")
             for a in range(0, d, step)])
-        hist = hist.groupBy("j", "prefix", "digit").agg(F.sum("cnt").alias("cnt"))
-        # d x L wanted ranks, attached to the range they lie in
-        want = spark.createDataFrame(
-            [(j, int(lead[j, k].astype(np.int64)), k, int(left[j, k]))
-             for j in range(d) for k in range(L)],
-            "j int, prefix bigint, k int, rank bigint")
-        run = (W.partitionBy("j", "prefix").orderBy("digit")
-               .rowsBetween(W.unboundedPreceding, W.currentRow))
-        hit = (hist.withColumn("hi", F.sum("cnt").over(run))
-               .join(F.broadcast(want), ["j", "prefix"])
-               .filter("hi - cnt < rank and rank <= hi"))
-        for r in hit.select("j", "k", "digit", "hi", "cnt").collect():
-            j, k = r["j"], r["k"]
-            lead[j, k] = (lead[j, k] << np.uint64(bits)) | np.uint64(r["digit"])
-            left[j, k] -= r["hi"] - r["cnt"]
-            inside[j, k] = r["cnt"]
+        cells = cells.groupBy("j", "prefix", "digit").agg(
+            F.sum("cnt").alias("cnt"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        for r in _locate(cells, "digit", want, "lo", "hi"):
+            t = (r["j"], r["k"])
+            if r["lo"] == r["hi"]:
+                found.append((*t, _value(r["lo"])))
+                del lead[t]
+                continue
+            lead[t] = (lead[t] << bits) | r["digit"]
+            left[t] -= r["upto"] - r["cnt"]
+            size[t] = r["cnt"]
         done += bits
-    if done == 64:
-        value = kernels.unsortable(lead.reshape(-1)).reshape(d, L)
-        return [(j, k, float(value[j, k])) for j in range(d) for k in range(L)]
-    return _gather(df, src, features, lead, left, done)
-
-
-def _gather(df, src, features, lead, left, done):
-    """Sort what is left of each open range: at most the gather limit per range."""
-    d, L = lead.shape
-    prefixes = [np.unique(lead[j]) for j in range(d)]
-    bits = [np.full(len(p), done) for p in prefixes]
-    got = src.mapInArrow(kernels.gather_kernel(features, prefixes, bits),
-                         "j int, slot int, v double, cnt bigint")
-    cells = got.groupBy("j", "slot", "v").agg(F.sum("cnt").alias("cnt"))
-    want = df.sparkSession.createDataFrame(
-        [(j, int(np.searchsorted(prefixes[j], lead[j, k])), k, int(left[j, k]))
-         for j in range(d) for k in range(L)], "j int, slot int, k int, rank bigint")
-    run = (W.partitionBy("j", "slot").orderBy("v")
-           .rowsBetween(W.unboundedPreceding, W.currentRow))
-    hit = (cells.withColumn("hi", F.sum("cnt").over(run))
-           .join(F.broadcast(want), ["j", "slot"]).filter("hi - cnt < rank and rank <= hi"))
-    return [(r["j"], r["k"], r["v"]) for r in hit.select("j", "k", "v").collect()]
+    if lead:
+        prefixes, want = wanted()
+        # at most sort_limit rows per range
+        cells = src.mapInArrow(kernels.gather_kernel(features, d, prefixes, done),
+                               "j int, prefix bigint, v double, cnt bigint")
+        found += [(r["j"], r["k"], r["v"]) for r in _locate(cells, "v", want)]
+    return found
+
+
+def _signed(key: int) -> int:
+    return key - (1 << 64) if key >= 1 << 63 else key
+
+
+def _value(key: int) -> float:
+    return float(kernels.unsortable(np.array([key], np.int64).view(np.uint64))[0])
 
 
 def equal_frequency_cuts(df: DataFrame, levels: int, features: str = "features",

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -229,5 +230,6 @@ def local_covariance(df: DataFrame, ddof: int = 1):
 def entry_table(spark, m: np.ndarray) -> DataFrame:
     """A small dense matrix as an entry table."""
     i, j = np.indices(m.shape)
-    return spark.createDataFrame(
-        list(zip(i.reshape(-1).tolist(), j.reshape(-1).tolist(), m.reshape(-1).tolist())), ENTRY)
+    return spark.createDataFrame(pa.table({
+        "i": i.reshape(-1).astype(np.int32), "j": j.reshape(-1).astype(np.int32),
+        "value": np.ascontiguousarray(m, float).reshape(-1)}))

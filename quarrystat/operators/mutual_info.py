@@ -46,16 +46,32 @@ def mi_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     return _mi(df.groupBy(x, y).agg(F.count("*").alias("cnt")), [], x, y)
 
 
-def _reference(ref, bins: str) -> Column:
-    """A column by name, or the bins of a feature by position."""
-    return F.get(F.col(bins), F.lit(ref)) if isinstance(ref, int) else F.col(ref)
+_INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def joint_counts(df: DataFrame, sel: str | int, label: str | None = None,
+                 bins: str = "bins") -> DataFrame:
+    """Counts ``(j, s, y, b, cnt)``: s the reference, y the label or 0, b the bin.
+
+    The reference is a column name or the position of a feature.  Integer
+    columns are counted in numpy, batch by batch; others in the JVM.
+    """
+    refs = ([sel] if isinstance(sel, str) else []) + ([label] if label else [])
+    if all(t in _INTEGERS for _, t in df.select(*refs).dtypes):
+        d = width(df, bins)
+        parts = bounded_tasks(df.select(*dict.fromkeys(refs), bins), d * 100).mapInArrow(
+            kernels.count_kernel(bins, d, sel if isinstance(sel, int) else None, refs),
+            "j int, s bigint, y bigint, b int, cnt bigint")
+        return parts.groupBy("j", "s", "y", "b").agg(F.sum("cnt").alias("cnt"))
+    s = F.get(F.col(bins), F.lit(sel)) if isinstance(sel, int) else F.col(sel)
+    y = F.col(label) if label else F.lit(0)
+    return (df.select(s.alias("s"), y.alias("y"), F.posexplode(bins).alias("j", "b"))
+            .groupBy("j", "s", "y", "b").agg(F.count("*").alias("cnt")))
 
 
 def mi_vector(df: DataFrame, ref: str | int, bins: str = "bins") -> DataFrame:
     """MI of one column (label name or feature position) with every feature."""
-    counts = (df.select(_reference(ref, bins).alias("s"), F.posexplode(bins).alias("j", "b"))
-              .groupBy("j", "s", "b").agg(F.count("*").alias("cnt")))
-    return _mi(counts, ["j"], "s", "b")
+    return _mi(joint_counts(df, ref, bins=bins), ["j"], "s", "b")
 
 
 def pair_counts(df: DataFrame, states: int, bins: str = "bins") -> DataFrame:
@@ -96,9 +112,7 @@ def _conditional(df, sel, label, bins, given, weighting):
     if weighting not in ("probability", "uniform"):
         raise ValueError(f"unknown weighting {weighting}")
     z, x = ("s", "b") if given == "selected" else ("b", "s")
-    c = (df.select(_reference(sel, bins).alias("s"), F.col(label).alias("y"),
-                   F.posexplode(bins).alias("j", "b"))
-         .groupBy("j", "s", "b", "y").agg(F.count("*").cast("double").alias("cnt"))
+    c = (joint_counts(df, sel, label, bins).withColumn("cnt", F.col("cnt").cast("double"))
          .repartition("j")
          .withColumn("_z", _sum_over("j", z)).withColumn("_xz", _sum_over("j", z, x))
          .withColumn("_yz", _sum_over("j", z, "y")).withColumn("_n", _sum_over("j")))

@@ -21,13 +21,15 @@ def wide_table(df: DataFrame, id_col, features, label=None, extra=()) -> DataFra
     ``features`` is an array column or a list of numeric columns.
     """
     if isinstance(features, (list, tuple)):
-        features = F.array(*[F.col(c) if isinstance(c, str) else c for c in features])
-    elif isinstance(features, str):
-        features = F.col(features)
+        nan = F.lit(float("nan"))
+        cells = [F.col(c) if isinstance(c, str) else c for c in features]
+        features = F.array(*[F.coalesce(c.cast("double"), nan) for c in cells])
+    else:
+        features = A.clean_double(F.col(features) if isinstance(features, str) else features)
     cols = [(F.col(id_col) if isinstance(id_col, str) else id_col).cast("bigint").alias("id")]
     if label is not None:
         cols.append((F.col(label) if isinstance(label, str) else label).alias("label"))
-    return df.select(*cols, A.clean_double(features).alias("features"), *extra)
+    return df.select(*cols, features.alias("features"), *extra)
 
 
 def with_label(df: DataFrame, where: str = "last") -> DataFrame:
