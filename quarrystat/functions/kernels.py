@@ -19,6 +19,8 @@ def matrix(batch, name: str, d: int | None = None) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     n = len(col)
+    if pa.types.is_binary(col.type):
+        return _packed(col, n, d)
     flat = col.flatten()
     if col.null_count or flat.null_count:
         raise ValueError(f"{name}: nulls are not allowed, use NaN for missing values")
@@ -30,6 +32,34 @@ def matrix(batch, name: str, d: int | None = None) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(n, int(sizes[0]))
 
 
+def _packed(col, n: int, d: int | None) -> np.ndarray:
+    """Rows of small integers stored as bytes by :func:`pack_kernel`."""
+    if n == 0:
+        return np.zeros((0, 0), np.int16)
+    _, ends, data = col.buffers()
+    ends = np.frombuffer(ends, np.int32)[col.offset:col.offset + n + 1]
+    size = ends[1] - ends[0] if d is None else 2 * d
+    if col.null_count or (np.diff(ends) != size).any():
+        raise ValueError("packed rows differ in width")
+    return np.frombuffer(data, np.int16)[ends[0] // 2:ends[-1] // 2].reshape(n, size // 2)
+
+
+def pack_kernel(name: str, keep: list[str]):
+    """An array of small integers as bytes: cheap to cache and to hand over."""
+    def run(batches):
+        for batch in batches:
+            x = matrix(batch, name)
+            if not len(x):
+                continue
+            raw = np.ascontiguousarray(x, np.int16)
+            ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * (2 * x.shape[1]))
+            packed = pa.Array.from_buffers(pa.binary(), len(x),
+                                           [None, ends.buffers()[1], pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [packed],
+                                             names=keep + [name])
+    return run
+
+
 def list_column(m: np.ndarray, kind=None) -> pa.Array:
     """An n x d matrix as an Arrow list column."""
     n, d = m.shape
@@ -183,10 +213,11 @@ def digit_kernel(name: str, d: int, cols: tuple[int, int], prefixes: list[np.nda
         mask = np.uint64((1 << width) - 1)
         for batch in batches:
             x = matrix(batch, name, d)
-            for j in range(*cols) if len(x) else ():
-                key = sortable(x[:, j])
+            # feature-major, so that every column is read in one run
+            keys = sortable(np.ascontiguousarray(x[:, cols[0]:cols[1]].T)) if len(x) else ()
+            for j, key in enumerate(keys, cols[0]):
                 if prefixes is None:
-                    slot, n_slots = np.zeros(len(key), np.int64), 1
+                    cell, n_slots = (key >> shift).astype(np.int64), 1
                 else:
                     want = prefixes[j]
                     n_slots = len(want)
@@ -194,17 +225,20 @@ def digit_kernel(name: str, d: int, cols: tuple[int, int], prefixes: list[np.nda
                         continue
                     lead = key >> np.uint64(64 - done)
                     slot = np.minimum(np.searchsorted(want, lead), n_slots - 1)
-                    hit = want[slot] == lead
-                    slot, key = slot[hit], key[hit]
-                cell = (slot << width) + ((key >> shift) & mask).astype(np.int64)
+                    hit = np.flatnonzero(want[slot] == lead)
+                    key = key[hit]
+                    cell = (slot[hit] << width) + ((key >> shift) & mask).astype(np.int64)
                 size = n_slots << width
                 if j not in acc:
                     acc[j] = [np.zeros(size, np.int64), np.zeros(size, np.uint64),
                               np.zeros(size, bool)]
                 cnt, seen, mixed = acc[j]
-                new = cnt[cell] == 0
-                seen[cell[new]] = key[new]
-                mixed[cell[seen[cell] != key]] = True
+                open_ = np.flatnonzero(~mixed[cell])
+                if len(open_):
+                    c, k = cell[open_], key[open_]
+                    fresh = cnt[c] == 0
+                    seen[c[fresh]] = k[fresh]
+                    mixed[c[seen[c] != k]] = True
                 cnt += np.bincount(cell, minlength=size)
         for j, (cnt, seen, mixed) in acc.items():
             at = np.flatnonzero(cnt)
@@ -293,19 +327,21 @@ def count_kernel(name: str, d: int, sel: int | None, refs: list[str]):
     """Joint counts ``(j, s, y, b, cnt)`` of every feature with one reference.
 
     ``s`` is the bin of feature ``sel`` or the first column of ``refs``; ``y``
-    is the next column of ``refs`` or 0.  References are integers.  A task
+    is the next column of ``refs`` or 0.  References are 32-bit integers.  A task
     keeps features x states counts and emits the non-zero ones once.
     """
     def run(batches):
         codes: dict[int, int] = {}
         acc = np.zeros((d, 0, 0), np.int64)
         for batch in batches:
-            b = matrix(batch, name, d).astype(np.int64, copy=False)
+            b = matrix(batch, name, d)
             if not len(b):
                 continue
             ref = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in refs]
             if sel is not None:
-                ref.insert(0, b[:, sel])
+                ref.insert(0, b[:, sel].astype(np.int64))
+            if not ref:
+                ref = [np.zeros(len(b), np.int64)]
             y = ref[1] if len(ref) > 1 else 0
             joint, place = np.unique((ref[0] << 32) + y, return_inverse=True)
             for c in joint.tolist():
@@ -315,8 +351,10 @@ def count_kernel(name: str, d: int, sel: int | None, refs: list[str]):
                     (0, max(0, int(b.max()) + 1 - acc.shape[2]))]
             acc = np.pad(acc, grow)
             _, r, k = acc.shape
-            cell = (np.arange(d) * r + place[:, None]) * k + b
-            acc += np.bincount(cell.reshape(-1), minlength=acc.size).reshape(acc.shape)
+            # one feature at a time: its counts stay in cache
+            start = place * k
+            for j, col in enumerate(np.ascontiguousarray(b.T)):
+                acc[j] += np.bincount(start + col, minlength=r * k).reshape(r, k)
         j, r, b = np.nonzero(acc)
         if not len(j):
             return
@@ -407,3 +445,37 @@ def transpose_kernel():
                          "chunk": pa.array(np.full(d, chunk, np.int64)),
                          "values": list_column(m)})
     return run
+
+
+def _uniform(ids: np.ndarray, d: int, seed: int, stream: int) -> np.ndarray:
+    """n x d numbers in (0, 1) that depend on (id, column, seed, stream) alone."""
+    golden = np.uint64(0x9E3779B97F4A7C15)
+
+    def mix(z):
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+    with np.errstate(over="ignore"):
+        start = mix(np.array([seed * 8 + stream], np.int64).view(np.uint64) * golden)
+        rows = mix(ids.view(np.uint64) * golden + start)
+        z = mix(rows[:, None] + np.arange(1, d + 1, dtype=np.uint64)[None, :] * golden)
+    return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+
+
+def gaussian_kernel(d: int, seed: int, support: list[int] | None):
+    """Features for a batch of ids: N(0, 1), outside ``support`` U(0, 100)."""
+    def run(batches):
+        step = max(1, 1_000_000 // d)
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            for at in range(0, len(ids), step):
+                part = ids[at:at + step]
+                u = _uniform(part, d, seed, 1)
+                x = np.sqrt(-2.0 * np.log(u)) * np.cos(2.0 * np.pi * _uniform(part, d, seed, 2))
+                if support is not None:
+                    other = np.setdiff1d(np.arange(d), support)
+                    x[:, other] = 100.0 * u[:, other]
+                yield pa.RecordBatch.from_arrays([pa.array(part), list_column(x)],
+                                                 names=["id", "features"])
+    return run

@@ -12,6 +12,8 @@ from quarrystat.operators.common import bounded_tasks, union_all, width
 
 # Rows of one feature a single task may sort.
 SORT_LIMIT = 1_000_000
+# Cells worth shuffling instead of another pass: a few, or one in a thousand.
+SORT_CELLS = 4_000_000
 # Key bits resolved per pass; sign and exponent come first.
 DIGITS = (12, 10, 10, 10, 10, 12)
 HISTOGRAM_CELLS = 8_000_000
@@ -69,7 +71,9 @@ def _select(df, ranks, features, d, n, sort_limit):
                 [(j, _signed(p), k, left[j, k]) for (j, k), p in lead.items()])
 
     for bits in DIGITS:
-        if not lead or max(size[t] for t in lead) <= sort_limit:
+        rest = [size[t] for t in lead]
+        if not rest or (max(rest) <= sort_limit
+                        and sum(rest) <= len(ranks) * max(SORT_CELLS, n * d // 1000)):
             break
         prefixes, want = wanted()
         slots = max(len(p) for p in prefixes)

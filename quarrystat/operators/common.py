@@ -22,7 +22,8 @@ def width(df: DataFrame, features: str = "features") -> int:
 
     The kernels refuse ragged rows; :func:`check_width` tests a whole table.
     """
-    row = df.select(F.size(features)).first()
+    packed = df.select(features).dtypes[0][1] == "binary"
+    row = df.select(F.octet_length(features) / 2 if packed else F.size(features)).first()
     if row is None:
         raise ValueError("the table has no rows")
     return int(row[0])

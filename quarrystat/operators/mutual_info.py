@@ -46,7 +46,25 @@ def mi_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     return _mi(df.groupBy(x, y).agg(F.count("*").alias("cnt")), [], x, y)
 
 
-_INTEGERS = ("tinyint", "smallint", "int", "bigint")
+_INTEGERS = ("tinyint", "smallint", "int")
+
+
+def packed(df: DataFrame, *keep: str, bins: str = "bins") -> DataFrame:
+    """Columns ``keep`` and the bins as bytes, two per feature.
+
+    For tables that are cached and counted many times; the functions that
+    count in numpy take either form.
+    """
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema]
+    return df.select(*keep, bins).mapInArrow(
+        kernels.pack_kernel(bins, list(keep)), ", ".join(types + [f"`{bins}` binary"]))
+
+
+def _counted(df: DataFrame, sel: int | None, refs: list[str], bins: str) -> DataFrame:
+    d = width(df, bins)
+    parts = bounded_tasks(df.select(*dict.fromkeys(refs), bins), d * 100).mapInArrow(
+        kernels.count_kernel(bins, d, sel, refs), "j int, s bigint, y bigint, b int, cnt bigint")
+    return parts.groupBy("j", "s", "y", "b").agg(F.sum("cnt").alias("cnt"))
 
 
 def joint_counts(df: DataFrame, sel: str | int, label: str | None = None,
@@ -58,17 +76,20 @@ def joint_counts(df: DataFrame, sel: str | int, label: str | None = None,
     """
     refs = ([sel] if isinstance(sel, str) else []) + ([label] if label else [])
     if all(t in _INTEGERS for _, t in df.select(*refs).dtypes):
-        d = width(df, bins)
-        parts = bounded_tasks(df.select(*dict.fromkeys(refs), bins), d * 100).mapInArrow(
-            kernels.count_kernel(bins, d, sel if isinstance(sel, int) else None, refs),
-            "j int, s bigint, y bigint, b int, cnt bigint")
-        return parts.groupBy("j", "s", "y", "b").agg(F.sum("cnt").alias("cnt"))
+        return _counted(df, sel if isinstance(sel, int) else None, refs, bins)
     s = F.get(F.col(bins), F.lit(sel)) if isinstance(sel, int) else F.col(sel)
     y = F.col(label) if label else F.lit(0)
     return (df.select(s.alias("s"), y.alias("y"), F.posexplode(bins).alias("j", "b"))
             .groupBy("j", "s", "y", "b").agg(F.count("*").alias("cnt")))
 
 
+def entropy(df: DataFrame, bins: str = "bins") -> DataFrame:
+    """Entropy of every binned feature in bits: ``(j, h)``."""
+    c, n = F.col("cnt").cast("double"), F.sum("cnt")
+    return _counted(df, None, [], bins).groupBy("j").agg(
+        (log2(n) - F.sum(c * log2(c)) / n).alias("h"))
+
+
 def mi_vector(df: DataFrame, ref: str | int, bins: str = "bins") -> DataFrame:
     """MI of one column (label name or feature position) with every feature."""
     return _mi(joint_counts(df, ref, bins=bins), ["j"], "s", "b")

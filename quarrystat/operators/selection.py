@@ -13,8 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrystat.operators.common import by_feature, width
-from quarrystat.operators.mutual_info import cmi_reverse, cmi_vector, mi_vector
-from quarrystat.operators.stats import entropy
+from quarrystat.operators.mutual_info import (_INTEGERS, cmi_reverse, cmi_vector, entropy,
+                                              mi_vector, packed)
 
 TIE_DIGITS = 10
 
@@ -55,8 +55,11 @@ def greedy_trace(df: DataFrame, k: int, criterion: str, label: str | None = "lab
     d = width(df, bins)
     if not 1 <= k <= d:
         raise ValueError(f"k must lie in 1..{d}")
-    cols = [bins] + ([label] if label and criterion != "entropy_over_mi" else [])
-    data = df.select(*cols).persist()
+    keep = [label] if label and criterion != "entropy_over_mi" else []
+    if all(t in _INTEGERS for _, t in df.select(*keep).dtypes):
+        data = packed(df, *keep, bins=bins).persist()
+    else:
+        data = df.select(*keep, bins).persist()
     try:
         if criterion == "entropy_over_mi":
             rel, = by_feature(entropy(data, bins), d, "h")

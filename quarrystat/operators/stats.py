@@ -1,4 +1,4 @@
-"""Column statistics, normalisation, contingency tables and entropy."""
+"""Column statistics, normalisation, contingency tables and labels."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrystat.functions import arrays as A
 from quarrystat.functions import kernels
-from quarrystat.operators.common import by_feature, log2, width
+from quarrystat.operators.common import by_feature, width
 from quarrystat.operators.reshape import to_long, with_label
 
 MAX_STATES = 10_000
@@ -97,14 +97,6 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     return wide.toDF(*[c.replace("`", "") for c in wide.columns])
 
 
-def entropy(df: DataFrame, bins: str = "bins") -> DataFrame:
-    """Entropy of every binned feature in bits: ``(j, h)``."""
-    cells = (df.select(F.posexplode(bins).alias("j", "b")).groupBy("j", "b")
-             .agg(F.count("*").cast("double").alias("c")))
-    c, n = F.col("c"), F.sum("c")
-    return cells.groupBy("j").agg((log2(n) - F.sum(c * log2(c)) / n).alias("h"))
-
-
 def label_states(df: DataFrame, col: str) -> list:
     """Sorted distinct labels; refuses columns that are not categorical."""
     got = [r[0] for r in df.select(col).distinct().limit(MAX_STATES + 1).collect()]

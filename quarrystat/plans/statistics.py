@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarrystat.functions import arrays as A
-from quarrystat.operators import binning, reshape, stats, supervised
+from quarrystat.operators import binning, mutual_info, reshape, stats, supervised
 from quarrystat.plans.registry import (E, L, bins_cte, embeddings, gappy, lineitem, query, r6,
                                        table)
 
@@ -102,7 +102,7 @@ def crosstab(spark, sf):
 @query("entropy", f"""WITH {E}, {bins_cte(5)}, c AS (SELECT j, b, count(*)::DOUBLE AS c FROM b GROUP BY j, b)
 SELECT j, {r6('-sum(c / n * log2(c / n))')} AS h FROM (SELECT *, sum(c) OVER (PARTITION BY j) AS n FROM c) GROUP BY j""")
 def entropy(spark, sf):
-    h = stats.entropy(binning.equal_frequency_bins(embeddings(spark, sf), 5))
+    h = mutual_info.entropy(binning.equal_frequency_bins(embeddings(spark, sf), 5))
     return h.select("j", A.neat(F.col("h")).alias("h"))
 
 

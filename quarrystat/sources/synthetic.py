@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystat.functions import arrays as A
+from quarrystat.functions import kernels
 
 _UNIT = float(1 << 53)
 
@@ -37,14 +38,8 @@ def linear_labels(df: DataFrame, weights, intercept: float = 0.0, noise: float =
 def gaussian_rows(spark: SparkSession, n: int, d: int, seed: int = 0, partitions: int | None = None,
                   support: list[int] | None = None) -> DataFrame:
     """n rows of N(0, 1) features; outside ``support`` they are U(0, 100)."""
-    rows = spark.range(0, n, numPartitions=partitions)
-    cell = lambda j: _gauss(F.col("id"), j, seed)
-    if support is not None:
-        inside = A.literal_array(support, "int")
-        cell = lambda j: (F.when(F.array_contains(inside, j), _gauss(F.col("id"), j, seed))
-                          .otherwise(100.0 * _uniform(F.col("id"), j, seed, 3)))
-    return rows.select("id", F.transform(F.sequence(F.lit(0), F.lit(d - 1)), cell)
-                       .alias("features"))
+    return spark.range(0, n, numPartitions=partitions).mapInArrow(
+        kernels.gaussian_kernel(d, seed, support), "id bigint, features array<double>")
 
 
 def regression_table(spark: SparkSession, n: int, d: int, weights, noise: float = 0.0,

@@ -7,7 +7,6 @@ import pytest
 
 from quarrystat.operators import mutual_info as I
 from quarrystat.operators import selection as S
-from quarrystat.operators.stats import entropy
 
 
 def mi(x, y):
@@ -53,7 +52,22 @@ def test_vectors(data):
     df, b, y = data
     assert vector(I.mi_vector(df, "label"), "mi") == pytest.approx([mi(y, b[:, j]) for j in range(7)])
     assert vector(I.mi_vector(df, 2), "mi") == pytest.approx([mi(b[:, 2], b[:, j]) for j in range(7)])
-    assert vector(entropy(df), "h") == pytest.approx([mi(b[:, j], b[:, j]) for j in range(7)])
+    assert vector(I.entropy(df), "h") == pytest.approx([mi(b[:, j], b[:, j]) for j in range(7)])
+
+
+def test_packed_and_text_labels(spark, data):
+    df, b, y = data
+    p = I.packed(df, "label")
+    assert vector(I.mi_vector(p, "label"), "mi") == pytest.approx([mi(y, b[:, j]) for j in range(7)])
+    assert vector(I.cmi_vector(p, 1), "cmi") == pytest.approx([cmi(b[:, j], y, b[:, 1]) for j in range(7)])
+    worded = df.selectExpr("concat('class ', label) as label", "bins")
+    assert vector(I.mi_vector(worded, "label"), "mi") == pytest.approx([mi(y, b[:, j]) for j in range(7)])
+    assert vector(I.cmi_reverse(worded, 1), "cmi") == pytest.approx(
+        [cmi(b[:, 1], y, b[:, j]) for j in range(7)])
+    negative = df.selectExpr("label - 2 as label", "bins")
+    assert vector(I.cmi_vector(negative, 1), "cmi") == pytest.approx(
+        [cmi(b[:, j], y, b[:, 1]) for j in range(7)])
+    assert [r["j"] for r in S.greedy(worded, 3, "mid").orderBy("step").collect()] == brute_greedy(b, y, 3, "mid")
 
 
 @pytest.mark.parametrize("spread", [2048, 8, 5])
