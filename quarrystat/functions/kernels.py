@@ -387,8 +387,12 @@ def pair_count_kernel(name: str, d: int, rows: tuple[int, int], cols: tuple[int,
             for at in range(0, len(b), 4096):
                 left = spread(b[at:at + 4096, rows[0]:rows[1]])
                 right = left if rows == cols else spread(b[at:at + 4096, cols[0]:cols[1]])
-                part = (left.T @ right).astype(np.int64)
-                acc = part if acc is None else acc + part
+                if acc is None:
+                    acc = np.zeros((left.shape[1], right.shape[1]), np.int64)
+                for a in range(0, len(acc), 256):
+                    # below the diagonal nothing is needed
+                    c = a // states * states if rows == cols else 0
+                    acc[a:a + 256, c:] += (left[:, a:a + 256].T @ right[:, c:]).astype(np.int64)
         if acc is None:
             return
         r, c = np.nonzero(acc)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -13,9 +15,10 @@ from quarrystat.operators.common import bounded_tasks, union_all, width
 # Rows of one feature a single task may sort.
 SORT_LIMIT = 1_000_000
 # Cells worth shuffling instead of another pass: a few, or one in a thousand.
-SORT_CELLS = 4_000_000
-# Key bits resolved per pass; sign and exponent come first.
-DIGITS = (12, 10, 10, 10, 10, 12)
+SORT_CELLS = 1_000_000
+# Key bits of the first pass: sign and exponent.
+FIRST_BITS = 12
+# Histogram cells a task may hold; wider tables are counted tile by tile.
 HISTOGRAM_CELLS = 8_000_000
 
 
@@ -70,11 +73,12 @@ def _select(df, ranks, features, d, n, sort_limit):
         return ([np.array(sorted(p), np.uint64) for p in prefixes],
                 [(j, _signed(p), k, left[j, k]) for (j, k), p in lead.items()])
 
-    for bits in DIGITS:
+    while done < 64:
         rest = [size[t] for t in lead]
-        if not rest or (max(rest) <= sort_limit
-                        and sum(rest) <= len(ranks) * max(SORT_CELLS, n * d // 1000)):
+        if not rest or (max(rest) <= sort_limit and (
+                sum(rest) <= max(SORT_CELLS, n * d // 1000) or n * d <= 4 * SORT_CELLS)):
             break
+        bits = _next_bits(max(rest), done, src)
         prefixes, want = wanted()
         slots = max(len(p) for p in prefixes)
         step = max(1, HISTOGRAM_CELLS // (slots << bits))
@@ -106,6 +110,18 @@ def _select(df, ranks, features, d, n, sort_limit):
     return found
 
 
+def _next_bits(rows: int, done: int, src: DataFrame) -> int:
+    """Bits for the next pass over ranges of up to ``rows`` rows.
+
+    Histograms cost tasks x 2**bits rows, what is left costs rows / 2**bits:
+    the sum is least where both are equal.
+    """
+    if not done:
+        return FIRST_BITS
+    tasks = src.sparkSession.sparkContext.defaultParallelism
+    return min(64 - done, max(4, min(10, round(math.log2(max(rows / tasks, 1)) / 2))))
+
+
 def _signed(key: int) -> int:
     return key - (1 << 64) if key >= 1 << 63 else key
 

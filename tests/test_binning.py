@@ -30,7 +30,7 @@ def skewed(rng):
 
 
 @pytest.mark.parametrize("limit", [10 ** 6, 40, 1])
-@pytest.mark.parametrize("levels", [1, 7, 10])
+@pytest.mark.parametrize("levels", [1, 10])
 def test_cuts_match_sorting(spark, rng, limit, levels):
     x = skewed(rng)
     got = binning.equal_frequency_cuts(table(spark, x), levels, sort_limit=limit)
