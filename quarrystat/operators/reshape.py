@@ -13,6 +13,7 @@ from quarrystat.functions import arrays as A
 from quarrystat.functions import kernels
 
 ORDINAL_BUCKET = 1_000_000
+MAX_BUCKETS = 10_000
 
 
 def wide_table(df: DataFrame, id_col, features, label=None, extra=()) -> DataFrame:
@@ -55,7 +56,7 @@ def transpose_sorted(df: DataFrame) -> DataFrame:
     return to_long(df).select("j", "id", "v").orderBy("j", "id")
 
 
-def transpose_chunks(df: DataFrame, chunk_rows: int = 65536) -> DataFrame:
+def transpose_chunks(df: DataFrame, chunk_rows: int = 16384) -> DataFrame:
     """Feature-major arrays ``(j, chunk, values)`` of at most ``chunk_rows`` samples.
 
     The shuffle moves whole rows keyed by chunk; no array ever grows with the
@@ -90,25 +91,34 @@ def with_ordinal(df: DataFrame, key: str = "id", name: str = "ordinal",
                  bucket_rows: int = ORDINAL_BUCKET) -> DataFrame:
     """Contiguous 0-based position in the order of a unique numeric key.
 
-    Rows are cut into key ranges of about ``bucket_rows``; each range is
-    numbered on its own and shifted by the size of the ranges before it, so no
-    task sorts the whole table.
+    Only the keys are numbered, range by range of about ``bucket_rows``, so no
+    task sorts the whole table and no wide row takes part; the positions then
+    meet the rows by key.
     """
-    n = df.count()
-    pieces = math.ceil(n / bucket_rows)
+    keys = df.select(key)
+    n = keys.count()
+    numbered = _number_keys(keys, key, name, n, bucket_rows)
+    if df.columns == [key]:
+        return numbered
+    # one bucket at most: a checked size
+    return df.join(F.broadcast(numbered) if n <= min(bucket_rows, ORDINAL_BUCKET) else numbered, key)
+
+
+def _number_keys(keys: DataFrame, key: str, name: str, n: int, bucket_rows: int) -> DataFrame:
+    pieces = min(math.ceil(n / bucket_rows), MAX_BUCKETS)
     if pieces <= 1:
-        return df.withColumn(name, F.row_number().over(W.orderBy(key)).cast("bigint") - 1)
+        return keys.withColumn(name, F.row_number().over(W.orderBy(key)).cast("bigint") - 1)
     probs = [k / pieces for k in range(1, pieces)]
-    cuts = sorted(set(df.approxQuantile(key, probs, 1 / (4 * pieces))))
+    cuts = sorted(set(keys.approxQuantile(key, probs, 1 / (4 * pieces))))
     tagged = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_key",
-                        outputCol="_b").transform(df.withColumn("_key", F.col(key).cast("double")))
+                        outputCol="_b").transform(keys.withColumn("_key", F.col(key).cast("double")))
     sizes = tagged.groupBy("_b").agg(F.count("*").alias("_n"))
     before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    # one row per range: bounded by rows / bucket_rows
+    # one row per range
     offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inside = F.row_number().over(W.partitionBy("_b").orderBy(key)).cast("bigint")
-    return (tagged.join(offsets, "_b")
-            .withColumn(name, F.col("_off") + inside - 1).drop("_key", "_b", "_off"))
+    return (tagged.join(F.broadcast(offsets), "_b")
+            .select(key, (F.col("_off") + inside - 1).alias(name)))
 
 
 def with_blocks(df: DataFrame, rows_per_block: int, key: str = "id") -> DataFrame:
