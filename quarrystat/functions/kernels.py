@@ -337,6 +337,8 @@ def count_kernel(name: str, d: int, sel: int | None, refs: list[str]):
             b = matrix(batch, name, d)
             if not len(b):
                 continue
+            if any(batch.column(c).null_count for c in refs):
+                raise ValueError(f"nulls in {refs}: give missing labels a state of their own")
             ref = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in refs]
             if sel is not None:
                 ref.insert(0, b[:, sel].astype(np.int64))

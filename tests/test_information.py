@@ -132,6 +132,8 @@ def test_from_matrix_agrees_with_steps(data, form, criterion):
 
 def test_bad_arguments(data):
     df = data[0]
+    with pytest.raises(Exception, match="nulls in"):
+        I.mi_vector(df.selectExpr("nullif(label, 1) as label", "bins"), "label").collect()
     with pytest.raises(ValueError):
         S.greedy(df, 8, "mid")
     with pytest.raises(ValueError):
