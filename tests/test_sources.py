@@ -76,3 +76,13 @@ def test_zero_column_normalises_to_zero(spark):
 def test_too_many_label_states(spark):
     with pytest.raises(ValueError):
         stats.label_states(spark.range(10002).select(F.col("id").alias("y")), "y")
+
+
+def test_no_local_scratch_on_a_cluster():
+    from types import SimpleNamespace as Bag
+
+    from quarrystat.session import shared_dir
+    cluster = Bag(conf=Bag(get=lambda *_: None),
+                  sparkContext=Bag(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)
