@@ -50,30 +50,38 @@ def _render(turns: Column, escaped: bool) -> Column:
 
 def _parse(text: Column) -> Column:
     """The turns of a rendered conversation as ``array<struct<role, text, start, length>>``,
-    start and length (code points) of the text as rendered; null where the grammar fails."""
-    marks, pieces = F.regexp_extract_all(text, F.lit(f"({CONTROL})"), 1), F.split(text, CONTROL, -1)
-    n = F.size(marks)
-    starts = F.aggregate(
-        F.arrays_zip(pieces.alias("p"), marks.alias("m")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda a, x: F.struct((a["at"] + F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-                              F.concat(a["all"], F.array(a["at"])).alias("all")))["all"]
-
-    def one(k):                                       # k = 0, 2, ...: an opening mark
-        a, b, p = F.get(marks, k), F.get(marks, k + 1), F.get(pieces, k + 1)
-        role, body = F.lit(None).cast("string"), p
-        for name, (x, y) in MARKS.items():
-            role = F.when((a == x) & (b == y), F.lit(name)).otherwise(role)
+    start and length (code points) of the text as rendered; null where the grammar fails.
+
+    Lambdas see only their own element: an array from outside would be computed anew
+    for each of them.
+    """
+    pieces, marks = F.split(text, CONTROL, -1), F.regexp_extract_all(text, F.lit(f"({CONTROL})"), 1)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<p:string,m:string,at:int>>").alias("all"))
+    cut = F.aggregate(
+        F.arrays_zip(pieces.alias("p"), marks.alias("m")), zero,
+        lambda a, x: F.struct(
+            (a["at"] + F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
+            F.concat(a["all"], F.array(F.struct(x["p"].alias("p"), x["m"].alias("m"), a["at"].alias("at")))).alias("all")),
+        lambda a: a["all"])
+    open_close = F.transform(F.array(cut), lambda c: F.struct(
+        F.filter(c, lambda _, i: i % 2 == 0).alias("outside"), F.filter(c, lambda _, i: i % 2 == 1).alias("inside")))
+
+    def one(x, y):                                    # x: nothing and an opening mark; y: a body and its closing mark
+        a, b, p = x["m"], y["m"], y["p"]
         other = (a == OTHER[0]) & (b == OTHER[1]) & (F.instr(p, "\n") > 0)
-        role = F.when(other, F.try_url_decode(F.substring_index(p, "\n", 1))).otherwise(role)
+        role = F.when(other, F.try_url_decode(F.substring_index(p, "\n", 1)))
+        for name, (first, last) in MARKS.items():
+            role = F.when((a == first) & (b == last), F.lit(name)).otherwise(role)
         skip = F.when(other, F.instr(p, "\n")).otherwise(F.lit(0))
-        body = F.substring(p, skip + 1, F.length(p))
+        body = F.when(other, F.substring(p, skip + 1, F.length(p))).otherwise(p)
         return F.struct(role.alias("role"), unescape(body).alias("text"),
-                        (F.get(starts, k + 1) + skip).alias("start"), F.length(body).alias("length"))
-    ks = F.sequence(F.lit(0), n - 2, F.lit(2))
-    turns = F.when(n > 0, F.transform(ks, one)).otherwise(F.array().cast("array<struct<role:string,text:string,start:int,length:int>>"))
-    outside = F.exists(F.filter(pieces, lambda _, i: i % 2 == 0), lambda p: p != "")
-    return F.when((n % 2 == 0) & ~outside & ~F.exists(turns, lambda t: t["role"].isNull()), turns)
+                        (y["at"] + skip).alias("start"), F.length(body).alias("length"))
+
+    def turns(c):
+        sound = (F.size(c["outside"]) == F.size(c["inside"]) + 1) & ~F.exists(c["outside"], lambda z: z["p"] != "")
+        return F.when(sound, F.zip_with(F.slice(c["outside"], 1, F.size(c["inside"])), c["inside"], one))
+    read = F.transform(open_close, turns)[0]
+    return F.transform(F.array(read), lambda r: F.when(~F.exists(r, lambda t: t["role"].isNull()), r))[0]
 
 
 def _same(parsed: Column, turns: Column) -> Column:
@@ -105,7 +113,7 @@ def chat_format(rows: DataFrame) -> DataFrame:
 def chat_digests(rows: DataFrame) -> DataFrame:
     """The digest columns of every conversation, all from what was read back."""
     c = chat_format(rows)
-    said = F.array_join(F.transform("mask", lambda m: unescape(F.substring(F.col("formatted"), m["start"] + 1, m["length"]))), "")
+    said = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return c.withColumn("said", said).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),

@@ -35,13 +35,14 @@ def word_count(text: Column) -> Column:
 def _fill(cells: DataFrame, budget: Column, cap: Column, weight: Column, order: list, by: list, out: str) -> DataFrame:
     """Water filling: the level at which ``min(cap, level * weight)`` sums to ``budget``.
 
-    ``order`` sorts by cap over weight: whoever is full at all is full first.
+    ``order`` sorts by cap over weight: whoever is full at all is full first. The level
+    is the one at the first that is not full; taking later ones as full lowers it.
     """
     w = Window.partitionBy(*by).orderBy(*order)
     before, rest = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
     level = (budget - F.coalesce(F.sum(cap).over(before), F.lit(0))) / F.sum(weight).over(rest)
     return (cells.withColumn("level", level).withColumn("full", (F.col("level") * weight >= cap))
-            .withColumn("level", F.min(F.when(~F.col("full"), F.col("level"))).over(Window.partitionBy(*by)))
+            .withColumn("level", F.max(F.when(~F.col("full"), F.col("level"))).over(Window.partitionBy(*by)))
             .withColumn(out, F.when(F.col("full") | F.col("level").isNull(), cap.cast("double"))
                         .otherwise(F.col("level") * weight)).drop("level", "full"))
 
@@ -155,7 +156,7 @@ l AS (SELECT *, (total * 1.5::DOUBLE - coalesce(sum(source_size * 2) OVER (ORDER
         AS level FROM w),
 f AS (SELECT *, level * weight >= source_size * 2 AS isfull FROM l),
 t AS (SELECT source, source_size, CASE WHEN isfull OR lv IS NULL THEN (source_size * 2)::DOUBLE ELSE lv * weight END AS target
-      FROM (SELECT *, min(CASE WHEN NOT isfull THEN level END) OVER () AS lv FROM f)),
+      FROM (SELECT *, max(CASE WHEN NOT isfull THEN level END) OVER () AS lv FROM f)),
 c AS (SELECT k.*, t.source_size, t.target, CASE WHEN fragment THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END * words AS want
       FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source WHERE words > 0),
 cl AS (SELECT *, (target - coalesce(sum(words * 2) OVER (PARTITION BY source ORDER BY fragment
@@ -163,7 +164,7 @@ cl AS (SELECT *, (target - coalesce(sum(words * 2) OVER (PARTITION BY source ORD
         / sum(want) OVER (PARTITION BY source ORDER BY fragment ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
 cf AS (SELECT *, level * want >= words * 2 AS isfull FROM cl),
 ct AS (SELECT *, least((CASE WHEN isfull OR lv IS NULL THEN (words * 2)::DOUBLE ELSE lv * want END) / words, 2.0::DOUBLE) AS copies
-       FROM (SELECT *, min(CASE WHEN NOT isfull THEN level END) OVER (PARTITION BY source) AS lv FROM cf)),
+       FROM (SELECT *, max(CASE WHEN NOT isfull THEN level END) OVER (PARTITION BY source) AS lv FROM cf)),
 p AS (SELECT *, target - sum((floor(copies)::BIGINT * words)) OVER (PARTITION BY source)::BIGINT AS remainder FROM ct),
 j AS (SELECT s.*, p.copies, p.remainder, (('0x' || substr(md5(s.doc_id::VARCHAR || ':11'), 1, 13))::BIGINT + 0.5::DOUBLE)
         / 4503599627370496.0::DOUBLE AS u, copies - floor(copies) AS part

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from quarrystat.llm import chat, line_dedup, mixing
+from quarrystat.llm import chat, decontam, langid, line_dedup, mixing, quality, rules, simhash, toxicity
 from quarrystat.llm.common import table
 
 
+def op1_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_decontaminate(spark, sf_dir):
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -18,6 +26,23 @@ def op5_chat_format(spark, sf_dir):
     return chat.chat_digests(chat.with_extra(table(spark, sf_dir, "conversations")))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op3_mixing, op4_line_dedup, op5_chat_format)}
-LLM_ORACLES = {"op3_mixing": mixing.MIXING_SQL, "op4_line_dedup": line_dedup.LINE_DEDUP_SQL,
+def op6_language(spark, sf_dir):
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
+def op8_rules(spark, sf_dir):
+    return rules.rule_report(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark, sf_dir):
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark, sf_dir):
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+LLM_QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_mixing, op4_line_dedup, op5_chat_format, op6_language, op8_rules,
+                                       op9_quality, op10_toxicity)}
+LLM_ORACLES = {"op8_rules": rules.RULES_SQL, "op3_mixing": mixing.MIXING_SQL, "op4_line_dedup": line_dedup.LINE_DEDUP_SQL,
                "op5_chat_format": chat.CHAT_SQL}
