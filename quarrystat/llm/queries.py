@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrystat.llm import chat, decontam, langid, line_dedup, mixing, quality, rules, simhash, toxicity
+from quarrystat.llm import chat, decontam, langid, line_dedup, mixing, quality, rules, simhash, substrings, toxicity
 from quarrystat.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_language(spark, sf_dir):
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
+def op7_substrings(spark, sf_dir):
+    return substrings.substring_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_rules(spark, sf_dir):
     return rules.rule_report(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_mixing, op4_line_dedup, op5_chat_format, op6_language, op8_rules,
+LLM_QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_mixing, op4_line_dedup, op5_chat_format, op6_language, op7_substrings, op8_rules,
                                        op9_quality, op10_toxicity)}
 LLM_ORACLES = {"op8_rules": rules.RULES_SQL, "op3_mixing": mixing.MIXING_SQL, "op4_line_dedup": line_dedup.LINE_DEDUP_SQL,
                "op5_chat_format": chat.CHAT_SQL}
