@@ -123,7 +123,7 @@ class Model:
 
     def __init__(self, counts):
         self.langs = sorted(counts[0]["lang"].unique())
-        seen = np.unique(counts[0]["byte"].to_numpy(np.int64))
+        seen = np.union1d(counts[0]["byte"].to_numpy(np.int64), [0])    # 0 also stands before each text
         self.symbol = np.zeros(256, np.int64)              # 0: a byte never seen in training
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         a = self.size = len(seen) + 1
