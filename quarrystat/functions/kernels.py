@@ -51,6 +51,8 @@ def pack_kernel(name: str, keep: list[str]):
             x = matrix(batch, name)
             if not len(x):
                 continue
+            if x.min() < -(1 << 15) or x.max() >= 1 << 15:
+                raise ValueError("states must fit 16 bits to be packed")
             raw = np.ascontiguousarray(x, np.int16)
             ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * (2 * x.shape[1]))
             packed = pa.Array.from_buffers(pa.binary(), len(x),
@@ -377,6 +379,8 @@ def pair_count_kernel(name: str, d: int, rows: tuple[int, int], cols: tuple[int,
     """
     def spread(b):
         n, t = b.shape
+        if n and (b.min() < 0 or b.max() >= states):
+            raise ValueError(f"a bin is outside 0..{states - 1}")
         hot = np.zeros((n, t * states), np.float32)
         hot[np.arange(n)[:, None], np.arange(t) * states + b] = 1.0
         return hot
@@ -421,6 +425,8 @@ def row_pair_kernel(kind: str, shift=None):
         x = matrix(table, "features").astype(np.float64, copy=False)
         if shift is not None:
             x = x - shift
+        if kind == "distance" and len(x):
+            x = x - x.mean(axis=0)                 # distances stay, digits are not lost far from 0
         a = blk == p
         b = blk == q
         xa, xb, ia, ib = x[a], x[b], ids[a], ids[b]

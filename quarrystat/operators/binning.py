@@ -151,6 +151,8 @@ def equal_frequency_bins(df: DataFrame, levels: int, features: str = "features",
     """
     if cuts is None:
         cuts = equal_frequency_cuts(df, levels, features, sort_limit)
+    if max((len(c) for c in cuts), default=0) >= 1 << 15:
+        raise ValueError("more than 32,767 levels do not fit the bins")
     keep = [c for c in df.columns if c != features]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(keep).schema)
     schema = (schema + ", " if schema else "") + f"`{out}` array<smallint>"

@@ -28,9 +28,12 @@ def as_ml(df: DataFrame) -> DataFrame:
 def least_squares(df: DataFrame) -> np.ndarray:
     """Weights of label ~ features without intercept, from one pass.
 
-    X'X and X'y are blocks of the Gram matrix of the row with its label.
+    X'X and X'y are blocks of the Gram matrix of the row with its label. Collinear
+    features share their weight: the solution of least norm.
     """
     _, _, g = local_moments(with_label(df))
+    if np.linalg.cond(g[:-1, :-1]) > 1e13:
+        return np.linalg.lstsq(g[:-1, :-1], g[:-1, -1], rcond=1e-12)[0]
     return np.linalg.solve(g[:-1, :-1], g[:-1, -1])
 
 

@@ -16,10 +16,14 @@ def save_state(spark: SparkSession, state: IpcaState, path: str) -> None:
     spark.createDataFrame([row], _STATE).write.mode("overwrite").parquet(path)
 
 
-def load_state(spark: SparkSession, path: str) -> IpcaState | None:
+def load_state(spark: SparkSession, path: str, needed: bool = False) -> IpcaState | None:
+    """The state at ``path``; None where nothing was learnt yet. A missing path is an
+    error if the state is ``needed``."""
     try:
         row = spark.read.schema(_STATE).parquet(path).first()
-    except AnalysisException:
+    except AnalysisException as missing:
+        if needed:
+            raise RuntimeError(f"the state of the batch before is gone: {path}") from missing
         return None
     if row is None:
         return None
@@ -42,10 +46,12 @@ class StreamingPca:
         at = f"{self.path}/{batch_id}"
         if load_state(spark, at) is not None:
             return
-        before = load_state(spark, f"{self.path}/{batch_id - 1}") if batch_id else None
+        before = load_state(spark, f"{self.path}/{batch_id - 1}", needed=True) if batch_id else None
         if batch.isEmpty():
             if before is not None:
                 save_state(spark, before, at)
+            else:                                  # nothing learnt yet, but the batch is done
+                spark.createDataFrame([], _STATE).write.mode("overwrite").parquet(at)
             return
         save_state(spark, ipca_fit(batch, before, self.ff, self.k), at)
 

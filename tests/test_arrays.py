@@ -16,12 +16,12 @@ def arr(*v):
 
 
 def test_elementwise(spark):
-    a, b = arr(1.1, 2.0, 5.0), arr(5.1, 3.0, 7.1)
-    assert one(spark, A.add(a, b)) == pytest.approx([6.2, 5.0, 12.1])
-    assert one(spark, A.subtract(a, b)) == pytest.approx([-4.0, -1.0, -2.1])
-    assert one(spark, A.multiply(a, b)) == pytest.approx([5.61, 6.0, 35.5])
-    assert one(spark, A.divide(a, b)) == pytest.approx([1.1 / 5.1, 2 / 3, 5 / 7.1])
-    assert one(spark, A.add_scalar(a, 2)) == pytest.approx([3.1, 4.0, 7.0])
+    a, b = arr(0.0, -3.0, 8.25), arr(4.0, -1.5, 0.25)
+    assert one(spark, A.add(a, b)) == pytest.approx([4.0, -4.5, 8.5])
+    assert one(spark, A.subtract(a, b)) == pytest.approx([-4.0, -1.5, 8.0])
+    assert one(spark, A.multiply(a, b)) == pytest.approx([0.0, 4.5, 2.0625])
+    assert one(spark, A.divide(a, b)) == pytest.approx([0.0, 2.0, 33.0])
+    assert one(spark, A.add_scalar(a, 2)) == pytest.approx([2.0, -1.0, 10.25])
 
 
 def test_division_by_zero_is_ieee(spark):
