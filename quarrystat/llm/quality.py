@@ -17,7 +17,8 @@ documents (chosen by a hash of the id); the prior and every score use all rows.
 
 Defined cases: null and empty texts get the score of a text without words; without
 positives or unlabelled documents nothing is learnt and every score is 0.5; null
-labels and ids are not learnt from; repeated rows are scored row by row.
+labels and ids are not learnt from; repeated rows are scored row by row, and an id
+counts once in a sample.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quarrystat.llm.common import held_out, packed, saved, unpacked
 from quarrystat.llm.rules import _repeated_words
-from quarrystat.llm.sampling import about, with_text
+from quarrystat.llm.sampling import about, one_for_each_id, with_text
 
 #: Positives, and unlabelled documents, that the model is fitted on at most (about).
 SAMPLE = 12_000
@@ -91,11 +92,13 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float, rounds: int = 300, rate:
 
 
 def _matrix(rows: DataFrame) -> np.ndarray:
-    """The features of a bounded sample."""
+    """The features of a bounded sample, one row for each id."""
     def batches(it):
         for b in it:
-            yield pa.RecordBatch.from_arrays([pa.array([features(t).tobytes() for t in b.column(0).to_pylist()], pa.binary())], ["x"])
-    got = rows.select("text").mapInArrow(batches, "x binary").toArrow().column(0).to_pylist()
+            x = pa.array([features(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), x], ["doc_id", "h", "x"])
+    src = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "h", "text")
+    got = one_for_each_id(src.mapInArrow(batches, "doc_id long, h long, x binary")).toArrow().column(0).to_pylist()
     return np.frombuffer(b"".join(got), np.float32).reshape(len(got), N_FEATURES)
 
 

@@ -18,7 +18,14 @@ def _hash(key: Column, salt: int) -> Column:
 
 
 def with_text(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """``ids`` (a bounded sample with a ``doc_id``) with the documents' texts. The sample is
-    broadcast, so no text moves."""
+    """``ids`` (a bounded sample with a ``doc_id``) with the documents' texts and their hash
+    ``h``. The sample is broadcast, so no text moves."""
     rows = docs.select(F.col("doc_id").alias("id_"), F.col("text").cast("string").alias("text"))
-    return rows.join(F.broadcast(ids), F.col("id_") == F.col("doc_id")).drop("id_")
+    return rows.join(F.broadcast(ids), F.col("id_") == F.col("doc_id")).drop("id_").withColumn("h", F.xxhash64("text"))
+
+
+def one_for_each_id(rows: DataFrame) -> DataFrame:
+    """Of rows with the same ``doc_id`` the one with the smallest ``h``: an id that many rows
+    share does not make a sample larger. Combined before the shuffle; ``rows`` carry features."""
+    kept = [c for c in rows.columns if c not in ("doc_id", "h")]
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct(*kept), "h").alias("r")).select("r.*")

@@ -4,8 +4,9 @@ Grades: 0 for documents labelled not toxic; labelled toxic ones are graded 1 to
 how many of the words that mark toxic labels they hold (terciles). Words mark toxic
 labels if they are in toxic documents far more often than in the others, counted on
 the training rows. The model is P(grade >= k) = sigmoid(w . x - theta_k) with one weight
-vector for all thresholds theta_1 < theta_2 < theta_3; x holds log counts of hashed words.
-The expected severity is the sum of those probabilities over k.
+vector for all thresholds theta_1 < theta_2 < theta_3; x holds log counts of hashed words
+and of their beginnings (4 to 8 letters), so that inflected and compound forms of a word
+share weight. The expected severity is the sum of those probabilities over k.
 
 Bounds: fitted on about ``SAMPLE`` labelled documents, chosen by a hash of the id, with
 ``BUCKETS`` hash buckets; every document is scored, over its whole text. One document in
@@ -13,13 +14,15 @@ five (crc32 of the id) is held out of all learning.
 
 Defined cases: null and empty texts have no features and get the base severity;
 without toxic or without clean labels nothing is learnt and severity is 0; null labels
-and ids are not learnt from; repeated rows are scored row by row.
+and ids are not learnt from; repeated rows are scored row by row, and an id counts once
+in the sample.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -28,42 +31,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystat.llm.common import held_out
-from quarrystat.llm.sampling import about, with_text
-
-SAMPLE, BUCKETS, FOLDS, GRADES = 16_000, 1 << 18, 5, 3
-#: Words in fewer training documents are no features.
-LEAST_DOCS = 5
+from quarrystat.llm.sampling import about, one_for_each_id, with_text
+
+SAMPLE, BUCKETS, FOLDS, GRADES = 8_000, 1 << 18, 5, 3
+#: Lengths of the word beginnings that are features too.
+BEGINNINGS = range(4, 9)
+#: Buckets in fewer training documents are no features, nor are those whose log odds of
+#: a toxic document are nearer to 0.
+LEAST_DOCS, LEAST_ODDS = 5, 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+@lru_cache(1 << 16)
+def buckets(word: str) -> tuple[int, ...]:
+    """Hash buckets of a word and of its beginnings."""
+    parts = [word, *(f"{word[:k]}-" for k in BEGINNINGS if len(word) >= k)]
+    return tuple(crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts)
+
+
 def word_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hash buckets and log counts of the words of one text."""
-    c = Counter(_WORD.findall((text or "").lower()))
-    at = np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in c), np.int64, len(c))
-    return at, np.log1p(np.fromiter(c.values(), np.float64, len(c)))
+    """Hash buckets and log counts of the words of one text and of their beginnings."""
+    c: Counter = Counter()
+    for w, n in Counter(_WORD.findall((text or "").lower())).items():
+        for at in buckets(w):
+            c[at] += n
+    return np.fromiter(c, np.int64, len(c)), np.log1p(np.fromiter(c.values(), np.float64, len(c)))
 
 
 def _sample_features(rows: DataFrame):
-    """``(row, bucket, value, toxic)`` arrays of a bounded sample."""
+    """``(row, bucket, value, toxic)`` arrays of a bounded sample, one row for each id."""
     def batches(it):
         for b in it:
-            out = [word_counts(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i.astype(np.int32).tobytes() for i, _ in out], pa.binary()),
-                                              pa.array([v.astype(np.float32).tobytes() for _, v in out], pa.binary())], ["toxic", "i", "v"])
-    got = rows.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(batches, "toxic int, i binary, v binary").toArrow()
+            out = [word_counts(t) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), b.column(2), pa.array([i.astype(np.int32).tobytes() for i, _ in out], pa.binary()),
+                 pa.array([v.astype(np.float32).tobytes() for _, v in out], pa.binary())], ["doc_id", "h", "toxic", "i", "v"])
+    src = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "h", F.col("toxic").cast("int").alias("toxic"), "text")
+    got = one_for_each_id(src.mapInArrow(batches, "doc_id long, h long, toxic int, i binary, v binary")).toArrow()
     toxic = got.column(0).to_numpy()
     i = [np.frombuffer(x, np.int32) for x in got.column(1).to_pylist()]
     v = [np.frombuffer(x, np.float32) for x in got.column(2).to_pylist()]
-    row = np.repeat(np.arange(len(i)), [len(x) for x in i])
+    row = np.repeat(np.arange(len(i), dtype=np.int32), [len(x) for x in i])
     return row, np.concatenate([*i, np.zeros(0, np.int32)]), np.concatenate([*v, np.zeros(0, np.float32)]), toxic
 
 
+def odds(row, col, bad) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per bucket: documents, toxic documents, log odds of a toxic document."""
+    n_bad, n_all = max(1, bad.sum()), max(1, len(bad))
+    df, df_bad = np.bincount(col, minlength=BUCKETS), np.bincount(col[bad[row]], minlength=BUCKETS)
+    return df, df_bad, np.log((df_bad + 0.5) / (n_bad + 1)) - np.log((df - df_bad + 0.5) / (n_all - n_bad + 1))
+
+
 def grades(row, col, toxic) -> np.ndarray:
     """Ordered grades of the sample's documents."""
-    bad, n_bad, n_all = toxic == 1, max(1, (toxic == 1).sum()), max(1, len(toxic))
-    df, df_bad = np.bincount(col, minlength=BUCKETS), np.bincount(col[bad[row]], minlength=BUCKETS)
-    odds = np.log((df_bad + 0.5) / (n_bad + 1)) - np.log((df - df_bad + 0.5) / (n_all - n_bad + 1))
-    marks = (odds > 2) & (df_bad >= LEAST_DOCS)
+    bad = toxic == 1
+    _, df_bad, logs = odds(row, col, bad)
+    marks = (logs > 2) & (df_bad >= LEAST_DOCS)
     hits = np.bincount(row, weights=marks[col], minlength=len(toxic))
     out = np.zeros(len(toxic), np.int64)
     if bad.any():
@@ -74,7 +97,8 @@ def grades(row, col, toxic) -> np.ndarray:
 
 def fit(row, col, val, grade, rounds: int = 200, rate: float = 0.05, l2: float = 3e-4):
     """``(weights over buckets, thresholds)`` by maximum likelihood of the cumulative model."""
-    used = np.flatnonzero(np.bincount(col, minlength=BUCKETS) >= LEAST_DOCS)
+    df, _, logs = odds(row, col, grade > 0)
+    used = np.flatnonzero((df >= LEAST_DOCS) & (np.abs(logs) >= LEAST_ODDS))
     place = np.full(BUCKETS, -1, np.int64)
     place[used] = np.arange(len(used))
     keep = place[col] >= 0
