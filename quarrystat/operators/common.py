@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Bounds on what may sit on the driver or travel inside a task.
@@ -13,8 +13,6 @@ MAX_LOCAL_WIDTH = 4096
 MAX_MATRIX_CELLS = MAX_LOCAL_WIDTH ** 2
 # Partial results shuffled by one job, over all tasks together.
 PARTIAL_BUDGET = 2_000_000_000
-# No job is cut into more tasks than this.
-MAX_TASKS = 100_000
 
 
 def width(df: DataFrame, features: str = "features") -> int:
@@ -29,6 +27,17 @@ def width(df: DataFrame, features: str = "features") -> int:
     return int(row[0])
 
 
+def whole(df: DataFrame, features: str = "features") -> Column:
+    """The array column; a null array or one of another width than the first row's is an
+    error where it is read, so that no row drops out unseen. An empty table passes."""
+    c, first = F.col(features), df.select(F.coalesce(F.size(features), F.lit(-1))).first()
+    d = first[0] if first else 0
+    if d < 0:
+        raise ValueError(f"{features}: null array in the first row")
+    return F.when(F.coalesce(F.size(c) == d, F.lit(False)), c).otherwise(
+        F.raise_error(F.lit(f"{features}: null array or width other than {d}")))
+
+
 def check_width(df: DataFrame, features: str = "features") -> int:
     """Width after a full pass over the table; raises on ragged rows."""
     lo, hi = df.select(F.min(F.size(features)), F.max(F.size(features))).first()
@@ -54,7 +63,7 @@ def bounded_tasks(df: DataFrame, cells: int) -> DataFrame:
     """
     default = df.sparkSession.sparkContext.defaultParallelism
     most = max(PARTIAL_BUDGET // max(cells, 1), 4 * default)
-    return df if most >= MAX_TASKS else df.coalesce(most)
+    return df.coalesce(most)
 
 
 def tiles(d: int, size: int) -> list[tuple[tuple[int, int], tuple[int, int]]]:

@@ -42,7 +42,8 @@ class Svd:
 
 def svd(df: DataFrame, k: int, compute_u: bool = False, r_cond: float = 1e-9,
         mode: str = "auto", tol: float = 1e-10, max_iter: int = 300) -> Svd:
-    """A = U S V'.  Values at or below ``r_cond`` times the largest are dropped.
+    """A = U S V'.  Values at or below ``r_cond`` times the largest are dropped, and those
+    in the rounding noise of X'X (sqrt(d * eps) times the largest).
 
     ``mode``: local (eigenpairs of X'X on the driver), distributed (iterative)
     or auto.  U comes from A V / S, row by row, and keeps the ids.
@@ -59,7 +60,8 @@ def svd(df: DataFrame, k: int, compute_u: bool = False, r_cond: float = 1e-9,
     else:
         raise ValueError(f"unknown mode {mode}")
     s = np.sqrt(np.maximum(lam[:k], 0.0))
-    rank = int((s > r_cond * s[0]).sum()) if s[0] > 0 else 0
+    floor = max(r_cond, np.sqrt(d * np.finfo(float).eps))
+    rank = int((s > floor * s[0]).sum()) if s[0] > 0 else 0
     if rank == 0:
         raise ValueError("the matrix is zero")
     s, v = s[:rank], vec[:, :rank]

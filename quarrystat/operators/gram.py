@@ -56,12 +56,13 @@ def second_moment(df: DataFrame) -> DataFrame:
 
 
 def _provisional_centre(df: DataFrame) -> np.ndarray:
-    """Mean of a few rows: a shift that keeps the one-pass sums accurate."""
-    return np.mean([r[0] for r in df.select("features").limit(200).collect()], axis=0)
+    """The column means: a shift that keeps the sums of products accurate whatever
+    rows come first."""
+    return mean_vector(df)
 
 
 def covariance(df: DataFrame, ddof: int = 1, triangle: str = "full") -> DataFrame:
-    """Covariance of the columns over N - ddof, in one pass over the table."""
+    """Covariance of the columns over N - ddof: a pass for the means, one for the products."""
     g = gram(df, shift=_provisional_centre(df), carry="sum")
     value = (F.col("value") - F.col("a") * F.col("b") / F.col("n")) / (F.col("n") - ddof)
     out = g.select("i", "j", value.alias("value"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrystat.functions import arrays as A
 from quarrystat.functions import kernels
-from quarrystat.operators.common import bounded_tasks, by_feature, width
+from quarrystat.operators.common import bounded_tasks, by_feature, whole, width
 from quarrystat.operators.stats import _per_feature
 
 
@@ -19,7 +19,7 @@ def nan_counts(df: DataFrame) -> DataFrame:
 
 
 def nan_row_counts(df: DataFrame) -> DataFrame:
-    return df.select("id", A.nan_count(F.col("features")).alias("nans"))
+    return df.select("id", A.nan_count(whole(df)).alias("nans"))
 
 
 def _profile(df: DataFrame, d: int, check=None, limit: int | None = None):
@@ -61,8 +61,11 @@ def drop_columns(df: DataFrame, max_nan: int, inclusive: bool = True):
 
 
 def drop_rows(df: DataFrame, max_nan: int, inclusive: bool = True):
-    """Rows with at most ``max_nan`` NaNs, and the ids of the dropped ones."""
-    k = A.nan_count(F.col("features"))
+    """Rows with at most ``max_nan`` NaNs, and the ids of the dropped ones.
+
+    Null and ragged rows are errors: each row lands in one of the two outputs.
+    """
+    k = A.nan_count(whole(df))
     good = k <= max_nan if inclusive else k < max_nan
     return df.filter(good), df.filter(~good).select("id")
 

@@ -93,10 +93,12 @@ def with_ordinal(df: DataFrame, key: str = "id", name: str = "ordinal",
 
     Only the keys are numbered, range by range of about ``bucket_rows``, so no
     task sorts the whole table and no wide row takes part; the positions then
-    meet the rows by key.
+    meet the rows by key.  Null or repeated keys are an error.
     """
     keys = df.select(key)
-    n = keys.count()
+    n, distinct = keys.agg(F.count("*"), F.count_distinct(key)).first()
+    if n != distinct:
+        raise ValueError(f"{key}: {n} rows but {distinct} distinct keys; a key must be unique and not null")
     numbered = _number_keys(keys, key, name, n, bucket_rows)
     if df.columns == [key]:
         return numbered

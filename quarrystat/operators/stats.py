@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrystat.functions import arrays as A
 from quarrystat.functions import kernels
-from quarrystat.operators.common import by_feature, width
+from quarrystat.operators.common import by_feature, whole, width
 from quarrystat.operators.reshape import to_long, with_label
 
 MAX_STATES = 10_000
@@ -15,8 +15,8 @@ MAX_STATES = 10_000
 
 def _per_feature(df: DataFrame, *aggs: Column) -> DataFrame:
     """Aggregates per feature: cells are combined inside each task, so the
-    shuffle carries one row per feature and task."""
-    return df.select(F.posexplode("features").alias("j", "v")).groupBy("j").agg(*aggs)
+    shuffle carries one row per feature and task. Null and ragged rows are errors."""
+    return df.select(F.posexplode(whole(df)).alias("j", "v")).groupBy("j").agg(*aggs)
 
 
 def mean_ignoring_nan(v: Column) -> Column:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrystat.functions import kernels
-from quarrystat.operators import binning, blocks
+from quarrystat.operators import binning, blocks, decomposition, gram, missing, reshape, stats
 from quarrystat.operators.supervised import least_squares
 from quarrystat.streaming.ipca import StreamingPca
 
@@ -35,3 +35,33 @@ def test_distances_far_from_zero(spark):
     t = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>")
     for r in blocks.squared_distances(t).collect():
         assert r["value"] == pytest.approx(((x[r["r"]] - x[r["s"]]) ** 2).sum(), rel=1e-6)
+
+
+@pytest.mark.parametrize("odd", [None, [1.0]])
+def test_null_and_ragged_rows_are_errors(spark, odd):
+    t = spark.createDataFrame([(0, [1.0, 2.0]), (1, odd), (2, [3.0, 4.0])], "id long, features array<double>").coalesce(1)
+    for run in (stats.col_means, stats.col_summary, missing.nan_counts, missing.nan_row_counts, stats.unit_norm,
+                lambda x: missing.drop_rows(x, 0)[0]):
+        with pytest.raises(Exception, match="null array or width other than 2"):
+            run(t).collect()
+
+
+@pytest.mark.parametrize("ids", [[1, 1, 2], [1, 2, None]])
+def test_ordinal_refuses_repeated_and_null_keys(spark, ids):
+    t = spark.createDataFrame([(i, 0) for i in ids], "id long, v int")
+    with pytest.raises(ValueError, match="distinct keys"):
+        reshape.with_ordinal(t)
+
+
+def test_no_singular_value_out_of_noise(spark):
+    x = np.random.default_rng(4)
+    m = x.random((50, 2)) @ x.random((2, 5))
+    t = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "id long, features array<double>")
+    assert len(decomposition.svd(t, 5).s) == 2
+
+
+def test_covariance_does_not_hang_on_the_first_rows(spark):
+    x = np.random.default_rng(5).random((600, 3)) + np.where(np.arange(600) < 250, 0.0, 1e8)[:, None] * [0, 1, 0]
+    t = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>")
+    got = {(r["i"], r["j"]): r["value"] for r in gram.covariance(t).collect()}
+    assert got[0, 2] == pytest.approx(np.cov(x.T)[0, 2], rel=1e-9)
