@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 SIGN = np.int64(-(2 ** 63))
 
@@ -69,42 +70,38 @@ def list_column(m: np.ndarray, kind=None) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(m).reshape(-1), type=kind))
 
 
-def gram_kernel(name: str, d: int, rows: tuple[int, int], cols: tuple[int, int], shift=None,
-                carry: str | None = None):
-    """Partial sums of x_i * x_j for i in ``rows``, j in ``cols``, i <= j.
+def gram_kernel(name: str, d: int, rows: tuple[int, int], shift=None, fan: int = 1):
+    """Partial sums of x_i * x_j for i in ``rows`` and every j >= i.
 
-    ``shift`` is subtracted first.  Emits ``(i, j, value)`` once per task.
-    With ``carry`` every entry also brings what turns it into a covariance or
-    a cosine: the sums ("sum") or square sums ("square") of both columns and
-    the row count, so no join is needed after the aggregate.
+    ``shift`` is subtracted first.  A task emits ``(part, i, v)`` once for each i: v
+    holds the products with columns i to d - 1, then the sum of column i and the row
+    count.  ``part`` is the task's number modulo ``fan``.
     """
+    lo, hi = rows
+
     def run(batches):
-        acc, left, right, n = 0.0, 0.0, 0.0, 0
+        acc, sums, n = 0.0, 0.0, 0
         for batch in batches:
             x = matrix(batch, name, d).astype(np.float64, copy=False)
             if not len(x):
                 continue
             if shift is not None:
                 x = x - shift
-            a, b = x[:, rows[0]:rows[1]], x[:, cols[0]:cols[1]]
-            acc = acc + a.T @ b
+            acc = acc + x[:, lo:hi].T @ x[:, lo:]
+            sums = sums + x[:, lo:hi].sum(0)
             n += len(x)
-            if carry == "sum":
-                left, right = left + a.sum(0), right + b.sum(0)
-            elif carry == "square":
-                left, right = left + (a * a).sum(0), right + (b * b).sum(0)
         if not n:
             return
-        r, c = np.indices(acc.shape)
-        keep = r + rows[0] <= c + cols[0]
-        r, c = r[keep], c[keep]
-        out = [pa.array((r + rows[0]).astype(np.int32)), pa.array((c + cols[0]).astype(np.int32)),
-               pa.array(acc[keep])]
-        names = ["i", "j", "value"]
-        if carry:
-            out += [pa.array(left[r]), pa.array(right[c]), pa.array(np.full(len(r), n, np.int64))]
-            names += ["a", "b", "n"]
-        yield pa.RecordBatch.from_arrays(out, names=names)
+        part = TaskContext.get().partitionId() % fan
+        step = max(1, (1 << 20) // (d - lo + 2))
+        for at in range(0, hi - lo, step):
+            r = np.arange(at, min(at + step, hi - lo))
+            v = np.column_stack([acc[r], sums[r], np.full(len(r), float(n))])
+            upper = np.arange(v.shape[1]) >= r[:, None]
+            ends = np.concatenate([[0], np.cumsum(upper.sum(1))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(r), part, np.int32)), pa.array((r + lo).astype(np.int32)),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(v[upper]))], names=["part", "i", "v"])
     return run
 
 

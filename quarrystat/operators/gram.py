@@ -1,7 +1,7 @@
 """Gram, covariance and cosine matrices of the columns; matrix products.
 
 All results are entry tables ``(i, j, value)``.  One pass over the table makes
-one partial d x d sum per task; only those are shuffled, keyed by entry.
+one partial d x d sum per task; only those are shuffled, a vector for each matrix row.
 """
 
 from __future__ import annotations
@@ -10,37 +10,55 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystat.functions import arrays as A
 from quarrystat.functions import kernels
 from quarrystat.operators.common import (MAX_MATRIX_CELLS, bounded_tasks, by_feature,
-                                         require_local, tiles, union_all, width)
+                                         require_local, union_all, width)
 from quarrystat.operators.reshape import mirror, to_long
 from quarrystat.operators.stats import col_l2, mean_vector
 
-TILE = 2048
-ENTRY = "i int, j int, value double"
+# Matrix cells a task may hold in one scan.
+TASK_CELLS = 8_000_000
+# Buckets of tasks whose partial sums meet first.
+FAN = 32
 BROADCAST_ENTRIES = 2_000_000
 
 
-def gram(df: DataFrame, features: str = "features", shift=None, carry: str | None = None,
-         tile: int = TILE) -> DataFrame:
-    """Upper triangle of X'X: one pass over the table, one shuffle of partials.
+def _gram_rows(df: DataFrame, d: int, features: str, shift, band: int) -> DataFrame:
+    """``(i, v)``: matrix row i from its diagonal on, then the sum of column i and the
+    row count.
 
-    ``shift`` is subtracted from every row.  With ``carry`` the entries also
-    hold ``a``, ``b`` (sums or square sums of columns i and j) and ``n``.
-    Tables wider than ``tile`` are done tile by tile, so a task never holds
-    more than tile x tile sums.
+    A task sends one vector for each matrix row. They are summed in the JVM in two
+    levels, first by matrix row and a bucket of the task number, so that however many
+    tasks there are, no reducer gets the vectors of all of them.
+    """
+    parts = [df.select(features).mapInArrow(
+        kernels.gram_kernel(features, d, (a, min(a + band, d)), shift, FAN),
+        "part int, i int, v array<double>") for a in range(0, d, band)]
+    rows = union_all(parts).select("part", "i", array_to_vector("v").alias("v"))
+    for keys in (("i", "part"), ("i",)):
+        rows = rows.groupBy(*keys).agg(Summarizer.sum(F.col("v")).alias("v"))
+    return rows.select("i", vector_to_array("v").alias("v"))
+
+
+def gram(df: DataFrame, features: str = "features", shift=None, count: bool = False,
+         tile: int | None = None) -> DataFrame:
+    """Upper triangle of X'X: one pass over the table, vectors of partial sums shuffled.
+
+    ``shift`` is subtracted from every row.  With ``count`` the entries also hold the
+    number of rows ``n``.  The matrix is made in bands of ``tile`` rows, a scan each; by
+    default as many rows as a task may hold, all of them up to some 2,800 columns.
     """
     d = width(df, features)
-    more = ["a", "b", "n"] if carry else []
-    src = bounded_tasks(df.select(features), d * d // 2 * (2 if carry else 1))
-    schema = ENTRY + (", a double, b double, n bigint" if carry else "")
-    parts = [src.mapInArrow(kernels.gram_kernel(features, d, r, c, shift, carry), schema)
-             for r, c in tiles(d, tile)]
-    return union_all(parts).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ["value"] + more])
+    rows = _gram_rows(df, d, features, shift, tile or max(1, TASK_CELLS // (d + 2)))
+    n = [F.round(F.get("v", F.size("v") - 1)).cast("bigint").alias("n")] if count else []
+    out = rows.select("i", *n, F.posexplode(F.slice("v", F.lit(1), F.size("v") - 2)).alias("k", "value"))
+    return out.select("i", (F.col("i") + F.col("k")).alias("j"), "value", *(["n"] if count else []))
 
 
 def gramian(df: DataFrame, full: bool = False) -> DataFrame:
@@ -51,20 +69,15 @@ def gramian(df: DataFrame, full: bool = False) -> DataFrame:
 
 def second_moment(df: DataFrame) -> DataFrame:
     """Sum of x_i * x_j over N - 1 without centring, full matrix."""
-    g = gram(df, carry="sum")
+    g = gram(df, count=True)
     return mirror(g.select("i", "j", (F.col("value") / (F.col("n") - 1)).alias("value")))
 
 
-def _provisional_centre(df: DataFrame) -> np.ndarray:
-    """The column means: a shift that keeps the sums of products accurate whatever
-    rows come first."""
-    return mean_vector(df)
-
-
 def covariance(df: DataFrame, ddof: int = 1, triangle: str = "full") -> DataFrame:
-    """Covariance of the columns over N - ddof: a pass for the means, one for the products."""
-    g = gram(df, shift=_provisional_centre(df), carry="sum")
-    value = (F.col("value") - F.col("a") * F.col("b") / F.col("n")) / (F.col("n") - ddof)
+    """Covariance of the columns over N - ddof: a pass for the means, one for the products
+    of what is left (whose own means are rounding errors)."""
+    g = gram(df, shift=mean_vector(df), count=True)
+    value = F.col("value") / (F.col("n") - ddof)
     out = g.select("i", "j", value.alias("value"))
     return mirror(out) if triangle == "full" else out
 
@@ -96,7 +109,7 @@ def covariance_sampled(df: DataFrame, seed: int = 0, gamma: float | None = None)
         keep = _keep_cell(probs, seed)
         centred = centred.withColumn("features", F.transform(
             "features", lambda x, j: F.when(keep(x, j), x / F.get(probs, j)).otherwise(0.0)))
-    g = gram(centred, carry="sum")
+    g = gram(centred, count=True)
     # a squared cell was drawn once but weighted twice
     once = F.when(F.col("i") == F.col("j"), F.get(A.literal_array(p), F.col("i"))).otherwise(1.0)
     return g.select("i", "j", (F.col("value") * once / F.col("n")).alias("value"))
@@ -111,10 +124,10 @@ def cosine(df: DataFrame, threshold: float = 0.0, seed: int = 0) -> DataFrame:
     if threshold < 0:
         raise ValueError("threshold must not be negative")
     if threshold < 1e-6:
-        def norm(c):
-            return F.when(F.col(c) == 0, 1.0).otherwise(F.sqrt(c))
-        return (gram(df, carry="square").filter("i < j")
-                .select("i", "j", (F.col("value") / (norm("a") * norm("b"))).alias("value")))
+        norms, = by_feature(col_l2(df), width(df), "l2")
+        norms = A.literal_array(np.where(norms == 0, 1.0, norms))
+        return (gram(df).filter("i < j").select("i", "j", (
+            F.col("value") / (F.get(norms, F.col("i")) * F.get(norms, F.col("j")))).alias("value")))
     return cosine_sampled(df, 10 * math.log(width(df)) / threshold, seed)
 
 
@@ -154,10 +167,9 @@ def gram_times_matrix(df: DataFrame, v: np.ndarray) -> np.ndarray:
         raise ValueError("the right-hand matrix is too large to ship")
     src = bounded_tasks(df.select("features"), v.size)
     rows = (src.mapInArrow(kernels.gram_times_kernel("features", v), "j int, c int, value double")
-            .groupBy("j", "c").agg(F.sum("value").alias("value")).collect())
+            .groupBy("j", "c").agg(F.sum("value").alias("value")).toArrow())
     out = np.zeros(v.shape)
-    for r in rows:
-        out[r["j"], r["c"]] = r["value"]
+    out[rows["j"].to_numpy(), rows["c"].to_numpy()] = rows["value"].to_numpy()
     return out
 
 
@@ -213,17 +225,18 @@ def local_moments(df: DataFrame, features: str = "features", shift=None):
     """Row count, column sums and X'X (each after the shift), in one pass."""
     d = width(df, features)
     require_local(d)
-    g = gram(df, features, shift, carry="sum").toPandas()
-    out = np.zeros((d, d))
-    out[g["i"], g["j"]] = g["value"]
-    out[g["j"], g["i"]] = g["value"]
-    diag = g[g["i"] == g["j"]].sort_values("i")
-    return int(g["n"].iloc[0]), diag["a"].to_numpy(), out
+    rows = _gram_rows(df, d, features, shift, max(1, TASK_CELLS // (d + 2))).toArrow()
+    out, sums, n = np.zeros((d, d)), np.zeros(d), 0
+    for i, v in zip(rows["i"].to_pylist(), rows["v"]):
+        v = v.values.to_numpy()
+        out[i, i:] = out[i:, i] = v[:-2]
+        sums[i], n = v[-2], round(v[-1])
+    return n, sums, out
 
 
 def local_covariance(df: DataFrame, ddof: int = 1):
     """Row count, column means and covariance on the driver (d is bounded)."""
-    c = _provisional_centre(df)
+    c = mean_vector(df)
     n, s, g = local_moments(df, shift=c)
     return n, c + s / n, (g - np.outer(s, s) / n) / (n - ddof)
 

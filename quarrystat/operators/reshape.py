@@ -145,6 +145,13 @@ def consecutive_pairs(df: DataFrame, value: str, rows_per_block: int, key: str =
             .filter("_rn > 1").drop("_rn"))
 
 
+def sort_in_partitions(df: DataFrame, by: list[str], *order: str, parts: int | None = None) -> DataFrame:
+    """Rows dealt out by ``by`` and sorted in each partition by ``by``, then ``order``;
+    ``parts`` partitions, by default as many as the session shuffles into."""
+    dealt = df.repartition(parts, *by) if parts else df.repartition(*by)
+    return dealt.sortWithinPartitions(*by, *order)
+
+
 def tag_partition(df: DataFrame) -> DataFrame:
     return df.withColumn("part", F.spark_partition_id())
 

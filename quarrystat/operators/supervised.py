@@ -49,9 +49,9 @@ def _auc_of(pred: DataFrame) -> float:
     return BinaryClassificationEvaluator(numBins=0).evaluate(pred)
 
 
-def logistic(df: DataFrame, reg: float = 0.0, max_iter: int = 100):
+def logistic(df: DataFrame, reg: float = 0.0, max_iter: int = 100, tol: float = 1e-6):
     """Binary logistic regression on a table with 0/1 labels."""
-    return LogisticRegression(regParam=reg, maxIter=max_iter).fit(as_ml(df))
+    return LogisticRegression(regParam=reg, maxIter=max_iter, tol=tol).fit(as_ml(df))
 
 
 def predict(model, df: DataFrame) -> DataFrame:
@@ -76,9 +76,11 @@ def linear_svm(df: DataFrame, max_iter: int = 2):
     return LinearSVC(maxIter=max_iter).fit(as_ml(df))
 
 
-def forest(df: DataFrame, trees: int = 20, depth: int = 5, seed: int = 123):
-    """Random-forest regression (variance impurity)."""
-    return RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed).fit(as_ml(df))
+def forest(df: DataFrame, trees: int = 20, depth: int = 5, seed: int = 123, bootstrap: bool = True,
+           features: str = "auto"):
+    """Random-forest regression (variance impurity); ``features`` names how many a split tries."""
+    return RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed, bootstrap=bootstrap,
+                                 featureSubsetStrategy=features).fit(as_ml(df))
 
 
 def forest_importance(df: DataFrame, trees: int = 20, depth: int = 5, seed: int = 123) -> DataFrame:

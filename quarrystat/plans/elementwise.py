@@ -41,7 +41,9 @@ def array_int_ops(spark, sf):
 
 @query("nested_array_ops", """SELECT l_returnflag,
   round(avg(l_quantity + l_tax), 6) AS s00, round(avg(l_discount + l_quantity), 6) AS s01,
-  round(avg((l_quantity + l_tax) / 4), 6) AS d00, round(avg((l_discount + l_quantity) / 4), 6) AS d01
+  round(avg(l_tax + l_tax), 6) AS s10, round(avg(l_quantity + l_tax), 6) AS s11,
+  round(avg((l_quantity + l_tax) / 4), 6) AS d00, round(avg((l_discount + l_quantity) / 4), 6) AS d01,
+  round(avg((l_tax + l_tax) / 4), 6) AS d10, round(avg((l_quantity + l_tax) / 4), 6) AS d11
   FROM lineitem GROUP BY 1""")
 def nested_array_ops(spark, sf):
     t = table(spark, sf, "lineitem")
@@ -50,7 +52,7 @@ def nested_array_ops(spark, sf):
     s = t.select("l_returnflag", A.nested_add(a, b).alias("s")).withColumn(
         "d", A.nested_divide(F.col("s"), 4.0))
     return s.groupBy("l_returnflag").agg(
-        *[A.neat(F.avg(F.col(c)[0][i])).alias(f"{c}0{i}") for c in ("s", "d") for i in (0, 1)])
+        *[A.neat(F.avg(F.col(c)[k][i])).alias(f"{c}{k}{i}") for c in ("s", "d") for k in (0, 1) for i in (0, 1)])
 
 
 @query("pair_array_ops", """SELECT l_linestatus, round(avg((l_quantity + l_tax) / 3), 6) AS mean0,
@@ -95,24 +97,22 @@ def pick_columns(spark, sf):
     return to_long(embeddings(spark, sf).withColumn("features", A.pick(_f, [60, 2, 17])))
 
 
-@query("append_columns", f"""WITH {E} SELECT id, j, v FROM e WHERE j < 3
-  UNION ALL SELECT id, j - 57, v FROM e WHERE j >= 60""")
+@query("append_columns", f"""WITH {E} SELECT id, j, v FROM e UNION ALL SELECT id, j + 64, v / 2 FROM e""")
 def append_cols(spark, sf):
     df = embeddings(spark, sf)
-    return to_long(append_columns(df.withColumn("features", A.take_first(_f, 3)),
-                                  df.withColumn("features", A.pick(_f, [60, 61, 62, 63]))))
+    return to_long(append_columns(df, df.withColumn("features", A.divide_scalar(_f, 2.0))))
 
 
-@query("label_last", f"""WITH {E} SELECT id, j, v FROM e WHERE j >= 62
+@query("label_last", f"""WITH {E} SELECT id, j, v FROM e
   UNION ALL SELECT vec_id, 64, label::DOUBLE FROM embeddings""")
 def label_last(spark, sf):
-    return to_long(with_label(embeddings(spark, sf), "last")).filter("j >= 62")
+    return to_long(with_label(embeddings(spark, sf), "last"))
 
 
-@query("label_first", f"""WITH {E} SELECT id, j + 1 AS j, v FROM e WHERE j <= 1
+@query("label_first", f"""WITH {E} SELECT id, j + 1 AS j, v FROM e
   UNION ALL SELECT vec_id, 0, label::DOUBLE FROM embeddings""")
 def label_first(spark, sf):
-    return to_long(with_label(embeddings(spark, sf), "first")).filter("j <= 2")
+    return to_long(with_label(embeddings(spark, sf), "first"))
 
 
 @query("dot_product", f"""WITH {E} SELECT id, {r6('sum(v * (j + 1))')} AS weighted,

@@ -1,5 +1,6 @@
 """Least squares, classifiers, forests and the text model."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from quarrystat.functions import arrays as A
@@ -54,6 +55,26 @@ def logreg_error(spark, sf):
     return spark.createDataFrame([(out[0], out[1])], "error_rate double, accuracy double")
 
 
+@query("logreg_moments", """WITH t AS (SELECT (l_extendedprice > 40000)::INTEGER AS y,
+  [1, l_quantity / 50, l_discount * 10, l_tax * 10] AS x FROM lineitem)
+SELECT (k - 1)::INTEGER AS j, round(avg(y * x[k]), 4) AS moment FROM t, generate_series(1, 4) g(k) GROUP BY k""")
+def logreg_moments(spark, sf):
+    """At the optimum the fitted probabilities have the labels' moments with every feature
+    (j = 0: the intercept)."""
+    t = table(spark, sf, "lineitem").select(
+        (F.col("l_extendedprice") > 40000).cast("int").alias("label"),
+        F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 10).alias("features")).persist()
+    try:
+        p = vector_to_array("probability")[1]
+        x = F.concat(F.array(F.lit(1.0)), vector_to_array("features"))
+        out = M.predict(M.logistic(t, tol=1e-12), t).select(p.alias("p"), F.posexplode(x).alias("j", "x")).groupBy("j").agg(
+            F.avg(F.col("p") * F.col("x")).alias("m")).collect()           # a row for each feature
+    finally:
+        t.unpersist()
+    return spark.createDataFrame([(r["j"], r["m"]) for r in out], "j int, m double").select(
+        "j", A.neat(F.col("m"), 4).alias("moment"))
+
+
 @query("logreg_auc_sweep")
 def logreg_auc_sweep(spark, sf):
     return M.logistic_sweep(_binary(spark, sf))
@@ -76,6 +97,27 @@ def forest_fit(spark, sf):
     return M.predict(M.forest(df), df).select("id", "label", A.neat(F.col("prediction")).alias("prediction"))
 
 
+@query("forest_stump", """WITH t AS (SELECT l_linenumber + 0.5 * l_tax AS y,
+  [l_linenumber::DOUBLE, l_discount, l_tax] AS x FROM lineitem),
+c AS (SELECT k, x[k] AS v, count(*) AS n, sum(y) AS s FROM t, generate_series(1, 3) g(k) GROUP BY ALL),
+r AS (SELECT k, v, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(n) OVER (PARTITION BY k) AS tn, sum(s) OVER (PARTITION BY k) AS ts
+  FROM c WINDOW w AS (PARTITION BY k ORDER BY v)),
+best AS (SELECT * FROM r WHERE n < tn ORDER BY s * s / n + (ts - s) * (ts - s) / (tn - n) DESC, k, v LIMIT 1)
+SELECT round(s / n, 4) AS prediction, n::BIGINT AS n FROM best
+UNION ALL SELECT round((ts - s) / (tn - n), 4), (tn - n)::BIGINT FROM best""")
+def forest_stump(spark, sf):
+    """A forest of one tree with one split: the split of least variance over all rows."""
+    t = table(spark, sf, "lineitem").select(
+        (F.col("l_linenumber") + 0.5 * F.col("l_tax")).alias("label"),
+        F.array(F.col("l_linenumber").cast("double"), "l_discount", "l_tax").alias("features")).persist()
+    try:
+        model = M.forest(t, trees=1, depth=1, bootstrap=False, features="all")
+    finally:
+        t.unpersist()
+    return (M.predict(model, t).groupBy("prediction").agg(F.count("*").alias("n"))
+            .select(A.neat(F.col("prediction"), 4).alias("prediction"), "n"))
+
+
 def _texts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text").join(
         table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
@@ -95,7 +137,6 @@ def tokenize(spark, sf):
   FROM documents""")
 def hashing_tf(spark, sf):
     """Hashing moves no counts: they add up to the tokens of the text."""
-    from pyspark.ml.functions import vector_to_array
     t = M.term_frequencies(table(spark, sf, "documents").select("doc_id", "text"), 1000)
     return t.select("doc_id", A.total(vector_to_array("features")).alias("total"))
 
@@ -107,5 +148,4 @@ def cv_text(spark, sf):
         model = M.text_model(data)
     finally:
         data.unpersist()
-    return model.transform(data).select("doc_id", "text", "probability", "prediction").select(
-        "doc_id", "text", F.col("prediction"))
+    return model.transform(data).select("doc_id", "text", vector_to_array("probability").alias("probability"), "prediction")

@@ -1,5 +1,6 @@
 """Row-wise and partition-wise operators."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrystat.functions import arrays as A
@@ -65,7 +66,11 @@ def top_rows(spark, sf):
             .limit(25))
 
 
-@query("sort_in_partitions", """SELECT vec_id AS id, label FROM embeddings""")
+@query("sort_in_partitions", """SELECT vec_id AS id, label,
+  row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place FROM embeddings""")
 def sort_in_partitions(spark, sf):
-    return embeddings(spark, sf).select("id", "label").repartition(4, "label").sortWithinPartitions(
-        "label", "id")
+    """The place of each row behind the first of its label, as the partition has them."""
+    t = reshape.sort_in_partitions(embeddings(spark, sf).select("id", "label"), ["label"], "id")
+    t = t.withColumn("at", F.monotonically_increasing_id())
+    first = F.min("at").over(Window.partitionBy("label"))
+    return t.select("id", "label", (F.col("at") - first).alias("place"))

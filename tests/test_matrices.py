@@ -35,6 +35,19 @@ def test_gram_tiles(df, x, tile):
     assert np.isnan(got[np.tril_indices(6, -1)]).all()
 
 
+def test_gram_of_more_tasks_than_buckets(df, x):
+    got = dense(gram.gram(df.repartition(2 * gram.FAN + 5)))
+    assert np.allclose(got[np.triu_indices(6)], (x.T @ x)[np.triu_indices(6)])
+
+
+def test_gram_counts_rows_and_scans_once_a_band(df):
+    assert {r["n"] for r in gram.gram(df, count=True).collect()} == {90}
+    for tile, scans in ((None, 1), (2, 3)):
+        plan = gram.gram(df, tile=tile)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == scans
+        assert "Repartition" not in plan.split("MapInArrow")[0]
+
+
 def test_covariance_survives_large_means(df, x):
     assert np.allclose(dense(gram.covariance(df)), np.cov(x.T), rtol=1e-9, atol=1e-9)
     up = dense(gram.covariance(df, ddof=0, triangle="upper"))
