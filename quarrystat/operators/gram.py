@@ -26,6 +26,8 @@ from quarrystat.operators.stats import col_l2, mean_vector
 TASK_CELLS = 8_000_000
 # Buckets of tasks whose partial sums meet first.
 FAN = 32
+# Draws of cells: odd multipliers of 32-bit numbers (the second leaves products below 2**63).
+WORD, MIX, MIX_AGAIN = 1 << 32, 2654435761, 2146121005
 BROADCAST_ENTRIES = 2_000_000
 
 
@@ -82,11 +84,18 @@ def covariance(df: DataFrame, ddof: int = 1, triangle: str = "full") -> DataFram
     return mirror(out) if triangle == "full" else out
 
 
-def _keep_cell(p, seed: int):
-    """Bernoulli draw per cell, a hash of row id and column."""
+def _with_draw(df: DataFrame, seed: int) -> DataFrame:
+    """A 32-bit number of each row's id in ``_r``: the row's part of its cells' draws."""
+    return df.withColumn("_r", F.conv(F.substring(F.md5(F.concat_ws(
+        ":", F.col("id").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint"))
+
+
+def _keep_cell(p):
+    """Bernoulli draw per cell: the row's number and the column's, mixed."""
     def f(x, j):
-        h = F.pmod(F.xxhash64(F.col("id"), j, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-        return h < F.get(p, j)
+        h = F.col("_r").bitwiseXOR((j.cast("bigint") + 1) * MIX % WORD) * MIX_AGAIN % WORD
+        h = h.bitwiseXOR(F.shiftright(h, 16)) * MIX_AGAIN % WORD
+        return h / F.lit(float(WORD)) < F.get(p, j)
     return f
 
 
@@ -102,11 +111,11 @@ def covariance_sampled(df: DataFrame, seed: int = 0, gamma: float | None = None)
     norms[norms == 0] = 1.0
     gamma = 10 * math.log(d) / 1e-6 if gamma is None else gamma
     p = np.minimum(1.0, math.sqrt(gamma) / norms)
-    centred = df.select("id", A.subtract(F.col("features"),
+    centred = _with_draw(df, seed).select("_r", A.subtract(F.col("features"),
                                          A.literal_array(mean_vector(df))).alias("features"))
     if (p < 1).any():
         probs = A.literal_array(p)
-        keep = _keep_cell(probs, seed)
+        keep = _keep_cell(probs)
         centred = centred.withColumn("features", F.transform(
             "features", lambda x, j: F.when(keep(x, j), x / F.get(probs, j)).otherwise(0.0)))
     g = gram(centred, count=True)
@@ -148,7 +157,7 @@ def cosine_sampled(df: DataFrame, gamma: float, seed: int = 0, norms=None) -> Da
     if (p >= 1).all():
         cells = F.zip_with("features", scale, lambda x, s: x / s)
     else:
-        keep = _keep_cell(probs, seed)
+        df, keep = _with_draw(df, seed), _keep_cell(probs)
         cells = F.transform("features", lambda x, j: F.when(keep(x, j), x / F.get(scale, j))
                             .otherwise(0.0))
     return gram(df.select(cells.alias("features"))).filter("i < j")

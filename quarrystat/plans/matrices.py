@@ -66,7 +66,18 @@ def cov_sampled(spark, sf):
     return _entries(gram.covariance_sampled(embeddings(spark, sf), seed=7))
 
 
-@query("cov_sampled_thin")
+# u: the draw of a cell, from the md5 of its row's id and the number of its column
+_DRAWN = f"""{E}, r AS (SELECT vec_id AS id, ('0x' || substr(md5(vec_id::VARCHAR || ':7'), 1, 8))::BIGINT AS r FROM embeddings),
+h AS (SELECT id, j, v, xor(r, (j::BIGINT + 1) * {gram.MIX} % {gram.WORD}) * {gram.MIX_AGAIN} % {gram.WORD} AS h
+  FROM e JOIN r USING (id)),
+u AS (SELECT id, j, v, xor(h, h >> 16) * {gram.MIX_AGAIN} % {gram.WORD} / {gram.WORD}.0::DOUBLE AS u FROM h),
+c AS (SELECT j, avg(v) AS mean, sqrt(sum(v * v)) AS norm, count(*) AS n FROM e GROUP BY j)"""
+
+
+@query("cov_sampled_thin", f"""WITH {_DRAWN}, p AS (SELECT *, least(1, 2 / norm) AS p FROM c),
+k AS MATERIALIZED (SELECT id, j, n, p, CASE WHEN u < p THEN (v - mean) / p ELSE 0 END AS v FROM u JOIN p USING (j))
+SELECT a.j AS i, b.j AS j, {r6('sum(a.v * b.v) * max(CASE WHEN a.j = b.j THEN a.p ELSE 1 END) / max(a.n)')} AS value
+  FROM k a JOIN k b ON a.id = b.id AND a.j <= b.j GROUP BY ALL""")
 def cov_sampled_thin(spark, sf):
     return _entries(gram.covariance_sampled(embeddings(spark, sf), seed=7, gamma=4.0))
 
@@ -87,11 +98,23 @@ def cosine_dimsum_exact(spark, sf):
     return _entries(gram.cosine_sampled(embeddings(spark, sf), gamma=1e6))
 
 
-@query("cosine_dimsum")
+def _dimsum_sql(gamma: str) -> str:
+    return f"""WITH {_DRAWN}, p AS (SELECT *, sqrt({gamma}) AS root FROM c),
+k AS MATERIALIZED (SELECT id, j, CASE WHEN u < root / norm THEN v / least(root, norm) ELSE 0 END AS v FROM u JOIN p USING (j))
+SELECT a.j AS i, b.j AS j, {r6('sum(a.v * b.v)')} AS value FROM k a JOIN k b ON a.id = b.id AND a.j < b.j GROUP BY ALL"""
+
+
+@query("cosine_dimsum", _dimsum_sql("10 * ln(64) / 0.5"))
 def cosine_dimsum(spark, sf):
     return _entries(gram.cosine(embeddings(spark, sf), threshold=0.5, seed=7))
 
 
+@query("cosine_dimsum_thin", _dimsum_sql("4"))
+def cosine_dimsum_thin(spark, sf):
+    """gamma small enough to sample columns of these norms."""
+    return _entries(gram.cosine_sampled(embeddings(spark, sf), gamma=4.0, seed=7))
+
+
 _W = np.array([[((j + 1) * (c + 2)) % 5 - 2.0 for c in range(3)] for j in range(64)])
 _PRODUCT = f"""WITH {E}, w AS (SELECT j, c, ((j + 1) * (c + 2)) % 5 - 2.0 AS w
   FROM generate_series(0, 63) t(j), generate_series(0, 2) u(c))
