@@ -75,8 +75,7 @@ def _select(df, ranks, features, d, n, sort_limit):
 
     while done < 64:
         rest = [size[t] for t in lead]
-        if not rest or (max(rest) <= sort_limit and (
-                sum(rest) <= max(SORT_CELLS, n * d // 1000) or n * d <= 4 * SORT_CELLS)):
+        if not rest or (max(rest) <= sort_limit and sum(rest) <= max(SORT_CELLS, n * d // 1000)):
             break
         bits = _next_bits(max(rest), done, src)
         prefixes, want = wanted()
