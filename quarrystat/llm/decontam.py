@@ -2,8 +2,9 @@
 
 Every three-word string of the benchmark items is counted over all documents (each
 task counts, Spark sums). Seeds of an item are its rare ones: in at most
-``RARE_SHARE`` of the documents, or among the rarer half of its own, so that an item
-keeps seeds even if it was copied everywhere. Documents that hold a seed are aligned
+``RARE_SHARE`` of the documents, or among the rarer half of its own. The counts include
+the leaks, so the rarest of every ``STRETCH`` strings in a row (six words) is a seed too,
+whatever its count: a partial or edited copy with six words in a row keeps one. Documents that hold a seed are aligned
 with the item around the seed: words, match +2, mismatch and gap -1. A hit is an
 alignment of at least half the item's best score, or of ``LONG`` matching words with
 four fifths of the aligned words equal; paraphrases with single words changed,
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from quarrystat.llm.common import packed, unpacked
 
 GRAM, RARE_SHARE, MIN_SCORE, LONG, MIN_EQUAL = 3, 0.001, 0.5, 13, 0.8
+#: Of so many n-grams in a row the rarest is a seed.
+STRETCH = 4
 #: Bytes of benchmark text in a block.
 BLOCK_BYTES = 8 << 20
 _WORD = re.compile(r"\w+")
@@ -112,6 +115,10 @@ class Index:
         for grams in own.values():
             ranked = sorted(grams, key=lambda g: (df[g], g))
             self.rare[ranked[:(len(ranked) + 1) // 2]] = True
+        for _, w in self.items:
+            g = self.seeds(w)[0].tolist()
+            for at in range(max(1, len(g) - STRETCH + 1) if g else 0):
+                self.rare[min(g[at:at + STRETCH], key=lambda x: (df[x], x))] = True
 
     def hits(self, text: str | None):
         """``(item_id, score, matches, first word, last word)`` of every item that the text repeats."""
