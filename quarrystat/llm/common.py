@@ -51,3 +51,19 @@ def ascii_lower(c: Column) -> Column:
 def held_out(c: Column, parts: int, part: int) -> Column:
     """Rows whose crc32 of the id as text leaves the given remainder (null id: never)."""
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % parts == part, F.lit(False))
+
+
+def row_digest(docs: DataFrame) -> Column:
+    """A digest of the whole row that tells nulls in different columns apart."""
+    return F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
+
+
+def one_row_of_each(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """One row of each group; ``marks`` has ``(d, r, g)`` of every row: id, row digest and
+    group. The smallest id and then the smallest digest stays; of equal rows one."""
+    keep = marks.groupBy("g").agg(F.min(F.struct("d", "r")).alias("k")).select("k.d", "k.r").distinct()
+    times = marks.groupBy("d", "r").count().select("d", "r", (F.col("count") > 1).alias("several"))
+    keep = saved(keep.join(times, ["d", "r"]), "kept-rows")
+    kept = docs.select(packed(docs).alias("row_"), row_id().alias("d"), row_digest(docs).alias("r")).join(keep, ["d", "r"])
+    first = kept.where("several").groupBy("d", "r").agg(F.first("row_").alias("row_"))
+    return unpacked(kept.where("not several").select("row_").unionByName(first.select("row_")), docs.columns)

@@ -32,10 +32,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystat.llm.common import LAST_ID, packed, row_id, saved, unpacked
+from quarrystat.llm.common import LAST_ID, one_row_of_each, row_digest, row_id, saved
 
 SEGMENTS, MAX_BITS = 6, 2
 #: Above so many fingerprints on one key, neighbours take the place of pairs.
@@ -48,32 +48,42 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The 64-bit fingerprint of one text, unsigned."""
+def shingle_hashes(text: str | None, words: int):
+    """The hashes of a text's shingles, repeats too, in blocks of bounded size."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()    # bytes: A-Z and ASCII blanks only
     if not tokens:
-        return 0
+        return
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(tokens) - words + 1)
     first, last = starts[:n].tolist(), ends[min(words, len(tokens)) - 1:].tolist()
     joined, digest = memoryview(b" ".join(tokens)), xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):                                           # very long texts: bounded blocks
-        h = np.fromiter([digest(joined[a:b], 42) for a, b in zip(first[at:at + (1 << 16)], last[at:at + (1 << 16)])],
-                        np.uint64)
+        yield np.fromiter([digest(joined[a:b], 42) for a, b in zip(first[at:at + (1 << 16)], last[at:at + (1 << 16)])],
+                          np.uint64)
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The 64-bit fingerprint of one text, unsigned."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, words):
+        n += len(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``(doc_id, d, f)`` of every document; d is the id with null last, f signed."""
+def fingerprints(docs: DataFrame, words: int = 3, digest: Column | None = None) -> DataFrame:
+    """``(doc_id, d, f)`` of every document; d is the id with null last, f signed. With
+    ``digest``, a number of each row, also that as ``r``."""
+    more = [] if digest is None else [digest.alias("r")]
+
     def batches(it):
         for b in it:
             f = [_signed(fingerprint(t, words)) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.int64())], ["doc_id", "d", "f"])
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id().alias("d"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(batches, "doc_id long, d long, f long")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.int64()), *b.columns[3:]],
+                                             ["doc_id", "d", "f", *b.schema.names[3:]])
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id().alias("d"), F.col("text").cast("string").alias("text"), *more)
+    return src.mapInArrow(batches, "doc_id long, d long, f long" + ", r long" * len(more))
 
 
 def _keys(fps: DataFrame) -> DataFrame:
@@ -148,11 +158,16 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def _grouped(prints: DataFrame) -> DataFrame:
-    """``(f, component)``: the smallest id reachable from each fingerprint."""
+def _components_of(prints: DataFrame) -> DataFrame:
+    """``(f, d, root)`` of each fingerprint: its smallest id and its component."""
     fps = saved(prints.groupBy("f").agg(F.min("d").alias("d")), "simhash-distinct")
     roots = saved(components(links(fps)), "simhash-roots")
-    rooted = fps.join(roots, fps["f"] == roots["node"], "left").select("f", "d", F.coalesce("root", "f").alias("root"))
+    return fps.join(roots, fps["f"] == roots["node"], "left").select("f", "d", F.coalesce("root", "f").alias("root"))
+
+
+def _grouped(prints: DataFrame) -> DataFrame:
+    """``(f, component)``: the smallest id reachable from each fingerprint."""
+    rooted = _components_of(prints)
     small = rooted.groupBy("root").agg(F.min("d").alias("component"))
     return saved(rooted.join(small, "root").select("f", "component"), "simhash-groups")
 
@@ -166,17 +181,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The documents whose id names their component; of rows that share this id, one."""
-    prints = saved(fingerprints(docs, words), "simhash")
-    groups = _grouped(prints)
-    best = prints.join(groups, "f").where("d = component").select("d", "f").distinct()
-    # An id with several texts of the same group keeps one of them: the smallest fingerprint.
-    keep = saved(best.groupBy("d").agg(F.min("f").alias("f")), "simhash-keep")
-    rows = docs.select(packed(docs).alias("row_"), row_id().alias("d"))
-    kept = rows.join(keep, "d", "left_semi")
-    # Ids repeat in damaged tables only: choose among their rows, by a digest of the row.
-    again = prints.groupBy("d").count().where("count > 1").select("d")
-    several = kept.join(again, "d", "left_semi")
-    text = F.coalesce(F.col("row_.text"), F.lit(""))
-    first = several.groupBy("d").agg(F.min_by("row_", F.struct(F.xxhash64(text), text)).alias("row_"))
-    return unpacked(kept.join(again, "d", "left_anti").select("row_").unionByName(first.select("row_")), docs.columns)
+    """One row of each component: the one with the smallest id, then the smallest row digest."""
+    prints = saved(fingerprints(docs, words, row_digest(docs)), "simhash")
+    roots = _components_of(prints).select("f", "root")
+    return one_row_of_each(docs, prints.join(roots, "f").select("d", "r", F.col("root").alias("g")))

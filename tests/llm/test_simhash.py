@@ -83,3 +83,16 @@ def test_odd_rows(odd, nothing):
     kept = simhash.one_of_each_group(odd)
     assert kept.columns == odd.columns and kept.count() <= len(low)
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.one_of_each_group(nothing).count() == 0
+
+
+def test_one_row_of_each_component_without_and_with_repeated_ids(spark):
+    rnd = random.Random(8)
+    def text(): return " ".join(rnd.choice("abcdefgh") + str(rnd.randrange(10 ** 6)) for _ in range(40))
+    texts = [text() for _ in range(40)]
+    rows = [(None, t) for t in texts[:20]] + [(7, t) for t in texts[20:30]] + [(i, t) for i, t in enumerate(texts[30:], 100)]
+    rows += [(3, texts[0]), (None, texts[1]), (7, texts[21]), (8, texts[22]), (1, texts[23]), (7, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in simhash.one_of_each_group(docs).collect()]
+    assert set(kept) <= set(rows)
+    assert sorted(plain(t) for _, t in kept) == sorted({plain(t) for _, t in rows})
+    assert (3, texts[0]) in kept and (1, texts[23]) in kept and (7, texts[22]) in kept
