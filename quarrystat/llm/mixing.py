@@ -8,12 +8,14 @@ The fraction left is an inclusion probability p: documents are ranked by
 the source's remaining words are reached, to the nearest document.
 
 The cut in that order is found by histogram digits of the rank (map-side combined
-sums per source and bucket), then within one bucket of 2^-24 of the order, so no
-source is ever sorted whole. Documents meet only small tables of sources.
+sums per source and bucket), then within one bucket of 2^-24 of the order, where rows
+of one id and size are one with a count, so no source is ever sorted whole. If the cut
+goes through such rows, it is found among their row digests in the same way, and of
+rows that are equal throughout only as many are drawn as reach the target. Documents meet only small tables of sources.
 
 Defined cases: null text has size 0; null sources are one source, last by code
 point; documents of size 0 are taken for 0 words; rows with the same id share u and
-are ordered by size; an empty table gives an empty result.
+are ordered by size, then by a digest of the whole row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystat.llm.common import LAST_ID, WORD, packed, row_id, saved
+from quarrystat.llm.common import LAST_ID, WORD, packed, row_digest, row_id, saved
 
 #: Documents of fewer words are fragments, wanted so much as a whole document.
 FRAGMENT_WORDS, FRAGMENT_RATE = 50, 0.5
@@ -92,45 +94,89 @@ def _crossing(ranked: DataFrame, digit: Column, base: Column) -> DataFrame:
             .select("source", "digit", (F.col("end") - F.col("n")).alias("start")))
 
 
-def _cuts(ranked: DataFrame) -> DataFrame:
-    """``(source, cut_cell, cut)``: rows before the cell are in, and in it those up to ``cut``."""
-    drawn = ranked.where("v is not null").select("source", "size", "id", "v", "cell", "left")
+def _taken(start: Column) -> Column:
+    """How many of ``c`` rows of one size are in, the first with ``start`` words before it."""
+    left, size = F.col("left"), F.col("size")
 
+    def holds(j):
+        return start + j * size + size / 2 <= left
+    k = F.greatest(F.lit(0), F.floor((left - start - size / 2) / size) + 1)
+    k = F.when(holds(k), k + 1).when((k > 0) & ~holds(k - 1), k - 1).otherwise(k)
+    return F.least(k, F.col("c"))
+
+
+def _cuts(drawn: DataFrame, order: list[str]) -> DataFrame:
+    """``(source, cut_cell, cut, k, c, start, left)``: rows before the cell are in, and in it
+    those before ``cut``, the last ``order`` of which a row is in. Of the ``c`` rows equal to
+    it, which have ``start`` words before them, ``k`` are in. Rows equal in ``order`` are one with a count."""
     def inside(rows, found, digit):
         f = found.withColumnRenamed("source", "s_").withColumnRenamed("start", "before")
         return rows.join(f, rows["source"].eqNullSafe(f["s_"]) & (digit == f["digit"])).drop("s_", "digit")
+    drawn = drawn.select("source", "left", "cell", *dict.fromkeys(["size", *order]))
     high = F.floor(F.col("cell") / DIGITS)
     first = saved(_crossing(drawn, high, F.lit(0)), "mix-cut")
     rows = saved(inside(drawn, first, high), "mix-bucket")
     second = saved(_crossing(rows, F.col("cell"), F.col("before")), "mix-cut")
     rows = inside(rows.drop("before"), second, F.col("cell"))
-    w = Window.partitionBy("source").orderBy("v", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    middle = F.col("before") + F.coalesce(F.sum("size").over(w), F.lit(0)) + F.col("size") / 2
-    last = (rows.withColumn("in", middle <= F.col("left")).groupBy("source", F.col("cell").alias("cut_cell"))
-            .agg(F.max(F.when(F.col("in"), F.struct("v", "id", "size"))).alias("cut")))
-    return saved(last, "mix-cut")
+    alike = rows.groupBy("source", "cell", "left", "before", *dict.fromkeys(["size", *order])).agg(F.count("*").alias("c"))
+    w = Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("c")).over(w), F.lit(0))
+    alike = alike.withColumn("start", start).withColumn("k", _taken(F.col("start")))
+    last = F.max(F.when(F.col("k") > 0, F.struct(F.struct(*order).alias("cut"), "k", "c", "start")))
+    found = alike.groupBy("source", F.col("cell").alias("cut_cell")).agg(last.alias("x"), F.first("left").alias("left"))
+    return saved(found.select("source", "cut_cell", "x.*", "left"), "mix-cut")
+
+
+def _tie_cuts(ranked: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``(t_, tie_cell, tie, tie_k, tie_c)`` of the sources whose cut goes through rows of the
+    same id and size: these are in by the order of their digests."""
+    part = cuts.where("k < c").select(F.col("source").alias("t_"), "cut", F.col("left").alias("all"), "start")
+    rows = ranked.drop("left").join(part, ranked["source"].eqNullSafe(part["t_"]) & (F.struct("v", "id", "size") == part["cut"]))
+    rows = rows.withColumn("left", F.col("all") - F.col("start")).withColumn("cell", _digest_cell())
+    return _cuts(rows, ["r"]).select(F.col("source").alias("t_"), F.col("cut_cell").alias("tie_cell"), F.col("cut.r").alias("tie"),
+                                     F.col("k").alias("tie_k"), F.col("c").alias("tie_c"))
+
+
+def _digest_cell() -> Column:
+    return F.shiftright("r", 40) + F.lit(DIGITS * DIGITS // 2)
 
 
 def mixed(docs: DataFrame, weights: list[int] = (5, 2, 1), share: float = 1.5, ceiling: int = 2,
           seed: int = 11) -> DataFrame:
     """``(row_ struct, doc_id, size, source_size, target, copies, taken)`` of every document;
     ``copies`` is how often the mix takes it, ``taken`` its words times that."""
-    narrow = docs.select(row_id().alias("id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    sizes = saved(narrow.withColumn("fragment", F.col("size") < FRAGMENT_WORDS), "mix-sizes")
+    def narrow(*more):
+        return (docs.select(*more, row_id().alias("id"), row_digest(docs).alias("r"), F.col("source").cast("string").alias("source"),
+                            word_count(F.col("text")).alias("size"))
+                .withColumn("fragment", F.col("size") < FRAGMENT_WORDS))
+    sizes = saved(narrow(), "mix-sizes")
     plan = saved(source_plan(sizes, list(weights), share, ceiling), "mix-plan")
-    cuts = _cuts(_ranked(sizes, plan, seed))
+    ranked = _ranked(sizes, plan, seed).where("v is not null")
+    cuts = _cuts(ranked, ["v", "id", "size"])
     per_source = plan.groupBy("source").agg(F.first("source_size").alias("full_size"), F.first("target").alias("goal"))
-    per_source = (per_source.join(cuts.withColumnRenamed("source", "c_"), F.col("source").eqNullSafe(F.col("c_")), "left")
+    per_source = (per_source.join(cuts.withColumnRenamed("source", "c_").drop("left", "start"), F.col("source").eqNullSafe(F.col("c_")), "left")
                   .drop("c_").withColumnRenamed("source", "p_"))
-    per_source = saved(per_source, "mix-sources")
-    rows = (docs.select(packed(docs).alias("row_"), row_id().alias("id"), F.col("source").cast("string").alias("source"),
-                        word_count(F.col("text")).alias("size"))
-            .withColumn("fragment", F.col("size") < FRAGMENT_WORDS))
+    none = "cast(null as string) t_, 0L tie_cell, 0L tie, 0L tie_k, 0L tie_c"
+    ties = cuts.sparkSession.range(0).selectExpr(none.split(", ")) if cuts.where("k < c").isEmpty() else _tie_cuts(ranked, cuts)
+    per_source = saved(per_source.join(ties.withColumn("tied", F.lit(True)), F.col("p_").eqNullSafe(F.col("t_")), "left").drop("t_"), "mix-sources")
+    rows = narrow(packed(docs).alias("row_"))
     all_rows = _ranked(rows, plan, seed).join(per_source, F.col("source").eqNullSafe(F.col("p_")), "left")
+    here, at = F.struct("v", "id", "size"), _digest_cell()
+    tie_in = (at < F.col("tie_cell")) | ((at == F.col("tie_cell")) & F.coalesce(F.col("r") <= F.col("tie"), F.lit(False)))
+    at_cut = F.when(here == F.col("cut"), F.col("tied").isNull() | tie_in).otherwise(here < F.col("cut"))
     drawn = F.col("v").isNotNull() & (F.col("cut_cell").isNull() | (F.col("cell") < F.col("cut_cell"))
-                                      | F.coalesce((F.col("cell") == F.col("cut_cell"))
-                                                   & (F.struct("v", "id", "size") <= F.col("cut")), F.lit(False)))
-    n = F.coalesce(F.floor("copies"), F.lit(0)) + drawn.cast("long")
+                                      | ((F.col("cell") == F.col("cut_cell")) & F.coalesce(at_cut, F.lit(False))))
+    all_rows = all_rows.withColumn("drawn", drawn)
+    if not per_source.where("tie_k < tie_c").isEmpty():
+        # Rows that are equal throughout, of which some are in: one with a count, then written out.
+        cut_here = F.coalesce(F.col("drawn") & (here == F.col("cut")) & (F.col("r") == F.col("tie")) & (F.col("tie_k") < F.col("tie_c")), F.lit(False))
+        names = all_rows.columns
+        equal = (all_rows.where(cut_here).groupBy(F.col("p_").alias("s_"), F.col("r").alias("d_"))
+                 .agg(F.first(F.struct(*names)).alias("x"), F.count("*").alias("times")))
+        blocks = equal.select("x", "s_", "times", F.explode(F.expr("sequence(0L, (times - 1) div 1024)")).alias("b")).repartition("s_", "b")
+        one = blocks.select("x.*", F.explode(F.expr("sequence(b * 1024 + 1, least(times, (b + 1) * 1024))")).alias("no"))
+        all_rows = all_rows.where(~cut_here).unionByName(one.withColumn("drawn", F.col("no") <= F.col("tie_k")).select(*names))
+    n = F.coalesce(F.floor("copies"), F.lit(0)) + F.col("drawn").cast("long")
     return all_rows.withColumn("n_", n).select(
         "row_", F.col("row_.doc_id").alias("doc_id"), "size", F.coalesce("full_size", F.lit(0)).cast("long").alias("source_size"),
         F.coalesce("goal", F.lit(0.0)).alias("target"), F.col("n_").cast("long").alias("copies"),

@@ -78,3 +78,23 @@ def test_small_and_odd_tables(spark):
     assert mixing.mixed(one).select("row_.size").count() == 3
     full = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("a b").alias("text"))
     assert {r["target"] for r in mixing.mix_report(full).collect()} == {150.0}
+
+
+@pytest.mark.parametrize("case", ["one id", "no id", "equal rows", "mixed"])
+def test_ties_stop_at_the_target(spark, case):
+    """A third of the rows with one id and size, or equal throughout."""
+    word = " ".join(["w"] * 59)
+    tied = {"one id": [(7, "s", f"{word} {k}") for k in range(400)], "no id": [(None, "s", f"{word} {k}") for k in range(400)],
+            "equal rows": [(7, "s", word + " x")] * 400, "mixed": [(7, "s", f"{word} {k % 3}") for k in range(400)]}[case]
+    rows = tied + [(1000 + k, "s", " ".join(["v"] * (60 + k % 50))) for k in range(50)]
+    rows += [(5000 + k, "t", " ".join(["v"] * 120)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(6)
+    for seed in range(11, 15):
+        got = mixing.mixed(docs, seed=seed).select("row_.*", "size", "target", "taken").collect()
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted((i or 0, t) for i, _, t in rows)
+        for s in "st":
+            mine = [r for r in got if r["source"] == s]
+            assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 120 / 2 + 1e-6
+    if case != "no id":
+        got = sorted(r["taken"] for r in mixing.mix_report(docs).collect())
+        assert got == sorted(brute(rows)[2])
