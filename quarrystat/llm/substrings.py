@@ -15,13 +15,14 @@
 3. Merging. A hash with more segments than ``HOT`` is dealt over several shards. Each
    returns its earliest windows in order of their digests, one row per run of a digest range;
    runs of a range are merged by binary search and only the earliest start stays.
-4. Documents meet their spans by id, and only then lose bytes.
+4. Documents meet their spans by id and digest of the text, and only then lose bytes.
 
 A window is compared by its bytes within a shard, and by 128-bit digests between
 shards. Nothing depends on how the text was cut into batches.
 
 Defined cases: null text is empty; documents with a null id sort last; rows with the
-same id are one document for the order of starts (the same start is not earlier);
+same id are one document for the order of starts (the same start is not earlier), but
+each text among them has its own hashes and spans;
 texts under 100 bytes keep everything; other columns are never looked at.
 """
 
@@ -192,20 +193,25 @@ def _spans(owner: np.ndarray, at: np.ndarray):
     return owner[s], at[s], at[e] - at[s] + LENGTH
 
 
-def _shard(h, salt, d, s, pieces, hot):
-    """One shard: removed spans ``(d, s, bytes)``, and the earliest windows of hot hashes
-    as ``(digest high, digest low, d, s)``."""
+def _shard(h, salt, d, t, s, pieces, hot):
+    """One shard: removed spans ``(d, t, s, bytes)``, and the earliest windows of hot hashes
+    as ``(digest high, digest low, d, s, t)``."""
     o = np.lexsort((s, d))
-    h, salt, d, s, hot, pieces = h[o], salt[o], d[o], s[o], hot[o], [pieces[k] for k in o]
-    seen, same, gone = {}, np.zeros(len(h), bool), []
+    h, salt, d, t, s, hot, pieces = h[o], salt[o], d[o], t[o], s[o], hot[o], [pieces[k] for k in o]
+    seen, same, gone, ties = {}, np.zeros(len(h), bool), [], {}
     for k, p in enumerate(pieces):
         of = seen.setdefault(p, k)
         if of != k:
             same[k] = True
             if (d[of], s[of]) != (d[k], s[k]):
-                gone.append((d[k], s[k], len(p)))
+                gone.append((d[k], t[k], s[k], len(p)))
+            elif t[of] != t[k]:                                   # another text of the id: what goes from one goes from both
+                ties.setdefault((int(d[of]), int(t[of]), int(s[of]), len(p)), set()).add(int(t[k]))
     left = np.flatnonzero(~same)
-    h, salt, d, s, hot, pieces = h[left], salt[left], d[left], s[left], hot[left], [pieces[k] for k in left]
+    twins = {}
+    for k in left.tolist() if ties else ():
+        twins[len(twins)] = ties.get((int(d[k]), int(t[k]), int(s[k]), len(pieces[k])), ())
+    h, salt, d, t, s, hot, pieces = h[left], salt[left], d[left], t[left], s[left], hot[left], [pieces[k] for k in left]
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     # A lone segment matters only if it repeats inside itself: its gram is there twice.
     b = np.frombuffer(b"".join(pieces), np.uint8)
@@ -215,68 +221,74 @@ def _shard(h, salt, d, s, pieces, hot):
     times = np.bincount(own[(g == h[own]) & inside], minlength=len(pieces))
     _, which, count = np.unique(h, return_inverse=True, return_counts=True)
     open_ = np.flatnonzero((count[which] > 1) | (times > 1) | hot)
-    removed, exported = [np.array(gone, np.int64).reshape(-1, 3)], []
+    removed, exported = [np.array(gone, np.int64).reshape(-1, 4)], []
     if len(open_):
-        ids, rank = np.unique(d[open_], return_inverse=True)
+        _, rank = np.unique(d[open_], return_inverse=True)
         p, off, kind, first = repeated_windows([pieces[k] for k in open_], (rank.astype(np.int64) << 40) + s[open_])
         q = open_[p]
-        who, at, n = _spans(rank[p[~first]], s[q[~first]] + off[~first])
-        removed.append(np.stack([ids[who], at, n], axis=1).astype(np.int64).reshape(-1, 3))
+        # Runs within a piece: neighbours of one id may be of different texts.
+        who, at, n = _spans(q[~first], s[q[~first]] + off[~first])
+        removed.append(np.stack([d[who], t[who], at, n], axis=1).astype(np.int64).reshape(-1, 4))
+        more = [(d[k], x, a, m) for k, a, m in zip(who.tolist(), at.tolist(), n.tolist()) for x in twins.get(k, ())]
+        removed.append(np.array(more, np.int64).reshape(-1, 4))
         for k in np.flatnonzero(first & hot[q]).tolist():
             x = xxhash.xxh3_128_digest(pieces[q[k]][off[k]:off[k] + LENGTH])
-            exported.append((int.from_bytes(x[:8], "big", signed=True), int.from_bytes(x[8:], "big", signed=True),
-                             int(d[q[k]]), int(s[q[k]] + off[k])))
+            exported += [(int.from_bytes(x[:8], "big", signed=True), int.from_bytes(x[8:], "big", signed=True),
+                          int(d[q[k]]), int(s[q[k]] + off[k]), own) for own in (int(t[q[k]]), *twins.get(int(q[k]), ()))]
     return np.concatenate(removed), exported
 
 
 # --- Spark ----------------------------------------------------------------------
 
 def _packed_texts(docs: DataFrame) -> DataFrame:
-    """``(doc_id, d, z)``: texts compressed for the shuffle."""
+    """``(doc_id, d, t, z)``: texts compressed for the shuffle; t is a digest of the text."""
     def batches(it):
         for b in it:
             z = zstandard.ZstdCompressor(level=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(
-                [z.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(2).to_pylist()], pa.binary())], ["doc_id", "d", "z"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id().alias("d"), F.col("text").cast("string").alias("text")).mapInArrow(
-        batches, "doc_id long, d long, z binary")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(
+                [z.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(3).to_pylist()], pa.binary())], ["doc_id", "d", "t", "z"])
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id().alias("d"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(
+        batches, "doc_id long, d long, t long, z binary")
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
-    """``(h, d, m)``: the segment hashes of each document and in how many places they are."""
+    """``(h, d, t, m)``: the segment hashes of each document and in how many places they are."""
     def batches(it):
         for b in it:
-            hs, ds, ms = [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if t and 4 * len(t) >= LENGTH:
-                    h, m = np.unique(anchors(t.encode("utf-8", "surrogatepass")), return_counts=True)
+            hs, ds, ts, ms = [], [], [], []
+            for d, t, text in zip(*[c.to_pylist() for c in b.columns]):
+                if text and 4 * len(text) >= LENGTH:
+                    h, m = np.unique(anchors(text.encode("utf-8", "surrogatepass")), return_counts=True)
                     hs.append(h)
                     ds.append(np.full(len(h), d, np.int64))
+                    ts.append(np.full(len(h), t, np.int64))
                     ms.append(m)
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (hs, ds, ms)], ["h", "d", "m"])
-    rows = docs.select(row_id().alias("d"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(batches, "h long, d long, m long")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (hs, ds, ts, ms)], ["h", "d", "t", "m"])
+    text = F.col("text").cast("string")
+    rows = docs.select(row_id().alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
+    return rows.mapInArrow(batches, "h long, d long, t long, m long")
 
 
 def _hits(docs: DataFrame) -> DataFrame:
-    """``(d, hs, ns)``: the hashes of each document that occur again, and their counts."""
+    """``(d, t, hs, ns)``: the hashes of each text of an id that occur again, and their counts."""
     again = _anchors(docs).groupBy("h").agg(F.sum("m").alias("n")).where("n > 1")
-    hits = _anchors(docs).select("h", "d").join(again, "h")
+    hits = _anchors(docs).select("h", "d", "t").join(again, "h")
     # A task holds many documents; lists are only as long as a document.
-    by_doc = hits.groupBy("d").agg(F.collect_list(F.struct("h", "n")).alias("x"))
-    return saved(by_doc.select("d", F.col("x.h").alias("hs"), F.col("x.n").alias("ns")), "repeated-hashes")
+    by_doc = hits.groupBy("d", "t").agg(F.collect_set(F.struct("h", "n")).alias("x"))
+    return saved(by_doc.select("d", "t", F.col("x.h").alias("hs"), F.col("x.n").alias("ns")), "repeated-hashes")
 
 
 def _pieces(docs: DataFrame, hits: DataFrame, hot: int) -> DataFrame:
-    """Segments that meet others ``(h, salt, hot, d, s, n, piece)``; a null piece is a span that
+    """Segments that meet others ``(h, salt, hot, d, t, s, n, piece)``; a null piece is a span that
     is known to go: in one batch of documents only the earliest of identical segments is sent."""
     def batches(it):
         for b in it:
             seen: dict = {}
             unz, found = zstandard.ZstdDecompressor(), []
-            hs, ns = b.column(2), b.column(3)
-            for k, (d, z) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            hs, ns = b.column(3), b.column(4)
+            for k, (d, t, z) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())):
                 raw = unz.decompress(z)
                 want, n = hs[k].values.to_numpy(zero_copy_only=False), ns[k].values.to_numpy(zero_copy_only=False)
                 o = np.argsort(want)
@@ -287,68 +299,71 @@ def _pieces(docs: DataFrame, hits: DataFrame, hot: int) -> DataFrame:
                     row = (int(d), int(s[i]), int(h[i]), int(n[at[i]]))
                     piece = raw[s[i]:e[i] + LENGTH - 1]
                     old = seen.get(piece)
-                    if old is not None and old[:2] == row[:2]:
-                        continue
-                    if old is None or row < old:
-                        seen[piece] = row
-                        row = old
-                    if row is not None:
-                        found.append((row[2], 0, False, row[0], row[1], len(piece), None))
-            for piece, (d, s, h, n) in seen.items():
+                    if old is None:
+                        seen[piece] = (row, {t})
+                    elif old[0][:2] == row[:2]:
+                        old[1].add(t)                                # the same start in another text of the id
+                    else:
+                        gone, whose = row, {t}
+                        if row < old[0]:
+                            seen[piece] = (row, {t})
+                            gone, whose = old
+                        found += [(gone[2], 0, False, gone[0], x, gone[1], len(piece), None) for x in whose]
+            for piece, ((d, s, h, n), whose) in seen.items():
                 parts = 1 + n // hot
                 salt = xxhash.xxh64_intdigest(f"{d}:{s}") % parts if parts > 1 else 0
-                found.append((h, salt, parts > 1, d, s, len(piece), piece))
+                found += [(h, salt, parts > 1, d, x, s, len(piece), piece) for x in whose]
             for at in range(0, len(found), 1 << 14):
                 c = list(zip(*found[at:at + (1 << 14)]))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (
-                    pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                    ["h", "salt", "hot", "d", "s", "n", "piece"])
-    joined = _packed_texts(docs).select("d", "z").join(hits, "d").select("d", "z", "hs", "ns")
-    return joined.mapInArrow(batches, "h long, salt int, hot boolean, d long, s long, n long, piece binary")
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(c, (
+                    pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                    ["h", "salt", "hot", "d", "t", "s", "n", "piece"])
+    joined = _packed_texts(docs).select("d", "t", "z").join(hits, ["d", "t"]).select("d", "t", "z", "hs", "ns")
+    return joined.mapInArrow(batches, "h long, salt int, hot boolean, d long, t long, s long, n long, piece binary")
 
 
 def _resolved(pieces: DataFrame) -> DataFrame:
-    """Per shard: removed spans ``(d, s, n)``, and of hot hashes one row per digest range with
+    """Per shard: removed spans ``(d, t, s, n)``, and of hot hashes one row per digest range with
     the run of its earliest windows in order: ``(range, run)``."""
-    names = ["d", "s", "n", "range", "run"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["d", "t", "s", "n", "range", "run"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def out(removed, exported):
         k = len(removed)
-        cols = [removed[:, 0], removed[:, 1], removed[:, 2], [None] * k, [None] * k]
+        cols = [*removed.T, [None] * k, [None] * k]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
         if exported:
             x = np.array(exported, np.int64)
-            x = x[np.lexsort((x[:, 1], x[:, 0]))]
+            x = x[np.lexsort((x[:, 4], x[:, 1], x[:, 0]))]
             edges = np.searchsorted(x[:, 0], np.linspace(-2.0 ** 63, 2.0 ** 63, RANGES + 1)[1:-1].astype(np.int64))
             runs = [(i, r.tobytes()) for i, r in enumerate(np.split(x, edges)) if len(r)]
             none = [None] * len(runs)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                (none, none, none, [i for i, _ in runs], [r for _, r in runs]), kinds)], names)
+                (none, none, none, none, [i for i, _ in runs], [r for _, r in runs]), kinds)], names)
 
     def batches(it):
         part, size, last = [], 0, None
 
         def flush():
-            h, salt, hot, d, s, piece = zip(*part)
-            return _shard(np.array(h, np.int64), np.array(salt), np.array(d, np.int64), np.array(s, np.int64), list(piece), np.array(hot, bool))
+            h, salt, hot, d, t, s, piece = zip(*part)
+            return _shard(np.array(h, np.int64), np.array(salt), np.array(d, np.int64), np.array(t, np.int64), np.array(s, np.int64), list(piece), np.array(hot, bool))
         for b in it:
-            c = [b.column(k).to_pylist() for k in range(7)]
-            known = [(d, s, n) for d, s, n, p in zip(c[3], c[4], c[5], c[6]) if p is None]
+            c = [b.column(k).to_pylist() for k in range(8)]
+            known = [(d, t, s, n) for d, t, s, n, p in zip(*c[3:]) if p is None]
             if known:
                 yield from out(np.array(known, np.int64), [])
-            for h, salt, hot, d, s, _, p in zip(*c):
+            for h, salt, hot, d, t, s, _, p in zip(*c):
                 if p is None:
                     continue
                 if size >= SHARD_BYTES and (h, salt) != last:
                     yield from out(*flush())
                     part, size = [], 0
-                part.append((h, salt, hot, d, s, p))
+                part.append((h, salt, hot, d, t, s, p))
                 size, last = size + len(p), (h, salt)
         if part:
             yield from out(*flush())
     sharded = pieces.repartition("h", "salt").sortWithinPartitions("h", "salt")
-    return sharded.mapInArrow(batches, "d long, s long, n long, `range` int, run binary")
+    return sharded.mapInArrow(batches, "d long, t long, s long, n long, `range` int, run binary")
 
 
 def _merged(runs: DataFrame) -> DataFrame:
@@ -358,43 +373,60 @@ def _merged(runs: DataFrame) -> DataFrame:
         from_run: dict = {}
         for b in it:
             for r, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(raw, np.int64).reshape(-1, 4)
+                x = np.frombuffer(raw, np.int64).reshape(-1, 5)
+                # The same start in several texts of an id: one entry, the texts aside.
+                new = np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(axis=1)])
+                heads, mine_of = np.flatnonzero(new), {}
+                group = np.cumsum(new) - 1
+                for k in np.flatnonzero(~new).tolist():
+                    mine_of.setdefault(tuple(x[heads[group[k]], :2].tolist()), set()).add(int(x[k, 4]))
+                x = x[heads]
                 key = np.rec.fromarrays([x[:, 0], x[:, 1]], names="a,b")
                 old = from_run.get(r)
                 if old is None:
-                    from_run[r] = (key, x[:, 2:].copy())
+                    from_run[r] = (key, x[:, 2:].copy(), mine_of)
                     continue
-                okey, oat = old
+                okey, oat, twins = old
                 at = np.searchsorted(okey, key)
                 hit = np.flatnonzero(at < len(okey))
                 hit = hit[okey[at[hit]] == key[hit]]
                 gone = []
                 for k in hit.tolist():
-                    mine, theirs = tuple(x[k, 2:].tolist()), tuple(oat[at[k]].tolist())
-                    if mine != theirs:
-                        gone.append(max(mine, theirs))
-                        oat[at[k]] = min(mine, theirs)
+                    mine, theirs, name = tuple(x[k, 2:].tolist()), tuple(oat[at[k]].tolist()), tuple(x[k, :2].tolist())
+                    ours, others = {mine[2], *mine_of.pop(name, ())}, {theirs[2], *twins.get(name, ())}
+                    if mine[:2] == theirs[:2]:
+                        if more := (ours | others) - {theirs[2]}:
+                            twins[name] = more
+                    elif mine < theirs:
+                        gone += [(*theirs[:2], t) for t in others]
+                        oat[at[k]] = mine
+                        twins.pop(name, None)
+                        if more := ours - {mine[2]}:
+                            twins[name] = more
+                    else:
+                        gone += [(*mine[:2], t) for t in ours]
+                twins.update(mine_of)
                 rest = np.ones(len(key), bool)
                 rest[hit] = False
-                from_run[r] = (np.insert(okey, at[rest], key[rest]), np.insert(oat, at[rest], x[rest, 2:], axis=0))
+                from_run[r] = (np.insert(okey, at[rest], key[rest]), np.insert(oat, at[rest], x[rest, 2:], axis=0), twins)
                 if gone:
                     g = np.array(gone, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(g[:, 0].copy()), pa.array(g[:, 1].copy()), pa.array(np.full(len(g), LENGTH))],
-                                                     ["d", "s", "n"])
-    return runs.repartition("range").mapInArrow(batches, "d long, s long, n long")
+                    yield pa.RecordBatch.from_arrays([pa.array(g[:, k].copy()) for k in (0, 2, 1)] + [pa.array(np.full(len(g), LENGTH))],
+                                                     ["d", "t", "s", "n"])
+    return runs.repartition("range").mapInArrow(batches, "d long, t long, s long, n long")
 
 
 def removed_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """``(d, s, n)``: bytes to remove, possibly overlapping, by document order id."""
+    """``(d, t, s, n)``: bytes to remove, possibly overlapping, by document order id and digest of the text."""
     found = saved(_resolved(_pieces(docs, _hits(docs), hot)), "spans")
     runs = found.where("run is not null").select("range", "run")
-    return found.where("run is null").select("d", "s", "n").unionByName(_merged(runs))
+    return found.where("run is null").select("d", "t", "s", "n").unionByName(_merged(runs))
 
 
 def substring_digests(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of every document."""
-    spans = removed_spans(docs, hot).groupBy("d").agg(F.collect_list(F.struct("s", "n")).alias("x"))
-    spans = spans.select("d", F.col("x.s").alias("ss"), F.col("x.n").alias("ns"))
+    spans = removed_spans(docs, hot).groupBy("d", "t").agg(F.collect_set(F.struct("s", "n")).alias("x"))
+    spans = spans.select("d", "t", F.col("x.s").alias("ss"), F.col("x.n").alias("ns"))
 
     def batches(it):
         for b in it:
@@ -415,5 +447,5 @@ def substring_digests(docs: DataFrame, hot: int = HOT) -> DataFrame:
             c = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.int64()) for x in c[:3]], pa.array(c[3], pa.string())],
                                              ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-    rows = _packed_texts(docs).join(spans, "d", "left").select("doc_id", "z", "ss", "ns")
+    rows = _packed_texts(docs).join(spans, ["d", "t"], "left").select("doc_id", "z", "ss", "ns")
     return rows.mapInArrow(batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

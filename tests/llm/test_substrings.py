@@ -70,3 +70,17 @@ def test_suffix_array_and_prefixes(rng):
 
 def test_empty_table(spark):
     assert substrings.substring_digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("hot", [substrings.HOT, 5])
+def test_ids_with_several_texts(spark, rng, hot):
+    """Null and repeated ids, texts of different lengths, the same string at the same start."""
+    rows = rows_for(rng)
+    base, line = rows[0][1], rows[5][1]
+    rows += [(None if k % 2 else 5, base[int(rng.integers(0, 300)):][:int(rng.integers(90, 500))] + f" end {k}") for k in range(30)]
+    rows += [(i, line + f" tail {k} " * k) for k in range(12) for i in (None, 5, 50)]
+    rows += [(i, f"{'x' * k} " + base[:200 + 9 * k]) for k in range(12) for i in (None, 5)]
+    rows += [(None, "short"), (5, None), (None, None), (5, base * 3), (None, base * 2), (200, base[:150]), (None, "no repeat " + str(list(range(60))))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = [tuple(r) for r in substrings.substring_digests(docs, hot).collect()]
+    assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == brute(rows)
