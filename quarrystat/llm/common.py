@@ -67,3 +67,21 @@ def one_row_of_each(docs: DataFrame, marks: DataFrame) -> DataFrame:
     kept = docs.select(packed(docs).alias("row_"), row_id().alias("d"), row_digest(docs).alias("r")).join(keep, ["d", "r"])
     first = kept.where("several").groupBy("d", "r").agg(F.first("row_").alias("row_"))
     return unpacked(kept.where("not several").select("row_").unionByName(first.select("row_")), docs.columns)
+
+
+def crowded(total: int) -> int:
+    """A key with more rows than this is hot: 1/1024 of all rows, but 1,024 at least and 65,536
+    at most. A task can take a key below it; the keys above it are at most 1,024 or one in
+    65,536 rows, so a list of their hashes can be broadcast."""
+    return max(1024, min(total // 1024, 65_536))
+
+
+def matched(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with ``other``, which has one small row for each key (rows without a
+    partner keep nulls). The partners of hot keys are broadcast, so that no task gets all rows
+    of one key. ``rows`` is read three times, it should be a saved table."""
+    hot = rows.groupBy(*keys).count().where(F.col("count") > crowded(rows.count())).select(*keys)
+    hot = saved(hot.join(other, keys, "left").withColumn("hot_", F.lit(True)), "hot-partners")
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    near = marked.where(F.col("hot_").isNotNull()).drop("hot_")
+    return near.unionByName(marked.where(F.col("hot_").isNull()).select(*rows.columns).join(other, keys, "left"))

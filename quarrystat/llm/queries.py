@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quarrystat.llm import chat, decontam, langid, line_dedup, mixing, quality, rules, simhash, substrings, toxicity
+from quarrystat.llm import (audit, chat, decontam, exact, langid, line_dedup, mixing, negatives, quality, rules, simhash, substrings,
+                            toxicity)
 from quarrystat.llm.common import table
 
 
@@ -46,7 +47,20 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_exact_dedup(spark, sf_dir):
+    return exact.exact_copies(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 LLM_QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_mixing, op4_line_dedup, op5_chat_format, op6_language, op7_substrings, op8_rules,
-                                       op9_quality, op10_toxicity)}
+                                       op9_quality, op10_toxicity, op11_exact_dedup, op12_filter_audit, op13_hard_negatives)}
 LLM_ORACLES = {"op8_rules": rules.RULES_SQL, "op3_mixing": mixing.MIXING_SQL, "op4_line_dedup": line_dedup.LINE_DEDUP_SQL,
-               "op5_chat_format": chat.CHAT_SQL}
+               "op5_chat_format": chat.CHAT_SQL, "op11_exact_dedup": exact.EXACT_SQL, "op12_filter_audit": audit.AUDIT_SQL,
+               "op13_hard_negatives": negatives.NEGATIVES_SQL}
