@@ -20,8 +20,11 @@ def width(df: DataFrame, features: str = "features") -> int:
 
     The kernels refuse ragged rows; :func:`check_width` tests a whole table.
     """
-    packed = df.select(features).dtypes[0][1] == "binary"
-    row = df.select(F.octet_length(features) / 2 if packed else F.size(features)).first()
+    kind = df.select(features).dtypes[0][1]
+    x = F.unwrap_udt(features) if kind == "vector" else None
+    size = (F.coalesce(x["size"], F.size(x["values"])) if kind == "vector"
+            else F.octet_length(features) / 2 if kind == "binary" else F.size(features))
+    row = df.select(size).first()
     if row is None:
         raise ValueError("the table has no rows")
     return int(row[0])

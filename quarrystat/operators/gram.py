@@ -10,22 +10,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystat.functions import arrays as A
 from quarrystat.functions import kernels
-from quarrystat.operators.common import (MAX_MATRIX_CELLS, bounded_tasks, by_feature,
-                                         require_local, union_all, width)
+from quarrystat.operators.common import (MAX_MATRIX_CELLS, by_feature, require_local, union_all,
+                                         width)
+from quarrystat.operators.products import (FAN, RowProducts, cell_columns, is_vector, one_vector_each,
+                                           pair_products)
 from quarrystat.operators.reshape import mirror, to_long
 from quarrystat.operators.stats import col_l2, mean_vector
 
 # Matrix cells a task may hold in one scan.
 TASK_CELLS = 8_000_000
-# Buckets of tasks whose partial sums meet first.
-FAN = 32
 # Draws of cells: odd multipliers of 32-bit numbers (the second leaves products below 2**63).
 WORD, MIX, MIX_AGAIN = 1 << 32, 2654435761, 2146121005
 BROADCAST_ENTRIES = 2_000_000
@@ -42,10 +40,7 @@ def _gram_rows(df: DataFrame, d: int, features: str, shift, band: int) -> DataFr
     parts = [df.select(features).mapInArrow(
         kernels.gram_kernel(features, d, (a, min(a + band, d)), shift, FAN),
         "part int, i int, v array<double>") for a in range(0, d, band)]
-    rows = union_all(parts).select("part", "i", array_to_vector("v").alias("v"))
-    for keys in (("i", "part"), ("i",)):
-        rows = rows.groupBy(*keys).agg(Summarizer.sum(F.col("v")).alias("v"))
-    return rows.select("i", vector_to_array("v").alias("v"))
+    return one_vector_each(union_all(parts).withColumnRenamed("i", "c")).withColumnRenamed("c", "i")
 
 
 def gram(df: DataFrame, features: str = "features", shift=None, count: bool = False,
@@ -90,77 +85,113 @@ def _with_draw(df: DataFrame, seed: int) -> DataFrame:
         ":", F.col("id").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint"))
 
 
-def _keep_cell(p):
-    """Bernoulli draw per cell: the row's number and the column's, mixed."""
-    def f(x, j):
-        h = F.col("_r").bitwiseXOR((j.cast("bigint") + 1) * MIX % WORD) * MIX_AGAIN % WORD
+def _cells(df: DataFrame) -> DataFrame:
+    """Rows with ``_c``, an array of the cells ``(j, v)`` that a row holds: all of a dense row,
+    the given ones of a sparse row."""
+    if is_vector(df):
+        at, v = cell_columns()
+        cells = F.zip_with(at, v, lambda j, x: F.struct(j.alias("j"), x.alias("v")))
+    else:
+        cells = F.transform("features", lambda x, j: F.struct(j.alias("j"), x.cast("double").alias("v")))
+    return df.select("*", cells.alias("_c"))
+
+
+def _drawn(cells: DataFrame, p: np.ndarray, scale: np.ndarray) -> DataFrame:
+    """``(at, v)``: each cell of column j with probability p[j], divided by scale[j]. Cells that
+    are not drawn leave the row here, so that later work follows what is kept."""
+    probs, scales = A.literal_array(p), A.literal_array(scale)
+
+    def keep(c):
+        h = F.col("_r").bitwiseXOR((c["j"].cast("bigint") + 1) * MIX % WORD) * MIX_AGAIN % WORD
         h = h.bitwiseXOR(F.shiftright(h, 16)) * MIX_AGAIN % WORD
-        return h / F.lit(float(WORD)) < F.get(p, j)
-    return f
+        return h / F.lit(float(WORD)) < F.get(probs, c["j"])
+    kept = F.filter("_c", keep) if (p < 1).any() else F.col("_c")
+    return (cells.select(kept.alias("_k"))
+            .select(F.transform("_k", lambda c: c["j"]).alias("at"),
+                    F.transform("_k", lambda c: c["v"] / F.get(scales, c["j"])).alias("v")))
+
+
+def _products(kept: DataFrame, p: np.ndarray, d: int, sparse: bool) -> DataFrame:
+    """Sums of products of the kept cells, i <= j: by pairs that meet, or as a dense product
+    where the rows are dense and nothing is sampled away."""
+    if sparse or (p < 1).any():
+        return pair_products(kept, d)
+    return gram(kept.select(F.col("v").alias("features")))
+
+
+def _column_norms(df: DataFrame, d: int) -> np.ndarray:
+    """L2 norms of the columns; 1 for a column of zeros."""
+    rows = _cells(df).select(F.explode("_c").alias("c")) if is_vector(df) else None
+    norms, = by_feature(col_l2(df) if rows is None else rows.groupBy(F.col("c.j").alias("j")).agg(
+        F.sqrt(F.sum(F.col("c.v") * F.col("c.v"))).alias("l2")), d, "l2")
+    return np.where(np.nan_to_num(norms) == 0, 1.0, norms)
 
 
 def covariance_sampled(df: DataFrame, seed: int = 0, gamma: float | None = None) -> DataFrame:
     """Population covariance from sampled cells, upper triangle.
 
-    A centred cell of column i enters with probability p_i = sqrt(gamma) / norm,
-    gamma = 10 ln(d) / 1e-6 by default, and is weighted so that the expectation
-    is the covariance.  Exact where every p_i reaches 1.
+    A cell of column i enters with probability p_i = sqrt(gamma) / norm, gamma = 10 ln(d) / 1e-6
+    by default, and is weighted so that the expectation is the covariance.  Exact where every
+    p_i reaches 1. Dense rows are centred before the draw. Of sparse rows only the cells they
+    hold are drawn, and the product of the exact means is taken off the sums afterwards; pairs
+    of columns that never meet have no row (their value is minus that product). Work follows
+    the pairs of cells kept together.
     """
-    d = width(df)
-    norms, = by_feature(col_l2(df), d, "l2")
-    norms[norms == 0] = 1.0
+    d, sparse = width(df), is_vector(df)
     gamma = 10 * math.log(d) / 1e-6 if gamma is None else gamma
-    p = np.minimum(1.0, math.sqrt(gamma) / norms)
-    centred = _with_draw(df, seed).select("_r", A.subtract(F.col("features"),
-                                         A.literal_array(mean_vector(df))).alias("features"))
-    if (p < 1).any():
-        probs = A.literal_array(p)
-        keep = _keep_cell(probs)
-        centred = centred.withColumn("features", F.transform(
-            "features", lambda x, j: F.when(keep(x, j), x / F.get(probs, j)).otherwise(0.0)))
-    g = gram(centred, count=True)
+    p = np.minimum(1.0, math.sqrt(gamma) / _column_norms(df, d))
+    rows = RowProducts(df, d)
+    mean = rows.means()
+    if not sparse:
+        df = df.select("id", A.subtract(F.col("features"), A.literal_array(mean)).alias("features"))
+    g = _products(_drawn(_cells(_with_draw(df, seed)), p, p), p, d, sparse)
     # a squared cell was drawn once but weighted twice
     once = F.when(F.col("i") == F.col("j"), F.get(A.literal_array(p), F.col("i"))).otherwise(1.0)
-    return g.select("i", "j", (F.col("value") * once / F.col("n")).alias("value"))
+    value = F.col("value") * once / F.lit(float(rows.n))
+    if sparse:
+        m = A.literal_array(mean)
+        value = value - F.get(m, F.col("i")) * F.get(m, F.col("j"))
+    return g.select("i", "j", value.alias("value"))
 
 
 def cosine(df: DataFrame, threshold: float = 0.0, seed: int = 0) -> DataFrame:
     """Cosine similarity of column pairs i < j.
 
     Exact for thresholds below 1e-6; otherwise cells are sampled so that pairs
-    above the threshold are estimated well.
+    above the threshold are estimated well. Of sparse rows only pairs that meet have a row.
     """
     if threshold < 0:
         raise ValueError("threshold must not be negative")
-    if threshold < 1e-6:
-        norms, = by_feature(col_l2(df), width(df), "l2")
-        norms = A.literal_array(np.where(norms == 0, 1.0, norms))
-        return (gram(df).filter("i < j").select("i", "j", (
-            F.col("value") / (F.get(norms, F.col("i")) * F.get(norms, F.col("j")))).alias("value")))
-    return cosine_sampled(df, 10 * math.log(width(df)) / threshold, seed)
+    d = width(df)
+    if threshold >= 1e-6:
+        return cosine_sampled(df, 10 * math.log(d) / threshold, seed)
+    norms = _column_norms(df, d)
+    if is_vector(df):
+        every = np.ones(d)
+        return pair_products(_drawn(_cells(df), every, norms), d).filter("i < j")
+    norms = A.literal_array(norms)
+    return (gram(df).filter("i < j").select("i", "j", (
+        F.col("value") / (F.get(norms, F.col("i")) * F.get(norms, F.col("j")))).alias("value")))
 
 
 def cosine_sampled(df: DataFrame, gamma: float, seed: int = 0, norms=None) -> DataFrame:
-    """Cosine similarity by dimension-independent sampling (DIMSUM)."""
+    """Cosine similarity by dimension-independent sampling (DIMSUM), rows dense or sparse.
+
+    A cell of column j stays with probability sqrt(gamma) / norm_j; pairs of cells that stay in
+    one row are multiplied in its task and added up by pair before the shuffle, so the work
+    falls with gamma. Pairs of columns that never meet have no row.
+    """
     if gamma <= 1:
         raise ValueError("gamma must be above 1")
     d = width(df)
-    if norms is None:
-        norms, = by_feature(col_l2(df), d, "l2")
-    norms = np.asarray(norms, float).copy()
+    norms = _column_norms(df, d) if norms is None else np.asarray(norms, float).copy()
     if len(norms) != d:
         raise ValueError("one norm per column is needed")
     norms[norms == 0] = 1.0
     root = math.sqrt(gamma)
-    p, q = root / norms, np.minimum(root, norms)
-    probs, scale = A.literal_array(p), A.literal_array(q)
-    if (p >= 1).all():
-        cells = F.zip_with("features", scale, lambda x, s: x / s)
-    else:
-        df, keep = _with_draw(df, seed), _keep_cell(probs)
-        cells = F.transform("features", lambda x, j: F.when(keep(x, j), x / F.get(scale, j))
-                            .otherwise(0.0))
-    return gram(df.select(cells.alias("features"))).filter("i < j")
+    p, q = np.minimum(1.0, root / norms), np.minimum(root, norms)
+    rows = _with_draw(df, seed) if (p < 1).any() else df
+    return _products(_drawn(_cells(rows), p, q), p, d, is_vector(df)).filter("i < j")
 
 
 def gram_times(df: DataFrame, v) -> DataFrame:
@@ -171,15 +202,8 @@ def gram_times(df: DataFrame, v) -> DataFrame:
 
 
 def gram_times_matrix(df: DataFrame, v: np.ndarray) -> np.ndarray:
-    """(X'X) V for a small d x k matrix, on the driver."""
-    if v.size > MAX_MATRIX_CELLS:
-        raise ValueError("the right-hand matrix is too large to ship")
-    src = bounded_tasks(df.select("features"), v.size)
-    rows = (src.mapInArrow(kernels.gram_times_kernel("features", v), "j int, c int, value double")
-            .groupBy("j", "c").agg(F.sum("value").alias("value")).toArrow())
-    out = np.zeros(v.shape)
-    out[rows["j"].to_numpy(), rows["c"].to_numpy()] = rows["value"].to_numpy()
-    return out
+    """(X'X) V for a small d x k matrix, on the driver; rows may be sparse."""
+    return RowProducts(df, len(v)).times(np.asarray(v, float))
 
 
 def multiply_local(df: DataFrame, right: np.ndarray, out: str = "features", shift=None,

@@ -13,28 +13,62 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystat.operators.gram import local_moments
+from quarrystat.operators.common import width
+from quarrystat.operators.products import RowProducts, is_vector
 from quarrystat.operators.reshape import split, with_label
 
 REG_PARAMS = (0.01, 0.1, 1.0, 10.0, 100.0)
+#: Features up to which least squares is solved from one pass.
+DIRECT = 512
 
 
 def as_ml(df: DataFrame) -> DataFrame:
-    """Features as an ML vector, label as double."""
-    return (df.withColumn("features", array_to_vector("features"))
-            .withColumn("label", F.col("label").cast("double")))
-
-
-def least_squares(df: DataFrame) -> np.ndarray:
-    """Weights of label ~ features without intercept, from one pass.
-
-    X'X and X'y are blocks of the Gram matrix of the row with its label. Collinear
-    features share their weight: the solution of least norm.
+    """Features as an ML vector, label as double. Vectors, sparse ones too, stay as they are."""
+    if not is_vector(df):
+        df = df.withColumn("features", array_to_vector("features"))
+    return df.withColumn("label", F.col("label").cast("double"))
+
+
+def least_squares(df: DataFrame, tol: float = 1e-12, max_iter: int | None = None,
+                  direct: int = DIRECT) -> np.ndarray:
+    """Weights of label ~ features without intercept. Collinear features share their weight:
+    the solution of least norm.
+
+    Up to ``direct`` features the normal equations are solved from one pass. Wider tables take
+    conjugate gradients on them, a scan a round: each scan gives the product with the search
+    direction and, from the rows themselves, the gradient X'(y - Xw) anew, so that rounding in
+    the recurrence does not add up. The driver holds vectors of one number a feature and no
+    state lies in the table. It ends when the gradient is below ``tol`` times that of w = 0 (or
+    times |X| |y - Xw|), or the rest below ``tol`` times y. Starting from 0 it stays in the row
+    space, which is the solution of least norm.
     """
-    _, _, g = local_moments(with_label(df))
-    if np.linalg.cond(g[:-1, :-1]) > 1e13:
-        return np.linalg.lstsq(g[:-1, :-1], g[:-1, -1], rcond=1e-12)[0]
-    return np.linalg.solve(g[:-1, :-1], g[:-1, -1])
+    d = width(df)
+    if d <= direct:
+        g = RowProducts(with_label(df), d + 1).times(np.eye(d + 1))
+        g = (g + g.T) / 2
+        if np.linalg.cond(g[:-1, :-1]) > 1e13:
+            return np.linalg.lstsq(g[:-1, :-1], g[:-1, -1], rcond=1e-12)[0]
+        return np.linalg.solve(g[:-1, :-1], g[:-1, -1])
+    rows = RowProducts(df, d, target="label")
+    w, p, start, goal, norm = np.zeros(d), np.zeros(d), None, None, 0.0
+    for _ in range(max_iter or 10 * d):
+        m = rows.times(np.column_stack([p, w]))
+        q, gradient, rest = m[:, 0], m[:, 1], np.sqrt(rows.total)      # X'Xp, X'(y - Xw), |y - Xw|
+        if start is None:
+            start, goal, p = float(np.linalg.norm(gradient)), rest, gradient
+            if start == 0.0:
+                return w
+            continue
+        curve, slope = float(p @ q), float(p @ gradient)
+        norm = max(norm, np.sqrt(max(curve, 0.0) / float(p @ p)))
+        if np.linalg.norm(gradient) <= tol * max(start, norm * rest) or rest <= tol * goal or curve <= 0.0:
+            return w
+        w = w + p * (slope / curve)
+        gradient = gradient - q * (slope / curve)
+        p = gradient - p * (float(gradient @ q) / curve)
+        if not p.any():
+            return w
+    raise RuntimeError("no convergence: raise max_iter or tol")
 
 
 def auc(df: DataFrame, score: str, label: str) -> float:
@@ -49,9 +83,9 @@ def _auc_of(pred: DataFrame) -> float:
     return BinaryClassificationEvaluator(numBins=0).evaluate(pred)
 
 
-def logistic(df: DataFrame, reg: float = 0.0, max_iter: int = 100, tol: float = 1e-6):
-    """Binary logistic regression on a table with 0/1 labels."""
-    return LogisticRegression(regParam=reg, maxIter=max_iter, tol=tol).fit(as_ml(df))
+def logistic(df: DataFrame, reg: float = 0.0, max_iter: int = 100, tol: float = 1e-6, standardize: bool = True):
+    """Binary logistic regression on a table with 0/1 labels, rows dense or sparse."""
+    return LogisticRegression(regParam=reg, maxIter=max_iter, tol=tol, standardization=standardize).fit(as_ml(df))
 
 
 def predict(model, df: DataFrame) -> DataFrame:
@@ -59,13 +93,16 @@ def predict(model, df: DataFrame) -> DataFrame:
 
 
 def logistic_sweep(df: DataFrame, regs=REG_PARAMS, share: float = 0.8, seed: int = 0,
-                   max_iter: int = 100) -> DataFrame:
-    """Held-out AUC per regularisation: ``(reg, auc)``."""
+                   max_iter: int = 100, classes: bool = False) -> DataFrame:
+    """Held-out AUC per regularisation: ``(reg, auc)``; with ``classes`` that of the predicted
+    classes instead of the scores."""
     train, test = split(as_ml(df), share, seed=seed)
     train, test = train.persist(), test.persist()
     try:
-        rows = [(float(r), float(_auc_of(LogisticRegression(regParam=r, maxIter=max_iter)
-                                         .fit(train).transform(test)))) for r in regs]
+        rows = []
+        for r in regs:
+            pred = LogisticRegression(regParam=r, maxIter=max_iter).fit(train).transform(test)
+            rows.append((float(r), float(auc(pred, "prediction", "label") if classes else _auc_of(pred))))
     finally:
         train.unpersist()
         test.unpersist()

@@ -7,7 +7,7 @@ from quarrystat.operators import gram
 from quarrystat.operators.reshape import to_long
 from quarrystat.plans.registry import E, GRAM, embeddings, query, r6, table
 from quarrystat.session import scratch_path
-from quarrystat.sources import metadata, synthetic, text
+from quarrystat.sources import metadata, sparse, synthetic, text
 
 _LINES = f"""WITH {E}, o AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS o FROM embeddings)"""
 
@@ -33,7 +33,7 @@ FROM e GROUP BY ALL""")
 def libsvm_table(spark, sf):
     path = scratch_path(spark, "libsvm")
     text.write_libsvm(embeddings(spark, sf), path)
-    cells = text.read_libsvm(spark, path, 64).select("label", F.posexplode("features").alias("j", "v"))
+    cells = sparse.to_entries(text.read_libsvm(spark, path, 64), "label")
     return cells.groupBy("label", "j").agg(F.count("*").alias("n"), A.neat(F.avg("v")).alias("mean"))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrystat.operators.products import is_vector
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(line, value)``: 0-based contiguous line numbers in file order.
@@ -53,17 +55,22 @@ def write_labels(df: DataFrame, path: str) -> None:
     df.orderBy("id").select(F.col("label").cast("string").alias("value")).write.text(path)
 
 
-def read_libsvm(spark: SparkSession, path: str, features: int | None = None) -> DataFrame:
-    """LibSVM rows as ``(label, features)``; bz2 and gzip are read as they are."""
+def read_libsvm(spark: SparkSession, path: str, features: int | None = None, dense: bool = False,
+                ids: bool = False) -> DataFrame:
+    """LibSVM rows as ``(label, features)``, ML vectors that hold the cells of the file;
+    ``dense`` makes arrays of them. bz2 and gzip are read as they are. ``ids`` numbers the rows
+    by split and line: the same for the same files, not contiguous."""
     reader = spark.read.format("libsvm")
     if features:
         reader = reader.option("numFeatures", str(features))
-    return reader.load(path).select("label", vector_to_array("features").alias("features"))
+    x = vector_to_array("features").alias("features") if dense else "features"
+    return reader.load(path).select(*([F.monotonically_increasing_id().alias("id")] if ids else []), "label", x)
 
 
 def write_libsvm(df: DataFrame, path: str) -> None:
-    (df.select(F.col("label").cast("double").alias("label"),
-               array_to_vector("features").alias("features")).write.format("libsvm").save(path))
+    """Rows with array or vector features; of sparse vectors only the cells they hold."""
+    x = F.col("features") if is_vector(df) else array_to_vector("features").alias("features")
+    df.select(F.col("label").cast("double").alias("label"), x).write.format("libsvm").save(path)
 
 
 def write_entries(entries: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -47,13 +47,17 @@ class StreamingPca:
         if load_state(spark, at) is not None:
             return
         before = load_state(spark, f"{self.path}/{batch_id - 1}", needed=True) if batch_id else None
-        if batch.isEmpty():
-            if before is not None:
-                save_state(spark, before, at)
-            else:                                  # nothing learnt yet, but the batch is done
-                spark.createDataFrame([], _STATE).write.mode("overwrite").parquet(at)
-            return
-        save_state(spark, ipca_fit(batch, before, self.ff, self.k), at)
+        batch = batch.select("features").persist()      # read again by every product
+        try:
+            if batch.isEmpty():
+                if before is not None:
+                    save_state(spark, before, at)
+                else:                              # nothing learnt yet, but the batch is done
+                    spark.createDataFrame([], _STATE).write.mode("overwrite").parquet(at)
+                return
+            save_state(spark, ipca_fit(batch, before, self.ff, self.k), at)
+        finally:
+            batch.unpersist()
 
     def latest(self, spark: SparkSession, batch_id: int) -> IpcaState | None:
         return load_state(spark, f"{self.path}/{batch_id}")

@@ -42,8 +42,9 @@ def test_top_eigen_exhausts_small_space(df, x):
     lam, vec = D.top_eigen(df, 7)
     assert np.allclose(lam, np.linalg.eigvalsh(x.T @ x)[::-1][:7])
     assert np.allclose(x.T @ x @ vec, vec * lam)
+    assert np.allclose(D.top_eigen(df, 8)[0], np.linalg.eigvalsh(x.T @ x)[::-1])
     with pytest.raises(ValueError):
-        D.top_eigen(df, 8)
+        D.top_eigen(df, 9)
 
 
 def test_pca(df, x):
@@ -155,6 +156,6 @@ def test_auc_with_ties(spark):
     assert supervised.auc(df, "s", "y") == pytest.approx((4 + 2 * 0.5) / 6)
 
 
-def test_wide_matrix_is_refused_locally(spark):
+def test_wide_matrix_is_refused_on_the_driver_only(spark):
     with pytest.raises(ValueError):
         gram.local_moments(from_rows(spark, [[0.0] * 4097], label=False))

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrystat.operators import stats
-from quarrystat.sources import metadata, synthetic, text
+from quarrystat.sources import metadata, sparse, synthetic, text
 
 
 def test_lines_pair_across_files_and_splits(spark, tmp_path):
@@ -27,8 +27,10 @@ def test_lines_pair_across_files_and_splits(spark, tmp_path):
 def test_libsvm_bz2(spark, tmp_path):
     import bz2
     (tmp_path / "a.bz2").write_bytes(bz2.compress(b"1 1:0.5 3:2.0\n-1 2:1.5\n"))
-    got = sorted((r["label"], r["features"]) for r in text.read_libsvm(spark, str(tmp_path / "a.bz2"), 3).collect())
-    assert got == [(-1.0, [0.0, 1.5, 0.0]), (1.0, [0.5, 0.0, 2.0])]
+    rows = text.read_libsvm(spark, str(tmp_path / "a.bz2"), 3, dense=True).collect()
+    assert sorted((r["label"], r["features"]) for r in rows) == [(-1.0, [0.0, 1.5, 0.0]), (1.0, [0.5, 0.0, 2.0])]
+    cells = sparse.to_entries(text.read_libsvm(spark, str(tmp_path / "a.bz2"), 3, ids=True), "label").collect()
+    assert sorted(map(tuple, cells)) == [(-1.0, 1, 1.5), (1.0, 0, 0.5), (1.0, 2, 2.0)]
 
 
 def test_synthetic_is_repeatable_and_gaussian(spark):
