@@ -6,11 +6,17 @@ bounded by the number of features, never by the number of rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 
 SIGN = np.int64(-(2 ** 63))
+# Counts that a task may hold, cells of one numpy step, and bytes of rows held for counting.
+COUNT_CELLS, SLICE_CELLS, HELD_BYTES = 8_000_000, 4_000_000, 32 << 20
+# Below this share of the norms a distance is taken from differences.
+FEW_DIGITS = 1e-3
 
 
 def matrix(batch, name: str, d: int | None = None) -> np.ndarray:
@@ -119,21 +125,6 @@ def product_kernel(name: str, keep: list[str], right: np.ndarray, out: str, shif
     return run
 
 
-def gram_times_kernel(name: str, right: np.ndarray):
-    """Partial sums of X' (X right) as ``(j, c, value)``, once per task."""
-    def run(batches):
-        acc = np.zeros(right.shape)
-        for batch in batches:
-            x = matrix(batch, name, right.shape[0]).astype(np.float64, copy=False)
-            if len(x):
-                acc += x.T @ (x @ right)
-        j, c = np.indices(acc.shape)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(j.reshape(-1).astype(np.int32)), pa.array(c.reshape(-1).astype(np.int32)),
-             pa.array(acc.reshape(-1))], names=["j", "c", "value"])
-    return run
-
-
 def _rows_with_few_gaps(x: np.ndarray, check, limit: int | None) -> np.ndarray:
     """Rows of x with at most ``limit`` NaNs among the columns ``check``."""
     if limit is None:
@@ -197,79 +188,103 @@ def unsortable(keys: np.ndarray) -> np.ndarray:
     return np.where(k < 0, k & ~SIGN, ~k).view(np.float64)
 
 
-def digit_kernel(name: str, d: int, cols: tuple[int, int], prefixes: list[np.ndarray] | None,
-                 done: int, width: int):
-    """Histogram of the next ``width`` key bits per feature of ``cols`` and prefix.
+def first_bits(d: int, cells: int) -> int:
+    """Key bits of a first histogram of d features in ``cells`` cells: 4 to 16."""
+    return max(4, min(16, (cells // max(d, 1)).bit_length() - 1))
+
+
+class _Histogram:
+    """Rows by cell, and whether a cell holds one value only."""
+
+    def __init__(self, size: int):
+        self.cnt, self.seen, self.mixed = np.zeros(size, np.int64), np.zeros(size, np.uint64), np.zeros(size, bool)
 
-    ``prefixes[j]`` holds the sorted distinct leading ``done`` bits still of
-    interest for feature ``j`` (None in the first round).  Emits
-    ``(j, prefix, digit, cnt, lo, hi)`` for the cells that occur, once per
-    task; ``lo`` and ``hi`` differ when a cell holds more than one value.
+    def add(self, cell, key):
+        open_ = np.flatnonzero(~self.mixed[cell])
+        if len(open_):
+            c, k = cell[open_], key[open_]
+            fresh = self.cnt[c] == 0
+            self.seen[c[fresh]] = k[fresh]
+            self.mixed[c[self.seen[c] != k]] = True
+        self.cnt += np.bincount(cell, minlength=len(self.cnt))
+
+
+def _cell_batch(j, lead, digit, cnt, lo, hi):
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(digit), j, np.int32)), pa.array(lead), pa.array(digit.astype(np.int32)),
+         pa.array(cnt), pa.array(lo), pa.array(hi)], names=["j", "prefix", "digit", "cnt", "lo", "hi"])
+
+
+def digit_kernel(name: str, cols: list[int] | None, prefixes: list[np.ndarray] | None, done: int, bits: int,
+                 cells: int):
+    """Histogram of the next ``bits`` key bits per feature and prefix.
+
+    ``cols`` names the features that the array holds, ``prefixes`` the sorted distinct leading
+    ``done`` bits still of interest for each. In the first round both are None: all features,
+    and as many bits as ``cells`` allows; a task then also emits one row with j = -1, its row
+    count in ``cnt`` and its width in ``lo`` and ``hi``. Emits ``(j, prefix, digit, cnt, lo, hi)``
+    for the cells that occur, once per task; ``lo`` and ``hi`` differ when a cell holds more
+    than one value.
     """
     def run(batches):
-        acc: dict[int, list] = {}
-        shift = np.uint64(64 - done - width)
-        mask = np.uint64((1 << width) - 1)
+        held: dict[int, _Histogram] = {}
+        rows, d, width = 0, 0, bits
         for batch in batches:
-            x = matrix(batch, name, d)
+            x = matrix(batch, name, d or None)
+            if not len(x):
+                continue
+            if not d:
+                d = x.shape[1]
+                width = bits if cols is not None else first_bits(d, cells)
+                shift, mask = np.uint64(64 - done - width), np.uint64((1 << width) - 1)
+            rows += len(x)
             # feature-major, so that every column is read in one run
-            keys = sortable(np.ascontiguousarray(x[:, cols[0]:cols[1]].T)) if len(x) else ()
-            for j, key in enumerate(keys, cols[0]):
+            for c, key in enumerate(sortable(np.ascontiguousarray(x.T))):
+                slots = 1
                 if prefixes is None:
-                    cell, n_slots = (key >> shift).astype(np.int64), 1
+                    cell = (key >> shift).astype(np.int64)
                 else:
-                    want = prefixes[j]
-                    n_slots = len(want)
-                    if not n_slots:
+                    want = prefixes[c]
+                    slots = len(want)
+                    if not slots:
                         continue
                     lead = key >> np.uint64(64 - done)
-                    slot = np.minimum(np.searchsorted(want, lead), n_slots - 1)
+                    slot = np.minimum(np.searchsorted(want, lead), slots - 1)
                     hit = np.flatnonzero(want[slot] == lead)
                     key = key[hit]
                     cell = (slot[hit] << width) + ((key >> shift) & mask).astype(np.int64)
-                size = n_slots << width
-                if j not in acc:
-                    acc[j] = [np.zeros(size, np.int64), np.zeros(size, np.uint64),
-                              np.zeros(size, bool)]
-                cnt, seen, mixed = acc[j]
-                open_ = np.flatnonzero(~mixed[cell])
-                if len(open_):
-                    c, k = cell[open_], key[open_]
-                    fresh = cnt[c] == 0
-                    seen[c[fresh]] = k[fresh]
-                    mixed[c[seen[c] != k]] = True
-                cnt += np.bincount(cell, minlength=size)
-        for j, (cnt, seen, mixed) in acc.items():
-            at = np.flatnonzero(cnt)
+                if c not in held:
+                    held[c] = _Histogram(slots << width)
+                held[c].add(cell, key)
+        if rows and cols is None:
+            one = np.zeros(1, np.int64)
+            yield _cell_batch(-1, one, one, one + rows, one + d, one + d)
+        for c, h in held.items():
+            at = np.flatnonzero(h.cnt)
             if not len(at):
                 continue
-            lead = (np.zeros(len(at), np.uint64) if prefixes is None
-                    else prefixes[j][at >> width])
+            lead = np.zeros(len(at), np.uint64) if prefixes is None else prefixes[c][at >> width]
             # keys as signed numbers; a mixed cell is marked by two unequal ends
-            lo = seen[at].view(np.int64)
-            hi = np.where(mixed[at], lo ^ 1, lo)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), j, np.int32)), pa.array(lead.view(np.int64)),
-                 pa.array((at & ((1 << width) - 1)).astype(np.int32)),
-                 pa.array(cnt[at].astype(np.int64)), pa.array(np.minimum(lo, hi)),
-                 pa.array(np.maximum(lo, hi))],
-                names=["j", "prefix", "digit", "cnt", "lo", "hi"])
+            lo = h.seen[at].view(np.int64)
+            hi = np.where(h.mixed[at], lo ^ 1, lo)
+            yield _cell_batch(c if cols is None else cols[c], lead.view(np.int64), at & ((1 << width) - 1),
+                              h.cnt[at], np.minimum(lo, hi), np.maximum(lo, hi))
     return run
 
 
-def gather_kernel(name: str, d: int, prefixes: list[np.ndarray], done: int):
+def gather_kernel(name: str, cols: list[int], prefixes: list[np.ndarray], done: int):
     """Values whose leading ``done`` bits are wanted: ``(j, prefix, v, cnt)``.
 
     Ties are folded inside each batch.
     """
     def run(batches):
         for batch in batches:
-            x = matrix(batch, name, d)
-            for j in range(d) if len(x) else ():
-                want = prefixes[j]
+            x = matrix(batch, name, len(cols))
+            for c, j in enumerate(cols) if len(x) else ():
+                want = prefixes[c]
                 if not len(want):
                     continue
-                key = sortable(x[:, j])
+                key = sortable(x[:, c])
                 if done:
                     lead = key >> np.uint64(64 - done)
                     slot = np.minimum(np.searchsorted(want, lead), len(want) - 1)
@@ -285,14 +300,14 @@ def gather_kernel(name: str, d: int, prefixes: list[np.ndarray], done: int):
     return run
 
 
-def bin_kernel(name: str, keep: list[str], cuts: np.ndarray, out: str, top: int | None = None):
-    """Number of cuts strictly below each value, as ``array<smallint>``."""
+def bin_kernel(name: str, keep: list[str], cuts: np.ndarray, out: str, top: int | None = None, kind=np.int16):
+    """Number of cuts strictly below each value, as an array of ``kind``."""
     def run(batches):
         for batch in batches:
             x = matrix(batch, name, len(cuts))
             if not len(x):
                 continue
-            b = np.empty(x.shape, np.int16)
+            b = np.empty(x.shape, kind)
             for j in range(x.shape[1]):
                 b[:, j] = np.searchsorted(cuts[j], x[:, j], side="left")
             if top is not None:
@@ -322,16 +337,57 @@ def row_bin_kernel(keep: list[str], levels: int):
     return run
 
 
-def count_kernel(name: str, d: int, sel: int | None, refs: list[str]):
+class _JointCounts:
+    """Dense counts features x reference codes x states, growing by doubling."""
+
+    def __init__(self, d: int, most: int):
+        self.d, self.most = d, most
+        self.clear()
+
+    def clear(self):
+        self.codes: dict[int, int] = {}
+        self.acc = np.zeros((self.d, 0, 0), np.int64)
+
+    def fits(self, fresh: int, states: int) -> bool:
+        """Makes room for ``fresh`` more codes and ``states`` states if the bound allows it."""
+        _, r, k = self.acc.shape
+        codes, states = len(self.codes) + fresh, max(states, k)
+        if codes > r or states > k:
+            r, k2 = (max(codes, 2 * r) if codes > r else r), states
+            if self.d * r * k2 > self.most:
+                r = codes
+            if self.d * r * k2 > self.most:
+                return False
+            acc = np.zeros((self.d, r, k2), np.int64)
+            acc[:, :self.acc.shape[1], :k] = self.acc
+            self.acc = acc
+        return True
+
+    def cells(self):
+        j, r, b = np.nonzero(self.acc)
+        codes = np.zeros(self.acc.shape[1], np.int64)
+        codes[:len(self.codes)] = list(self.codes)
+        return j, codes[r], b, self.acc[j, r, b]
+
+
+def _count_batch(j, code, b, cnt):
+    y = ((code + (1 << 31)) & 0xFFFFFFFF) - (1 << 31)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(j.astype(np.int32)), pa.array((code - y) >> 32), pa.array(y),
+         pa.array(b.astype(np.int32)), pa.array(cnt)], names=["j", "s", "y", "b", "cnt"])
+
+
+def count_kernel(name: str, d: int, sel: int | None, refs: list[str], most: int = COUNT_CELLS):
     """Joint counts ``(j, s, y, b, cnt)`` of every feature with one reference.
 
     ``s`` is the bin of feature ``sel`` or the first column of ``refs``; ``y``
     is the next column of ``refs`` or 0.  References are 32-bit integers.  A task
-    keeps features x states counts and emits the non-zero ones once.
+    keeps at most ``most`` counts. Where more would be needed, what it holds is sent
+    on and it starts anew; a batch that alone needs more is counted by sorting, feature
+    by feature. The counts of a cell then arrive in parts.
     """
     def run(batches):
-        codes: dict[int, int] = {}
-        acc = np.zeros((d, 0, 0), np.int64)
+        held = _JointCounts(d, most)
         for batch in batches:
             b = matrix(batch, name, d)
             if not len(b):
@@ -345,113 +401,169 @@ def count_kernel(name: str, d: int, sel: int | None, refs: list[str]):
                 ref = [np.zeros(len(b), np.int64)]
             y = ref[1] if len(ref) > 1 else 0
             joint, place = np.unique((ref[0] << 32) + y, return_inverse=True)
+            states = int(b.max()) + 1
+            by_feature = np.ascontiguousarray(b.T)
+            if not held.fits(sum(c not in held.codes for c in joint.tolist()), states):
+                if len(held.codes):
+                    yield _count_batch(*held.cells())
+                held.clear()
+                if not held.fits(len(joint), states):
+                    for j, col in enumerate(by_feature):
+                        cell, cnt = np.unique(place * states + col, return_counts=True)
+                        yield _count_batch(np.full(len(cell), j), joint[cell // states], cell % states, cnt.astype(np.int64))
+                    held.clear()
+                    continue
             for c in joint.tolist():
-                codes.setdefault(c, len(codes))
-            place = np.array([codes[c] for c in joint.tolist()])[place]
-            grow = [(0, 0), (0, len(codes) - acc.shape[1]),
-                    (0, max(0, int(b.max()) + 1 - acc.shape[2]))]
-            acc = np.pad(acc, grow)
-            _, r, k = acc.shape
+                held.codes.setdefault(c, len(held.codes))
+            _, r, k = held.acc.shape
             # one feature at a time: its counts stay in cache
-            start = place * k
-            for j, col in enumerate(np.ascontiguousarray(b.T)):
-                acc[j] += np.bincount(start + col, minlength=r * k).reshape(r, k)
-        j, r, b = np.nonzero(acc)
-        if not len(j):
-            return
-        code = np.array(list(codes), np.int64)[r]
-        y = ((code + (1 << 31)) & 0xFFFFFFFF) - (1 << 31)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(j.astype(np.int32)), pa.array((code - y) >> 32), pa.array(y),
-             pa.array(b.astype(np.int32)), pa.array(acc[j, r, b])],
-            names=["j", "s", "y", "b", "cnt"])
+            start = np.array([held.codes[c] for c in joint.tolist()])[place] * k
+            for j, col in enumerate(by_feature):
+                held.acc[j] += np.bincount(start + col, minlength=r * k).reshape(r, k)
+        if len(held.codes):
+            yield _count_batch(*held.cells())
     return run
 
 
-def pair_count_kernel(name: str, d: int, rows: tuple[int, int], cols: tuple[int, int], states: int):
-    """Contingency counts of every feature pair i <= j of two column tiles.
+def pair_count_kernel(name: str, d: int, rows: tuple[int, int], states: int, most: int = COUNT_CELLS):
+    """Contingency counts ``(i, j, bi, bj, cnt)`` of the features i of ``rows`` with every j >= i.
 
-    The bins are spread into 0/1 columns, so one matrix product counts all
-    pairs of a slice.  Emits ``(i, j, bi, bj, cnt)`` once per task.
+    Rows are held feature-major, in as small integers as the states allow, up to a number of
+    bytes; then one feature after the other meets all its partners in one count of combined
+    states. The work for a pair does not grow with the number of states, and a task holds
+    ``most`` counts at most. Only cells that occur are sent on.
     """
-    def spread(b):
-        n, t = b.shape
-        if n and (b.min() < 0 or b.max() >= states):
-            raise ValueError(f"a bin is outside 0..{states - 1}")
-        hot = np.zeros((n, t * states), np.float32)
-        hot[np.arange(n)[:, None], np.arange(t) * states + b] = 1.0
-        return hot
+    kind = np.uint8 if states <= 256 else np.int16 if states <= 1 << 15 else np.int32
+    square = states * states
+
+    def met(x):
+        for i in range(*rows):
+            step = max(1, min(most // square, SLICE_CELLS // max(x.shape[1], 1)))
+            base = x[i].astype(np.int64) * states
+            for a in range(i, d, step):
+                part = x[a:a + step]
+                k, n = part.shape
+                code = (base + part) + (np.arange(k, dtype=np.int64) * square)[:, None]
+                if k * square <= most:
+                    cnt = np.bincount(code.reshape(-1), minlength=k * square)
+                    cell = np.flatnonzero(cnt)
+                    cnt = cnt[cell]
+                else:                                  # one partner whose table is too large: sort
+                    cell, cnt = np.unique(code, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(cell), i, np.int32)), pa.array((a + cell // square).astype(np.int32)),
+                     pa.array((cell % square // states).astype(np.int32)), pa.array((cell % states).astype(np.int32)),
+                     pa.array(cnt.astype(np.int64))], names=["i", "j", "bi", "bj", "cnt"])
 
     def run(batches):
-        acc = None
+        held, rows_held = [], 0
         for batch in batches:
-            b = matrix(batch, name, d).astype(np.int64, copy=False)
-            # counts of a slice stay far below 2**24, where float32 is exact
-            for at in range(0, len(b), 4096):
-                left = spread(b[at:at + 4096, rows[0]:rows[1]])
-                right = left if rows == cols else spread(b[at:at + 4096, cols[0]:cols[1]])
-                if acc is None:
-                    acc = np.zeros((left.shape[1], right.shape[1]), np.int64)
-                for a in range(0, len(acc), 256):
-                    # below the diagonal nothing is needed
-                    c = a // states * states if rows == cols else 0
-                    acc[a:a + 256, c:] += (left[:, a:a + 256].T @ right[:, c:]).astype(np.int64)
-        if acc is None:
-            return
-        r, c = np.nonzero(acc)
-        i, j = r // states + rows[0], c // states + cols[0]
-        keep = i <= j
-        r, c, i, j = r[keep], c[keep], i[keep], j[keep]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)),
-             pa.array((r % states).astype(np.int32)), pa.array((c % states).astype(np.int32)),
-             pa.array(acc[r, c])], names=["i", "j", "bi", "bj", "cnt"])
+            b = matrix(batch, name, d)
+            if not len(b):
+                continue
+            if b.min() < 0 or b.max() >= states:
+                raise ValueError(f"a bin is outside 0..{states - 1}")
+            held.append(np.ascontiguousarray(b[:, rows[0]:].T, kind))
+            rows_held += len(b)
+            if rows_held * (d - rows[0]) * kind().itemsize >= HELD_BYTES:
+                yield from met(_padded(held, rows[0]))
+                held, rows_held = [], 0
+        if held:
+            yield from met(_padded(held, rows[0]))
     return run
 
 
-def row_pair_kernel(kind: str, shift=None):
-    """All row pairs of two blocks ``p >= q``: inner product or squared distance.
-
-    For ``applyInArrow`` on groups ``(p, q)`` with columns blk, id, features.
-    A group holds two bounded blocks, or one when p = q.  Emits r >= s.
+def _padded(parts: list[np.ndarray], first: int) -> np.ndarray:
+    """The parts side by side; features before ``first`` are not looked at and stay empty."""
+    x = np.concatenate(parts, axis=1)
+    return np.vstack([np.zeros((first, x.shape[1]), x.dtype), x]) if first else x
+
+
+def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of two small blocks, with the digits of summed squared
+    differences: by a matrix product about the common mean, and where the result is small
+    against the norms (rows close together, or clusters far apart) by the differences."""
+    c = np.concatenate([a, b]).mean(axis=0)
+    a, b = a - c, b - c
+    scale = (a ** 2).sum(1)[:, None] + (b ** 2).sum(1)[None, :]
+    value = scale - 2.0 * (a @ b.T)
+    i, j = np.nonzero(~(value > FEW_DIGITS * scale))
+    step = max(1, SLICE_CELLS // max(a.shape[1], 1))
+    for at in range(0, len(i), step):
+        r, s = i[at:at + step], j[at:at + step]
+        value[r, s] = ((a[r] - b[s]) ** 2).sum(1)
+    return value
+
+
+class _Block:
+    """Rows of one block in sub-blocks; for distances near rows stand together."""
+
+    def __init__(self, ids, x, rows, near):
+        if near and len(x) > rows:
+            order = np.argsort(x[:, x.var(axis=0).argmax()], kind="stable")
+            ids, x = ids[order], x[order]
+        cuts = [slice(at, at + rows) for at in range(0, len(ids), rows)]
+        self.ids, self.x = [ids[c] for c in cuts], [x[c] for c in cuts]
+        self.centre = [x.mean(axis=0) for x in self.x]
+        self.radius = [float(np.sqrt(((x - c) ** 2).sum(1).max())) for x, c in zip(self.x, self.centre)]
+
+
+def row_pair_kernel(kind: str, rows: int, shift=None, most: float | None = None):
+    """All row pairs of a cell ``p >= q`` of the grid: inner product or squared distance.
+
+    For ``applyInArrow`` on groups ``(p, q)`` with columns blk, id, features. A group holds two
+    blocks, or one when p = q; it is worked off by sub-blocks of ``rows`` rows, a batch of
+    results each. Emits r >= s. With ``most`` only distances up to it leave the task, and
+    sub-blocks that are farther apart (their centres, less both radii) are never multiplied.
     """
-    def run(key, table):
+    def one(left, a, right, b, diagonal):
+        if most is not None:
+            gap = float(np.sqrt(((left.centre[a] - right.centre[b]) ** 2).sum()))
+            if gap - left.radius[a] - right.radius[b] > np.sqrt(most) * (1 + 1e-9):
+                return None
+        xa, xb = left.x[a], right.x[b]
+        value = xa @ xb.T if kind == "gram" else squared_distances(xa, xb)
+        r, s = (m.reshape(-1) for m in np.meshgrid(left.ids[a], right.ids[b], indexing="ij"))
+        value = value.reshape(-1)
+        keep = np.ones(len(r), bool)
+        if diagonal:                                 # each pair of one sub-block once
+            i, j = (m.reshape(-1) for m in np.indices((len(xa), len(xb))))
+            keep = i >= j
+        if most is not None:
+            keep &= value <= most
+        r, s, value = r[keep], s[keep], value[keep]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.maximum(r, s).astype(np.int64)), pa.array(np.minimum(r, s).astype(np.int64)),
+             pa.array(value)], names=["r", "s", "value"])
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, q = key[0].as_py(), key[1].as_py()
-        blk = table.column("blk").to_numpy()
-        ids = table.column("id").to_numpy()
+        table = pa.Table.from_batches(list(batches))
+        blk, ids = table.column("blk").to_numpy(), table.column("id").to_numpy()
         x = matrix(table, "features").astype(np.float64, copy=False)
         if shift is not None:
             x = x - shift
-        if kind == "distance" and len(x):
-            x = x - x.mean(axis=0)                 # distances stay, digits are not lost far from 0
-        a = blk == p
-        b = blk == q
-        xa, xb, ia, ib = x[a], x[b], ids[a], ids[b]
-        value = xa @ xb.T
-        if kind == "distance":
-            value = (xa ** 2).sum(1)[:, None] + (xb ** 2).sum(1)[None, :] - 2.0 * value
-            np.maximum(value, 0.0, out=value)
-            value[ia[:, None] == ib[None, :]] = 0.0
-        r, s = np.meshgrid(ia, ib, indexing="ij")
-        if p == q:
-            keep = r >= s
-            r, s, value = r[keep], s[keep], value[keep]
-        else:
-            r, s, value = r.reshape(-1), s.reshape(-1), value.reshape(-1)
-        return pa.table({"r": np.maximum(r, s).astype(np.int64),
-                         "s": np.minimum(r, s).astype(np.int64), "value": value})
+        sides = [_Block(ids[blk == b], x[blk == b], rows, kind == "distance") for b in sorted({p, q}, reverse=True)]
+        left, right = sides[0], sides[-1]
+        for a in range(len(left.ids)):
+            for b in range(a + 1 if p == q else len(right.ids)):
+                out = one(left, a, right, b, p == q and a == b)
+                if out is not None and out.num_rows:
+                    yield out
     return run
 
 
 def transpose_kernel():
-    """One chunk of rows turned into one row per feature, ordered by id."""
+    """A tile of rows x features turned into one row per feature, ordered by id."""
     def run(key, table):
-        chunk = key[0].as_py()
-        order = np.argsort(table.column("id").to_numpy(), kind="stable")
+        chunk, first = key[0].as_py(), key[1].as_py()
+        ids = table.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
         m = matrix(table, "features")[order].T
-        d = m.shape[0]
-        return pa.table({"j": pa.array(np.arange(d, dtype=np.int32)),
+        d, n = m.shape
+        return pa.table({"j": pa.array(np.arange(first, first + d, dtype=np.int32)),
                          "chunk": pa.array(np.full(d, chunk, np.int64)),
+                         "ids": list_column(np.tile(ids[order].astype(np.int64), (d, 1))),
                          "values": list_column(m)})
     return run
 

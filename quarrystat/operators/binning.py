@@ -3,160 +3,181 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrystat.functions import kernels
-from quarrystat.operators.common import bounded_tasks, union_all, width
+from quarrystat.operators.common import PARTIAL_BUDGET, union_all
 
 # Rows of one feature a single task may sort.
 SORT_LIMIT = 1_000_000
 # Cells worth shuffling instead of another pass: a few, or one in a thousand.
 SORT_CELLS = 1_000_000
-# Key bits of the first pass: sign and exponent.
-FIRST_BITS = 12
-# Histogram cells a task may hold; wider tables are counted tile by tile.
+# Histogram cells a task may hold.
 HISTOGRAM_CELLS = 8_000_000
+# Wanted ranks that are sent to every task; more meet the cells in a shuffle.
+BROADCAST_RANKS = 1_000_000
+# Open features up to which they are read alone.
+FEW_FEATURES = 256
+
+_CELLS = "j int, prefix bigint, digit int, cnt bigint, lo bigint, hi bigint"
 
 
 def order_statistics(df: DataFrame, ranks: list[int], features: str = "features",
-                     sort_limit: int = SORT_LIMIT, n: int | None = None) -> np.ndarray:
+                     sort_limit: int = SORT_LIMIT) -> np.ndarray:
     """The values of the given 1-based ranks of every feature, a d x L matrix.
 
     Radix selection on the 64-bit sort keys: every pass counts the next key
     bits inside the ranges still open, so nothing but histograms is shuffled
-    and no task holds a whole feature.  A range of at most ``sort_limit`` rows
-    is sorted; a short table is one such range from the start.  A rank is
+    and no task holds a whole feature.  The first pass also counts the rows and
+    finds the width. A range of at most ``sort_limit`` rows is sorted.  A rank is
     settled as soon as its range holds a single value, so heavy ties cost no
-    further pass.
+    further pass; later passes read only the features that still have an open range.
     """
-    n = df.count() if n is None else n
-    if not ranks or min(ranks) < 1 or max(ranks) > n:
-        raise ValueError(f"ranks must lie in 1..{n}")
-    d = width(df, features)
-    found = _select(df, ranks, features, d, n, sort_limit)
-    out = np.full((d, len(ranks)), np.nan)
-    for j, k, v in found:
-        out[j, k] = v
-    return out
-
+    def of(n: int) -> list[int]:
+        if not ranks or min(ranks) < 1 or max(ranks) > n:
+            raise ValueError(f"ranks must lie in 1..{n}")
+        return ranks
+    return _select(df, of, features, sort_limit)
 
-def _locate(cells: DataFrame, by: str, want: list[tuple], *more: str):
-    """Cells of each range ``(j, prefix)`` in which the wanted ranks fall.
 
-    ``want`` rows are (j, prefix, k, rank): features x levels of them.
-    """
+def _located(cells: DataFrame, by: str, open_: np.ndarray, lead: np.ndarray, left: np.ndarray, *more: str) -> pa.Table:
+    """``(j, k, by, cnt, upto, *more)``: the cells in which the wanted ranks fall."""
     run = (W.partitionBy("j", "prefix").orderBy(by)
            .rowsBetween(W.unboundedPreceding, W.currentRow))
-    targets = cells.sparkSession.createDataFrame(want, "j int, prefix bigint, k int, rank bigint")
-    return (cells.withColumn("upto", F.sum("cnt").over(run))
-            .join(F.broadcast(targets), ["j", "prefix"])
-            .filter("upto - cnt < rank and rank <= upto")
-            .select("j", "k", by, "cnt", "upto", *more).collect())
-
-
-def _select(df, ranks, features, d, n, sort_limit):
-    """``(feature, position in ranks, value)`` of every wanted rank."""
-    src = df.select(features)
-    lead = {(j, k): 0 for j in range(d) for k in range(len(ranks))}     # key bits known
-    left = {(j, k): int(r) for j in range(d) for k, r in enumerate(ranks)}  # rank in range
-    size = dict.fromkeys(lead, n)                                        # rows in range
-    found, done = [], 0
-
-    def wanted():
-        prefixes = [set() for _ in range(d)]
-        for (j, _), p in lead.items():
-            prefixes[j].add(p)
-        return ([np.array(sorted(p), np.uint64) for p in prefixes],
-                [(j, _signed(p), k, left[j, k]) for (j, k), p in lead.items()])
-
-    while done < 64:
-        rest = [size[t] for t in lead]
-        if not rest or (max(rest) <= sort_limit and sum(rest) <= max(SORT_CELLS, n * d // 1000)):
-            break
-        bits = _next_bits(max(rest), done, src)
-        prefixes, want = wanted()
-        slots = max(len(p) for p in prefixes)
-        step = max(1, HISTOGRAM_CELLS // (slots << bits))
-        parts = bounded_tasks(src, d * slots << bits)
+    j, k = np.nonzero(open_)
+    want = cells.sparkSession.createDataFrame(pa.table({
+        "j": j.astype(np.int32), "prefix": lead[j, k].view(np.int64), "k": k.astype(np.int32), "rank": left[j, k]}))
+    want = F.broadcast(want) if len(j) <= BROADCAST_RANKS else want
+    return (cells.withColumn("upto", F.sum("cnt").over(run)).join(want, ["j", "prefix"])
+            .filter("upto - cnt < rank and rank <= upto").select("j", "k", by, "cnt", "upto", *more).toArrow())
+
+
+def _histogram(src: DataFrame, kernel) -> DataFrame:
+    return src.mapInArrow(kernel, _CELLS).groupBy("j", "prefix", "digit").agg(
+        F.sum("cnt").alias("cnt"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def _select(df: DataFrame, ranks_of: Callable[[int], list[int]], features: str, sort_limit: int) -> np.ndarray:
+    """The value of every wanted rank, d x L; ``ranks_of`` gives the ranks for a row count."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    cells = _histogram(df.select(features), kernels.digit_kernel(features, None, None, 0, 0, HISTOGRAM_CELLS)).persist()
+    try:
+        head = cells.where("j < 0").first()
+        if head is None:
+            raise ValueError("the table has no rows")
+        if head["lo"] != head["hi"]:
+            raise ValueError(f"{features}: rows differ in width")
+        n, d = head["cnt"], head["lo"]
+        ranks = np.array(ranks_of(n), np.int64)
+        value = np.full((d, len(ranks)), np.nan)
+        open_ = np.ones(value.shape, bool)
+        lead = np.zeros(value.shape, np.uint64)                # key bits known
+        left = np.tile(ranks, (d, 1))                          # rank in the range
+        size = np.full(value.shape, n)                         # rows in the range
+        bits = kernels.first_bits(d, HISTOGRAM_CELLS)
+        found = _located(cells.where("j >= 0"), "digit", open_, lead, left, "lo", "hi")
+    finally:
+        cells.unpersist()
+    done = _narrow_ranges(found, bits, 0, value, open_, lead, left, size)
+    while open_.any() and done < 64 and (size[open_].max() > sort_limit
+                                         or size[open_].sum() > max(SORT_CELLS, n * d // 1000)):
+        src, cols, prefixes = _open_columns(df, features, open_, lead)
+        bits = _next_bits(size[open_], sum(map(len, prefixes)), tasks, max(SORT_CELLS, n * d // 1000), 64 - done)
         cells = union_all([
-            parts.mapInArrow(
-                kernels.digit_kernel(features, d, (a, min(a + step, d)), prefixes if done else None,
-                                     done, bits),
-                "j int, prefix bigint, digit int, cnt bigint, lo bigint, hi bigint")
-            for a in range(0, d, step)])
-        cells = cells.groupBy("j", "prefix", "digit").agg(
-            F.sum("cnt").alias("cnt"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        for r in _locate(cells, "digit", want, "lo", "hi"):
-            t = (r["j"], r["k"])
-            if r["lo"] == r["hi"]:
-                found.append((*t, _value(r["lo"])))
-                del lead[t]
-                continue
-            lead[t] = (lead[t] << bits) | r["digit"]
-            left[t] -= r["upto"] - r["cnt"]
-            size[t] = r["cnt"]
-        done += bits
-    if lead:
-        prefixes, want = wanted()
-        # at most sort_limit rows per range
-        cells = src.mapInArrow(kernels.gather_kernel(features, d, prefixes, done),
+            _histogram(src, kernels.digit_kernel(features, cols, part, done, bits, HISTOGRAM_CELLS))
+            for part in _bounded(prefixes, HISTOGRAM_CELLS >> bits)])
+        found = _located(cells, "digit", open_, lead, left, "lo", "hi")
+        done = _narrow_ranges(found, bits, done, value, open_, lead, left, size)
+    if open_.any():
+        src, cols, prefixes = _open_columns(df, features, open_, lead)
+        cells = src.mapInArrow(kernels.gather_kernel(features, cols, prefixes, done),
                                "j int, prefix bigint, v double, cnt bigint")
-        found += [(r["j"], r["k"], r["v"]) for r in _locate(cells, "v", want)]
-    return found
-
-
-def _next_bits(rows: int, done: int, src: DataFrame) -> int:
-    """Bits for the next pass over ranges of up to ``rows`` rows.
-
-    Histograms cost tasks x 2**bits rows, what is left costs rows / 2**bits:
-    the sum is least where both are equal.
-    """
-    if not done:
-        return FIRST_BITS
-    tasks = src.sparkSession.sparkContext.defaultParallelism
-    return min(64 - done, max(4, min(10, round(math.log2(max(rows / tasks, 1)) / 2))))
-
-
-def _signed(key: int) -> int:
-    return key - (1 << 64) if key >= 1 << 63 else key
-
-
-def _value(key: int) -> float:
-    return float(kernels.unsortable(np.array([key], np.int64).view(np.uint64))[0])
+        found = _located(cells, "v", open_, lead, left)
+        value[found["j"].to_numpy(), found["k"].to_numpy()] = found["v"].to_numpy()
+    return value
+
+
+def _narrow_ranges(found: pa.Table, bits: int, done: int, value, open_, lead, left, size) -> int:
+    """Every open range becomes the cell found in it; cells of one value are settled."""
+    c = {name: found[name].to_numpy() for name in found.column_names}
+    at = c["j"], c["k"]
+    single = c["lo"] == c["hi"]
+    value[c["j"][single], c["k"][single]] = kernels.unsortable(c["lo"][single].astype(np.int64).view(np.uint64))
+    open_[at] = ~single
+    lead[at] = (lead[at] << np.uint64(bits)) | c["digit"].astype(np.uint64)
+    left[at] -= c["upto"] - c["cnt"]
+    size[at] = c["cnt"]
+    return done + bits
+
+
+def _open_columns(df: DataFrame, features: str, open_: np.ndarray, lead: np.ndarray):
+    """The features with an open range: a table of these alone if they are few, their
+    positions, and the prefixes wanted of each."""
+    d = len(open_)
+    cols = np.flatnonzero(open_.any(1)).tolist()
+    if len(cols) == d or len(cols) > FEW_FEATURES:
+        src, cols = df.select(features), list(range(d))
+    else:
+        src = df.select(F.array(*[F.get(F.col(features), F.lit(j)) for j in cols]).alias(features))
+    return src, cols, [np.unique(lead[j][open_[j]]) for j in cols]
+
+
+def _bounded(prefixes: list[np.ndarray], slots: int) -> list[list[np.ndarray]]:
+    """The prefixes dealt to scans of at most ``slots`` each (one scan but for very many)."""
+    none = np.zeros(0, np.uint64)
+    parts, used = [[none] * len(prefixes)], 0
+    for c, p in enumerate(prefixes):
+        while len(p):
+            take = p[:max(1, slots - used)]
+            parts[-1][c] = take
+            p, used = p[len(take):], used + len(take)
+            if used >= slots and (len(p) or any(len(q) for q in prefixes[c + 1:])):
+                parts.append([none] * len(prefixes))
+                used = 0
+    return parts
+
+
+def _next_bits(sizes: np.ndarray, slots: int, tasks: int, limit: int, most: int) -> int:
+    """Bits for the next pass: enough to leave ``limit`` rows in the ranges together, as far as
+    the cells fit a task and the cells of all tasks the shuffle."""
+    needed = math.ceil(math.log2(max(2.0, float(sizes.max()) * len(sizes) / limit))) + 2
+    room = min(HISTOGRAM_CELLS // max(slots, 1), PARTIAL_BUDGET // max(slots * tasks, 1))
+    return min(most, max(4, min(16, needed, max(1, room).bit_length() - 1)))
 
 
 def equal_frequency_cuts(df: DataFrame, levels: int, features: str = "features",
                          sort_limit: int = SORT_LIMIT) -> np.ndarray:
     """Cut values ``sorted[k * (n div levels)]`` for k = 1..levels, d x levels."""
-    n = df.count()
-    if levels > n:
-        raise ValueError(f"{levels} levels for {n} rows")
-    step = n // levels
-    return order_statistics(df, [k * step for k in range(1, levels + 1)], features,
-                            sort_limit, n)
+    def ranks(n: int) -> list[int]:
+        if levels > n:
+            raise ValueError(f"{levels} levels for {n} rows")
+        return [k * (n // levels) for k in range(1, levels + 1)]
+    return _select(df, ranks, features, sort_limit)
 
 
 def equal_frequency_bins(df: DataFrame, levels: int, features: str = "features",
                          out: str = "bins", clamp: bool = False, cuts: np.ndarray | None = None,
                          sort_limit: int = SORT_LIMIT) -> DataFrame:
-    """``bins[j]`` = number of cuts of feature j strictly below the value.
+    """``bins[j]`` = number of cuts of feature j strictly below the value, small integers
+    (beyond 32,767 cuts plain ones).
 
     Rows above the last cut (levels not dividing n) get bin ``levels``;
     ``clamp`` folds them into the last regular bin.
     """
     if cuts is None:
         cuts = equal_frequency_cuts(df, levels, features, sort_limit)
-    if max((len(c) for c in cuts), default=0) >= 1 << 15:
-        raise ValueError("more than 32,767 levels do not fit the bins")
+    wide = max((len(c) for c in cuts), default=0) >= 1 << 15
     keep = [c for c in df.columns if c != features]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(keep).schema)
-    schema = (schema + ", " if schema else "") + f"`{out}` array<smallint>"
-    return df.mapInArrow(
-        kernels.bin_kernel(features, keep, cuts, out, levels - 1 if clamp else None), schema)
+    schema = (schema + ", " if schema else "") + f"`{out}` array<{'int' if wide else 'smallint'}>"
+    return df.mapInArrow(kernels.bin_kernel(features, keep, cuts, out, levels - 1 if clamp else None,
+                                            np.int32 if wide else np.int16), schema)
 
 
 def bins_long(df: DataFrame, *keep: str, bins: str = "bins") -> DataFrame:

@@ -12,33 +12,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrystat.functions import kernels
-from quarrystat.operators.common import bounded_tasks, log2, tiles, union_all, width
+from quarrystat.operators.common import log2, union_all, width
 from quarrystat.operators.gram import local_matrix
 from quarrystat.operators.reshape import mirror
 
-# Columns of one spread 0/1 slice: tile features x states.
-SPREAD_COLUMNS = 2048
+def _c_log_c(c: Column) -> Column:
+    return c * log2(c)
 
 
-def _sum_over(*keys: str) -> Column:
-    return F.sum("cnt").over(W.partitionBy(*keys))
+def _margins(counts: DataFrame, keys: list[str], *sets: tuple[str, ...]) -> DataFrame:
+    """``(*keys, g, *columns, c)``: the counts summed over each of ``sets``, numbered by g.
 
+    Every margin cell is a group of its own, so that neither a feature nor a pair with many
+    states becomes one task's group.
+    """
+    names = list(dict.fromkeys(c for s in sets for c in s))
+    kinds = dict(counts.dtypes)
+    rows = F.inline(F.array(*[F.struct(F.lit(g).alias("g"), *[
+        (F.col(c) if c in s else F.lit(None).cast(kinds[c])).alias(c) for c in names]) for g, s in enumerate(sets)]))
+    return (counts.select(*keys, F.col("cnt").cast("double").alias("c"), rows)
+            .groupBy(*keys, "g", *names).agg(F.sum("c").alias("c")))
 
-def _mi(counts: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """MI per key from joint counts ``(*keys, x, y, cnt)``.
 
-    The counts are regrouped by key once; margins and total then need no
-    further shuffle.
-    """
-    c = counts.withColumn("cnt", F.col("cnt").cast("double"))
-    if not keys:
-        c, keys = c.withColumn("_k", F.lit(0)), ["_k"]
-    c = (c.repartition(*keys)
-         .withColumn("_x", _sum_over(*keys, x)).withColumn("_y", _sum_over(*keys, y))
-         .withColumn("_n", _sum_over(*keys)))
-    term = F.col("cnt") * log2(F.col("cnt") * F.col("_n") / (F.col("_x") * F.col("_y")))
-    out = c.groupBy(*keys).agg((F.sum(term) / F.max("_n")).alias("mi"))
-    return out.drop("_k") if keys == ["_k"] else out
+def _mi(counts: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """MI per key from joint counts ``(*keys, x, y, cnt)``: log n + (S(x, y) - S(x) - S(y)) / n,
+    S being the sum of c log c over the cells."""
+    g, c = F.col("g"), F.col("c")
+    sign = F.when(g == 0, 1.0).otherwise(-1.0)
+    n = F.sum(F.when(g == 0, c))
+    out = _margins(counts, keys, (x, y), (x,), (y,)).groupBy(*keys).agg(
+        (log2(n) + F.sum(sign * _c_log_c(c)) / n).alias("mi"))
+    return out if keys else out.where("mi is not null")
 
 
 def mi_pair(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -62,7 +66,7 @@ def packed(df: DataFrame, *keep: str, bins: str = "bins") -> DataFrame:
 
 def _counted(df: DataFrame, sel: int | None, refs: list[str], bins: str) -> DataFrame:
     d = width(df, bins)
-    parts = bounded_tasks(df.select(*dict.fromkeys(refs), bins), d * 100).mapInArrow(
+    parts = df.select(*dict.fromkeys(refs), bins).mapInArrow(
         kernels.count_kernel(bins, d, sel, refs), "j int, s bigint, y bigint, b int, cnt bigint")
     return parts.groupBy("j", "s", "y", "b").agg(F.sum("cnt").alias("cnt"))
 
@@ -95,32 +99,42 @@ def mi_vector(df: DataFrame, ref: str | int, bins: str = "bins") -> DataFrame:
     return _mi(joint_counts(df, ref, bins=bins), ["j"], "s", "b")
 
 
-def pair_counts(df: DataFrame, states: int, bins: str = "bins") -> DataFrame:
-    """Joint counts of every feature pair ``(i, j, bi, bj, cnt)``, i <= j."""
+def pair_counts(df: DataFrame, states: int, bins: str = "bins", branches: int = 1) -> DataFrame:
+    """Joint counts of every feature pair ``(i, j, bi, bj, cnt)``, i <= j.
+
+    One scan counts all pairs. ``branches`` cuts the features i into so many tile rows, a scan
+    each, for tables with fewer splits than cores.
+    """
     d = width(df, bins)
-    tile = max(1, SPREAD_COLUMNS // states)
-    src = bounded_tasks(df.select(bins), (d * states) ** 2 // 2)
-    parts = [src.mapInArrow(kernels.pair_count_kernel(bins, d, r, c, states),
-                            "i int, j int, bi int, bj int, cnt bigint")
-             for r, c in tiles(d, tile)]
+    tile = max(1, -(-d // branches))
+    parts = [df.select(bins).mapInArrow(kernels.pair_count_kernel(bins, d, (a, min(a + tile, d)), states),
+                                        "i int, j int, bi int, bj int, cnt bigint") for a in range(0, d, tile)]
     return union_all(parts).groupBy("i", "j", "bi", "bj").agg(F.sum("cnt").alias("cnt"))
 
 
-def mi_matrix(df: DataFrame, states: int, triangle: str = "full", bins: str = "bins") -> DataFrame:
+def mi_matrix(df: DataFrame, states: int, triangle: str = "full", bins: str = "bins",
+              branches: int = 1) -> DataFrame:
     """MI of all feature pairs ``(i, j, mi)``.
 
     ``states`` is the number of bins (largest bin + 1).  The diagonal holds the
-    entropies.  ``triangle``: full, lower (i >= j) or strict_lower (i > j).
+    entropies.  ``triangle``: full, lower (i >= j) or strict_lower (i > j). The margins of a
+    pair are the diagonal's counts: a pair needs but its own sum of c log c.
     """
-    counts = pair_counts(df, states, bins)
-    if triangle == "strict_lower":
-        counts = counts.filter("i <> j")
-    upper = _mi(counts, ["i", "j"], "bi", "bj")
+    if triangle not in ("full", "lower", "strict_lower"):
+        raise ValueError(f"unknown triangle {triangle}")
+    c = F.col("cnt").cast("double")
+    pairs = pair_counts(df, states, bins, branches).groupBy("i", "j").agg(
+        F.sum(_c_log_c(c)).alias("s"), F.sum(c).alias("n"))
+    own = F.when(F.col("i") == F.col("j"), F.col("s"))
+    pairs = (pairs.withColumn("si", F.max(own).over(W.partitionBy("i")))
+             .withColumn("sj", F.max(own).over(W.partitionBy("j"))))
+    n, s, si, sj = (F.col(k) for k in ("n", "s", "si", "sj"))
+    upper = pairs.select("i", "j", (log2(n) + (s - si - sj) / n).alias("mi"))
     if triangle == "full":
         return mirror(upper)
-    if triangle in ("lower", "strict_lower"):
-        return upper.select(F.col("j").alias("i"), F.col("i").alias("j"), "mi")
-    raise ValueError(f"unknown triangle {triangle}")
+    if triangle == "strict_lower":
+        upper = upper.filter("i <> j")
+    return upper.select(F.col("j").alias("i"), F.col("i").alias("j"), "mi")
 
 
 def mi_matrix_local(df: DataFrame, states: int, bins: str = "bins"):
@@ -130,16 +144,17 @@ def mi_matrix_local(df: DataFrame, states: int, bins: str = "bins"):
 
 
 def _conditional(df, sel, label, bins, given, weighting):
+    """Sum over the states z of the condition of I(x; y | z), weighted by probability or not."""
     if weighting not in ("probability", "uniform"):
         raise ValueError(f"unknown weighting {weighting}")
     z, x = ("s", "b") if given == "selected" else ("b", "s")
-    c = (joint_counts(df, sel, label, bins).withColumn("cnt", F.col("cnt").cast("double"))
-         .repartition("j")
-         .withColumn("_z", _sum_over("j", z)).withColumn("_xz", _sum_over("j", z, x))
-         .withColumn("_yz", _sum_over("j", z, "y")).withColumn("_n", _sum_over("j")))
-    term = F.col("cnt") * log2(F.col("cnt") * F.col("_z") / (F.col("_xz") * F.col("_yz")))
-    over = F.col("_n") if weighting == "probability" else F.col("_z")
-    return c.groupBy("j").agg(F.sum(term / over).alias("cmi"))
+    g, c = F.col("g"), F.col("c")
+    sign = F.when(g.isin(0, 3), 1.0).otherwise(-1.0)
+    states = (_margins(joint_counts(df, sel, label, bins), ["j"], (z, x, "y"), (z, x), (z, "y"), (z,))
+              .groupBy("j", z).agg(F.sum(sign * _c_log_c(c)).alias("t"), F.sum(F.when(g == 3, c)).alias("n")))
+    if weighting == "uniform":
+        return states.groupBy("j").agg(F.sum(F.col("t") / F.col("n")).alias("cmi"))
+    return states.groupBy("j").agg((F.sum("t") / F.sum("n")).alias("cmi"))
 
 
 def cmi_vector(df: DataFrame, sel: str | int, label: str = "label", bins: str = "bins",

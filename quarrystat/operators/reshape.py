@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrystat.functions import arrays as A
 from quarrystat.functions import kernels
+from quarrystat.session import scratch_path
 
 ORDINAL_BUCKET = 1_000_000
-MAX_BUCKETS = 10_000
+# Samples and cells of a tile of a transpose.
+TILE_ROWS, TILE_CELLS = 16_384, 4_000_000
 
 
 def wide_table(df: DataFrame, id_col, features, label=None, extra=()) -> DataFrame:
@@ -51,20 +52,36 @@ def transpose_entries(df: DataFrame) -> DataFrame:
                               F.col("v").alias("value"))
 
 
-def transpose_sorted(df: DataFrame) -> DataFrame:
-    """Transposed cells in feature order, sample order inside each feature."""
-    return to_long(df).select("j", "id", "v").orderBy("j", "id")
+def transpose_tiles(df: DataFrame, rows: int = TILE_ROWS, cells: int = TILE_CELLS) -> DataFrame:
+    """``(j, chunk, ids, values)``: feature j of the samples of a chunk, in id order.
 
+    A tile holds ``rows`` samples of as many features as make ``cells`` cells, so that the
+    width of the table never makes one larger. Rows are cut by feature tile before the
+    shuffle, each cell travels once, and a tile leaves its task in order.
+    """
+    blocked = with_blocks(df.select("id", "features"), rows)
+    step = max(1, cells // rows)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("features") - 1, F.lit(0)), F.lit(step))
+    parts = blocked.select("blk", "id", "features", F.explode(starts).alias("first")).select(
+        "blk", "first", "id", F.slice("features", F.col("first") + 1, F.lit(step)).alias("features"))
+    return parts.groupBy("blk", "first").applyInArrow(
+        kernels.transpose_kernel(), "j int, chunk bigint, ids array<bigint>, values array<double>")
 
-def transpose_chunks(df: DataFrame, chunk_rows: int = 16384) -> DataFrame:
-    """Feature-major arrays ``(j, chunk, values)`` of at most ``chunk_rows`` samples.
 
-    The shuffle moves whole rows keyed by chunk; no array ever grows with the
-    table.  With ``chunk_rows`` >= rows each feature is one array.
-    """
-    blocked = with_blocks(df.select("id", "features"), chunk_rows)
-    return blocked.select("blk", "id", "features").groupBy("blk").applyInArrow(
-        kernels.transpose_kernel(), "j int, chunk bigint, values array<double>")
+def transpose_sorted(df: DataFrame, rows: int = TILE_ROWS, cells: int = TILE_CELLS) -> DataFrame:
+    """Transposed cells ``(j, pos, id, v)`` in feature order, sample order inside each feature;
+    ``pos`` counts the samples of a feature. The sort moves whole runs of a tile, not cells."""
+    runs = transpose_tiles(df, rows, cells).orderBy("j", "chunk")
+    cell = F.posexplode(F.arrays_zip("ids", "values")).alias("k", "c")
+    return runs.select("j", "chunk", cell).select(
+        "j", (F.col("chunk") * rows + F.col("k")).alias("pos"), F.col("c.ids").alias("id"), F.col("c.values").alias("v"))
+
+
+def transpose_chunks(df: DataFrame, chunk_rows: int = TILE_ROWS, cells: int = TILE_CELLS) -> DataFrame:
+    """Feature-major arrays ``(j, chunk, values)`` of at most ``chunk_rows`` samples, from
+    bounded tiles; no array ever grows with the table. With ``chunk_rows`` >= rows each
+    feature is one array."""
+    return transpose_tiles(df, chunk_rows, cells).select("j", "chunk", "values")
 
 
 def mirror(entries: DataFrame) -> DataFrame:
@@ -77,9 +94,24 @@ def mirror(entries: DataFrame) -> DataFrame:
 
 
 def append_columns(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Columns of ``b`` behind those of ``a``, matched on id."""
-    right = b.select("id", F.col("features").alias("_more"))
-    return a.join(right, "id").withColumn("features", F.concat("features", "_more")).drop("_more")
+    """Columns of ``b`` behind those of ``a``, matched on id. Both tables must have the same
+    ids, each once: null and repeated ids are an error before the join, unmatched ones in it."""
+    _unique(a.select("id"), "id")
+    _unique(b.select("id"), "id")
+    left = a.select(F.col("id").alias("_id"), F.struct(*a.columns).alias("_a"))
+    right = b.select(F.col("id").alias("_other"), F.col("features").alias("_more"))
+    both = left.join(right, F.col("_id") == F.col("_other"), "full_outer")
+    whole = F.when(F.col("_id").isNotNull() & F.col("_other").isNotNull(), F.concat("_a.features", "_more")).otherwise(
+        F.raise_error(F.concat(F.lit("id without a partner: "), F.coalesce("_id", "_other").cast("string"))))
+    return both.select(*[(whole if c == "features" else F.col(f"_a.{c}")).alias(c) for c in a.columns])
+
+
+def _unique(keys: DataFrame, key: str) -> int:
+    """The number of keys; null or repeated ones are an error."""
+    n, distinct = keys.agg(F.count("*"), F.count_distinct(key)).first()
+    if n != distinct:
+        raise ValueError(f"{key}: {n} rows but {distinct} distinct keys; a key must be unique and not null")
+    return n
 
 
 def feature_column(df: DataFrame, j: int, features: str = "features") -> DataFrame:
@@ -96,9 +128,7 @@ def with_ordinal(df: DataFrame, key: str = "id", name: str = "ordinal",
     meet the rows by key.  Null or repeated keys are an error.
     """
     keys = df.select(key)
-    n, distinct = keys.agg(F.count("*"), F.count_distinct(key)).first()
-    if n != distinct:
-        raise ValueError(f"{key}: {n} rows but {distinct} distinct keys; a key must be unique and not null")
+    n = _unique(keys, key)
     numbered = _number_keys(keys, key, name, n, bucket_rows)
     if df.columns == [key]:
         return numbered
@@ -107,20 +137,21 @@ def with_ordinal(df: DataFrame, key: str = "id", name: str = "ordinal",
 
 
 def _number_keys(keys: DataFrame, key: str, name: str, n: int, bucket_rows: int) -> DataFrame:
-    pieces = min(math.ceil(n / bucket_rows), MAX_BUCKETS)
+    pieces = math.ceil(n / bucket_rows)
     if pieces <= 1:
         return keys.withColumn(name, F.row_number().over(W.orderBy(key)).cast("bigint") - 1)
-    probs = [k / pieces for k in range(1, pieces)]
-    cuts = sorted(set(keys.approxQuantile(key, probs, 1 / (4 * pieces))))
-    tagged = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_key",
-                        outputCol="_b").transform(keys.withColumn("_key", F.col(key).cast("double")))
-    sizes = tagged.groupBy("_b").agg(F.count("*").alias("_n"))
+    # range-partitioned, sorted and written once: the place in its file's partition is then fixed
+    path = scratch_path(keys.sparkSession, "ordered-keys")
+    (keys.repartitionByRange(pieces, key).sortWithinPartitions(key)
+     .withColumn("_m", F.monotonically_increasing_id()).write.parquet(path))
+    ordered = keys.sparkSession.read.parquet(path).select(
+        key, F.expr("shiftright(_m, 33)").alias("_b"), F.expr("_m & ((1L << 33) - 1)").alias("_k"))
+    sizes = ordered.groupBy("_b").agg(F.count("*").alias("_n"))
     before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    # one row per range
+    # one row per range of about bucket_rows keys
     offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = F.row_number().over(W.partitionBy("_b").orderBy(key)).cast("bigint")
-    return (tagged.join(F.broadcast(offsets), "_b")
-            .select(key, (F.col("_off") + inside - 1).alias(name)))
+    return (ordered.join(F.broadcast(offsets), "_b")
+            .select(key, (F.col("_off") + F.col("_k")).alias(name)))
 
 
 def with_blocks(df: DataFrame, rows_per_block: int, key: str = "id") -> DataFrame:

@@ -1,5 +1,6 @@
 """Column statistics, normalisation, bins, contingency tables, transposes."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrystat.functions import arrays as A
@@ -127,9 +128,13 @@ def auc_score(spark, sf):
     return spark.createDataFrame([(round(supervised.auc(t, "n_chars", "quality"), 6),)], "auc double")
 
 
-@query("transpose_long", f"WITH {E} SELECT j, id, v FROM e")
+@query("transpose_long", f"""WITH {E}, p AS (SELECT *, row_number() OVER (PARTITION BY j ORDER BY id) - 1 AS pos FROM e)
+SELECT j, pos, id, v, pos % 100 AS seen FROM p""")
 def transpose_long(spark, sf):
-    return reshape.transpose_sorted(embeddings(spark, sf))
+    """With the place of a cell in its tile's run, as the rows come out."""
+    t = reshape.transpose_sorted(embeddings(spark, sf), rows=100, cells=1700).withColumn("_m", F.monotonically_increasing_id())
+    run = Window.partitionBy("j", F.expr("pos div 100")).orderBy("_m")
+    return t.select("j", "pos", "id", "v", (F.row_number().over(run) - 1).cast("bigint").alias("seen"))
 
 
 @query("transpose_entries", f"WITH {E} SELECT j AS i, id AS j, v AS value FROM e")

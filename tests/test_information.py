@@ -70,11 +70,10 @@ def test_packed_and_text_labels(spark, data):
     assert [r["j"] for r in S.greedy(worded, 3, "mid").orderBy("step").collect()] == brute_greedy(b, y, 3, "mid")
 
 
-@pytest.mark.parametrize("spread", [2048, 8, 5])
-def test_matrix_with_tiles(data, monkeypatch, spread):
+@pytest.mark.parametrize("branches", [1, 2, 7])
+def test_matrix_with_tiles(data, branches):
     df, b, _ = data
-    monkeypatch.setattr(I, "SPREAD_COLUMNS", spread)
-    got = {(r["i"], r["j"]): r["mi"] for r in I.mi_matrix(df, 4).collect()}
+    got = {(r["i"], r["j"]): r["mi"] for r in I.mi_matrix(df, 4, branches=branches).collect()}
     assert len(got) == 49
     for i, j in got:
         assert got[i, j] == pytest.approx(mi(b[:, i], b[:, j]), abs=1e-12)
@@ -140,3 +139,74 @@ def test_bad_arguments(data):
         S.greedy(df, 2, "other")
     with pytest.raises(ValueError):
         I.cmi_vector(df, 0, weighting="other")
+
+
+def batch_of(b, **refs):
+    import pyarrow as pa
+
+    from quarrystat.functions.kernels import list_column
+    return pa.RecordBatch.from_arrays([list_column(np.asarray(b)), *[pa.array(np.asarray(v)) for v in refs.values()]],
+                                      names=["bins", *refs])
+
+
+def total(batches, *keys):
+    out = {}
+    for t in batches:
+        cols = [t.column(c).to_pylist() for c in keys] + [t.column("cnt").to_pylist()]
+        for *k, c in zip(*cols):
+            out[tuple(k)] = out.get(tuple(k), 0) + c
+    return out
+
+
+@pytest.mark.parametrize("most", [10 ** 6, 500, 40, 1])
+def test_counts_are_sent_on_when_the_table_is_full(most):
+    """Whatever the bound, parts of a cell add up to its count."""
+    from quarrystat.functions import kernels
+    rng = np.random.default_rng(8)
+    b, y = rng.integers(0, 5, (900, 4)), rng.integers(-300, 300, 900)
+    parts = [batch_of(b[a:a + 100].astype(np.int16), y=y[a:a + 100].astype(np.int32)) for a in range(0, 900, 100)]
+    got = list(kernels.count_kernel("bins", 4, None, ["y"], most)(iter(parts)))
+    want = {}
+    for i in range(900):
+        for j in range(4):
+            k = (j, int(y[i]), 0, int(b[i, j]))
+            want[k] = want.get(k, 0) + 1
+    assert total(got, "j", "s", "y", "b") == want
+    assert len(got) == 1 if most == 10 ** 6 else len(got) > 1
+
+
+@pytest.mark.parametrize("most", [10 ** 6, 100, 1])
+@pytest.mark.parametrize("states", [5, 300, 40000])
+def test_pair_counts_do_not_depend_on_bounds(most, states):
+    from quarrystat.functions import kernels
+    rng = np.random.default_rng(9)
+    b = rng.integers(0, states, (60, 5)) // rng.integers(1, 4, 5)
+    parts = [batch_of(b[a:a + 20].astype(np.int32)) for a in range(0, 60, 20)]
+    got = {}
+    for rows in ((0, 2), (2, 5)):
+        got.update(total(kernels.pair_count_kernel("bins", 5, rows, states, most)(iter(parts)), "i", "j", "bi", "bj"))
+    want = {}
+    for r in b.tolist():
+        for i in range(5):
+            for j in range(i, 5):
+                want[i, j, r[i], r[j]] = want.get((i, j, r[i], r[j]), 0) + 1
+    assert got == want
+
+
+def test_one_scan_counts_all_pairs(spark):
+    wide = spark.createDataFrame([(0, [0] * 1000)], "id long, bins array<smallint>")
+    for branches in (1, 4):
+        plan = I.mi_matrix(wide, 200, branches=branches)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == branches
+    with pytest.raises(Exception, match="outside 0..1"):
+        I.mi_matrix(wide.selectExpr("id", "array(cast(2 as smallint)) as bins"), 2).collect()
+
+
+def test_label_of_a_million_states(spark):
+    n = 1_000_000
+    df = spark.range(0, n, 1, 4).selectExpr("cast(id as int) as label", "array(cast(id % 8 as smallint), cast(0 as smallint)) as bins")
+    assert vector(I.mi_vector(df, "label"), "mi") == pytest.approx([3.0, 0.0], abs=1e-9)
+    plan = I.mi_pair(df.selectExpr("label as x", "label as y"), "x", "y")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    assert I.mi_pair(df.selectExpr("label as x", "label % 4 as y"), "x", "y").first()["mi"] == pytest.approx(2.0, abs=1e-9)
+    assert I.mi_pair(df.where("false").selectExpr("label as x", "label as y"), "x", "y").count() == 0
