@@ -566,37 +566,3 @@ def transpose_kernel():
                          "ids": list_column(np.tile(ids[order].astype(np.int64), (d, 1))),
                          "values": list_column(m)})
     return run
-
-
-def _uniform(ids: np.ndarray, d: int, seed: int, stream: int) -> np.ndarray:
-    """n x d numbers in (0, 1) that depend on (id, column, seed, stream) alone."""
-    golden = np.uint64(0x9E3779B97F4A7C15)
-
-    def mix(z):
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
-
-    with np.errstate(over="ignore"):
-        start = mix(np.array([seed * 8 + stream], np.int64).view(np.uint64) * golden)
-        rows = mix(ids.view(np.uint64) * golden + start)
-        z = mix(rows[:, None] + np.arange(1, d + 1, dtype=np.uint64)[None, :] * golden)
-    return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
-
-
-def gaussian_kernel(d: int, seed: int, support: list[int] | None):
-    """Features for a batch of ids: N(0, 1), outside ``support`` U(0, 100)."""
-    def run(batches):
-        step = max(1, 1_000_000 // d)
-        for batch in batches:
-            ids = batch.column("id").to_numpy()
-            for at in range(0, len(ids), step):
-                part = ids[at:at + step]
-                u = _uniform(part, d, seed, 1)
-                x = np.sqrt(-2.0 * np.log(u)) * np.cos(2.0 * np.pi * _uniform(part, d, seed, 2))
-                if support is not None:
-                    other = np.setdiff1d(np.arange(d), support)
-                    x[:, other] = 100.0 * u[:, other]
-                yield pa.RecordBatch.from_arrays([pa.array(part), list_column(x)],
-                                                 names=["id", "features"])
-    return run

@@ -12,14 +12,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrystat.functions import kernels
-from quarrystat.operators.common import PARTIAL_BUDGET, union_all
+from quarrystat.operators.common import PARTIAL_BUDGET, union_all, with_width
 
 # Rows of one feature a single task may sort.
 SORT_LIMIT = 1_000_000
 # Cells worth shuffling instead of another pass: a few, or one in a thousand.
 SORT_CELLS = 1_000_000
-# Histogram cells a task may hold.
-HISTOGRAM_CELLS = 8_000_000
+# Histogram cells of the first pass (seen by the driver), and those a task may hold later.
+FIRST_CELLS, HISTOGRAM_CELLS = 1 << 20, 8_000_000
 # Wanted ranks that are sent to every task; more meet the cells in a shuffle.
 BROADCAST_RANKS = 1_000_000
 # Open features up to which they are read alone.
@@ -46,7 +46,8 @@ def order_statistics(df: DataFrame, ranks: list[int], features: str = "features"
     return _select(df, of, features, sort_limit)
 
 
-def _located(cells: DataFrame, by: str, open_: np.ndarray, lead: np.ndarray, left: np.ndarray, *more: str) -> pa.Table:
+def _located(cells: DataFrame, by: str, open_: np.ndarray, lead: np.ndarray, left: np.ndarray,
+             *more: str) -> dict[str, np.ndarray]:
     """``(j, k, by, cnt, upto, *more)``: the cells in which the wanted ranks fall."""
     run = (W.partitionBy("j", "prefix").orderBy(by)
            .rowsBetween(W.unboundedPreceding, W.currentRow))
@@ -54,8 +55,9 @@ def _located(cells: DataFrame, by: str, open_: np.ndarray, lead: np.ndarray, lef
     want = cells.sparkSession.createDataFrame(pa.table({
         "j": j.astype(np.int32), "prefix": lead[j, k].view(np.int64), "k": k.astype(np.int32), "rank": left[j, k]}))
     want = F.broadcast(want) if len(j) <= BROADCAST_RANKS else want
-    return (cells.withColumn("upto", F.sum("cnt").over(run)).join(want, ["j", "prefix"])
-            .filter("upto - cnt < rank and rank <= upto").select("j", "k", by, "cnt", "upto", *more).toArrow())
+    found = (cells.withColumn("upto", F.sum("cnt").over(run)).join(want, ["j", "prefix"])
+             .filter("upto - cnt < rank and rank <= upto").select("j", "k", by, "cnt", "upto", *more).toArrow())
+    return {name: found[name].to_numpy() for name in found.column_names}
 
 
 def _histogram(src: DataFrame, kernel) -> DataFrame:
@@ -66,25 +68,22 @@ def _histogram(src: DataFrame, kernel) -> DataFrame:
 def _select(df: DataFrame, ranks_of: Callable[[int], list[int]], features: str, sort_limit: int) -> np.ndarray:
     """The value of every wanted rank, d x L; ``ranks_of`` gives the ranks for a row count."""
     tasks = df.sparkSession.sparkContext.defaultParallelism
-    cells = _histogram(df.select(features), kernels.digit_kernel(features, None, None, 0, 0, HISTOGRAM_CELLS)).persist()
-    try:
-        head = cells.where("j < 0").first()
-        if head is None:
-            raise ValueError("the table has no rows")
-        if head["lo"] != head["hi"]:
-            raise ValueError(f"{features}: rows differ in width")
-        n, d = head["cnt"], head["lo"]
-        ranks = np.array(ranks_of(n), np.int64)
-        value = np.full((d, len(ranks)), np.nan)
-        open_ = np.ones(value.shape, bool)
-        lead = np.zeros(value.shape, np.uint64)                # key bits known
-        left = np.tile(ranks, (d, 1))                          # rank in the range
-        size = np.full(value.shape, n)                         # rows in the range
-        bits = kernels.first_bits(d, HISTOGRAM_CELLS)
-        found = _located(cells.where("j >= 0"), "digit", open_, lead, left, "lo", "hi")
-    finally:
-        cells.unpersist()
-    done = _narrow_ranges(found, bits, 0, value, open_, lead, left, size)
+    # FIRST_CELLS rows at most (or 16 a feature)
+    first = _histogram(df.select(features), kernels.digit_kernel(features, None, None, 0, 0, FIRST_CELLS)).toArrow()
+    cell = {name: first[name].to_numpy() for name in first.column_names}
+    head = np.flatnonzero(cell["j"] < 0)
+    if not len(head):
+        raise ValueError("the table has no rows")
+    n, d = int(cell["cnt"][head[0]]), int(cell["lo"][head[0]])
+    if d != cell["hi"][head[0]]:
+        raise ValueError(f"{features}: rows differ in width")
+    ranks = np.array(ranks_of(n), np.int64)
+    value = np.full((d, len(ranks)), np.nan)
+    open_ = np.ones(value.shape, bool)
+    lead = np.zeros(value.shape, np.uint64)                # key bits known
+    left = np.tile(ranks, (d, 1))                          # rank in the range
+    size = np.full(value.shape, n)                         # rows in the range
+    done = _narrow_ranges(_found_in(cell, d, ranks), kernels.first_bits(d, FIRST_CELLS), 0, value, open_, lead, left, size)
     while open_.any() and done < 64 and (size[open_].max() > sort_limit
                                          or size[open_].sum() > max(SORT_CELLS, n * d // 1000)):
         src, cols, prefixes = _open_columns(df, features, open_, lead)
@@ -99,13 +98,28 @@ def _select(df: DataFrame, ranks_of: Callable[[int], list[int]], features: str,
         cells = src.mapInArrow(kernels.gather_kernel(features, cols, prefixes, done),
                                "j int, prefix bigint, v double, cnt bigint")
         found = _located(cells, "v", open_, lead, left)
-        value[found["j"].to_numpy(), found["k"].to_numpy()] = found["v"].to_numpy()
+        value[found["j"], found["k"]] = found["v"]
     return value
 
 
-def _narrow_ranges(found: pa.Table, bits: int, done: int, value, open_, lead, left, size) -> int:
+def _found_in(cell: dict[str, np.ndarray], d: int, ranks: np.ndarray) -> dict[str, np.ndarray]:
+    """The cells of the first histogram in which the ranks of every feature fall."""
+    order = np.lexsort((cell["digit"], cell["j"]))
+    order = order[cell["j"][order] >= 0]
+    cell = {name: v[order] for name, v in cell.items()}
+    ends = np.searchsorted(cell["j"], np.arange(d + 1))
+    upto, at = np.empty(len(order), np.int64), []
+    for j in range(d):
+        part = slice(ends[j], ends[j + 1])
+        upto[part] = np.cumsum(cell["cnt"][part])
+        at.append(ends[j] + np.searchsorted(upto[part], ranks))
+    at = np.concatenate(at) if at else np.zeros(0, np.int64)
+    return {**{name: v[at] for name, v in cell.items()}, "upto": upto[at], "k": np.tile(np.arange(len(ranks)), d)}
+
+
+def _narrow_ranges(found: dict[str, np.ndarray], bits: int, done: int, value, open_, lead, left, size) -> int:
     """Every open range becomes the cell found in it; cells of one value are settled."""
-    c = {name: found[name].to_numpy() for name in found.column_names}
+    c = found
     at = c["j"], c["k"]
     single = c["lo"] == c["hi"]
     value[c["j"][single], c["k"][single]] = kernels.unsortable(c["lo"][single].astype(np.int64).view(np.uint64))
@@ -176,8 +190,9 @@ def equal_frequency_bins(df: DataFrame, levels: int, features: str = "features",
     keep = [c for c in df.columns if c != features]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(keep).schema)
     schema = (schema + ", " if schema else "") + f"`{out}` array<{'int' if wide else 'smallint'}>"
-    return df.mapInArrow(kernels.bin_kernel(features, keep, cuts, out, levels - 1 if clamp else None,
-                                            np.int32 if wide else np.int16), schema)
+    binned = df.mapInArrow(kernels.bin_kernel(features, keep, cuts, out, levels - 1 if clamp else None,
+                                              np.int32 if wide else np.int16), schema)
+    return with_width(binned, out, len(cuts))
 
 
 def bins_long(df: DataFrame, *keep: str, bins: str = "bins") -> DataFrame:

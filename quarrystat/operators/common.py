@@ -15,28 +15,38 @@ MAX_MATRIX_CELLS = MAX_LOCAL_WIDTH ** 2
 PARTIAL_BUDGET = 2_000_000_000
 
 
-def width(df: DataFrame, features: str = "features") -> int:
-    """Number of features, from the first row.
+def with_width(df: DataFrame, features: str, d: int) -> DataFrame:
+    """``df`` with the number of features noted on the column: :func:`width` then asks no job."""
+    return df.withColumn(features, F.col(features).alias(features, metadata={"width": d}))
+
+
+def width(df: DataFrame, features: str = "features", empty: int | None = None) -> int:
+    """Number of features: as noted on the column, or from the first row. A table without rows
+    is an error unless ``empty`` is given.
 
     The kernels refuse ragged rows; :func:`check_width` tests a whole table.
     """
-    kind = df.select(features).dtypes[0][1]
-    x = F.unwrap_udt(features) if kind == "vector" else None
-    size = (F.coalesce(x["size"], F.size(x["values"])) if kind == "vector"
+    field = df.select(features).schema[0]
+    if "width" in field.metadata:
+        return int(field.metadata["width"])
+    kind = field.dataType.typeName()
+    x = F.unwrap_udt(features) if kind == "vectorudt" else None
+    size = (F.coalesce(x["size"], F.size(x["values"])) if x is not None
             else F.octet_length(features) / 2 if kind == "binary" else F.size(features))
     row = df.select(size).first()
     if row is None:
-        raise ValueError("the table has no rows")
+        if empty is None:
+            raise ValueError("the table has no rows")
+        return empty
+    if row[0] is None or row[0] < 0:
+        raise ValueError(f"{features}: null array in the first row")
     return int(row[0])
 
 
-def whole(df: DataFrame, features: str = "features") -> Column:
-    """The array column; a null array or one of another width than the first row's is an
-    error where it is read, so that no row drops out unseen. An empty table passes."""
-    c, first = F.col(features), df.select(F.coalesce(F.size(features), F.lit(-1))).first()
-    d = first[0] if first else 0
-    if d < 0:
-        raise ValueError(f"{features}: null array in the first row")
+def whole(df: DataFrame, d: int, features: str = "features") -> Column:
+    """The array column; a null array or one of another width than ``d`` is an error where it
+    is read, so that no row drops out unseen."""
+    c = F.col(features)
     return F.when(F.coalesce(F.size(c) == d, F.lit(False)), c).otherwise(
         F.raise_error(F.lit(f"{features}: null array or width other than {d}")))
 
@@ -59,22 +69,6 @@ def by_feature(df: DataFrame, d: int, *cols: str, key: str = "j") -> list[np.nda
     return out
 
 
-def bounded_tasks(df: DataFrame, cells: int) -> DataFrame:
-    """Merge splits where each task emits ``cells`` partial results.
-
-    Narrow (no shuffle), and a no-op unless splits x cells passes the budget.
-    """
-    default = df.sparkSession.sparkContext.defaultParallelism
-    most = max(PARTIAL_BUDGET // max(cells, 1), 4 * default)
-    return df.coalesce(most)
-
-
-def tiles(d: int, size: int) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-    """Column tile pairs covering the upper triangle of a d x d result."""
-    cuts = [(a, min(a + size, d)) for a in range(0, d, size)]
-    return [(cuts[p], cuts[q]) for p in range(len(cuts)) for q in range(p, len(cuts))]
-
-
 def union_all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

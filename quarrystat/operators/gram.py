@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quarrystat.functions import arrays as A
 from quarrystat.functions import kernels
+from quarrystat.functions.draws import cell_unit, row_number
 from quarrystat.operators.common import (MAX_MATRIX_CELLS, by_feature, require_local, union_all,
                                          width)
 from quarrystat.operators.products import (FAN, RowProducts, cell_columns, is_vector, one_vector_each,
@@ -24,8 +25,6 @@ from quarrystat.operators.stats import col_l2, mean_vector
 
 # Matrix cells a task may hold in one scan.
 TASK_CELLS = 8_000_000
-# Draws of cells: odd multipliers of 32-bit numbers (the second leaves products below 2**63).
-WORD, MIX, MIX_AGAIN = 1 << 32, 2654435761, 2146121005
 BROADCAST_ENTRIES = 2_000_000
 
 
@@ -81,8 +80,7 @@ def covariance(df: DataFrame, ddof: int = 1, triangle: str = "full") -> DataFram
 
 def _with_draw(df: DataFrame, seed: int) -> DataFrame:
     """A 32-bit number of each row's id in ``_r``: the row's part of its cells' draws."""
-    return df.withColumn("_r", F.conv(F.substring(F.md5(F.concat_ws(
-        ":", F.col("id").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint"))
+    return df.withColumn("_r", row_number(seed))
 
 
 def _cells(df: DataFrame) -> DataFrame:
@@ -100,12 +98,7 @@ def _drawn(cells: DataFrame, p: np.ndarray, scale: np.ndarray) -> DataFrame:
     """``(at, v)``: each cell of column j with probability p[j], divided by scale[j]. Cells that
     are not drawn leave the row here, so that later work follows what is kept."""
     probs, scales = A.literal_array(p), A.literal_array(scale)
-
-    def keep(c):
-        h = F.col("_r").bitwiseXOR((c["j"].cast("bigint") + 1) * MIX % WORD) * MIX_AGAIN % WORD
-        h = h.bitwiseXOR(F.shiftright(h, 16)) * MIX_AGAIN % WORD
-        return h / F.lit(float(WORD)) < F.get(probs, c["j"])
-    kept = F.filter("_c", keep) if (p < 1).any() else F.col("_c")
+    kept = F.filter("_c", lambda c: cell_unit(F.col("_r"), c["j"]) < F.get(probs, c["j"])) if (p < 1).any() else F.col("_c")
     return (cells.select(kept.alias("_k"))
             .select(F.transform("_k", lambda c: c["j"]).alias("at"),
                     F.transform("_k", lambda c: c["v"] / F.get(scales, c["j"])).alias("v")))
@@ -122,7 +115,7 @@ def _products(kept: DataFrame, p: np.ndarray, d: int, sparse: bool) -> DataFrame
 def _column_norms(df: DataFrame, d: int) -> np.ndarray:
     """L2 norms of the columns; 1 for a column of zeros."""
     rows = _cells(df).select(F.explode("_c").alias("c")) if is_vector(df) else None
-    norms, = by_feature(col_l2(df) if rows is None else rows.groupBy(F.col("c.j").alias("j")).agg(
+    norms, = by_feature(col_l2(df, d) if rows is None else rows.groupBy(F.col("c.j").alias("j")).agg(
         F.sqrt(F.sum(F.col("c.v") * F.col("c.v"))).alias("l2")), d, "l2")
     return np.where(np.nan_to_num(norms) == 0, 1.0, norms)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrystat.functions import arrays as A
 from quarrystat.functions import kernels
-from quarrystat.operators.common import bounded_tasks, by_feature, whole, width
+from quarrystat.operators.common import by_feature, whole, width
 from quarrystat.operators.stats import _per_feature
 
 
@@ -19,7 +19,7 @@ def nan_counts(df: DataFrame) -> DataFrame:
 
 
 def nan_row_counts(df: DataFrame) -> DataFrame:
-    return df.select("id", A.nan_count(whole(df)).alias("nans"))
+    return df.select("id", A.nan_count(whole(df, width(df, empty=0))).alias("nans"))
 
 
 def _profile(df: DataFrame, d: int, check=None, limit: int | None = None):
@@ -28,7 +28,7 @@ def _profile(df: DataFrame, d: int, check=None, limit: int | None = None):
     With ``check`` and ``limit`` only rows with at most ``limit`` NaNs among
     those columns count.
     """
-    parts = bounded_tasks(df.select("features"), d).mapInArrow(
+    parts = df.select("features").mapInArrow(
         kernels.profile_kernel("features", d, check, limit),
         "j int, nans bigint, n bigint, total double")
     found = parts.groupBy("j").agg(*[F.sum(c).alias(c) for c in ("nans", "n", "total")])
@@ -65,7 +65,7 @@ def drop_rows(df: DataFrame, max_nan: int, inclusive: bool = True):
 
     Null and ragged rows are errors: each row lands in one of the two outputs.
     """
-    k = A.nan_count(whole(df))
+    k = A.nan_count(whole(df, width(df, empty=0)))
     good = k <= max_nan if inclusive else k < max_nan
     return df.filter(good), df.filter(~good).select("id")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrystat.functions import kernels
-from quarrystat.operators.common import log2, union_all, width
+from quarrystat.operators.common import log2, union_all, width, with_width
 from quarrystat.operators.gram import local_matrix
 from quarrystat.operators.reshape import mirror
 
@@ -60,8 +60,9 @@ def packed(df: DataFrame, *keep: str, bins: str = "bins") -> DataFrame:
     count in numpy take either form.
     """
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema]
-    return df.select(*keep, bins).mapInArrow(
+    out = df.select(*keep, bins).mapInArrow(
         kernels.pack_kernel(bins, list(keep)), ", ".join(types + [f"`{bins}` binary"]))
+    return with_width(out, bins, width(df, bins))
 
 
 def _counted(df: DataFrame, sel: int | None, refs: list[str], bins: str) -> DataFrame:

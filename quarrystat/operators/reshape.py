@@ -22,7 +22,8 @@ def wide_table(df: DataFrame, id_col, features, label=None, extra=()) -> DataFra
 
     ``features`` is an array column or a list of numeric columns.
     """
-    if isinstance(features, (list, tuple)):
+    d = len(features) if isinstance(features, (list, tuple)) else None
+    if d:
         nan = F.lit(float("nan"))
         cells = [F.col(c) if isinstance(c, str) else c for c in features]
         features = F.array(*[F.coalesce(c.cast("double"), nan) for c in cells])
@@ -31,7 +32,8 @@ def wide_table(df: DataFrame, id_col, features, label=None, extra=()) -> DataFra
     cols = [(F.col(id_col) if isinstance(id_col, str) else id_col).cast("bigint").alias("id")]
     if label is not None:
         cols.append((F.col(label) if isinstance(label, str) else label).alias("label"))
-    return df.select(*cols, features.alias("features"), *extra)
+    features = features.alias("features", metadata={"width": d}) if d else features.alias("features")
+    return df.select(*cols, features, *extra)
 
 
 def with_label(df: DataFrame, where: str = "last") -> DataFrame:

@@ -13,10 +13,11 @@ from quarrystat.operators.reshape import to_long, with_label
 MAX_STATES = 10_000
 
 
-def _per_feature(df: DataFrame, *aggs: Column) -> DataFrame:
+def _per_feature(df: DataFrame, *aggs: Column, d: int | None = None) -> DataFrame:
     """Aggregates per feature: cells are combined inside each task, so the
     shuffle carries one row per feature and task. Null and ragged rows are errors."""
-    return df.select(F.posexplode(whole(df)).alias("j", "v")).groupBy("j").agg(*aggs)
+    d = width(df, empty=0) if d is None else d
+    return df.select(F.posexplode(whole(df, d)).alias("j", "v")).groupBy("j").agg(*aggs)
 
 
 def mean_ignoring_nan(v: Column) -> Column:
@@ -24,16 +25,16 @@ def mean_ignoring_nan(v: Column) -> Column:
     return F.coalesce(F.avg(F.when(~F.isnan(v), v)), F.lit(float("nan")))
 
 
-def col_means(df: DataFrame) -> DataFrame:
-    return _per_feature(df, F.avg("v").alias("mean"))
+def col_means(df: DataFrame, d: int | None = None) -> DataFrame:
+    return _per_feature(df, F.avg("v").alias("mean"), d=d)
 
 
 def col_means_ignoring_nan(df: DataFrame) -> DataFrame:
     return _per_feature(df, mean_ignoring_nan(F.col("v")).alias("mean"))
 
 
-def col_l2(df: DataFrame) -> DataFrame:
-    return _per_feature(df, F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("l2"))
+def col_l2(df: DataFrame, d: int | None = None) -> DataFrame:
+    return _per_feature(df, F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("l2"), d=d)
 
 
 def col_summary(df: DataFrame) -> DataFrame:
@@ -44,7 +45,8 @@ def col_summary(df: DataFrame) -> DataFrame:
 
 def mean_vector(df: DataFrame):
     """Column means as a driver vector of length d."""
-    return by_feature(col_means(df), width(df), "mean")[0]
+    d = width(df)
+    return by_feature(col_means(df, d), d, "mean")[0]
 
 
 def mean_shift(df: DataFrame) -> DataFrame:
@@ -57,7 +59,8 @@ def unit_norm(df: DataFrame, label: str | None = None) -> DataFrame:
 
     With ``label`` "last" or "first" the label is put into the row afterwards.
     """
-    top, = by_feature(_per_feature(df, F.max(F.abs("v")).alias("top")), width(df), "top")
+    d = width(df)
+    top, = by_feature(_per_feature(df, F.max(F.abs("v")).alias("top"), d=d), d, "top")
     top[top == 0] = 1.0
     out = df.withColumn("features", F.zip_with("features", A.literal_array(top),
                                                lambda x, t: x / t))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from quarrystat.functions import arrays as A
 from quarrystat.operators import binning
 from quarrystat.operators import mutual_info as I
-from quarrystat.operators.stats import index_labels
+from quarrystat.operators.gram import entry_table
+from quarrystat.operators.stats import index_labels, mean_shift, unit_norm
 from quarrystat.plans.registry import (E, L, against, bins_cte, cmi_cte, embeddings, lineitem,
                                        mi_cte, query, r6, table)
 
@@ -68,6 +69,25 @@ def mi_matrix_strict_lower(spark, sf):
     return _neat(I.mi_matrix(binned_lineitem(spark, sf), LEVELS + 1, "strict_lower"), "i", "j")
 
 
+@query("mi_matrix_local", f"""{_B}, {_PAIRS} SELECT i, j, {r6('mi')} AS mi FROM r
+  UNION ALL SELECT j, i, {r6('mi')} FROM r WHERE i > j""")
+def mi_matrix_local(spark, sf):
+    """The matrix on the driver, made a table again."""
+    m = I.mi_matrix_local(binned(spark, sf), LEVELS + 1)
+    return _neat(entry_table(spark, m).withColumnRenamed("value", "mi"), "i", "j")
+
+
+@query("transform_chain", f"""WITH {E}, mu AS (SELECT j, avg(v) AS m FROM e GROUP BY j),
+c AS (SELECT id, label, j, v - m AS v FROM e JOIN mu USING (j)), t AS (SELECT j, max(abs(v)) AS top FROM c GROUP BY j),
+{bins_cte(LEVELS).replace("FROM e)", "FROM s)").replace("FROM e JOIN", "FROM s e JOIN").replace("cuts AS", "s AS MATERIALIZED (SELECT id, label, j, v / top AS v FROM c JOIN t USING (j)), cuts AS", 1)}
+SELECT j, b, count(*) AS n FROM b GROUP BY j, b""")
+def transform_chain(spark, sf):
+    """Operators as steps of ``df.transform``: centred, normalised, binned, counted."""
+    return (embeddings(spark, sf).transform(mean_shift).transform(unit_norm)
+            .transform(binning.equal_frequency_bins, LEVELS).transform(binning.bins_long, "id")
+            .groupBy("j", F.col("b").cast("int").alias("b")).agg(F.count("*").alias("n")))
+
+
 # candidate b, selected s, label y
 _TRIPLE = "SELECT b.j, b.b, s.b AS s, b.label AS y FROM b JOIN b s ON s.id = b.id AND s.j = 24"
 _FORWARD = f"SELECT j, b AS x, y, s AS z FROM ({_TRIPLE})"

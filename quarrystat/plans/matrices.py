@@ -1,9 +1,11 @@
 """Gram, covariance, similarity, products and row pairs."""
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrystat.functions import arrays as A
+from quarrystat.functions.draws import WORD, draw_sql, row_sql
 from quarrystat.operators import blocks, gram, reshape
 from quarrystat.plans.registry import COV, E, GRAM, L, embeddings, lineitem, query, r6
 
@@ -53,11 +55,10 @@ SELECT c.i, c.j, {r6('c.c / sqrt(p.c * q.c)')} AS value FROM c
   JOIN c p ON p.i = c.i AND p.j = c.i JOIN c q ON q.i = c.j AND q.j = c.j""")
 def cov_sample_lineitem(spark, sf):
     """Covariances over the product of standard deviations, so that they compare."""
-    c = gram.covariance(lineitem(spark, sf)).persist()
-    sd = c.filter("i = j").select("i", F.sqrt("value").alias("sd"))
-    out = (c.join(sd, "i").join(sd.select(F.col("i").alias("j"), F.col("sd").alias("sdj")), "j")
-           .select("i", "j", (F.col("value") / (F.col("sd") * F.col("sdj"))).alias("value")))
-    return _entries(out)
+    c = gram.covariance(lineitem(spark, sf))
+    own = F.when(F.col("i") == F.col("j"), F.sqrt("value"))
+    sd = [F.max(own).over(Window.partitionBy(k)) for k in ("i", "j")]
+    return _entries(c.select("i", "j", (F.col("value") / (sd[0] * sd[1])).alias("value")))
 
 
 @query("cov_sampled", f"WITH {COV} SELECT i, j, {r6('css / n')} AS value FROM g WHERE i <= j")
@@ -67,15 +68,13 @@ def cov_sampled(spark, sf):
 
 
 # u: the draw of a cell, from the md5 of its row's id and the number of its column
-_DRAWN = f"""{E}, r AS (SELECT vec_id AS id, ('0x' || substr(md5(vec_id::VARCHAR || ':7'), 1, 8))::BIGINT AS r FROM embeddings),
-h AS (SELECT id, j, v, xor(r, (j::BIGINT + 1) * {gram.MIX} % {gram.WORD}) * {gram.MIX_AGAIN} % {gram.WORD} AS h
-  FROM e JOIN r USING (id)),
-u AS (SELECT id, j, v, xor(h, h >> 16) * {gram.MIX_AGAIN} % {gram.WORD} / {gram.WORD}.0::DOUBLE AS u FROM h),
+_DRAWN = f"""{E}, r AS (SELECT vec_id AS id, {row_sql('vec_id', 7)} AS r FROM embeddings),
+u AS (SELECT id, j, v, {draw_sql('r', 'j')} / {WORD}.0::DOUBLE AS u FROM e JOIN r USING (id)),
 c AS (SELECT j, avg(v) AS mean, sqrt(sum(v * v)) AS norm, count(*) AS n FROM e GROUP BY j)"""
 
 
 @query("cov_sampled_thin", f"""WITH {_DRAWN}, p AS (SELECT *, least(1, 2 / norm) AS p FROM c),
-k AS MATERIALIZED (SELECT id, j, n, p, CASE WHEN u < p THEN (v - mean) / p ELSE 0 END AS v FROM u JOIN p USING (j))
+k AS MATERIALIZED (SELECT id, j, n, p, (v - mean) / p AS v FROM u JOIN p USING (j) WHERE u < p)
 SELECT a.j AS i, b.j AS j, {r6('sum(a.v * b.v) * max(CASE WHEN a.j = b.j THEN a.p ELSE 1 END) / max(a.n)')} AS value
   FROM k a JOIN k b ON a.id = b.id AND a.j <= b.j GROUP BY ALL""")
 def cov_sampled_thin(spark, sf):
@@ -100,7 +99,7 @@ def cosine_dimsum_exact(spark, sf):
 
 def _dimsum_sql(gamma: str) -> str:
     return f"""WITH {_DRAWN}, p AS (SELECT *, sqrt({gamma}) AS root FROM c),
-k AS MATERIALIZED (SELECT id, j, CASE WHEN u < root / norm THEN v / least(root, norm) ELSE 0 END AS v FROM u JOIN p USING (j))
+k AS MATERIALIZED (SELECT id, j, v / least(root, norm) AS v FROM u JOIN p USING (j) WHERE u < root / norm)
 SELECT a.j AS i, b.j AS j, {r6('sum(a.v * b.v)')} AS value FROM k a JOIN k b ON a.id = b.id AND a.j < b.j GROUP BY ALL"""
 
 
@@ -175,3 +174,10 @@ def block_partition(spark, sf):
     b = reshape.block_partition(embeddings(spark, sf), 128)
     return b.groupBy("blk").agg(F.count("*").alias("n"), F.min("id").alias("first_id"),
                                 F.max("id").alias("last_id"))
+
+
+@query("entries_to_dense", f"WITH {GRAM} SELECT i, j, {r6('value')} AS value FROM g")
+def entries_to_dense(spark, sf):
+    """A small entry table as one matrix on the driver, mirrored there."""
+    m = gram.local_matrix(gram.gramian(embeddings(spark, sf)), 64)
+    return _entries(gram.entry_table(spark, m))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from quarrystat.functions import arrays as A
 from quarrystat.operators import stats
 from quarrystat.operators import supervised as M
-from quarrystat.operators.reshape import wide_table
-from quarrystat.plans.registry import embeddings, query, table
+from quarrystat.operators.reshape import split
+from quarrystat.plans.registry import E, embeddings, query, table
 from quarrystat.sources import synthetic
 
 
@@ -80,6 +80,42 @@ def logreg_auc_sweep(spark, sf):
     return M.logistic_sweep(_binary(spark, sf))
 
 
+def _quantity(spark, sf):
+    """Labels by the quantity, and one feature in whole numbers: the quantity, moved by the tax."""
+    t = table(spark, sf, "lineitem")
+    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey") * 100 + F.col("l_suppkey")
+    x = F.col("l_quantity") + F.round(F.col("l_tax") * 100) * 3
+    return t.select(line.alias("id"), (F.col("l_quantity") > 25).cast("int").alias("label"), F.array(x).alias("features"))
+
+
+_QUANTITY = """t AS (SELECT ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey * 100 + l_suppkey) AS id,
+  (l_quantity > 25)::INTEGER AS y, l_quantity + round(l_tax * 100) * 3 AS x FROM lineitem)"""
+_TEST = "('0x' || substr(md5(id::VARCHAR || ':0'), 1, 8))::BIGINT / 4294967296.0 >= 0.8"
+
+
+@query("logreg_sweep_monotone", f"""WITH {_QUANTITY}, h AS (SELECT y, x FROM t WHERE {_TEST}),
+k AS (SELECT y, avg(rn) OVER (PARTITION BY x) AS rk FROM (SELECT *, row_number() OVER (ORDER BY x) AS rn FROM h)),
+a AS (SELECT (sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)) AS auc FROM k)
+SELECT unnest([0.01, 0.1, 1.0, 10.0, 100.0])::DOUBLE AS reg, round(auc, 5) AS auc FROM a""")
+def logreg_sweep_monotone(spark, sf):
+    """With one feature every penalty ranks the held-out rows as the feature does."""
+    return M.logistic_sweep(_quantity(spark, sf)).select("reg", A.neat(F.col("auc"), 5).alias("auc"))
+
+
+@query("svm_held_out", f"""WITH {_QUANTITY} SELECT y AS label, y::DOUBLE AS prediction, count(*) AS n FROM t WHERE {_TEST} GROUP BY ALL""")
+def svm_held_out(spark, sf):
+    """Classes a wide gap apart: every held-out row is told right."""
+    t = _quantity(spark, sf)
+    gap = F.array(F.get("features", F.lit(0)) + F.when(F.col("label") == 1, 50.0).otherwise(-50.0))
+    train, test = split(t.withColumn("features", gap))
+    train = train.persist()
+    try:
+        model = M.linear_svm(train, max_iter=20)
+    finally:
+        train.unpersist()
+    return M.predict(model, test).groupBy(F.col("label").cast("int").alias("label"), "prediction").agg(F.count("*").alias("n"))
+
+
 @query("svm_accuracy")
 def svm_accuracy(spark, sf):
     df = synthetic.linear_labels(embeddings(spark, sf), _TRUE, noise=0.01, binary=True)
@@ -141,11 +177,28 @@ def hashing_tf(spark, sf):
     return t.select("doc_id", A.total(vector_to_array("features")).alias("total"))
 
 
-@query("cv_text")
+@query("cv_text", """SELECT doc_id, text, quality::DOUBLE AS label, 2 AS classes, 1.0 AS total
+FROM documents JOIN labels USING (doc_id) WHERE ('0x' || substr(md5(doc_id::VARCHAR || ':0'), 1, 8))::BIGINT / 4294967296.0 >= 0.8""")
 def cv_text(spark, sf):
-    data = _texts(spark, sf).persist()
+    """Chosen and fitted on four fifths of the labelled documents, shown on the others."""
+    train, test = split(_texts(spark, sf), key="doc_id")
+    train = train.persist()
     try:
-        model = M.text_model(data)
+        model = M.text_model(train)
     finally:
-        data.unpersist()
-    return model.transform(data).select("doc_id", "text", vector_to_array("probability").alias("probability"), "prediction")
+        train.unpersist()
+    p = vector_to_array("probability")
+    return model.transform(test).select("doc_id", "text", "label", F.size(p).alias("classes"), A.neat(A.total(p)).alias("total"))
+
+
+_PLANTED = "CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END"
+
+
+@query("forest_importance_planted", f"""WITH {E}, y AS (SELECT id, {_PLANTED} AS y FROM e WHERE j = 17),
+r AS (SELECT j, corr(v, y) ** 2 AS r FROM e JOIN y USING (id) GROUP BY j)
+SELECT 63 AS pos, j FROM r ORDER BY r DESC, j LIMIT 1""")
+def forest_importance_planted(spark, sf):
+    """A label made of one feature: it comes last, as the most important one."""
+    x = F.get("features", F.lit(17))
+    df = embeddings(spark, sf).withColumn("label", F.when(x > 0, 1.0).otherwise(0.0))
+    return M.forest_importance(df).where("pos = 63").select("pos", "j")

@@ -26,11 +26,12 @@ def consecutive_pairs(spark, sf):
     return reshape.consecutive_pairs(_events(spark, sf).select("id", "value"), "value", 1000)
 
 
-@query("partition_tags", "SELECT count(*) AS n FROM events")
+@query("partition_tags", "SELECT user_id, 1::BIGINT AS tags, count(*) AS n FROM events GROUP BY user_id")
 def partition_tags(spark, sf):
-    """Every row has exactly one tag."""
-    t = reshape.tag_partition(_events(spark, sf).select("id").repartition(4, "id"))
-    return t.groupBy("part").agg(F.count("*").alias("k")).agg(F.sum("k").alias("n"))
+    """Rows dealt out by a key carry one tag for each key, and every row carries one."""
+    t = reshape.tag_partition(_events(spark, sf).select("user_id").repartition("user_id"))
+    return (t.groupBy("user_id", "part").agg(F.count("*").alias("k"))
+            .groupBy("user_id").agg(F.count("part").alias("tags"), F.sum("k").alias("n")))
 
 
 _HASH = f"('0x' || substr(md5(event_id::VARCHAR || ':{SEED}'), 1, 8))::BIGINT / 4294967296.0"

@@ -6,6 +6,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from quarrystat.functions import arrays as A
+from quarrystat.functions.draws import WORD, draw_sql, row_sql
 from quarrystat.operators import decomposition, gram
 from quarrystat.operators import supervised as M
 from quarrystat.plans.registry import query, r6, table
@@ -71,10 +72,8 @@ def _baskets(spark, sf):
 
 _BASKETS = f"""e AS MATERIALIZED (SELECT l_orderkey AS id, (l_partkey % {PARTS})::INTEGER AS j, sum(l_quantity)::DOUBLE AS v
   FROM lineitem GROUP BY ALL), c AS (SELECT j, sqrt(sum(v * v)) AS norm, sum(v) AS total FROM e GROUP BY j)"""
-_DRAWS = f"""r AS (SELECT DISTINCT id, ('0x' || substr(md5(id::VARCHAR || ':7'), 1, 8))::BIGINT AS r FROM e),
-h AS (SELECT id, j, v, xor(r, (j::BIGINT + 1) * {gram.MIX} % {gram.WORD}) * {gram.MIX_AGAIN} % {gram.WORD} AS h
-  FROM e JOIN r USING (id)),
-u AS (SELECT id, j, v, xor(h, h >> 16) * {gram.MIX_AGAIN} % {gram.WORD} / {gram.WORD}.0::DOUBLE AS u FROM h)"""
+_DRAWS = f"""r AS (SELECT DISTINCT id, {row_sql('id', 7)} AS r FROM e),
+u AS (SELECT id, j, v, {draw_sql('r', 'j')} / {WORD}.0::DOUBLE AS u FROM e JOIN r USING (id))"""
 
 
 def _value(df):

@@ -33,7 +33,7 @@ def _vector_kernel(keep: list[str], d: int):
 def to_vectors(cells: DataFrame, d: int) -> DataFrame:
     """Rows with ``at`` (ascending positions) and ``v`` as ML vectors of width d; other columns stay."""
     keep = [c for c in cells.columns if c not in ("at", "v")]
-    schema = StructType([*cells.select(*keep).schema.fields, StructField("features", VectorUDT())])
+    schema = StructType([*cells.select(*keep).schema.fields, StructField("features", VectorUDT(), metadata={"width": d})])
     src = cells.select(*keep, F.col("at").cast("array<int>").alias("at"), F.col("v").cast("array<double>").alias("v"))
     return src.mapInArrow(_vector_kernel(keep, d), schema)
 

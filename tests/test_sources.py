@@ -88,3 +88,22 @@ def test_no_local_scratch_on_a_cluster():
                   sparkContext=Bag(master="spark://host:7077", getCheckpointDir=lambda: None))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(cluster)
+
+
+def test_hashed_terms_fall_in_murmur_buckets(spark):
+    """Words of whole 4-byte blocks: their buckets are Spark's own hash of the word."""
+    from quarrystat.operators.supervised import term_frequencies
+    words = ["word", "bucketed", "term", "frequencies.", "abcd"]
+    df = spark.createDataFrame([(i, f"{w} {w} {w.upper()}") for i, w in enumerate(words)], "id long, text string")
+    got = {r["id"]: dict(zip(r["features"].indices.tolist(), r["features"].values.tolist())) for r in term_frequencies(df, 1000).collect()}
+    at = df.select("id", F.pmod(F.hash(F.split("text", " ")[0]), F.lit(1000)).alias("b")).collect()
+    assert got == {r["id"]: {r["b"]: 3.0} for r in at}
+
+
+def test_text_model_tells_unseen_documents(spark):
+    from quarrystat.operators import supervised
+    from quarrystat.operators.reshape import split
+    rows = [(i, f"{'alpha beta' if i % 2 else 'gamma delta'} filler{i % 5}", float(i % 2)) for i in range(200)]
+    train, test = split(spark.createDataFrame(rows, "id long, text string, label double"))
+    out = supervised.text_model(train, buckets=(100,), regs=(0.01,)).transform(test)
+    assert out.count() > 20 and out.where("prediction <> label").count() == 0
