@@ -12,28 +12,32 @@ fitting the unlabelled part beyond what the prior allows.
 Features describe the whole text: how byte classes follow each other, words, repeats.
 Never the label, the language, the source or the id.
 
-Bounds: the model is fitted on about ``SAMPLE`` positives and as many unlabelled
-documents (chosen by a hash of the id); the prior and every score use all rows.
-
-Defined cases: null and empty texts get the score of a text without words; without
-positives or unlabelled documents nothing is learnt and every score is 0.5; null
-labels and ids are not learnt from; repeated rows are scored row by row, and an id
-counts once in a sample.
+The risk and its gradient are sums over all positives and all unlabelled documents: the
+features are saved once, in blocks of rows, and each of ``ROUNDS`` rounds is a scan of them
+from which a few hundred sums return. Prior and scores use all rows too; nothing is sampled.
+
+Defined cases: null and empty texts get the score of a text without words, very long texts
+are read whole in pieces; without positives or unlabelled documents nothing is learnt and
+every score is 0.5; null labels and ids are not learnt from, repeated rows count one by one;
+an id with several labels is a positive if one of them is 1; an empty table gives an empty
+result; other columns are never looked at.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystat.llm.common import held_out, packed, saved, unpacked
+from quarrystat.functions.kernels import list_column
+from quarrystat.llm.common import held_out, matched, packed, saved, unpacked
 from quarrystat.llm.rules import _repeated_words
-from quarrystat.llm.sampling import about, one_for_each_id, with_text
+from quarrystat.operators.products import FAN, one_vector_each
 
-#: Positives, and unlabelled documents, that the model is fitted on at most (about).
-SAMPLE = 12_000
+#: Scans of all features, step size, and rows whose features are one value.
+ROUNDS, RATE, BLOCK_ROWS = 40, 0.3, 256
 THRESHOLD = 0.3
 #: One document in so many is held out of all learning.
 FOLDS = 5
@@ -71,52 +75,116 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
-def fit(pos: np.ndarray, unl: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.05, l2: float = 1e-3):
-    """``(weights, bias, mean, scale)`` of the non-negative risk minimiser."""
-    both = np.concatenate([pos, unl])
-    mean, scale = both.mean(0), both.std(0) + 0.02
-    p, u = (pos - mean) / scale, (unl - mean) / scale
-    w = np.zeros(p.shape[1] + 1)
-    p, u = (np.hstack([x, np.ones((len(x), 1))]) for x in (p, u))
+def block_sums(x: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
+    """``(rows, sum of log(1 + e^z), sum of p, sum of p x)`` of rows x with z = x w + bias and
+    p = 1 / (1 + e^-z)."""
+    x = x.astype(np.float64)
+    z = np.clip(x @ w + bias, -30, 30)
+    p = 1 / (1 + np.exp(-z))
+    return np.concatenate([[len(x), np.logaddexp(0, z).sum(), p.sum()], p @ x])
+
+
+def risk(pos: np.ndarray, unl: np.ndarray, mean_pos: np.ndarray, w: np.ndarray, bias: float, prior: float):
+    """``(risk, negative part, gradient, gradient of the negative part)`` from the sums of
+    :func:`block_sums` over positives and unlabelled rows; ``mean_pos`` are the positives' means.
+    The gradients end with the bias."""
+    up, uu = pos[1] / pos[0], unl[1] / unl[0]                   # R_p(-1), R_u(-1)
+    own = up - (mean_pos @ w + bias)                            # R_p(+1)
+    dp, du = (np.append(s[3:], s[2]) / s[0] for s in (pos, unl))
+    part, slope = uu - prior * up, du - prior * dp
+    return prior * own + max(0.0, part), part, prior * (dp - np.append(mean_pos, 1.0)) + (slope if part >= 0 else 0.0), slope
+
+
+def descend(sums, moments, prior: float, rounds: int = ROUNDS, rate: float = RATE, l2: float = 1e-3):
+    """``(weights, bias, mean, scale)``: Adam on the risk over scaled features.
+
+    ``sums(w, bias)`` gives the sums of positives and unlabelled rows for weights on the raw
+    features; ``moments`` are rows, sums and sums of squares of the two. While the negative part
+    is below zero, the step climbs it instead.
+    """
+    n, total, squares = (moments[0][k] + moments[1][k] for k in range(3))
+    mean = total / n
+    scale = np.sqrt(np.maximum(squares / n - mean ** 2, 0)) + 0.02
+    mean_pos = moments[0][1] / moments[0][0]
+    w = np.zeros(len(mean) + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        sp, su = 1 / (1 + np.exp(-np.clip(p @ w, -30, 30))), 1 / (1 + np.exp(-np.clip(u @ w, -30, 30)))
-        as_pos = -p.T @ (1 - sp) / len(p)                      # gradient of R_p(+1)
-        negative = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-        risk = -np.log(np.maximum(1 - su, 1e-12)).mean() + prior * np.log(np.maximum(1 - sp, 1e-12)).mean()
-        g = prior * as_pos + negative if risk >= 0 else -negative
-        g[:-1] += l2 * w[:-1]
+        raw = w[:-1] / scale
+        bias = w[-1] - raw @ mean
+        _, part, g, slope = risk(*sums(raw, bias), mean_pos, raw, bias, prior)
+        g = g if part >= 0 else -slope
+        g = np.append((g[:-1] - g[-1] * mean) / scale + l2 * w[:-1], g[-1])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
-    return w[:-1].astype(np.float32), float(w[-1]), mean, scale
+        w = w - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+    return w[:-1], float(w[-1]), mean, scale
+
+
+def _moments(x: np.ndarray) -> tuple:
+    x = x.astype(np.float64)
+    return len(x), x.sum(0), (x * x).sum(0)
+
+
+def fit(pos: np.ndarray, unl: np.ndarray, prior: float, **how):
+    """The same on two arrays of features."""
+    return descend(lambda w, b: (block_sums(pos, w, b), block_sums(unl, w, b)), (_moments(pos), _moments(unl)), prior, **how)
+
+
+def _features(rows: DataFrame) -> DataFrame:
+    """``(doc_id, x)`` of rows ``(doc_id, text)``."""
+    def batches(it):
+        for b in it:
+            x = pa.array([features(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), x], ["doc_id", "x"])
+    return rows.mapInArrow(batches, "doc_id long, x binary")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``(good, x)``: the features of many rows in one value, positives and others apart."""
+    def batches(it):
+        for b in it:
+            good, x = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+            for side in (True, False):
+                part = x.filter(pa.array(good == side)).to_pylist()
+                some = [b"".join(part[at:at + BLOCK_ROWS]) for at in range(0, len(part), BLOCK_ROWS)]
+                yield pa.RecordBatch.from_arrays([pa.array([side] * len(some), pa.bool_()), pa.array(some, pa.binary())], ["good", "x"])
+    return rows.select("good", "x").mapInArrow(batches, "good boolean, x binary")
 
 
-def _matrix(rows: DataFrame) -> np.ndarray:
-    """The features of a bounded sample, one row for each id."""
+def _sums(blocks: DataFrame, of, size: int) -> list[np.ndarray]:
+    """The sums of ``of(x)`` over all blocks, of positives and of unlabelled rows."""
     def batches(it):
+        out = np.zeros((2, size))
         for b in it:
-            x = pa.array([features(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), x], ["doc_id", "h", "x"])
-    src = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "h", "text")
-    got = one_for_each_id(src.mapInArrow(batches, "doc_id long, h long, x binary")).toArrow().column(0).to_pylist()
-    return np.frombuffer(b"".join(got), np.float32).reshape(len(got), N_FEATURES)
+            for good, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                out[0 if good else 1] += of(np.frombuffer(x, np.float32).reshape(-1, N_FEATURES))
+        part = pa.array(np.full(2, TaskContext.get().partitionId() % FAN, np.int32))
+        yield pa.RecordBatch.from_arrays([part, pa.array([0, 1], pa.int32()), list_column(out)], ["part", "c", "v"])
+    got = one_vector_each(blocks.mapInArrow(batches, "part int, c int, v array<double>")).toArrow()
+    out = np.zeros((2, size))
+    for c, v in zip(got["c"].to_pylist(), got["v"]):
+        out[c] = v.values.to_numpy()
+    return list(out)
 
 
 def train(docs: DataFrame, labels: DataFrame):
     """The model, or None if there is nothing to learn from."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, 0))
+    ids = labels.where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
+    known = ids.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, 0))
     prior = known.agg(F.avg(F.col("quality").cast("double"))).first()[0]
     if not prior:
         return None
-    ids = about(known.where("quality = 1").select("doc_id").distinct(), SAMPLE, 21)
-    pos = _matrix(with_text(ids, docs))
-    web = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, 0)).select("doc_id", F.col("text").cast("string").alias("text"))
-    labelled = labels.select("doc_id").distinct()
-    without = about(web.select("doc_id").join(labelled, "doc_id", "left_anti").distinct(), SAMPLE, 22)
-    unl = _matrix(with_text(saved(without, "unlabelled"), docs))
-    if not len(pos) or not len(unl):
+    marks = ids.groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("mark"))
+    web = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, 0)).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = matched(saved(_features(web), "quality-features"), marks, ["doc_id"])
+    # positives and rows without a label; other labelled rows only tell the prior
+    rows = marked.where("mark is null or mark = 1").select((F.col("mark") == 1).alias("good"), "x")
+    blocks = saved(_blocks(rows.select(F.coalesce("good", F.lit(False)).alias("good"), "x")), "quality-blocks")
+    moments = _sums(blocks, lambda x: np.concatenate([[len(x)], *_moments(x)[1:]]), 1 + 2 * N_FEATURES)
+    if not moments[0][0] or not moments[1][0]:
         return None
-    return fit(pos, unl, min(prior, 0.98))
+    moments = [(m[0], m[1:1 + N_FEATURES], m[1 + N_FEATURES:]) for m in moments]
+    return descend(lambda w, b: _sums(blocks, lambda x: block_sums(x, w, b), 3 + N_FEATURES), moments, min(prior, 0.98))
 
 
 def scored(rows: DataFrame, model, text: str = "text", score: str = "score") -> DataFrame:

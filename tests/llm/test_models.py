@@ -42,6 +42,55 @@ def test_non_negative_risk_needs_no_negatives(rng):
     assert s[:300].mean() > 0.97 and s[300:].mean() < 0.03
 
 
+def test_risk_and_gradient(rng):
+    """Against the definition, and against differences of the risk."""
+    pos, unl, prior = rng.normal(0.4, 1, (40, 3)), rng.normal(0, 1, (70, 3)), 0.6
+    w, bias = rng.normal(size=3), 0.3
+
+    def loss(x, sign, w, b):
+        return np.log1p(np.exp(-sign * (x @ w + b))).mean()
+
+    def at(w, b, prior=prior):
+        return quality.risk(quality.block_sums(pos, w, b), quality.block_sums(unl, w, b), pos.mean(0), w, b, prior)
+    for p in (prior, 5.0):                                # with 5 the negative part is below zero
+        value, part, g, slope = at(w, bias, p)
+        negative = loss(unl, -1, w, bias) - p * loss(pos, -1, w, bias)
+        assert part == pytest.approx(negative) and (part < 0) == (p == 5.0)
+        assert value == pytest.approx(p * loss(pos, 1, w, bias) + max(0.0, negative))
+        for k in range(4):
+            e = np.eye(4)[k] * 1e-6
+            up, down = (at(w + s * e[:3], bias + s * e[3], p) for s in (1, -1))
+            assert g[k] == pytest.approx((up[0] - down[0]) / 2e-6, abs=1e-5)
+            assert slope[k] == pytest.approx((up[1] - down[1]) / 2e-6, abs=1e-5)
+
+
+def test_quality_is_fitted_on_all_rows(spark, docs, labels, odd):
+    """The scores are those of the same fit over arrays of all positives and unlabelled rows,
+    nulls, empty, long and repeated texts among them."""
+    import zlib
+
+    more = odd.selectExpr("doc_id + 100000 as doc_id", "text").union(odd.where("doc_id is null").select("doc_id", "text"))
+    table_ = docs.select("doc_id", "text").union(more)
+    marks = labels.select("doc_id", "quality").union(spark.createDataFrame(
+        [(None, 1), (100001, None), (100002, 1), (100003, 0), (100003, 1)], "doc_id long, quality int"))
+    rows, y = table_.collect(), {}
+    for d, q in marks.collect():
+        y.setdefault(d, []).append(q)
+    kept = [(d, t) for d, t in rows if d is not None and zlib.crc32(str(d).encode()) % 5]
+    pos = np.array([quality.features(t) for d, t in kept if 1 in y.get(d, [])])
+    unl = np.array([quality.features(t) for d, t in kept if d not in y])
+    known = [q for d, qs in y.items() for q in qs if q is not None and d is not None and zlib.crc32(str(d).encode()) % 5]
+    w, bias, mean, scale = quality.fit(pos, unl, min(np.mean(known), 0.98))
+    want = {(d, t): 1 / (1 + np.exp(-np.clip(((quality.features(t) - mean) / scale) @ w + bias, -30, 30))) for d, t in rows}
+    got = quality.quality_scores(table_, marks).select("doc_id", "score").collect()
+    assert len(got) == len(rows)
+    by_id = {}
+    for (d, t), s in want.items():
+        by_id.setdefault(d, []).append(s)
+    for r in got:
+        assert min(abs(r["score"] - s) for s in by_id[r["doc_id"]]) < 1e-4
+
+
 def test_toxicity(docs, labels, odd, nothing):
     got = toxicity.toxicity_scores(docs, labels).toPandas().merge(labels.toPandas()[["doc_id", "toxic"]], on="doc_id", suffixes=("_p", ""))
     words = docs.where("text rlike '(?i)idiot|moron|clown|worthless|pathetic'").select("doc_id").toPandas().doc_id
