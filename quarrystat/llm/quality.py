@@ -13,8 +13,8 @@ Features describe the whole text: how byte classes follow each other, words, rep
 Never the label, the language, the source or the id.
 
 The risk and its gradient are sums over all positives and all unlabelled documents: the
-features are saved once, in blocks of rows, and each of ``ROUNDS`` rounds is a scan of them
-from which a few hundred sums return. Prior and scores use all rows too; nothing is sampled.
+features are saved once, and each of ``ROUNDS`` rounds is a scan of them from which a few
+hundred sums return. Prior and scores use all rows too; nothing is sampled.
 
 Defined cases: null and empty texts get the score of a text without words, very long texts
 are read whole in pieces; without positives or unlabelled documents nothing is learnt and
@@ -27,17 +27,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystat.functions.kernels import list_column
 from quarrystat.llm.common import held_out, matched, packed, saved, unpacked
 from quarrystat.llm.rules import _repeated_words
-from quarrystat.operators.products import FAN, one_vector_each
 
-#: Scans of all features, step size, and rows whose features are one value.
-ROUNDS, RATE, BLOCK_ROWS = 40, 0.3, 256
+#: Scans of all features, step size, and rows of one numpy step.
+ROUNDS, RATE, SLICE_ROWS = 40, 0.3, 1024
 THRESHOLD = 0.3
 #: One document in so many is held out of all learning.
 FOLDS = 5
@@ -138,31 +136,25 @@ def _features(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(batches, "doc_id long, x binary")
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """``(good, x)``: the features of many rows in one value, positives and others apart."""
-    def batches(it):
-        for b in it:
-            good, x = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
-            for side in (True, False):
-                part = x.filter(pa.array(good == side)).to_pylist()
-                some = [b"".join(part[at:at + BLOCK_ROWS]) for at in range(0, len(part), BLOCK_ROWS)]
-                yield pa.RecordBatch.from_arrays([pa.array([side] * len(some), pa.bool_()), pa.array(some, pa.binary())], ["good", "x"])
-    return rows.select("good", "x").mapInArrow(batches, "good boolean, x binary")
-
-
-def _sums(blocks: DataFrame, of, size: int) -> list[np.ndarray]:
-    """The sums of ``of(x)`` over all blocks, of positives and of unlabelled rows."""
+def _sums(rows: DataFrame, of, size: int) -> list[np.ndarray]:
+    """The sums of ``of(x)`` over the rows ``(good, x)``: of positives and of unlabelled ones."""
     def batches(it):
         out = np.zeros((2, size))
         for b in it:
-            for good, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                out[0 if good else 1] += of(np.frombuffer(x, np.float32).reshape(-1, N_FEATURES))
-        part = pa.array(np.full(2, TaskContext.get().partitionId() % FAN, np.int32))
-        yield pa.RecordBatch.from_arrays([part, pa.array([0, 1], pa.int32()), list_column(out)], ["part", "c", "v"])
-    got = one_vector_each(blocks.mapInArrow(batches, "part int, c int, v array<double>")).toArrow()
+            x = b.column(1)
+            ends = np.frombuffer(x.buffers()[1], np.int32)[x.offset:x.offset + len(x) + 1]
+            x = np.frombuffer(x.buffers()[2], np.float32)[ends[0] // 4:ends[-1] // 4].reshape(-1, N_FEATURES)
+            good = b.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(x), SLICE_ROWS):
+                part, side = x[at:at + SLICE_ROWS], good[at:at + SLICE_ROWS]
+                for k, mine in enumerate((side, ~side)):
+                    if mine.any():
+                        out[k] += of(part[mine])
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), list_column(out)], ["c", "v"])
+    sums = rows.select("good", "x").mapInArrow(batches, "c int, v array<double>").select("c", F.posexplode("v").alias("k", "v"))
+    got = sums.groupBy("c", "k").agg(F.sum("v").alias("v")).toArrow()
     out = np.zeros((2, size))
-    for c, v in zip(got["c"].to_pylist(), got["v"]):
-        out[c] = v.values.to_numpy()
+    out[got["c"].to_numpy(), got["k"].to_numpy()] = got["v"].to_numpy()
     return list(out)
 
 
@@ -178,13 +170,13 @@ def train(docs: DataFrame, labels: DataFrame):
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = matched(saved(_features(web), "quality-features"), marks, ["doc_id"])
     # positives and rows without a label; other labelled rows only tell the prior
-    rows = marked.where("mark is null or mark = 1").select((F.col("mark") == 1).alias("good"), "x")
-    blocks = saved(_blocks(rows.select(F.coalesce("good", F.lit(False)).alias("good"), "x")), "quality-blocks")
-    moments = _sums(blocks, lambda x: np.concatenate([[len(x)], *_moments(x)[1:]]), 1 + 2 * N_FEATURES)
+    rows = marked.where("mark is null or mark = 1").select(F.col("mark").isNotNull().alias("good"), "x")
+    rows = saved(rows, "quality-rows")
+    moments = _sums(rows, lambda x: np.concatenate([[len(x)], *_moments(x)[1:]]), 1 + 2 * N_FEATURES)
     if not moments[0][0] or not moments[1][0]:
         return None
     moments = [(m[0], m[1:1 + N_FEATURES], m[1 + N_FEATURES:]) for m in moments]
-    return descend(lambda w, b: _sums(blocks, lambda x: block_sums(x, w, b), 3 + N_FEATURES), moments, min(prior, 0.98))
+    return descend(lambda w, b: _sums(rows, lambda x: block_sums(x, w, b), 3 + N_FEATURES), moments, min(prior, 0.98))
 
 
 def scored(rows: DataFrame, model, text: str = "text", score: str = "score") -> DataFrame:
