@@ -6,21 +6,25 @@ between control strings alternates between nothing and one turn; a turn holds no
 control string.
 
 Escaping puts a backslash after the first character of a control string, and one
-more where there are backslashes already, so it can always be undone. A
-conversation is rendered plainly and parsed; if the turns read back are not the
-turns of the source it is rendered with escapes and parsed again. A difference
-that survives this raises an error.
-
-A conversation is assembled whole, which its digest needs; nothing else is.
-
-Defined cases: null text and null role are empty strings; turns are ordered by
-turn, nulls last, then role and text; null conv_id is one conversation; an empty
-table gives an empty result.
+more where there are backslashes already, so it can always be undone. A turn is
+rendered plainly and parsed; if what is read back is not the turn of the source it
+is rendered with escapes and parsed again. A difference that survives this raises
+an error. All of this happens in the turn's own row, in time proportional to its
+length; a mark's end is a boundary that no control string crosses, so the turns
+read back from a conversation are those of its parts.
+
+A conversation is assembled whole, which its digest needs; nothing else is. Its text
+must fit one value (2 GB).
+
+Defined cases: null text and null role are empty strings; very long texts are one
+value like any other; turns are ordered by turn, nulls last, then role and text, and
+repeated rows are repeated turns; null conv_id is one conversation; an empty table
+gives an empty result; other columns, whatever their names, are never looked at.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the template.
@@ -38,87 +42,102 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"([\[<])\\(\\*)" + _TAIL, r"$1$2$3")
 
 
-def _render(turns: Column, escaped: bool) -> Column:
-    def one(t):
-        text = escape(t["text"]) if escaped else t["text"]
-        out = F.concat(F.lit(OTHER[0]), F.url_encode(t["role"]), F.lit("\n"), text, F.lit(OTHER[1]))
-        for role, (a, b) in MARKS.items():
-            out = F.when(t["role"] == role, F.concat(F.lit(a), text, F.lit(b))).otherwise(out)
-        return out
-    return F.array_join(F.transform(turns, one), "")
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` uses it."""
+    return F.transform(F.array(value), then)[0]
+
 
+def _render(role: Column, text: Column) -> Column:
+    """One turn between its marks."""
+    out = F.concat(F.lit(OTHER[0]), F.url_encode(role), F.lit("\n"), text, F.lit(OTHER[1]))
+    for name, (a, b) in MARKS.items():
+        out = F.when(role == name, F.concat(F.lit(a), text, F.lit(b))).otherwise(out)
+    return out
 
-def _parse(text: Column) -> Column:
-    """The turns of a rendered conversation as ``array<struct<role, text, start, length>>``,
-    start and length (code points) of the text as rendered; null where the grammar fails.
 
-    Lambdas see only their own element: an array from outside would be computed anew
-    for each of them.
+def _parse(rendered: Column) -> Column:
+    """The turn that a rendered text holds, ``struct<role, text, start, length>``, start and
+    length (code points) of the text as rendered; null where the grammar finds anything but
+    one turn: an opening mark at the start, its closing mark at the end and none between.
+
+    No control string reaches over the end of a mark, so turns that are read back one by one
+    are read back from their concatenation too, in the same order.
     """
-    pieces, marks = F.split(text, CONTROL, -1), F.regexp_extract_all(text, F.lit(f"({CONTROL})"), 1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<p:string,m:string,at:int>>").alias("all"))
-    cut = F.aggregate(
-        F.arrays_zip(pieces.alias("p"), marks.alias("m")), zero,
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-            F.concat(a["all"], F.array(F.struct(x["p"].alias("p"), x["m"].alias("m"), a["at"].alias("at")))).alias("all")),
-        lambda a: a["all"])
-    open_close = F.transform(F.array(cut), lambda c: F.struct(
-        F.filter(c, lambda _, i: i % 2 == 0).alias("outside"), F.filter(c, lambda _, i: i % 2 == 1).alias("inside")))
-
-    def one(x, y):                                    # x: nothing and an opening mark; y: a body and its closing mark
-        a, b, p = x["m"], y["m"], y["p"]
-        other = (a == OTHER[0]) & (b == OTHER[1]) & (F.instr(p, "\n") > 0)
-        role = F.when(other, F.try_url_decode(F.substring_index(p, "\n", 1)))
+    def read(x):
+        p, m = x["p"], x["m"]
+        a, b, body = F.get(m, F.lit(0)), F.get(m, F.lit(1)), F.get(p, F.lit(1))
+        sound = (F.size(p) == 3) & (F.get(p, F.lit(0)) == "") & (F.get(p, F.lit(2)) == "")
+        other = (a == OTHER[0]) & (b == OTHER[1]) & (F.instr(body, "\n") > 0)
+        role = F.when(other, F.try_url_decode(F.substring_index(body, "\n", 1)))
         for name, (first, last) in MARKS.items():
             role = F.when((a == first) & (b == last), F.lit(name)).otherwise(role)
-        skip = F.when(other, F.instr(p, "\n")).otherwise(F.lit(0))
-        body = F.when(other, F.substring(p, skip + 1, F.length(p))).otherwise(p)
-        return F.struct(role.alias("role"), unescape(body).alias("text"),
-                        (y["at"] + skip).alias("start"), F.length(body).alias("length"))
+        skip = F.when(other, F.instr(body, "\n")).otherwise(F.lit(0))
+        said = F.when(other, F.substring(body, skip + 1, F.length(body))).otherwise(body)
+        turn = F.struct(role.alias("role"), unescape(said).alias("text"),
+                        (F.length(a) + skip).alias("start"), F.length(said).alias("length"))
+        return F.when(sound & role.isNotNull(), turn)
+    return _let(F.struct(F.split(rendered, CONTROL, -1).alias("p"),
+                         F.regexp_extract_all(rendered, F.lit(f"({CONTROL})"), 1).alias("m")), read)
+
+
+def turns(rows: DataFrame) -> DataFrame:
+    """``(conv_id, place, out, escaped, read)``: each turn rendered and read back, in its row.
+
+    A turn whose plain form is not read back as it was is rendered with escapes; where that is
+    not read back either, an error is raised. ``place`` sorts the turns of a conversation.
+    """
+    role = F.coalesce(F.col("role").cast("string"), F.lit(""))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    src = rows.select("conv_id", F.struct(F.col("turn").isNull().alias("late"), F.col("turn").alias("turn"),
+                                          role.alias("role"), text.alias("text")).alias("place"))
+    role, text = F.col("place.role"), F.col("place.text")
+
+    def same(read):
+        return F.coalesce((read["role"] == role) & (read["text"] == text), F.lit(False))
 
-    def turns(c):
-        sound = (F.size(c["outside"]) == F.size(c["inside"]) + 1) & ~F.exists(c["outside"], lambda z: z["p"] != "")
-        return F.when(sound, F.zip_with(F.slice(c["outside"], 1, F.size(c["inside"])), c["inside"], one))
-    read = F.transform(open_close, turns)[0]
-    return F.transform(F.array(read), lambda r: F.when(~F.exists(r, lambda t: t["role"].isNull()), r))[0]
+    def tried(body):
+        return _let(_render(role, body), lambda out: _let(_parse(out), lambda read: F.struct(
+            out.alias("out"), read.alias("read"), same(read).alias("same"))))
+    proved = _let(tried(text), lambda plain: F.when(plain["same"], F.struct(
+        plain["out"].alias("out"), F.lit(False).alias("escaped"), plain["read"].alias("read"))).otherwise(
+        _let(tried(escape(text)), lambda safe: F.when(safe["same"], F.struct(
+            safe["out"].alias("out"), F.lit(True).alias("escaped"), safe["read"].alias("read"))).otherwise(F.raise_error(
+                F.concat(F.lit("not read back: conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))))))
+    return src.select("conv_id", "place", proved.alias("t")).select("conv_id", "place", "t.out", "t.escaped", "t.read")
 
 
-def _same(parsed: Column, turns: Column) -> Column:
-    plain = F.transform(parsed, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return F.coalesce(plain == turns, F.lit(False))
+def _assembled(parts: DataFrame, *more: Column) -> DataFrame:
+    """The turns of each conversation in order, as one array ``t``."""
+    turn = F.struct("place", "out", "escaped", "read", *more)
+    return parts.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
 
 
 def chat_format(rows: DataFrame) -> DataFrame:
     """``(conv_id, formatted, escaped, turns, mask)``: the text, whether it needed escapes,
     the turns read back, and ``array<struct<start, length>>`` of what is trained on."""
-    key = F.struct(F.col("turn").isNull().alias("late"), F.col("turn").alias("turn"),
-                   F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-                   F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(key)).alias("turns")).withColumn(
-        "turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
-    src = F.col("turns")
-    plain = (convs.withColumn("plain", _render(src, False)).withColumn("parsed", _parse(F.col("plain")))
-             .withColumn("ok", _same(F.col("parsed"), src)))
-    final = (plain.withColumn("formatted", F.when(F.col("ok"), F.col("plain")).otherwise(_render(src, True)))
-             .withColumn("read", F.when(F.col("ok"), F.col("parsed")).otherwise(_parse(F.col("formatted")))))
-    proved = F.when(_same(F.col("read"), src), F.col("read")).otherwise(
-        F.raise_error(F.concat(F.lit("not read back: conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))))
-    mask = F.transform(F.filter("read", lambda t: t["role"] == "assistant"),
-                       lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length")))
-    return final.select("conv_id", "formatted", (~F.col("ok")).alias("escaped"), proved.alias("read")).select(
-        "conv_id", "formatted", "escaped", F.col("read").alias("turns"), mask.alias("mask"))
+    before = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    parts = turns(rows).withColumn("at", F.coalesce(F.sum(F.length("out")).over(before), F.lit(0)).cast("int"))
+    turn = F.struct("place", "at", "out", "escaped", "read")       # equal turns keep the order of their places
+    whole = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    read = F.transform("t", lambda x: F.struct(
+        x["read"]["role"].alias("role"), x["read"]["text"].alias("text"),
+        (x["at"] + x["read"]["start"]).alias("start"), x["read"]["length"].alias("length")))
+    return whole.select("conv_id", F.array_join(F.transform("t", lambda x: x["out"]), "").alias("formatted"),
+                        F.exists("t", lambda x: x["escaped"]).alias("escaped"), read.alias("turns")).select(
+        "*", F.transform(F.filter("turns", lambda t: t["role"] == "assistant"),
+                         lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length"))).alias("mask"))
 
 
 def chat_digests(rows: DataFrame) -> DataFrame:
     """The digest columns of every conversation, all from what was read back."""
-    c = chat_format(rows)
+    c = _assembled(turns(rows)).select("conv_id", F.transform("t", lambda x: x["read"]).alias("turns"),
+                                       F.aggregate("t", F.lit(0).cast("long"), lambda n, x: n + F.length(x["out"])).alias("chars"))
     said = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return c.withColumn("said", said).select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
         F.length("said").cast("long").alias("loss_chars"), F.sha2(F.col("said").cast("binary"), 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"))
+        F.col("chars").alias("formatted_chars"))
 
 
 #: The conversation that every run formats as well.

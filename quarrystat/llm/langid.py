@@ -14,8 +14,10 @@ combined by Spark. What reaches the driver is bounded: contexts above ``LEAST_SH
 language's bytes, at most 1 / LEAST_SHARE per order and language.
 
 Defined cases: null text, or a text without a letter, is ``und`` with score 0, as is any
-text if nothing was learnt; null languages and ids are not learnt from (a null id is never
-held out); ties go to the first language by name; repeated rows are judged row by row.
+text if nothing was learnt; null languages are not learnt from; a null id is never held out,
+so its text is learnt from; ties go to the first language by name; repeated rows are learnt
+from and judged row by row; very long texts are read whole, in runs of bounded size; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

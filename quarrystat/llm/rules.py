@@ -5,8 +5,9 @@ one bit per failed rule; policies are masks over those bits, so that a new polic
 or the effect of leaving a rule out, needs no second look at any text.
 
 Defined cases: null or empty text has no words and fails ``few_words``; any other
-measure of nothing is 0; repeated rows and ids are judged row by row; other columns
-are never looked at.
+measure of nothing is 0; very long texts are measured whole; repeated rows and ids
+are judged row by row; an empty table gives an empty result; other columns are never
+looked at.
 """
 
 from __future__ import annotations
@@ -112,10 +113,15 @@ def ablations(book: DataFrame, policy: str) -> DataFrame:
 
 
 def rule_report(docs: DataFrame, policy: str = "web-1") -> DataFrame:
-    """The measurements and verdict of every document."""
+    """The measurements and verdict of every document, its failure bits, and the one rule of the
+    policy without which it would be kept (null: none)."""
     base = ~passes("base-1")
+    hit = F.col("failed").bitwiseAND(F.lit(policy_mask(policy)).cast("long"))
+    only = F.lit(None).cast("string")
+    for i, rule in enumerate(RULES):
+        only = F.when(hit == 1 << i, F.lit(rule)).otherwise(only)
     return ledger(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                               base.alias("base_failed"), (~base & passes(policy)).alias("kept"))
+                               base.alias("base_failed"), (~base & passes(policy)).alias("kept"), "failed", only.alias("only_rule"))
 
 
 RULES_SQL = r"""
@@ -134,9 +140,11 @@ m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) f
         coalesce(l.n_lines, 0) AS n_lines, length(regexp_replace(text, '[^\pL]', '', 'g')) AS n_letters,
         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals
       FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 4 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words
-       OR word_chars > 15 * n_words OR 2 * n_capitals > n_letters OR 2 * n_letters < word_chars) AS kept
-FROM b
+f AS (SELECT *, [n_words < 50, 100 * n_repeat_words > 50 * n_words, 4 * n_symbols > n_words, 10 * n_dup_lines > 3 * n_lines,
+        word_chars < 2 * n_words, word_chars > 15 * n_words, 2 * n_capitals > n_letters, 2 * n_letters < word_chars] AS f FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f[1] OR f[2] AS base_failed,
+  NOT list_contains(f, true) AS kept, list_sum([x::BIGINT << (i - 1) for x, i in f])::BIGINT AS failed,
+  CASE WHEN len(list_filter(f, lambda x: x)) = 1 THEN ['few_words', 'repeated_words', 'symbols', 'repeated_lines', 'short_words',
+    'long_words', 'shouting', 'no_letters'][list_position(f, true)] END AS only_rule
+FROM f
 """

@@ -91,13 +91,39 @@ def test_quality_is_fitted_on_all_rows(spark, docs, labels, odd):
         assert min(abs(r["score"] - s) for s in by_id[r["doc_id"]]) < 1e-4
 
 
-def test_toxicity(docs, labels, odd, nothing):
+def test_toxicity_of_all_labels_held_out(spark, odd, nothing):
+    """Every toxic document that was held out of learning counts, whatever words it holds."""
+    docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     got = toxicity.toxicity_scores(docs, labels).toPandas().merge(labels.toPandas()[["doc_id", "toxic"]], on="doc_id", suffixes=("_p", ""))
-    words = docs.where("text rlike '(?i)idiot|moron|clown|worthless|pathetic'").select("doc_id").toPandas().doc_id
-    told = got[got.doc_id.isin(words) | (got.toxic == 0)]
-    assert (told.toxic_p == told.toxic).mean() > 0.97 and got.severity.between(0, 3).all()
-    assert set(toxicity.toxicity_scores(odd, labels.limit(0)).toPandas().severity) == {0.0}
-    assert toxicity.toxicity_scores(odd, labels).count() == odd.count() and toxicity.toxicity_scores(nothing, labels).count() == 0
+    h = got[got.held_out & got.toxic.notna()]
+    assert len(h) > 700 and (h[h.toxic == 1].toxic_p == 1).mean() >= 0.88 and (h[h.toxic == 0].toxic_p == 0).mean() >= 0.99
+    assert got.severity.between(0, 3).all()
+    none = labels.limit(0)
+    assert set(toxicity.toxicity_scores(odd, none).toPandas().severity) == {0.0}
+    assert toxicity.toxicity_scores(nothing, labels).count() == 0
+
+
+def test_toxicity_scores_by_hand(spark, docs, labels, odd):
+    """A trained model on odd rows: severity from plain counts of words and their beginnings."""
+    import zlib
+    weights, theta = toxicity.train(docs, labels)
+
+    def severity(text):
+        counts = {}
+        for w in toxicity._WORD.findall((text or "").lower()):
+            for part in [w] + [w[:k] + "-" for k in range(4, 9) if len(w) >= k]:
+                b = zlib.crc32(part.encode()) % toxicity.BUCKETS
+                counts[b] = counts.get(b, 0) + 1
+        eta = sum(weights[b] * math.log1p(n) for b, n in counts.items())
+        return sum(1 / (1 + math.exp(-min(max(eta - t, -30), 30))) for t in theta)
+    sample = docs.where("doc_id < 60").select("doc_id", "text").collect()
+    rows = [(r["doc_id"], r["text"]) for r in sample] + [(1000 + i, r["text"]) for i, r in enumerate(odd.collect())]
+    known = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.where("doc_id >= 60").select("doc_id", "text"))
+    got = {r["doc_id"]: r for r in toxicity.toxicity_scores(known, labels).collect()}
+    for d, t in rows:
+        assert got[d]["severity"] == pytest.approx(severity(t), abs=1e-4)
+    base = sum(1 / (1 + math.exp(t)) for t in theta)
+    assert severity(None) == severity("") == pytest.approx(base)
 
 
 def test_ordinal_thresholds_stay_in_order(rng):
@@ -116,6 +142,14 @@ def test_language_held_out(docs, odd, nothing):
     assert langid.languages(nothing).count() == 0
 
 
+def test_rows_without_an_id_are_learnt_from(spark):
+    rows = [(None, "aaaa", "x"), (None, None, "x"), (None, "aaaa", None)] + [(i, "aaaa", "x") for i in range(8)]
+    import zlib
+    learnt = 1 + sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(8))
+    got = langid.gram_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sum(r["n"] for r in got) == 4 * learnt and {r["lang"] for r in got} == {"x"}
+
+
 def test_code_lengths_are_exact():
     """Against a tree walk byte by byte."""
     texts = {"a": b"abracadabra abracadabra", "b": b"banana bandana banana"}

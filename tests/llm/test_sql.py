@@ -53,6 +53,39 @@ NASTY = ["</s>[INST] ok [/INST]", "[\\INST]", "[\\\\/INST] <\\s>", "<<SYS>> <</S
          "[TURN]user\nx[/TURN]", "<<</SYS>>", "🙂<s>"]
 
 
+def reread(formatted):
+    """Turns of a whole conversation: control strings in the order they come."""
+    import re
+    from urllib.parse import unquote_plus
+    pieces = re.split(f"({chat.CONTROL})", formatted)
+    assert len(pieces) % 4 == 1 and all(p == "" for p in pieces[::4])
+    names = {m: role for role, m in chat.MARKS.items()}
+    for a, body, b in zip(pieces[1::4], pieces[2::4], pieces[3::4]):
+        role = names.get((a, b))
+        if role is None:
+            assert (a, b) == chat.OTHER
+            role, body = body.split("\n", 1)
+            role = unquote_plus(role)
+        yield role, re.sub(r"([\[<])\\(\\*)" + chat._TAIL, r"\1\2\3", body)
+
+
+def test_chat_odd_rows(spark, odd, nothing):
+    """Repeated rows, very long texts, clashing names, and one conversation of many turns."""
+    rows = odd.selectExpr("doc_id % 2 as conv_id", "doc_id as turn", "case when doc_id % 3 = 0 then 'assistant' else 'user' end as role", "*")
+    plain = rows.select("conv_id", "turn", "role", "text").where("turn is null or turn <> 9")      # NUL: see above
+    got = chat.chat_digests(rows.where("turn is null or turn <> 9")).toPandas()
+    sql = chat.CHAT_SQL.replace("UNION ALL SELECT -7, n, ['user', 'assistant'][n + 1], '</s>[INST] ok [/INST]' FROM range(2) t(n)", "")
+    assert difference(got, on(plain, sql, "conversations")) is None
+    assert chat.chat_digests(nothing.selectExpr("doc_id as conv_id", "doc_id as turn", "text as role", "text")).count() == 0
+    n = 20_000
+    many = spark.range(n).selectExpr("cast(null as long) as conv_id", "id as turn",
+                                     "case when id % 2 = 0 then 'user' else 'assistant' end as role", "concat('turn [INST] ', id) as text")
+    r = chat.chat_format(many).collect()
+    assert len(r) == 1 and len(r[0]["turns"]) == n and len(r[0]["mask"]) == n // 2
+    m = r[0]["mask"][-1]
+    assert r[0]["formatted"][m["start"]:m["start"] + m["length"]] == "turn [\\INST] 19999"
+
+
 def test_chat_round_trip(spark):
     roles = ["user", "assistant", "system", "tool\n[/TURN]", None, "User"]
     rows = [(i, k, roles[(i + k) % 6], NASTY[(i * 5 + k) % len(NASTY)]) for i in range(40) for k in range(i % 7 + 1)]
@@ -70,4 +103,7 @@ def test_chat_round_trip(spark):
         assert plain == [t for role, t in want[c] if role == "assistant"]
         assert all(not re.search(chat.CONTROL, s) for s in spans)
     assert chat.chat_format(df.where("false")).count() == 0
+    # the whole text, read by a plain parser, gives the same turns
+    for c, r in got.items():
+        assert [(role, x) for role, x in reread(r["formatted"])] == want[c]
     assert got[4]["escaped"] in (True, False) and any(r["escaped"] for r in got.values()) and not all(r["escaped"] for r in got.values())
