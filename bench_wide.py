@@ -1,4 +1,4 @@
-"""Cleaning and norms on a wide synthetic table: 100,000 x 1,000 with gaps.
+"""Cleaning, norms and a Gram matrix on a wide synthetic table: 100,000 x 1,000 with gaps.
 
     python bench_wide.py [rows] [features]
 
@@ -15,10 +15,11 @@ from quarrystat.operators import gram, missing, stats
 from quarrystat.session import build_session, scratch_path
 from quarrystat.sources import synthetic
 
+ROWS, FEATURES = 100_000, 1_000
 
-def main() -> None:
-    n, d = (int(a) for a in (sys.argv[1:3] or (100_000, 1_000)))
-    spark = build_session(f"local[{os.environ.get('BENCH_CPUS', '8')}]", 8, "16g")
+
+def measure(spark, n: int = ROWS, d: int = FEATURES) -> dict:
+    """Seconds of each job on a table of ``n`` rows and ``d`` features."""
     path = scratch_path(spark, "wide")
     synthetic.inject_nan(synthetic.gaussian_rows(spark, n, d, partitions=32), 0.05).write.parquet(path)
     df = spark.read.parquet(path)
@@ -34,7 +35,12 @@ def main() -> None:
             t = time.perf_counter()
             job().write.format("noop").mode("overwrite").save()
             took[name] = round(time.perf_counter() - t, 3)
-    print(json.dumps({"rows": n, "features": d, "seconds": took}))
+    return {"rows": n, "features": d, "seconds": took}
+
+
+def main() -> None:
+    spark = build_session(f"local[{os.environ.get('BENCH_CPUS', '8')}]", 8, "16g")
+    print(json.dumps(measure(spark, *(int(a) for a in sys.argv[1:3]))))
     spark.stop()
 
 

@@ -144,6 +144,16 @@ def column_sum_kernel(d: int, shift=None, sparse: bool = False, fan: int = 1):
     return run
 
 
+def sparse_product_kernel(keep: list[str], right: np.ndarray, out: str, shift=None):
+    """Sparse rows (less ``shift``) times a small matrix: the columns of ``keep`` plus ``out``."""
+    def run(batches):
+        for batch in batches:
+            x = Sparse(batch, len(right), shift)
+            if x.n:
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [list_column(x.times(right))], names=[*keep, out])
+    return run
+
+
 class _PairSums:
     """Sums of products by pair of columns, folded whenever ``most`` are held."""
 

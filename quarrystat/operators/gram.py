@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from quarrystat.functions import arrays as A
 from quarrystat.functions import kernels
 from quarrystat.functions.draws import cell_unit, row_number
+from quarrystat.functions.products import sparse_product_kernel
 from quarrystat.operators.common import (MAX_MATRIX_CELLS, by_feature, require_local, union_all,
                                          width)
-from quarrystat.operators.products import (FAN, RowProducts, cell_columns, is_vector, one_vector_each,
+from quarrystat.operators.products import (FAN, RowProducts, cell_columns, is_vector, merged, one_vector_each,
                                            pair_products)
 from quarrystat.operators.reshape import mirror, to_long
 from quarrystat.operators.stats import col_l2, mean_vector
@@ -36,7 +37,8 @@ def _gram_rows(df: DataFrame, d: int, features: str, shift, band: int) -> DataFr
     levels, first by matrix row and a bucket of the task number, so that however many
     tasks there are, no reducer gets the vectors of all of them.
     """
-    parts = [df.select(features).mapInArrow(
+    src = merged(df.select(features), d * (d + 1) // 2)
+    parts = [src.mapInArrow(
         kernels.gram_kernel(features, d, (a, min(a + band, d)), shift, FAN),
         "part int, i int, v array<double>") for a in range(0, d, band)]
     return one_vector_each(union_all(parts).withColumnRenamed("i", "c")).withColumnRenamed("c", "i")
@@ -201,14 +203,16 @@ def gram_times_matrix(df: DataFrame, v: np.ndarray) -> np.ndarray:
 
 def multiply_local(df: DataFrame, right: np.ndarray, out: str = "features", shift=None,
                    keep=("id",)) -> DataFrame:
-    """Rows times a small matrix; keeps the ids, no shuffle."""
+    """Rows (dense or sparse) times a small matrix; keeps the ids, no shuffle."""
     right = np.asarray(right, float)
     if right.size > MAX_MATRIX_CELLS:
         raise ValueError("the right-hand matrix is too large to ship; use multiply_entries")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    return (df.select(*keep, "features")
-            .mapInArrow(kernels.product_kernel("features", list(keep), right, out, shift),
-                        f"{types}, `{out}` array<double>"))
+    schema = f"{types}, `{out}` array<double>"
+    if is_vector(df):
+        kernel = sparse_product_kernel(list(keep), right, out, None if shift is None else np.asarray(shift, float))
+        return df.select(*keep, *cell_columns()).mapInArrow(kernel, schema)
+    return df.select(*keep, "features").mapInArrow(kernels.product_kernel("features", list(keep), right, out, shift), schema)
 
 
 def multiply_entries(a: DataFrame, b: DataFrame, salt: int = 16,

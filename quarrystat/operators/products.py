@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from quarrystat.functions import products as kernels
 from quarrystat.operators.common import MAX_MATRIX_CELLS
 
-# Buckets of tasks whose partial sums meet first.
-FAN = 32
+# Buckets of tasks whose partial sums meet first, and bytes of partial sums of all tasks together.
+FAN, SHUFFLE_BYTES = 32, 64 << 30
 
 
 def is_vector(df: DataFrame, features: str = "features") -> bool:
@@ -37,6 +37,13 @@ def cell_columns(features: str = "features") -> list[Column]:
     return [F.coalesce(x["indices"], every).alias("at"), x["values"].alias("v")]
 
 
+def merged(df: DataFrame, sums: int) -> DataFrame:
+    """``df`` with splits merged (no shuffle) as far as tasks that each send ``sums`` numbers
+    would pass ``SHUFFLE_BYTES`` together, but to no fewer tasks than there are cores."""
+    most = max(df.sparkSession.sparkContext.defaultParallelism, SHUFFLE_BYTES // (8 * max(sums, 1)))
+    return df.coalesce(most) if most < 1_000_000 else df
+
+
 def one_vector_each(rows: DataFrame) -> DataFrame:
     """``(c, v)`` from ``(part, c, v)``: vectors are summed in the JVM in two levels, first by c
     and a bucket of the task number, so that no reducer gets the vectors of all tasks."""
@@ -61,7 +68,7 @@ class RowProducts:
         self.n = self.total = None
 
     def _vectors(self, kernel, columns: int) -> np.ndarray:
-        out = self.rows.mapInArrow(kernel, "part int, c int, v array<double>")
+        out = merged(self.rows, columns * self.d).mapInArrow(kernel, "part int, c int, v array<double>")
         got = one_vector_each(out).toArrow()
         if not got.num_rows:
             raise ValueError("the table has no rows")

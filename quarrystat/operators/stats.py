@@ -100,17 +100,17 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     return wide.toDF(*[c.replace("`", "") for c in wide.columns])
 
 
-def label_states(df: DataFrame, col: str) -> list:
-    """Sorted distinct labels; refuses columns that are not categorical."""
-    got = [r[0] for r in df.select(col).distinct().limit(MAX_STATES + 1).collect()]
-    if len(got) > MAX_STATES:
-        raise ValueError(f"{col} has more than {MAX_STATES} distinct values")
+def label_states(df: DataFrame, col: str, limit: int = MAX_STATES) -> list:
+    """Sorted distinct labels; refuses columns with more than ``limit`` of them."""
+    got = [r[0] for r in df.select(col).distinct().limit(limit + 1).collect()]
+    if len(got) > limit:
+        raise ValueError(f"{col} has more than {limit} distinct values")
     return sorted(v for v in got if v is not None)
 
 
-def index_labels(df: DataFrame, col: str, out: str = "label") -> DataFrame:
+def index_labels(df: DataFrame, col: str, out: str = "label", limit: int = MAX_STATES) -> DataFrame:
     """Labels recoded to 0, 1, ... in sorted order."""
-    states = F.array(*[F.lit(s) for s in label_states(df, col)])
+    states = F.array(*[F.lit(s) for s in label_states(df, col, limit)])
     return df.withColumn(out, (F.array_position(states, F.col(col)) - 1).cast("int"))
 
 

@@ -48,6 +48,17 @@ def test_gram_counts_rows_and_scans_once_a_band(df):
         assert "Repartition" not in plan.split("MapInArrow")[0]
 
 
+def test_splits_are_merged_where_sums_are_large(df, x, monkeypatch):
+    from quarrystat.operators import products
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    assert products.merged(df, 21) is df
+    monkeypatch.setattr(products, "SHUFFLE_BYTES", 1)
+    many = df.repartition(5 * cores)
+    assert products.merged(many, 21).rdd.getNumPartitions() == cores
+    assert np.allclose(dense(gram.gram(many))[np.triu_indices(6)], (x.T @ x)[np.triu_indices(6)])
+    assert np.allclose(gram.gram_times_matrix(many, np.eye(6)), x.T @ x)
+
+
 def test_covariance_survives_large_means(df, x):
     assert np.allclose(dense(gram.covariance(df)), np.cov(x.T), rtol=1e-9, atol=1e-9)
     up = dense(gram.covariance(df, ddof=0, triangle="upper"))

@@ -126,7 +126,13 @@ def test_sparse_products(holes, shift):
 def test_sparse_decompositions_and_least_squares(holes):
     rows, dense, x = holes
     assert np.allclose(D.svd(rows, 4).s, np.linalg.svd(x)[1][:4])
-    assert np.allclose(D.pca(rows, 4).variance, D.pca(dense, 4).variance)
+    model = D.pca(rows, 4)
+    assert np.allclose(model.variance, D.pca(dense, 4).variance)
+    for centred in (False, True):
+        a, b = ({r["id"]: r["scores"] for r in D.pca_project(t, model, centred).collect()} for t in (rows, dense))
+        assert all(np.allclose(a[i], b[i]) for i in b)
+    u = D.svd(rows, 2, compute_u=True).u
+    assert np.allclose(sum(np.outer(r["u"], r["u"]) for r in u.collect()), np.eye(2))
     y = rows.withColumn("label", F.col("id") % 7 * 1.0)
     want = np.linalg.lstsq(x, np.arange(200) % 7, rcond=None)[0]
     assert np.allclose(M.least_squares(y, direct=4), want, atol=1e-8)
