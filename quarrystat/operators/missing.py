@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrystat.functions import arrays as A
 from quarrystat.functions import kernels
-from quarrystat.operators.common import by_feature, whole, width
+from quarrystat.operators.common import by_feature, whole, width, with_width
 from quarrystat.operators.stats import _per_feature
 
 
@@ -41,13 +41,14 @@ def _filled(df: DataFrame, cols, mean, check=None, limit: int | None = None) ->
     """Rows that pass, cut down to ``cols``, gaps set to the means."""
     keep = [c for c in df.columns if c != "features"]
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(keep).schema]
-    return df.select(*keep, "features").mapInArrow(
+    filled = df.select(*keep, "features").mapInArrow(
         kernels.fill_kernel("features", keep, np.asarray(cols, int), np.asarray(mean), check, limit),
         ", ".join(types + ["features array<double>"]))
+    return with_width(filled, "features", len(cols))
 
 
 def _keep(df: DataFrame, keep) -> DataFrame:
-    return df.withColumn("features", A.pick("features", keep))
+    return with_width(df.withColumn("features", A.pick("features", keep)), "features", len(keep))
 
 
 def drop_columns(df: DataFrame, max_nan: int, inclusive: bool = True):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarrystat.functions import kernels
 from quarrystat.operators.common import log2, union_all, width, with_width
 from quarrystat.operators.gram import local_matrix
+from quarrystat.operators.products import merged
 from quarrystat.operators.reshape import mirror
 
 def _c_log_c(c: Column) -> Column:
@@ -104,11 +105,13 @@ def pair_counts(df: DataFrame, states: int, bins: str = "bins", branches: int =
     """Joint counts of every feature pair ``(i, j, bi, bj, cnt)``, i <= j.
 
     One scan counts all pairs. ``branches`` cuts the features i into so many tile rows, a scan
-    each, for tables with fewer splits than cores.
+    each, for tables with fewer splits than cores. Where the cells of all tasks would be too
+    many to shuffle, splits are merged.
     """
     d = width(df, bins)
     tile = max(1, -(-d // branches))
-    parts = [df.select(bins).mapInArrow(kernels.pair_count_kernel(bins, d, (a, min(a + tile, d)), states),
+    src = merged(df.select(bins), 3 * (d * (d + 1) // 2) * states * states)
+    parts = [src.mapInArrow(kernels.pair_count_kernel(bins, d, (a, min(a + tile, d)), states),
                                         "i int, j int, bi int, bj int, cnt bigint") for a in range(0, d, tile)]
     return union_all(parts).groupBy("i", "j", "bi", "bj").agg(F.sum("cnt").alias("cnt"))
 
