@@ -62,5 +62,5 @@ def op13_hard_negatives(spark, sf_dir):
 LLM_QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_mixing, op4_line_dedup, op5_chat_format, op6_language, op7_substrings, op8_rules,
                                        op9_quality, op10_toxicity, op11_exact_dedup, op12_filter_audit, op13_hard_negatives)}
 LLM_ORACLES = {"op8_rules": rules.RULES_SQL, "op3_mixing": mixing.MIXING_SQL, "op4_line_dedup": line_dedup.LINE_DEDUP_SQL,
-               "op5_chat_format": chat.CHAT_SQL, "op11_exact_dedup": exact.EXACT_SQL, "op12_filter_audit": audit.AUDIT_SQL,
+               "op5_chat_format": chat.CHAT_SQL, "op7_substrings": substrings.SUBSTRINGS_SQL, "op11_exact_dedup": exact.EXACT_SQL, "op12_filter_audit": audit.AUDIT_SQL,
                "op13_hard_negatives": negatives.NEGATIVES_SQL}

@@ -137,14 +137,24 @@ def suffix_array(words: np.ndarray, stop: np.ndarray, depth: int = LENGTH) -> np
 
 
 def common_prefixes(words: np.ndarray, stop: np.ndarray, sa: np.ndarray, cap: int = LENGTH, stride: int = 8) -> np.ndarray:
-    """``lcp[k]`` of sa[k] and sa[k - 1], at most ``cap``."""
+    """``lcp[k]`` of sa[k] and sa[k - 1], at most ``cap``.
+
+    Where i - 1 shares l bytes with its predecessor j, i shares l - 1 with j + 1, and so with
+    its own predecessor if j + 1 comes before i. In a full suffix array it always does; here
+    ties beyond the sorted depth lie in any order, so it is looked up.
+    """
     n = len(sa)
-    before = np.full(n, -1, np.int64)
+    before, place = np.full(n, -1, np.int64), np.empty(n, np.int64)
     before[sa[1:]] = sa[:-1]
+    place[sa] = np.arange(n)
     plcp = np.zeros(n, np.int64)
     for phase in range(stride):
         i = np.arange(phase, n, stride)
-        known = np.maximum(plcp[i - 1] - 1, 0) if phase else np.zeros(len(i), np.int64)
+        known = np.zeros(len(i), np.int64)
+        if phase:
+            j = before[i - 1]
+            holds = (j >= 0) & (place[np.minimum(j + 1, n - 1)] < place[i])
+            known[holds] = np.maximum(plcp[i - 1] - 1, 0)[holds]
         j = before[i]
         most = np.where(j < 0, 0, np.minimum(np.minimum(stop[i] - i, stop[j] - j), cap))
         known = np.minimum(known, most)
@@ -449,3 +459,22 @@ def substring_digests(docs: DataFrame, hot: int = HOT) -> DataFrame:
                                              ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
     rows = _packed_texts(docs).join(spans, ["d", "t"], "left").select("doc_id", "z", "ss", "ns")
     return rows.mapInArrow(batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+SUBSTRINGS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, (2 * p - 1)::INTEGER, 200)) AS s
+      FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 98)) AS p FROM d WHERE length(h) >= 200)),
+f AS (SELECT doc_id, p, max(p + 99) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+      FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, p, sum(CASE WHEN p <= seen + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM f),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 99 AS b FROM g GROUP BY doc_id, g),
+k AS (SELECT doc_id, coalesce(lag(b) OVER o, 0) AS since, a, b, lead(a) OVER o IS NULL AS last FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY a)),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(b - a + 1)::BIGINT AS n_removed,
+        string_agg(substr(h, (2 * since + 1)::INTEGER, (2 * (a - 1 - since))::INTEGER)
+          || CASE WHEN last THEN substr(h, (2 * b + 1)::INTEGER) ELSE '' END, '' ORDER BY a) AS kept
+      FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""

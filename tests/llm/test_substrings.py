@@ -68,6 +68,26 @@ def test_suffix_array_and_prefixes(rng):
         assert lcp[k] == next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
 
 
+def test_prefixes_where_strings_are_tied_beyond_the_sorted_depth(rng):
+    """Long repeats that differ only after 128 bytes: their order among themselves is any."""
+    wrong = 0
+    for _ in range(40):
+        base = rng.integers(0, 3, 400).astype(np.uint8)
+        parts = []
+        for _ in range(6):
+            a = int(rng.integers(0, 200))
+            parts += [base[a:a + int(rng.integers(129, 200))], rng.integers(0, 3, int(rng.integers(1, 9))).astype(np.uint8)]
+        b = np.concatenate(parts)
+        stop = np.full(len(b), len(b))
+        w = substrings.words_at(b, stop)
+        sa = substrings.suffix_array(w, stop)
+        lcp, raw = substrings.common_prefixes(w, stop, sa), b.tobytes()
+        for k in range(1, len(b)):
+            x, y = raw[sa[k]:][:100], raw[sa[k - 1]:][:100]
+            wrong += lcp[k] != next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    assert wrong == 0
+
+
 def test_empty_table(spark):
     assert substrings.substring_digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
