@@ -47,6 +47,7 @@ HOT = 20_000
 SHARD_BYTES, BLOCK = 4 << 20, 1 << 20
 #: Digest ranges in which the shards of a hot hash are merged.
 RANGES = 64
+_BYTE_STEPS = np.uint64(1) << np.arange(8, 64, 8, dtype=np.uint64)
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -103,70 +104,89 @@ def segments(raw: bytes):
 
 def words_at(b: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """The eight bytes from each position as a number; zeros from ``stop`` on."""
-    w = np.zeros(len(b), np.uint64)
     wide = np.concatenate([b, np.zeros(8, np.uint8)])
-    for k in range(8):
-        inside = np.arange(k, k + len(b)) < stop
-        w = (w << np.uint64(8)) | np.where(inside, wide[k:k + len(b)], 0).astype(np.uint64)
+    w = np.ndarray((len(b),), ">u8", wide, strides=(1,)).astype(np.uint64)
+    left = stop - np.arange(len(b))
+    short = np.flatnonzero(left < 8)
+    w[short] &= ~np.uint64(0) << (np.uint64(64) - 8 * left[short].astype(np.uint64))
     return w
 
 
+def _ordered(key: np.ndarray):
+    """``(order, first)``: places by key, ties by place, and which of them starts a new key.
+    Two unstable sorts are faster than a stable one."""
+    order = np.argsort(key)
+    new = key[order]
+    new = np.concatenate([[True], new[1:] != new[:-1]]) if len(key) else np.zeros(0, bool)
+    both = (np.cumsum(new) << 32) | order
+    both.sort()
+    return both & 0xFFFFFFFF, new
+
+
+def _small(n: int):
+    """The integers that hold places below n: small ones move less memory."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def suffix_array(words: np.ndarray, stop: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """Positions in order of their first ``depth`` bytes or more; ``stop``: end of each position's text."""
-    n = len(words)
-    sa = np.argsort(words, kind="stable")
-    first = np.concatenate([[True], words[sa[1:]] != words[sa[:-1]]]) if n else np.zeros(0, bool)
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    n, small = len(words), _small(len(words))
+    sa, first = _ordered(words)
+    sa, left = sa.astype(small), (stop - np.arange(n)).astype(small)
+    group = np.maximum.accumulate(np.where(first, np.arange(n), 0)).astype(small)     # of each place in sa
+    rank = np.empty(n, small)
+    rank[sa] = group
     h = 8
     while h < depth:
         tied = np.flatnonzero(~first | ~np.append(first[1:], True))
         if not len(tied):
             break
         pos = sa[tied]
-        nxt = pos + h
-        then = np.where(nxt < stop[pos], rank[np.minimum(nxt, n - 1)] + 1, 0)
-        key = rank[pos] * (n + 1) + then
-        order = np.argsort(key, kind="stable")
+        then = np.where(left[pos] > h, rank[np.minimum(pos, n - 1 - h) + small(h)], small(-1)) if n > h else np.full(len(pos), -1)
+        key = group[tied].astype(np.int64) * (n + 1) + (then + 1)
+        order = np.argsort(key, kind="stable")               # runs of one group: nearly in order
         sa[tied], key = pos[order], key[order]
         new = np.concatenate([[True], key[1:] != key[:-1]])
         first[tied] = new
-        rank[sa[tied]] = np.maximum.accumulate(np.where(new, tied, 0))
+        group[tied] = np.maximum.accumulate(np.where(new, tied, 0))
+        rank[sa[tied]] = group[tied]
         h *= 2
-    return sa
+    return sa.astype(np.int64)
 
 
 def common_prefixes(words: np.ndarray, stop: np.ndarray, sa: np.ndarray, cap: int = LENGTH, stride: int = 8) -> np.ndarray:
     """``lcp[k]`` of sa[k] and sa[k - 1], at most ``cap``.
 
     Where i - 1 shares l bytes with its predecessor j, i shares l - 1 with j + 1, and so with
-    its own predecessor if j + 1 comes before i. In a full suffix array it always does; here
-    ties beyond the sorted depth lie in any order, so it is looked up.
+    its own predecessor if j + 1 comes before i. In a full suffix array it always does. Here
+    ties beyond the sorted depth lie in any order: where l reaches ``cap`` the bound is only
+    taken if j + 1 is the predecessor of i itself.
     """
-    n = len(sa)
-    before, place = np.full(n, -1, np.int64), np.empty(n, np.int64)
+    n, small = len(sa), _small(len(sa))
+    before, left = np.full(n, -1, small), (stop - np.arange(n)).astype(small)
     before[sa[1:]] = sa[:-1]
-    place[sa] = np.arange(n)
-    plcp = np.zeros(n, np.int64)
+    plcp = np.zeros(n, small)
     for phase in range(stride):
-        i = np.arange(phase, n, stride)
-        known = np.zeros(len(i), np.int64)
+        i = np.arange(phase, n, stride, dtype=small)
+        j = before[phase::stride]
+        known = np.zeros(len(i), small)
         if phase:
-            j = before[i - 1]
-            holds = (j >= 0) & (place[np.minimum(j + 1, n - 1)] < place[i])
-            known[holds] = np.maximum(plcp[i - 1] - 1, 0)[holds]
-        j = before[i]
-        most = np.where(j < 0, 0, np.minimum(np.minimum(stop[i] - i, stop[j] - j), cap))
+            last = plcp[phase - 1::stride][:len(i)]
+            known = np.maximum(last - 1, 0)
+            known[(last >= cap) & (j != before[phase - 1::stride][:len(i)] + 1)] = 0
+        most = np.where(j < 0, small(0), np.minimum(np.minimum(left[phase::stride], left[j]), small(cap)))
         known = np.minimum(known, most)
         at = np.flatnonzero(known < most)
         while len(at):
             x = words[i[at] + known[at]] ^ words[j[at] + known[at]]
-            same = np.zeros(len(at), np.int64)
-            for k in range(1, 9):
-                same += (x >> np.uint64(64 - 8 * k)) == 0
-            known[at] = np.minimum(known[at] + same, most[at])
-            at = at[(same == 8) & (known[at] < most[at])]
-        plcp[i] = known
+            whole = x == 0
+            ends = at[~whole]
+            # equal leading bytes: seven less the powers of 256 that x reaches
+            known[ends] = np.minimum(known[ends] + 7 - np.searchsorted(_BYTE_STEPS, x[~whole], side="right"), most[ends])
+            at = at[whole]
+            known[at] = np.minimum(known[at] + 8, most[at])
+            at = at[known[at] < most[at]]
+        plcp[phase::stride] = known
     return plcp[sa]
 
 
