@@ -21,12 +21,14 @@ def line_stage(spark, docs, sf_dir):
 
 
 def near_dedup_stage(spark, docs, sf_dir):
-    """One document of each group whose five-word shingles are similar by 0.8: the smallest id.
+    """One document of each group of near duplicates: the smallest id.
 
-    Exact Jaccard similarity through shared prefixes of the shingle sets, not fingerprints:
-    within two of 64 bits nearly no pair of that similarity lies.
+    SimHash first: fingerprints of three-word shingles at most two bits apart are links, found
+    by pigeonring chains as in ``op1_simhash``. Within two of 64 bits lie few of the pairs whose
+    five-word shingles are similar by 0.8, so the exact search adds the others as links, and
+    groups are the components of both.
     """
-    return near.one_of_each_group(docs)
+    return near.one_of_each_group(docs, prints=3)
 
 
 def decontamination_stage(spark, docs, sf_dir):

@@ -1,8 +1,13 @@
-"""Near duplicates by exact Jaccard similarity of word shingles.
+"""Near duplicates by exact Jaccard similarity of word shingles, after SimHash if wanted.
 
 Two documents are linked when the Jaccard similarity of their sets of five-word shingles
 is at least 0.8; groups are the connected components of the links.
 
+Fingerprints. With ``prints`` the search begins with SimHash: documents are also linked when
+their fingerprints are, by the links of ``simhash``. Every text counts there, not one of each
+set. What these links join is not compared any more; the exact search finds the similar pairs
+whose fingerprints lie farther apart.
+
 Search. Of a set of n shingles in one order for all sets, the first ``n - ceil(0.8 n) + 1``
 are its keys: sets that similar share a key, whatever the order is. The order puts the
 shingles that a sample found in several sets last, the commonest at the end (a hint about
@@ -32,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystat.llm.common import matched, one_row_of_each, row_digest, row_id, saved
-from quarrystat.llm.simhash import components, shingle_hashes
+from quarrystat.llm.simhash import _signed, components, fingerprint, links, shingle_hashes
 
 WORDS = 5
 #: The least similarity as a fraction.
@@ -111,15 +116,18 @@ def _late(docs: DataFrame, words: int) -> np.ndarray:
     return common.column(0).to_numpy()[::-1].copy()
 
 
-def _texts(docs: DataFrame, words: int) -> DataFrame:
-    """``(d, r, g1, g2, n, keys, bits)``: id, row digest, digest and size of the set, keys, bitmap."""
+def _texts(docs: DataFrame, words: int, prints: int | None = None) -> DataFrame:
+    """``(d, r, g1, g2, n, keys, bits)``: id, row digest, digest and size of the set, keys, bitmap.
+    With ``prints``, the number of words of a fingerprint's shingles, the fingerprint ``f`` too."""
     sent = docs.sparkSession.sparkContext.broadcast(_late(docs, words))
 
     def batches(it):
         order = _Order(sent.value)
         for b in it:
-            g1, g2, n, keys, bits = [], [], [], [], []
+            g1, g2, n, keys, bits, f = [], [], [], [], [], []
             for t in b.column(2).to_pylist():
+                if prints:
+                    f.append(_signed(fingerprint(t, prints)))
                 h = shingle_set(t, words)
                 g = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
                 g1.append(g[0])
@@ -129,10 +137,22 @@ def _texts(docs: DataFrame, words: int) -> DataFrame:
                 bits.append(bitmap(h).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in (g1, g2, n)],
-                 pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                ["d", "r", "g1", "g2", "n", "keys", "bits"])
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), *([pa.array(f, pa.int64())] if prints else [])],
+                ["d", "r", "g1", "g2", "n", "keys", "bits", *(["f"] if prints else [])])
     rows = docs.select(row_id().alias("d"), row_digest(docs).alias("r"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(batches, "d long, r long, g1 long, g2 long, n long, keys array<long>, bits binary")
+    return rows.mapInArrow(batches, "d long, r long, g1 long, g2 long, n long, keys array<long>, bits binary"
+                           + ", f long" * bool(prints))
+
+
+def _print_links(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(a, b)``: links between sets that hold texts of equal or linked fingerprints."""
+    held = saved(texts.select("f", "g1", "g2").distinct().join(sets.select("g1", "g2", "no"), ["g1", "g2"]).select("f", "no"),
+                 "near-prints")
+    first = saved(held.groupBy("f").agg(F.min("no").alias("low")), "near-prints-first")
+    one, two = (first.select(F.col("f").alias(k), F.col("low").alias("l" + k)) for k in "ab")
+    across = links(first.select("f")).join(one, "a").join(two, "b").select(*_ordered("la", "lb"))
+    inside = held.join(first, "f").select(F.col("low").alias("a"), F.col("no").alias("b"))
+    return inside.unionByName(across).where("a < b").distinct()
 
 
 def _passing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -232,8 +252,9 @@ def _across(inside: DataFrame, sets: DataFrame) -> DataFrame:
     return cells.groupBy("key", "size", "p", "q").applyInArrow(_cell_pairs, "a long, b long").distinct()
 
 
-def groups(sets: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``(node, root)`` of the sets ``(no, d, r, n, keys, bits)`` that are linked to another."""
+def groups(sets: DataFrame, docs: DataFrame, words: int = WORDS, linked: DataFrame | None = None) -> DataFrame:
+    """``(node, root)`` of the sets ``(no, d, r, n, keys, bits)`` that are linked to another;
+    ``linked`` are links ``(a, b)`` known before."""
     keys = sets.select("no", "n", F.posexplode("keys").alias("i", "key"))
     counts = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     keyed = saved(keys.join(counts, "key"), "near-keys")
@@ -247,8 +268,13 @@ def groups(sets: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
     met = (hot.select("key", "no", "n", before).join(ends, "key")
            .select("no", "n", F.explode(F.array("low", "high", "prev")).alias("o")).where("o is not null")
            .where((F.col("o.no") != F.col("no")) & _fits(F.col("n"), F.col("o.n"))).withColumn("h", F.col("o.no")))
-    tried = saved(_passing(pairs.unionByName(met.select(*_ordered("no", "h"))).distinct(), sets), "near-pairs")
+    met = pairs.unionByName(met.select(*_ordered("no", "h"))).distinct()
+    if linked is not None:
+        met = met.join(linked, ["a", "b"], "left_anti")
+    tried = saved(_passing(met, sets), "near-pairs")
     found = saved(_verified(tried, sets, docs, words), "near-links")
+    if linked is not None:
+        found = found.unionByName(linked)
     roots = saved(components(found), "near-roots")
     inside = (hot.select("key", "no", "n").join(roots, F.col("no") == F.col("node"), "left")
               .select("key", "no", "n", F.coalesce("root", "no").alias("root")))
@@ -259,10 +285,12 @@ def groups(sets: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
     return roots if more.isEmpty() else saved(components(found.unionByName(more)), "near-roots")
 
 
-def one_of_each_group(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row of each group: the one with the smallest id, then the smallest row digest."""
-    texts = saved(_texts(docs, words), "near-texts")
+def one_of_each_group(docs: DataFrame, words: int = WORDS, prints: int | None = None) -> DataFrame:
+    """One row of each group: the one with the smallest id, then the smallest row digest.
+    ``prints``: documents whose SimHash of so many words is linked are of one group too."""
+    texts = saved(_texts(docs, words, prints), "near-texts")
     sets = saved(texts.dropDuplicates(["g1", "g2"]).withColumn("no", F.monotonically_increasing_id()), "near-sets")
     rows = matched(texts.select("d", "r", "g1", "g2"), sets.select("g1", "g2", "no"), ["g1", "g2"])
-    marks = rows.join(groups(sets, docs, words), F.col("no") == F.col("node"), "left")
+    linked = saved(_print_links(texts, sets), "near-linked") if prints else None
+    marks = rows.join(groups(sets, docs, words, linked), F.col("no") == F.col("node"), "left")
     return one_row_of_each(docs, marks.select("d", "r", F.coalesce("root", "no").alias("g")))

@@ -3,7 +3,7 @@ import random
 
 import corpus_pipeline
 import pytest
-from oddities import nothing, odd  # noqa: F401
+from oddities import SF, nothing, odd  # noqa: F401
 
 from quarrystat.llm import near
 
@@ -105,3 +105,26 @@ def test_odd_rows(odd, nothing):
     kept = near.one_of_each_group(odd)
     assert kept.columns == odd.columns and kept.count() == len(set(brute([r["text"] for r in odd.collect()])))
     assert near.one_of_each_group(nothing).count() == 0
+
+
+def test_stage_links_fingerprints_too(spark, monkeypatch):
+    """A change in every fifth word leaves no five-word shingle in common: only SimHash can link such texts."""
+    from quarrystat.llm import simhash
+    base = " ".join(f"w{i}" for i in range(400))
+    far = " ".join(("x" if i % 5 == 0 else "w") + str(i) for i in range(400))
+    texts = [base, far, "something else altogether here", "x " + base]
+    real = simhash.fingerprint
+    monkeypatch.setattr(near, "fingerprint", lambda t, words: real(base, words) ^ 5 if t == far else real(t, words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert not near.similar(near.shingle_set(base), near.shingle_set(far))
+    assert {r["doc_id"] for r in near.one_of_each_group(docs).collect()} == {0, 1, 2}
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, None).collect()} == {0, 2}
+
+
+def test_stage_keeps_the_links_of_op1(spark):
+    """Whatever op1 puts in one component leaves one document at most."""
+    from quarrystat.llm import simhash
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    of = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    kept = [of[r["doc_id"]] for r in corpus_pipeline.near_dedup_stage(spark, docs, None).collect()]
+    assert len(kept) == len(set(kept))
