@@ -15,6 +15,8 @@ from quarrystat.functions.kernels import list_column, matrix
 
 #: Numbers that a sparse batch may expand to at once.
 EXPANDED = 4_000_000
+#: Sums of pairs that a task may hold, and pairs of one step.
+PAIR_SUMS, PAIR_STEP = 2_000_000, 1 << 18
 
 
 class Dense:
@@ -154,11 +156,16 @@ def sparse_product_kernel(keep: list[str], right: np.ndarray, out: str, shift=No
     return run
 
 
+def _pair_batch(d, key, value):
+    return pa.RecordBatch.from_arrays([pa.array((key // d).astype(np.int32)), pa.array((key % d).astype(np.int32)),
+                                       pa.array(value)], names=["i", "j", "value"])
+
+
 class _PairSums:
     """Sums of products by pair of columns, folded whenever ``most`` are held."""
 
-    def __init__(self, most):
-        self.most, self.keys, self.sums, self.held = most, [], [], 0
+    def __init__(self, d, most):
+        self.d, self.most, self.keys, self.sums, self.held = d, most, [], [], 0
 
     def add(self, key, value):
         self.keys.append(key)
@@ -172,7 +179,7 @@ class _PairSums:
         first = np.flatnonzero(np.diff(key, prepend=-1))
         self.keys, self.sums, self.held = [key[first]], [np.add.reduceat(value[order], first)], len(first)
 
-    def batches(self, d, everything=False):
+    def batches(self, everything=False):
         """What must go out now: all at the end, or when folding leaves more than half."""
         if not self.held or not (everything or self.held > self.most):
             return
@@ -180,17 +187,37 @@ class _PairSums:
         if everything or self.held > self.most // 2:
             key, value = self.keys[0], self.sums[0]
             self.keys, self.sums, self.held = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array((key // d).astype(np.int32)), pa.array((key % d).astype(np.int32)),
-                                              pa.array(value)], names=["i", "j", "value"])
+            yield _pair_batch(self.d, key, value)
+
+
+class _PairMatrix:
+    """Sums of products by pair of columns where every pair has its place; a task holds one."""
+
+    def __init__(self, d):
+        self.d, self.sums, self.met = d, np.zeros(d * d), np.zeros(d * d, bool)
+
+    def add(self, key, value):
+        np.add.at(self.sums, key, value)
+        self.met[key] = True
+
+    def batches(self, everything=False):
+        if everything:
+            key = np.flatnonzero(self.met)
+            for at in range(0, len(key), PAIR_STEP):
+                some = key[at:at + PAIR_STEP]
+                yield _pair_batch(self.d, some, self.sums[some])
 
 
-def pair_kernel(d: int, most: int = EXPANDED):
+def pair_kernel(d: int, most: int = PAIR_SUMS):
     """``(i, j, value)``: partial sums of x_i x_j, i <= j, over pairs of cells that are there.
 
-    The work is the number of such pairs; equal pairs are added up before they leave the task.
+    The work is the number of such pairs; equal pairs are added up before they leave the task,
+    in a matrix if it has at most ``most`` cells, else in sorted runs of so many. Memory does not
+    grow with the rows.
     """
     def run(batches):
-        held = _PairSums(most)
+        held = _PairMatrix(d) if d * d <= most else _PairSums(d, most)
+        step = max(1, min(PAIR_STEP, most // 4))
         for batch in batches:
             x = Sparse(batch, d, None)
             nnz = len(x.at)
@@ -202,11 +229,11 @@ def pair_kernel(d: int, most: int = EXPANDED):
             at = 0
             while at < nnz:
                 base = upto[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(upto, base + most // 4, side="right")))
+                to = max(at + 1, int(np.searchsorted(upto, base + step, side="right")))
                 left = np.repeat(np.arange(at, to), partners[at:to])
                 right = np.arange(len(left)) - np.repeat(upto[at:to] - partners[at:to] - base, partners[at:to]) + left
                 held.add(x.at[left] * d + x.at[right], x.v[left] * x.v[right])
-                yield from held.batches(d)
+                yield from held.batches()
                 at = to
-        yield from held.batches(d, everything=True)
+        yield from held.batches(everything=True)
     return run

@@ -217,3 +217,32 @@ def test_auc_of_predicted_classes(spark):
     pred = M.predict(M.logistic(train, reg=0.01), test).collect()
     right = [np.mean([r["prediction"] == r["label"] for r in pred if r["label"] == y]) for y in (0.0, 1.0)]
     assert got == pytest.approx(np.mean(right)) and got != M.logistic_sweep(t, (0.01,)).first()["auc"]
+
+
+@pytest.mark.parametrize("d,bound", [(997, 60), (40_000, 160)])
+def test_pair_kernel_holds_no_more_for_more_rows(d, bound):
+    """Memory (MB) over 6 million pairs, in a matrix and in sorted runs."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batches():
+        rng = np.random.default_rng(3)
+        for _ in range(60):
+            at = np.sort(np.array([rng.choice(997, 4, replace=False) for _ in range(100)]), axis=1).astype(np.int32)
+            at = np.tile(at, (100, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(list(at), pa.list_(pa.int32())),
+                                              pa.array(list(np.ones(at.shape)), pa.list_(pa.float64()))], names=["at", "v"])
+    tracemalloc.start()
+    total = sum(b.column("value").to_numpy().sum() for b in K.pair_kernel(d)(batches()))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert total == 60 * 10_000 * 10 and peak < bound
+
+
+def test_pairs_whose_sum_is_zero_have_a_row():
+    import pyarrow as pa
+    b = pa.RecordBatch.from_arrays([pa.array([[0, 2], [0, 2]], pa.list_(pa.int32())),
+                                    pa.array([[1.0, 1.0], [1.0, -1.0]], pa.list_(pa.float64()))], names=["at", "v"])
+    rows = [r for o in K.pair_kernel(3)(iter([b])) for r in o.to_pylist()]
+    assert {"i": 0, "j": 2, "value": 0.0} in rows and len(rows) == 3
