@@ -38,20 +38,21 @@ def _eigh(g: np.ndarray):
 
 
 def leading_pairs(times: Callable[[np.ndarray], np.ndarray], d: int, k: int, tol: float = 1e-10,
-                  max_iter: int = 300, seed: int = 0):
+                  max_iter: int = 300, seed: int = 0, square: Callable[[], np.ndarray] | None = None):
     """The ``k`` leading eigenpairs of a symmetric operator ``V -> A V`` on d numbers, descending.
 
     A block Krylov space grows by one product a round. When it would pass ``BLOCKS`` blocks it
     is folded to its best Ritz vectors (a thick restart), and the newest block goes on from
     there, so that at most ``BLOCKS`` blocks and their images are held. It ends when the
     residual of every wanted pair is below ``tol`` times the largest value, or the space is
-    invariant. Where a block can hold all of d, the first product is the whole answer.
+    invariant. Where a block can hold all of d, the first product is the whole answer, or
+    ``square``, which gives A by a shorter way.
     """
     if not 0 < k <= d:
         raise ValueError(f"k must lie in 1..{d}")
     block = min(d, max(k + 4, min(BLOCK, MAX_MATRIX_CELLS // d)))
     if block == d:
-        g = times(np.eye(d))
+        g = square() if square else times(np.eye(d))
         lam, vec = _eigh((g + g.T) / 2)
         return lam[:k], vec[:, :k]
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, block)))[0]
@@ -109,7 +110,8 @@ def svd(df: DataFrame, k: int, compute_u: bool = False, r_cond: float = 1e-9,
     if mode == "local":
         lam, vec = _eigh(local_moments(df)[2])
     elif mode in ("auto", "distributed"):
-        lam, vec = leading_pairs(RowProducts(df, d).times, d, k, tol, max_iter)
+        x = RowProducts(df, d)
+        lam, vec = leading_pairs(x.times, d, k, tol, max_iter, square=x.square)
     else:
         raise ValueError(f"unknown mode {mode}")
     s = np.sqrt(np.maximum(lam[:k], 0.0))
@@ -123,8 +125,8 @@ def svd(df: DataFrame, k: int, compute_u: bool = False, r_cond: float = 1e-9,
 
 def top_eigen(df: DataFrame, k: int, tol: float = 1e-10, max_iter: int = 300, seed: int = 0):
     """Leading eigenpairs of X'X, descending, from products with X'X only."""
-    d = width(df)
-    return leading_pairs(RowProducts(df, d).times, d, k, tol, max_iter, seed)
+    x = RowProducts(df, width(df))
+    return leading_pairs(x.times, x.d, k, tol, max_iter, seed, x.square)
 
 
 @dataclass

@@ -90,6 +90,21 @@ class RowProducts:
             parts.append(m[:, :-2].T)
         return np.hstack(parts)
 
+    def square(self) -> np.ndarray:
+        """X'X whole, on the driver. Sparse rows (without a shift) give it by the pairs of cells
+        they hold, so that the work does not grow with d for each cell."""
+        if not self.sparse or self.shift is not None or self.target:
+            return self.times(np.eye(self.d))
+        got = pair_products(self.rows, self.d).toArrow()          # d (d + 1) / 2 entries at most
+        if not got.num_rows and self.rows.isEmpty():
+            raise ValueError("the table has no rows")
+        i, j, v = (got[c].to_numpy() for c in ("i", "j", "value"))
+        out = np.zeros((self.d, self.d))
+        out[i, j] = v
+        out[j, i] = v
+        self.total = float(np.trace(out))
+        return out
+
     def means(self) -> np.ndarray:
         """Column means of the rows (less the shift)."""
         m = self._vectors(kernels.column_sum_kernel(self.d, self.shift, self.sparse, FAN), 1)[0]

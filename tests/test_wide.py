@@ -246,3 +246,11 @@ def test_pairs_whose_sum_is_zero_have_a_row():
                                     pa.array([[1.0, 1.0], [1.0, -1.0]], pa.list_(pa.float64()))], names=["at", "v"])
     rows = [r for o in K.pair_kernel(3)(iter([b])) for r in o.to_pylist()]
     assert {"i": 0, "j": 2, "value": 0.0} in rows and len(rows) == 3
+
+
+def test_all_pairs_of_sparse_rows_come_from_their_cells(holes, monkeypatch):
+    """As many eigenpairs as columns: no product with a d x d matrix, the same values."""
+    rows, _, x = holes
+    monkeypatch.setattr(RowProducts, "times", lambda *a: pytest.fail("the rows are multiplied by a d x d matrix"))
+    lam, vec = D.top_eigen(rows, 30)
+    assert np.allclose(lam, np.linalg.eigvalsh(x.T @ x)[::-1]) and np.allclose(vec @ np.diag(lam) @ vec.T, x.T @ x)
