@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml import Pipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import HashingTF, Tokenizer
@@ -141,12 +141,19 @@ def term_frequencies(df: DataFrame, buckets: int, text: str = "text") -> DataFra
 
 def text_model(train: DataFrame, buckets=(10, 100, 1000), regs=(0.1, 0.01), folds: int = 2,
                seed: int = 0, parallelism: int = 2):
-    """Cross-validated tokenizer, hashing and logistic regression, chosen by AUC."""
+    """Cross-validated tokenizer, hashing and logistic regression, chosen by AUC.
+
+    Texts are tokenized and hashed once for every number of buckets; the folds and all fits read
+    these sparse rows, which are kept, and choose among them by the column of features.
+    """
     tok = Tokenizer(inputCol="text", outputCol="words")
-    tf = HashingTF(inputCol="words", outputCol="features")
+    tfs = {f"features_{n}": HashingTF(inputCol="words", outputCol=f"features_{n}", numFeatures=n) for n in buckets}
+    rows = PipelineModel([tok, *tfs.values()]).transform(train.select("text", "label")).select("label", *tfs).persist()
     lr = LogisticRegression(maxIter=10)
-    grid = (ParamGridBuilder().addGrid(tf.numFeatures, list(buckets))
-            .addGrid(lr.regParam, list(regs)).build())
-    return CrossValidator(estimator=Pipeline(stages=[tok, tf, lr]), estimatorParamMaps=grid,
-                          evaluator=BinaryClassificationEvaluator(), numFolds=folds, seed=seed,
-                          parallelism=parallelism).fit(train)
+    grid = ParamGridBuilder().addGrid(lr.featuresCol, list(tfs)).addGrid(lr.regParam, list(regs)).build()
+    try:
+        chosen = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(),
+                                numFolds=folds, seed=seed, parallelism=parallelism).fit(rows).bestModel
+    finally:
+        rows.unpersist()
+    return PipelineModel([tok, tfs[chosen.getFeaturesCol()], chosen])

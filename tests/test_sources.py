@@ -107,3 +107,26 @@ def test_text_model_tells_unseen_documents(spark):
     train, test = split(spark.createDataFrame(rows, "id long, text string, label double"))
     out = supervised.text_model(train, buckets=(100,), regs=(0.01,)).transform(test)
     assert out.count() > 20 and out.where("prediction <> label").count() == 0
+
+
+def test_text_model_reads_texts_once(spark, monkeypatch):
+    """One pass of the tokenizer, whatever the grid; the choice is that of a grid over the whole chain."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.feature import HashingTF, Tokenizer
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    from quarrystat.operators import supervised
+    rows = [(i, f"{'alpha beta' if i % 3 else 'gamma delta'} w{i % 7} w{i % 11}", float(i % 2)) for i in range(120)]
+    t = spark.createDataFrame(rows, "id long, text string, label double").coalesce(2).persist()
+    tok, tf = Tokenizer(inputCol="text", outputCol="words"), HashingTF(inputCol="words", outputCol="features")
+    lr = LogisticRegression(maxIter=10)
+    grid = ParamGridBuilder().addGrid(tf.numFeatures, [10, 40]).addGrid(lr.regParam, [0.1]).build()
+    want = CrossValidator(estimator=Pipeline(stages=[tok, tf, lr]), estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(),
+                          numFolds=2, seed=0).fit(t).bestModel.stages[-1]
+    passes, plainly = [], Tokenizer._transform
+    monkeypatch.setattr(Tokenizer, "_transform", lambda self, df: passes.append(1) or plainly(self, df))
+    got = supervised.text_model(t, buckets=(10, 40), regs=(0.1,)).stages[-1]
+    assert len(passes) == 1
+    assert got.numFeatures == want.numFeatures and got.coefficients.toArray().tolist() == pytest.approx(want.coefficients.toArray().tolist())
