@@ -15,6 +15,9 @@ from pyspark.sql.types import StructField, StructType
 
 from quarrystat.operators.products import cell_columns
 
+#: Bytes of texts whose words are counted in one task.
+TEXT_BYTES = 8 << 20
+
 
 def _vector_kernel(keep: list[str], d: int):
     def run(batches):
@@ -59,8 +62,15 @@ def to_dense(df: DataFrame) -> DataFrame:
 
 def word_entries(docs: DataFrame, buckets: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(i, j, value)``: how often document i holds words (runs of A-Z, a-z) of bucket j, the
-    bucket being a hash of the word that SQL can repeat. Null ids and texts have no entries."""
+    bucket being a hash of the word that SQL can repeat. Null ids and texts have no entries.
+
+    Whole texts go to as many partitions as keep ``TEXT_BYTES`` each, by id, so that the cells a
+    task counts do not grow with the table; a document's cells stay together for later steps.
+    """
     words = F.explode(F.regexp_extract_all(F.col(text), F.lit("[A-Za-z]+"), F.lit(0)))
     j = F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long") % buckets
-    return (docs.where(F.col(key).isNotNull()).select(F.col(key).alias("i"), words.alias("w"))
+    docs = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("i"), text)
+    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TEXT_BYTES))
+    return (docs.repartition(parts, "i").select("i", words.alias("w"))
             .groupBy("i", j.cast("int").alias("j")).agg(F.count("*").cast("double").alias("value")))

@@ -130,3 +130,12 @@ def test_text_model_reads_texts_once(spark, monkeypatch):
     got = supervised.text_model(t, buckets=(10, 40), regs=(0.1,)).stages[-1]
     assert len(passes) == 1
     assert got.numFeatures == want.numFeatures and got.coefficients.toArray().tolist() == pytest.approx(want.coefficients.toArray().tolist())
+
+
+def test_words_are_counted_in_bounded_tasks(spark, monkeypatch):
+    """One shuffle, of texts by id, into as many partitions as their bytes ask for; ids that repeat are added up."""
+    monkeypatch.setattr(sparse, "TEXT_BYTES", 100)
+    docs = spark.createDataFrame([(i % 50, "one two two") for i in range(100)] + [(None, "x"), (7, None)], "doc_id long, text string")
+    cells = sparse.word_entries(docs, 1000)
+    assert cells.rdd.getNumPartitions() == 11
+    assert sorted(r["value"] for r in cells.collect()) == [2.0] * 50 + [4.0] * 50
