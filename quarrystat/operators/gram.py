@@ -125,16 +125,15 @@ def _column_norms(df: DataFrame, d: int) -> np.ndarray:
 def covariance_sampled(df: DataFrame, seed: int = 0, gamma: float | None = None) -> DataFrame:
     """Population covariance from sampled cells, upper triangle.
 
-    A cell of column i enters with probability p_i = sqrt(gamma) / norm, gamma = 10 ln(d) / 1e-6
-    by default, and is weighted so that the expectation is the covariance.  Exact where every
-    p_i reaches 1. Dense rows are centred before the draw. Of sparse rows only the cells they
-    hold are drawn, and the product of the exact means is taken off the sums afterwards; pairs
-    of columns that never meet have no row (their value is minus that product). Work follows
-    the pairs of cells kept together.
+    A cell of column i enters with probability p_i = sqrt(gamma) / norm and is weighted so that
+    the expectation is the covariance.  Without gamma every cell enters, however large the norms
+    of a long table: that is exact, as it is where every p_i reaches 1. Dense rows are centred
+    before the draw. Of sparse rows only the cells they hold are drawn, and the product of the
+    exact means is taken off the sums afterwards; pairs of columns that never meet have no row
+    (their value is minus that product). Work follows the pairs of cells kept together.
     """
     d, sparse = width(df), is_vector(df)
-    gamma = 10 * math.log(d) / 1e-6 if gamma is None else gamma
-    p = np.minimum(1.0, math.sqrt(gamma) / _column_norms(df, d))
+    p = np.ones(d) if gamma is None else np.minimum(1.0, math.sqrt(gamma) / _column_norms(df, d))
     rows = RowProducts(df, d)
     mean = rows.means()
     if not sparse:

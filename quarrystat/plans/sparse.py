@@ -99,7 +99,7 @@ def cosine_dimsum_sparse(spark, sf):
 SELECT a.j AS i, b.j AS j, {r6('sum(a.v * b.v) / max(n) - max(ca.total) * max(cb.total) / max(n) / max(n)')} AS value
 FROM e a JOIN e b ON a.id = b.id AND a.j <= b.j JOIN c ca ON ca.j = a.j JOIN c cb ON cb.j = b.j, n GROUP BY ALL""")
 def cov_sparse(spark, sf):
-    """The default gamma keeps every cell, so this is exact."""
+    """Without gamma every cell is kept, so this is exact however many orders there are."""
     return _value(gram.covariance_sampled(_baskets(spark, sf)))
 
 

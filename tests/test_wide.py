@@ -1,6 +1,9 @@
 """Tables of 5,000 columns, and sparse rows, against numpy."""
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from quarrystat.functions import products as K
@@ -8,6 +11,7 @@ from quarrystat.operators import decomposition as D
 from quarrystat.operators import gram
 from quarrystat.operators import supervised as M
 from quarrystat.operators.products import RowProducts
+from quarrystat.plans import sparse as sparse_plans
 from quarrystat.sources import sparse, text
 from quarrystat.sources.text import from_rows
 
@@ -153,6 +157,28 @@ def test_sparse_cosine_and_covariance(holes):
     assert all(v == pytest.approx(c[k]) for k, v in cov.items()) and (7, 7) not in cov
 
 
+def test_covariance_without_gamma_keeps_every_cell(holes):
+    """Norms far above the square root of 10 ln(d) / 1e-6, as a table of many rows has them."""
+    rows, dense, x = holes
+    long = dense.select("id", F.transform("features", lambda v: v * 1e5).alias("features"))
+    c = np.cov(1e5 * x.T, ddof=0)
+    vectors = long.select("id", array_to_vector("features").alias("features"))
+    for t in (long, vectors):
+        got = entries(gram.covariance_sampled(t))
+        assert all(v == pytest.approx(c[k], rel=1e-9, abs=1e-3) for k, v in got.items())
+
+
+def test_cov_sparse_is_exact_where_norms_are_large(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    t = pa.table({"l_orderkey": np.repeat(np.arange(300), 4), "l_partkey": rng.integers(0, 6, 1200),
+                  "l_quantity": rng.integers(1, 51, 1200) * 1e4})
+    pq.write_table(t, f"{tmp_path}/lineitem.parquet")
+    x = np.zeros((300, 6))
+    np.add.at(x, (t["l_orderkey"].to_numpy(), t["l_partkey"].to_numpy()), t["l_quantity"].to_numpy())
+    got, c = entries(sparse_plans.cov_sparse(spark, str(tmp_path))), np.cov(x.T, ddof=0)
+    assert len(got) == 21 and all(v == pytest.approx(c[k]) for k, v in got.items())
+
+
 def test_sparse_and_dense_rows_are_drawn_alike(holes):
     rows, dense, _ = holes
     a, b = (entries(gram.cosine_sampled(t, 9.0, seed=3)) for t in (rows, dense))
