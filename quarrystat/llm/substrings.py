@@ -7,7 +7,8 @@
    combine in every task.
 2. Shards. Segments whose hash occurs again meet, with their bytes, in shards of
    bounded size, keyed by the hash. Identical segments collapse to the earliest.
-   What is left with an equal hash goes through a suffix array (Larsson-Sadakane:
+   What is left with an equal hash loses the windows whose own hash is in the shard once
+   (again exactly ruled out); the rest goes through a suffix array (Larsson-Sadakane:
    sort by eight bytes, then refine only tied suffixes by doubling, in numpy) and
    Kasai's common prefixes (the bound PLCP[i] >= PLCP[i-1] - 1 in strides, so that numpy
    can take all of them at once). Suffixes with 100 bytes in common are one string; all
@@ -34,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystat.llm.common import row_id, saved
@@ -43,24 +44,37 @@ LENGTH, GRAM = 100, 16
 SPAN = LENGTH - GRAM + 1                      # grams in a window
 #: Segments of one hash that one shard takes; more are dealt over several.
 HOT = 20_000
-#: Bytes of segments in a shard, and windows of a text handled at once.
-SHARD_BYTES, BLOCK = 4 << 20, 1 << 20
+#: Bytes of segments in a shard, windows of a text handled at once, and bytes of texts hashed together.
+SHARD_BYTES, BLOCK, GROUP = 4 << 20, 1 << 20, 1 << 16
 #: Digest ranges in which the shards of a hot hash are merged.
 RANGES = 64
 _BYTE_STEPS = np.uint64(1) << np.arange(8, 64, 8, dtype=np.uint64)
-_rng = np.random.default_rng(20)
-_BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_HALF = np.uint64(32)
+_ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
-    """A hash of each 16-byte string."""
-    h, n, p = _BYTE[b], 1, 0x9E3779B97F4A7C15
-    while n < GRAM:
-        h = h[:-n] * np.uint64(p) + h[n:]
-        p, n = p * p % (1 << 64), 2 * n
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    """A hash of each 16-byte string, from its two words of eight bytes."""
+    n = len(b) - GRAM + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    w = np.ndarray((n + 8,), "<u8", np.ascontiguousarray(b), strides=(1,)).astype(np.uint64)
+    h = w[:n] * _ODD[0]
+    h ^= h >> _HALF
+    h += w[8:]
+    h *= _ODD[1]
+    h ^= h >> _HALF
+    h *= _ODD[2]
+    return h
+
+
+def window_hashes(b: np.ndarray) -> np.ndarray:
+    """A hash of each window, from its grams."""
+    h = gram_hashes(b)
+    for step in (GRAM, 2 * GRAM, LENGTH - 4 * GRAM):          # 32, 64 and, overlapping, 100 bytes
+        h = h[:-step] * _ODD[1] + h[step:]
+        h ^= h >> _HALF
+    return h * _ODD[0]
 
 
 def _sliding(best, x: np.ndarray) -> np.ndarray:
@@ -72,32 +86,85 @@ def _sliding(best, x: np.ndarray) -> np.ndarray:
     return best(x[:count], x[SPAN - n:SPAN - n + count])
 
 
-def _blocks(raw: bytes):
-    for at in range(0, max(0, len(raw) - LENGTH + 1), BLOCK):
-        yield at, gram_hashes(np.frombuffer(raw, np.uint8, min(BLOCK + LENGTH - 1, len(raw) - at), at))
-
-
-def anchors(raw: bytes) -> np.ndarray:
-    """The hashes that are smallest in some window, once for each place where they are."""
-    out = [np.zeros(0, np.uint64)]
-    for _, g in _blocks(raw):
-        m = _sliding(np.minimum, g)
-        edge = np.zeros(SPAN - 1, np.uint64)
-        out.append(g[_sliding(np.maximum, np.concatenate([edge, m, edge])) == g])
-    return np.concatenate(out).view(np.int64)
+def _groups(texts):
+    """Texts side by side, so that numpy is called for many at once: ``(owner, offset, begin, count, g)``,
+    arrays of the number of each text, where its part starts in it and in the group, the windows of
+    the part, and the gram hashes of the group. Long texts come in blocks."""
+    def group():
+        sizes = np.fromiter((len(x) for _, _, x in parts), np.int64, len(parts))
+        b = np.frombuffer(b"".join([x for _, _, x in parts]), np.uint8)
+        return (np.array([k for k, _, _ in parts]), np.array([at for _, at, _ in parts]),
+                np.cumsum(sizes) - sizes, sizes - LENGTH + 1, gram_hashes(b))
+    parts, size = [], 0
+    for k, raw in enumerate(texts):
+        for at in range(0, len(raw) - LENGTH + 1, BLOCK):
+            if parts and size + min(len(raw) - at, BLOCK) > GROUP:
+                yield group()
+                parts, size = [], 0
+            parts.append((k, at, raw[at:at + BLOCK + LENGTH - 1]))
+            size += len(parts[-1][2])
+    if parts:
+        yield group()
+
+
+def _smallest(x: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The smallest value in each window of a group; zero for windows that lie across two texts."""
+    m = _sliding(np.minimum, x)
+    m[((begin + count)[:-1, None] + np.arange(LENGTH - 1)).reshape(-1)] = 0
+    return m
+
+
+def _places(upper: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Where a hash is the smallest in some window, by the upper halves of the hashes (half a hash
+    takes numpy far less time than a whole one)."""
+    edge = np.zeros(SPAN - 1, np.uint32)
+    return np.flatnonzero(_sliding(np.maximum, np.concatenate([edge, m, edge])) == upper)
+
+
+def anchors(texts):
+    """``(text, hash, places)`` arrays: the hashes that are smallest in some window of a text, and at
+    how many places in a row. A hash that shares its upper half with a smallest one may be among
+    them: one candidate more."""
+    for owner, _, begin, count, g in _groups(texts):
+        upper = (g >> _HALF).astype(np.uint32)
+        at = _places(upper, _smallest(upper, begin, count))
+        h, k = g[at], np.repeat(owner, np.diff(np.append(begin, begin[-1] + count[-1] + LENGTH)))[at]
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])]))
+        yield k[first], h[first].view(np.int64), np.diff(np.append(first, len(h)))
+
+
+def segments_of(texts):
+    """``(text, hash, first window, end)`` arrays of the segments of texts."""
+    for owner, offset, begin, count, g in _groups(texts):
+        upper = (g >> _HALF).astype(np.uint32)
+        m = _smallest(upper, begin, count)
+        at = _places(upper, m)
+        x = np.sort(g[at])
+        halves = not ((x[1:] >> _HALF == x[:-1] >> _HALF) & (x[1:] != x[:-1])).any()
+        if not halves:                                       # two hashes of one upper half
+            m = _smallest(g, begin, count)
+        new = np.concatenate([[True], m[1:] != m[:-1]])
+        new[begin] = True
+        new[(begin + count)[:-1]] = True
+        s = np.flatnonzero(new)
+        part = np.searchsorted(begin, s, side="right") - 1
+        end = np.append(s[1:], len(m))
+        inside = s < (begin + count)[part]
+        s, end, part = s[inside], end[inside], part[inside]
+        h = m[s]
+        if halves:
+            k = np.searchsorted(at, s)
+            while len(miss := np.flatnonzero(upper[at[k]] != h)):
+                k[miss] += 1                                 # the smallest lies behind another place of the window
+            h = g[at[k]]
+        back = offset[part] - begin[part]
+        yield owner[part], h.view(np.int64), s + back, end + back
 
 
 def segments(raw: bytes):
     """``(hash, first window, end)`` arrays of the segments of a text."""
-    out = []
-    for at, g in _blocks(raw):
-        m = _sliding(np.minimum, g)
-        count = len(m)
-        s = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-        out.append((m[s].view(np.int64), s + at, np.append(s[1:], count) + at))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out))
+    out = [x[1:] for x in segments_of([raw])]
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
 # --- suffix arrays ---------------------------------------------------------------
@@ -190,25 +257,52 @@ def common_prefixes(words: np.ndarray, stop: np.ndarray, sa: np.ndarray, cap: in
     return plcp[sa]
 
 
+def _places_again(b: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places in ``b`` of the whole windows of the pieces whose hash is there more than once (in part of
+    its bits, which lets a few more pass). Windows of the same bytes are all among them."""
+    count = np.maximum(sizes - LENGTH + 1, 0)
+    at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    if not len(at):
+        return at
+    low = (np.uint64(1) << np.uint64(len(at).bit_length())) - np.uint64(1)
+    key = (window_hashes(b)[at] & ~low) | np.arange(len(at), dtype=np.uint64)
+    key.sort()
+    same = (key[1:] ^ key[:-1]) <= low
+    again = np.zeros(len(at), bool)
+    of = (key & low).astype(np.int64)
+    again[of[1:][same]] = True
+    again[of[:-1][same]] = True
+    return at[again]
+
+
 def repeated_windows(pieces: list[bytes], order: np.ndarray):
     """Windows of the pieces by string: ``(piece, offset, class, is first)``. ``order[p]`` is a
-    number that sorts the start of piece p; its windows follow one by one."""
+    number that sorts the start of piece p; its windows follow one by one. Windows that are not
+    returned are there once."""
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    b = np.frombuffer(b"".join(pieces), np.uint8)
+    whole = np.frombuffer(b"".join(pieces), np.uint8)
     begin = np.cumsum(sizes) - sizes
-    piece = np.repeat(np.arange(len(pieces)), sizes)
-    stop = (begin + sizes)[piece]
+    # Suffixes of runs of windows that may repeat: the others only cost time.
+    at = _places_again(whole, begin, sizes)
+    if not len(at):
+        return at, at, at, np.zeros(0, bool)
+    heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
+    sizes_run = at[np.append(heads[1:], len(at)) - 1] - at[heads] + LENGTH
+    end = np.cumsum(sizes_run)
+    place = np.repeat(at[heads] - (end - sizes_run), sizes_run) + np.arange(end[-1])
+    b, stop = whole[place], np.repeat(end, sizes_run)
     words = words_at(b, stop)
     sa = suffix_array(words, stop)
     lcp = common_prefixes(words, stop, sa)
     full = stop[sa] - sa >= LENGTH                       # starts of whole windows
     kind = np.cumsum(lcp < LENGTH)[full]
-    sa = sa[full]
-    key = order[piece[sa]] + (sa - begin[piece[sa]])
+    at = place[sa[full]]
+    piece = np.repeat(np.arange(len(pieces)), sizes)[at]
+    key = order[piece] + (at - begin[piece])
     heads = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]])) if len(kind) else np.zeros(0, np.int64)
     low = np.minimum.reduceat(key, heads) if len(kind) else key
     first = key == np.repeat(low, np.diff(np.append(heads, len(kind))))
-    return piece[sa], sa - begin[piece[sa]], kind, first
+    return piece, at - begin[piece], kind, first
 
 
 def _spans(owner: np.ndarray, at: np.ndarray):
@@ -225,7 +319,7 @@ def _spans(owner: np.ndarray, at: np.ndarray):
 
 def _shard(h, salt, d, t, s, pieces, hot):
     """One shard: removed spans ``(d, t, s, bytes)``, and the earliest windows of hot hashes
-    as ``(digest high, digest low, d, s, t)``."""
+    as rows ``(digest high, digest low, d, s, t)``."""
     o = np.lexsort((s, d))
     h, salt, d, t, s, hot, pieces = h[o], salt[o], d[o], t[o], s[o], hot[o], [pieces[k] for k in o]
     seen, same, gone, ties = {}, np.zeros(len(h), bool), [], {}
@@ -261,11 +355,17 @@ def _shard(h, salt, d, t, s, pieces, hot):
         removed.append(np.stack([d[who], t[who], at, n], axis=1).astype(np.int64).reshape(-1, 4))
         more = [(d[k], x, a, m) for k, a, m in zip(who.tolist(), at.tolist(), n.tolist()) for x in twins.get(k, ())]
         removed.append(np.array(more, np.int64).reshape(-1, 4))
-        for k in np.flatnonzero(first & hot[q]).tolist():
-            x = xxhash.xxh3_128_digest(pieces[q[k]][off[k]:off[k] + LENGTH])
-            exported += [(int.from_bytes(x[:8], "big", signed=True), int.from_bytes(x[8:], "big", signed=True),
-                          int(d[q[k]]), int(s[q[k]] + off[k]), own) for own in (int(t[q[k]]), *twins.get(int(q[k]), ()))]
-    return np.concatenate(removed), exported
+        lost = np.zeros(sizes.sum() if hot.any() else 0, bool)       # windows that another is before
+        begin = np.cumsum(sizes) - sizes
+        if len(lost):
+            lost[(begin[q] + off)[~first]] = True
+        for k in open_[hot[open_]].tolist():
+            piece = pieces[k]
+            at = np.flatnonzero(~lost[begin[k]:begin[k] + sizes[k] - LENGTH + 1])
+            x = np.frombuffer(b"".join([xxhash.xxh3_128_digest(piece[a:a + LENGTH]) for a in at.tolist()]), ">i8").reshape(-1, 2)
+            for own in (int(t[k]), *twins.get(k, ())):
+                exported.append(np.column_stack([x, np.full(len(at), d[k]), s[k] + at, np.full(len(at), own)]).astype(np.int64))
+    return np.concatenate(removed), np.concatenate(exported) if exported else np.zeros((0, 5), np.int64)
 
 
 # --- Spark ----------------------------------------------------------------------
@@ -286,16 +386,10 @@ def _anchors(docs: DataFrame) -> DataFrame:
     """``(h, d, t, m)``: the segment hashes of each document and in how many places they are."""
     def batches(it):
         for b in it:
-            hs, ds, ts, ms = [], [], [], []
-            for d, t, text in zip(*[c.to_pylist() for c in b.columns]):
-                if text and 4 * len(text) >= LENGTH:
-                    h, m = np.unique(anchors(text.encode("utf-8", "surrogatepass")), return_counts=True)
-                    hs.append(h)
-                    ds.append(np.full(len(h), d, np.int64))
-                    ts.append(np.full(len(h), t, np.int64))
-                    ms.append(m)
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (hs, ds, ts, ms)], ["h", "d", "t", "m"])
+            d, t = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            texts = ((x or "").encode("utf-8", "surrogatepass") for x in b.column(2).to_pylist())
+            for k, h, m in anchors(texts):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, d[k], t[k], m)], ["h", "d", "t", "m"])
     text = F.col("text").cast("string")
     rows = docs.select(row_id().alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
     return rows.mapInArrow(batches, "h long, d long, t long, m long")
@@ -303,13 +397,20 @@ def _anchors(docs: DataFrame) -> DataFrame:
 
 def _hits(docs: DataFrame) -> DataFrame:
     """``(d, t, hs, ns)``: the hashes of each text of an id that occur again, and their counts."""
-    again = _anchors(docs).groupBy("h").agg(F.sum("m").alias("n")).where("n > 1")
-    hits = _anchors(docs).select("h", "d", "t").join(again, "h")
+    hits = _anchors(docs).withColumn("n", F.sum("m").over(Window.partitionBy("h"))).where("n > 1")
     # A task holds many documents; lists are only as long as a document.
     by_doc = hits.groupBy("d", "t").agg(F.collect_set(F.struct("h", "n")).alias("x"))
     return saved(by_doc.select("d", "t", F.col("x.h").alias("hs"), F.col("x.n").alias("ns")), "repeated-hashes")
 
 
+def _by_text(found):
+    """Arrays of many texts, one text (or a part of it) after the other: ``(text, arrays ...)``."""
+    for k, *x in found:
+        edges = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])).tolist() + [len(k)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            yield int(k[a]), *[v[a:b] for v in x]
+
+
 def _pieces(docs: DataFrame, hits: DataFrame, hot: int) -> DataFrame:
     """Segments that meet others ``(h, salt, hot, d, t, s, n, piece)``; a null piece is a span that
     is known to go: in one batch of documents only the earliest of identical segments is sent."""
@@ -318,16 +419,26 @@ def _pieces(docs: DataFrame, hits: DataFrame, hot: int) -> DataFrame:
             seen: dict = {}
             unz, found = zstandard.ZstdDecompressor(), []
             hs, ns = b.column(3), b.column(4)
-            for k, (d, t, z) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())):
-                raw = unz.decompress(z)
-                want, n = hs[k].values.to_numpy(zero_copy_only=False), ns[k].values.to_numpy(zero_copy_only=False)
-                o = np.argsort(want)
-                want, n = want[o], n[o]
-                h, s, e = segments(raw)
+            ds, ts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            raws: dict = {}                                          # texts of the group at hand
+
+            def opened():
+                for k, z in enumerate(b.column(2).to_pylist()):
+                    raws[k] = unz.decompress(z)
+                    yield raws[k]
+            last = -1
+            for k, h, s, e in _by_text(segments_of(opened())):
+                if k != last:
+                    for done in [x for x in raws if x < k]:
+                        del raws[done]
+                    want, n = hs[k].values.to_numpy(zero_copy_only=False), ns[k].values.to_numpy(zero_copy_only=False)
+                    o = np.argsort(want)
+                    want, n, raw, d, t, last = want[o], n[o], raws[k], ds[k], ts[k], k
                 at = np.minimum(np.searchsorted(want, h), len(want) - 1)
-                for i in np.flatnonzero(want[at] == h).tolist():
-                    row = (int(d), int(s[i]), int(h[i]), int(n[at[i]]))
-                    piece = raw[s[i]:e[i] + LENGTH - 1]
+                hit = np.flatnonzero(want[at] == h)
+                for row in zip([d] * len(hit), s[hit].tolist(), h[hit].tolist(), n[at[hit]].tolist(), e[hit].tolist()):
+                    piece = raw[row[1]:row[4] + LENGTH - 1]
+                    row = row[:4]
                     old = seen.get(piece)
                     if old is None:
                         seen[piece] = (row, {t})
@@ -362,9 +473,8 @@ def _resolved(pieces: DataFrame) -> DataFrame:
         k = len(removed)
         cols = [*removed.T, [None] * k, [None] * k]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
-        if exported:
-            x = np.array(exported, np.int64)
-            x = x[np.lexsort((x[:, 4], x[:, 1], x[:, 0]))]
+        if len(exported):
+            x = exported[np.lexsort((exported[:, 4], exported[:, 1], exported[:, 0]))]
             edges = np.searchsorted(x[:, 0], np.linspace(-2.0 ** 63, 2.0 ** 63, RANGES + 1)[1:-1].astype(np.int64))
             runs = [(i, r.tobytes()) for i, r in enumerate(np.split(x, edges)) if len(r)]
             none = [None] * len(runs)
@@ -381,7 +491,7 @@ def _resolved(pieces: DataFrame) -> DataFrame:
             c = [b.column(k).to_pylist() for k in range(8)]
             known = [(d, t, s, n) for d, t, s, n, p in zip(*c[3:]) if p is None]
             if known:
-                yield from out(np.array(known, np.int64), [])
+                yield from out(np.array(known, np.int64), ())
             for h, salt, hot, d, t, s, _, p in zip(*c):
                 if p is None:
                     continue

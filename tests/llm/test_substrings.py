@@ -104,3 +104,42 @@ def test_ids_with_several_texts(spark, rng, hot):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     got = [tuple(r) for r in substrings.substring_digests(docs, hot).collect()]
     assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == brute(rows)
+
+
+def test_only_windows_that_may_repeat_are_suffixes(rng, monkeypatch):
+    """Segments of one hash that differ nearly everywhere: the sort takes what their windows share."""
+    def text(n): return bytes(rng.integers(97, 123, n).astype(np.uint8))
+    shared = text(110)
+    pieces = [text(400) for _ in range(50)] + [text(70) + shared + text(60) for _ in range(3)]
+    taken, sort = [], substrings.suffix_array
+    monkeypatch.setattr(substrings, "suffix_array", lambda words, stop: taken.append(len(words)) or sort(words, stop))
+    piece, at, kind, first = substrings.repeated_windows(pieces, np.arange(53) << 40)
+    assert sum(taken) == 3 * 110 and len(set(kind.tolist())) == 11
+    assert sorted(zip(piece.tolist(), at.tolist(), first.tolist())) == [(p, a, p == 50) for p in (50, 51, 52) for a in range(70, 81)]
+
+
+@pytest.mark.parametrize("bits", [64, 36, 33])
+def test_texts_hashed_together_have_the_segments_of_each(rng, monkeypatch, bits):
+    """Also where different hashes share their upper halves (all but a few bits)."""
+    exact = substrings.gram_hashes
+    monkeypatch.setattr(substrings, "gram_hashes", lambda b: exact(b) & np.uint64((1 << bits) - 1))
+    texts = [bytes(rng.integers(97, 100, int(n)).astype(np.uint8)) for n in rng.integers(0, 900, 60)] + [b"a" * 500, b"", b"x" * 99, b"y" * 100]
+    monkeypatch.setattr(substrings, "GROUP", 4000)
+    got, places = [dict() for _ in texts], [dict() for _ in texts]
+    for k, h, s, e in substrings._by_text(substrings.segments_of(texts)):
+        for x, a, b in zip(h.tolist(), s.tolist(), e.tolist()):
+            got[k].update({w: x for w in range(a, b)})
+    for ks, hs, ms in substrings.anchors(texts):
+        for k, h, m in zip(ks.tolist(), hs.tolist(), ms.tolist()):
+            places[k][h] = places[k].get(h, 0) + m
+    for k, raw in enumerate(texts):
+        g = substrings.gram_hashes(np.frombuffer(raw, np.uint8))
+        want = {w: int(g[w:w + 85].min().view(np.int64)) for w in range(len(raw) - 99)}
+        assert got[k] == want
+        here = {}
+        for w in want:
+            for p in np.flatnonzero(g[w:w + 85] == g[w:w + 85].min()).tolist():
+                here.setdefault(want[w], set()).add(w + p)
+        assert all(places[k][h] >= len(p) for h, p in here.items())
+        if bits == 64:
+            assert places[k] == {h: len(p) for h, p in here.items()}
